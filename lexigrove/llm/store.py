@@ -1,0 +1,50 @@
+"""Intermediate tables in the folder that the whole cluster shares.
+
+A table written there survives lost executors and cuts the lineage, which a cached or locally
+checkpointed frame does not.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lexigrove-")
+    return _OWN[app]
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a frame over the files."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table once nothing lazy reads it any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files under a frame that ``materialise`` returned."""
+    files = df.inputFiles()
+    if files:
+        drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
