@@ -6,21 +6,67 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import chat, html, mixing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.neighbours(table(spark, sf_dir, "conversations")))
+
+
+OP4_SQL = """
+WITH turns AS (
+  SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), shared AS (
+  SELECT a.pair_id, count(*) AS n FROM (
+    SELECT a.pair_id, a.k, row_number() OVER (PARTITION BY a.pair_id ORDER BY a.k) AS r
+    FROM turns a JOIN turns b ON a.pair_id = b.pair_id AND a.k = b.k AND a.side = 0 AND b.side = 1 AND a.role = b.role AND a.text = b.text
+  ) a WHERE a.k = a.r GROUP BY 1
+), placed AS (
+  SELECT t.*, coalesce(s.n, 0) AS n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
+  FROM turns t LEFT JOIN shared s USING (pair_id)
+), spans AS (
+  SELECT *, coalesce(sum(CASE WHEN k > n THEN length(shown) ELSE 0 END) OVER (PARTITION BY pair_id, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM placed
+), written AS (
+  SELECT *, (off + length(role) + 5)::BIGINT || ':' || (off + length(shown) - 1)::BIGINT AS span FROM spans
+)
+SELECT pair_id, max(n)::BIGINT AS n_prompt_turns,
+  coalesce(string_agg(CASE WHEN k <= n AND side = 0 THEN shown END, '' ORDER BY k), '') AS prompt,
+  coalesce(string_agg(CASE WHEN k > n AND side = 0 THEN shown END, '' ORDER BY k), '') AS chosen,
+  coalesce(string_agg(CASE WHEN k > n AND side = 1 THEN shown END, '' ORDER BY k), '') AS rejected,
+  coalesce(string_agg(CASE WHEN k > n AND side = 0 AND role = 'assistant' THEN span END, ',' ORDER BY k), '') AS chosen_mask,
+  coalesce(string_agg(CASE WHEN k > n AND side = 1 AND role = 'assistant' THEN span END, ',' ORDER BY k), '') AS rejected_mask
+FROM written GROUP BY pair_id
+"""
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.copies(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_mixing": op9_mixing}
+    return {
+        "op1_html_extraction": op1_html_extraction,
+        "op4_chat_formatting": op4_chat_formatting,
+        "op7_secret_scan": op7_secret_scan,
+        "op9_mixing": op9_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": OP4_SQL}
