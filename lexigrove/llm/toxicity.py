@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
@@ -40,7 +41,7 @@ BLOCK = 64
 PRIOR_WEIGHT = 0.3
 
 _WORD = re.compile(r"\w+")
-_CACHE = 300_000
+_GAP = re.compile(r"\W+")
 
 
 def word_terms(word: str) -> set[str]:
@@ -49,33 +50,35 @@ def word_terms(word: str) -> set[str]:
     return {marked} | {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)}
 
 
-def term_counts(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        for t in word_terms(word):
-            out[t] += n
-    return out
+def terms_of(text: str | None) -> set[str]:
+    """The distinct terms of a text."""
+    return set().union(*map(word_terms, set(_WORD.findall((text or "").lower()))))
 
 
 class Vocabulary:
-    """The kept terms; counts of them in texts, with what each word holds remembered for a while."""
+    """The kept terms; all their occurrences in a text are found in one pass of an Aho-Corasick automaton."""
 
     def __init__(self, terms: list[str]):
-        self.ids = {t: i for i, t in enumerate(terms)}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.terms = terms
+        self.automaton: ahocorasick.Automaton | None = None
+
+    def __getstate__(self) -> list[str]:
+        return self.terms
+
+    def __setstate__(self, terms: list[str]) -> None:
+        self.__init__(terms)
 
     def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        words = self.words
-        for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            own = words.get(word)
-            if own is None:
-                if len(words) > _CACHE:
-                    words.clear()
-                own = words[word] = tuple(i for t in word_terms(word) if (i := self.ids.get(t)) is not None)
-            for i in own:
-                out[i] = out.get(i, 0) + n
-        return out
+        if not self.terms:
+            return {}
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for i, t in enumerate(self.terms):
+                self.automaton.add_word(t, i)
+            self.automaton.make_automaton()
+        # Terms hold ^ only first and $ only last, so none can reach over the end of a word.
+        marked = f"^{_GAP.sub('$^', (text or '').lower())}$"
+        return dict(Counter(i for _, i in self.automaton.iter(marked)))
 
 
 class Index:
@@ -92,11 +95,14 @@ class Index:
         order = sorted(range(n), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else n_terms, doc_ids[i]))
         self.doc_ids = np.array([doc_ids[i] for i in order], np.int64)
         self.toxic = np.array([toxic[i] for i in order], np.float64)
-        self.weights = np.zeros((n, n_terms), np.float32)
+        blocks = -(-n // BLOCK)
+        weights = np.zeros((n_terms, blocks * BLOCK), np.float32)
         for row, i in enumerate(order):
-            self.weights[row, vectors[i][0]] = vectors[i][1]
-        self.starts = list(range(0, n, BLOCK))
-        self.maxima = np.array([self.weights[s : s + BLOCK].max(axis=0) for s in self.starts]).T.copy() if n else np.zeros((n_terms, 0), np.float32)
+            weights[vectors[i][0], row] = vectors[i][1]
+        #: Weights by term, block and example in the block; each term's largest weight in each block.
+        self.weights = weights.reshape(n_terms, blocks, BLOCK)
+        self.maxima = self.weights.max(axis=2) if n else np.zeros((n_terms, 0), np.float32)
+        self.known: dict[tuple, tuple[float, list[int]]] = {}
         share = np.array([weight[int(t)] for t in self.toxic])
         self.prior = float((share * self.toxic).sum() / share.sum()) if n else 0.0
         self.steps: tuple[list[float], list[float]] = ([], [])
@@ -117,26 +123,44 @@ class Index:
         if not len(ids):
             return np.empty(0, np.int64), np.empty(0)
         bounds = w @ self.maxima[ids]
-        rows, best = np.empty(0, np.int64), np.empty(0, np.float32)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) >= k and bounds[b] < best[k - 1] - 1e-6):
-                break
-            s = self.starts[b]
-            cos = self.weights[s : s + BLOCK, ids] @ w
-            own = np.nonzero(cos > 0)[0]
-            rows, best = np.concatenate([rows, own + s]), np.concatenate([best, cos[own]])
-            if skip >= 0:
-                keep = rows != skip
-                rows, best = rows[keep], best[keep]
-            order = np.lexsort((rows, -best))[:k]
-            rows, best = rows[order], best[order]
+        order = np.argsort(-bounds, kind="stable")
+        rows, best = self._cosines(ids, w, order[:2], k, skip)
+        least = best[k - 1] - 1e-6 if len(best) >= k else 0.0
+        more = order[2:][(bounds[order[2:]] >= least) & (bounds[order[2:]] > 0)]
+        if len(more):
+            # No example of another block can be nearer than the k-th of these.
+            other, near = self._cosines(ids, w, more, k, skip)
+            rows, best = np.concatenate([rows, other]), np.concatenate([best, near])
+            first = np.lexsort((rows, -best))[:k]
+            rows, best = rows[first], best[first]
         return rows, best.astype(np.float64)
 
+    def _cosines(self, ids: np.ndarray, w: np.ndarray, blocks: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples of the blocks with a positive cosine."""
+        cos = w @ self.weights[ids[:, None], blocks[None, :]].reshape(len(ids), -1)
+        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)[None, :]).reshape(-1)
+        keep = np.nonzero((cos > 0) & (rows != skip))[0]
+        if len(keep) > 4 * k:
+            # Of equal cosines all stay, for the order by row.
+            keep = keep[cos[keep] >= np.partition(cos[keep], len(keep) - k)[len(keep) - k]]
+        rows, cos = rows[keep], cos[keep]
+        first = np.lexsort((rows, -cos))[:k]
+        return rows[first], cos[first]
+
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
         w = cos * cos
         return float(((w * self.toxic[rows]).sum() + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
+        key = tuple(sorted(counts.items()))
+        if key in self.known:
+            return self.known[key]
+        if len(self.known) > 20_000:
+            self.known.clear()
+        self.known[key] = self._score(counts)
+        return self.known[key]
+
+    def _score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
         rows, cos = self.nearest(self.vector(counts), NEIGHBOURS)
         at, value = self.steps
         vote = self.vote(rows, cos)
@@ -173,7 +197,7 @@ def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tally: dict[str, list[int]] = {}
     for batch in batches:
         for text, label in zip(batch["text"], batch["toxic"], strict=True):
-            for t in term_counts(text):
+            for t in terms_of(text):
                 tally.setdefault(t, [0, 0])[int(label)] += 1
     yield pd.DataFrame([(t, a, b) for t, (a, b) in tally.items()], columns=["term", "clean", "toxic"])
 
@@ -213,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: i
 
     rows = sample.mapInPandas(vectors, "doc_id long, toxic int, ids array<int>, tf array<int>").orderBy("doc_id", "ids").collect()
     weight = tuple(totals.get(c, 0) / max(1, found.get(c, 0)) for c in (0, 1))
-    index = Index([dict(zip(r.ids, r.tf, strict=True)) for r in rows], [r.toxic for r in rows], [r.doc_id for r in rows], len(vocabulary.ids), weight)
+    index = Index([dict(zip(r.ids, r.tf, strict=True)) for r in rows], [r.toxic for r in rows], [r.doc_id for r in rows], len(vocabulary.terms), weight)
     return vocabulary, index
 
 
