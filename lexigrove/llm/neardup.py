@@ -11,11 +11,15 @@ in whatever order rarity puts them. Inverted lists are therefore kept for those
 first by the number of classes that retain them, and values retained by one class need no list. A
 passage that thousands of documents share never makes a list unless it fills 0.4 of a sketch.
 
-Short lists give all their pairs. A long list is compared with its most central member (the one whose
-values are the most common, which is the original in a family of copies). What is then not in the center's
-component is compared with everything of another component, more members at a time, until
-a list holds one component or every pair of different components has been compared. So
-no list is cut off, and a family of thousands of copies costs a few passes over it.
+Every list has a centre, its most central member (the one whose values are the most common, which is
+the original in a family of copies). Where few members are outside the centre's component, they are paired
+with the whole list. A longer list is compared with its centre. A pair (d, m) of
+members that the centre c leaves in different components can only be a link if it has a shingle
+in common outside c, or if both |d & c| and |m & c| reach 3/7 (|d| + |m|). Pairs of the second kind
+are few, since they need sizes well below the centre's; for the first kind, inverted lists of the
+members' shingles outside c take the place of the list (again of the rarest only), and long ones among
+them are treated alike.
+So no list is cut off, no link is lost, and a family of thousands of copies costs a few passes over it.
 
 Pairs are filtered by the similarity estimated from the union of the sketches (5 standard deviations
 below the threshold), and confirmed on full sets computed from the texts.
@@ -41,7 +45,7 @@ K = 64
 COMMON = 28
 #: Similarity of a link: PERCENT / 100.
 PERCENT = 75
-#: Longest list of which all pairs are made at once.
+#: Most members outside the centre's component that are paired with their whole list at once; 4 times as many each round.
 SHORT = 24
 #: Most ids that are broadcast to pick out texts (8 bytes each); beyond it they are joined by shuffle.
 SENT_IDS = 1_000_000
@@ -65,17 +69,22 @@ def _sketcher(k: int):
     return sketch
 
 
-def _lists(classes: DataFrame, common: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(value, node, n, centre) for the rare values of each class's sketch, and (value, size)."""
-    entries = classes.select("node", "n", F.explode("sketch").alias("value"))
-    held = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = entries.join(held, "value").groupBy("node").agg(F.first("n").alias("n"), F.sum("df").alias("centre"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
-    least = F.least(F.lit(common), F.ceil(F.col("n") * percent / 100)).cast("int")
-    rare = F.slice("values", 1, F.greatest(F.size("values") - least + 1, F.lit(0)))
-    rows = shared.select("node", "n", "centre", F.explode(rare).alias("v")).select(F.col("v.value").alias("value"), "node", "n", "centre")
-    rows = store.materialise(rows, "dup-lists")
-    sizes = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("centre", (-F.col("node")).alias("back"))).alias("most")).where("size > 1")
-    return rows, store.materialise(sizes.select("value", "size", (-F.col("most.back")).alias("middle")), "dup-sizes")
+def _lists(entries: DataFrame) -> DataFrame:
+    """(family, value, node, n, centre) for the rare values of each member of a family.
+
+    ``entries``: (family, value, node, n, centre, least), where similar members share ``least`` values or
+    more: then they share one of all but the ``least - 1`` most common values of either. Values that
+    only one member holds are the rarest and need no list.
+    """
+    held = entries.groupBy("family", "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = (
+        entries.join(held, ["family", "value"])
+        .groupBy("family", "node")
+        .agg(F.first("n").alias("n"), F.max(F.coalesce("centre", F.lit(0))).alias("centre"), F.first("least").alias("least"), F.sum("df").alias("total"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
+    )
+    rare = F.slice("values", 1, F.greatest(F.least(F.size("values"), F.size("values") - F.col("least") + 1), F.lit(0)))
+    rows = shared.select("family", "node", "n", F.greatest("centre", "total").alias("centre"), F.explode(rare).alias("v"))
+    return rows.select("family", F.col("v.value").alias("value"), "node", "n", "centre")
 
 
 def _alike(a: str, b: str, percent: int):
@@ -83,93 +92,126 @@ def _alike(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    spark = docs.sparkSession
-    left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-    right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    both = F.array_intersect("sketch_a", "sketch_b")
-    union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, K)
-    # Up to the union's k-th value both sketches are complete.
-    estimate = F.size(F.array_intersect(union, both)) / F.size(union)
-    t = percent / 100
-    floor = F.when(F.size(union) < K, t).otherwise(t - 5 * (t * (1 - t) / K) ** 0.5)
-    likely = pairs.join(left, "a").join(right, "b").where(estimate >= floor - 1e-9).select("a", "b")
-    likely = store.materialise(likely, "dup-likely")
-    involved = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    involved = store.materialise(involved, "dup-involved")
+_VERIFIED = "a long, b long, common long, linked boolean, outside array<long>"
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int, outside: bool) -> DataFrame:
+    """(a, b, common, linked, outside) of pairs by their full sets; ``outside``: shingles of b that a lacks."""
+    pairs = store.materialise(pairs, "dup-pairs")
+    involved = store.materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "dup-involved")
     wanted = F.broadcast(involved) if involved.count() <= SENT_IDS else involved
-    texts = docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi")
-    texts = store.materialise(texts.select("doc_id", "text"), "dup-texts")
-    pairs = likely.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-    pairs = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
+    texts = store.materialise(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").select("doc_id", "text"), "dup-texts")
+    joined = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+    joined = joined.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, own = None, None
         for batch in batches:
-            keep = []
-            for text_a, text_b in zip(batch["text_a"], batch["text_b"], strict=True):
-                if text_a != last:  # rows arrive sorted by a
+            rows = []
+            for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
+                if text_a != last:  # rows mostly arrive sorted by a
                     last, own = text_a, shingle_set(text_a)
                 other = shingle_set(text_b)
                 n = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * n >= percent * (len(own) + len(other) - n))
-            yield batch.loc[keep, ["a", "b"]]
+                rest = np.setdiff1d(other, own, assume_unique=True) if outside else None
+                rows.append((a, b, n, 100 * n >= percent * (len(own) + len(other) - n), rest))
+            yield pd.DataFrame(rows, columns=["a", "b", "common", "linked", "outside"])
+
+    done = store.materialise(joined.mapInPandas(verify, _VERIFIED), "dup-verified", records=256)
+    for used in (pairs, involved, texts):
+        store.drop(used)
+    return done
+
 
-    links = store.materialise(pairs.mapInPandas(verify, "a long, b long").distinct(), "dup-links")
-    for done in (likely, involved, texts):
-        store.drop(done)
-    return links
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, after a filter by their sketches."""
+    left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
+    right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
+    # Up to the union's k-th value both sketches are complete.
+    union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, K)
+    estimate = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b"))) / F.size(union)
+    t = percent / 100
+    floor = F.when(F.size(union) < K, t).otherwise(t - 5 * (t * (1 - t) / K) ** 0.5)
+    likely = pairs.join(left, "a").join(right, "b").where(estimate >= floor - 1e-9).select("a", "b")
+    return _verified(likely, docs, percent, outside=False).where("linked").select("a", "b")
+
+
+def _pairs(member: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Pairs (a < b) of members of a list of which one is outside the centre's component, names apart."""
+    outside = member.where("name <> main").select(*keys, F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("name").alias("name_a"))
+    inside = member.select(*keys, F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("name").alias("name_b"))
+    met = outside.join(inside, keys).where("name_a <> name_b").where(_alike("n_a", "n_b", percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` with the label of their node's component as ``name``."""
+    if labels is None:
+        return rows.withColumn("name", F.col("node"))
+    known = labels.withColumnsRenamed({"node": "at", "label": "known"})
+    return rows.join(known, rows["node"] == known["at"], "left").withColumn("name", F.coalesce("known", "node")).drop("at", "known")
+
+
+def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Labels with the links taken in."""
+    links = store.materialise(links, "dup-links")
+    return labels if labels is not None and links.isEmpty() else components(links, labels)
 
 
 def classes_and_links(docs: DataFrame, k: int = K, common: int = COMMON, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketched rows, classes of equal sets with their smallest doc_id as ``node``, and (node, label)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = store.materialise(source.mapInPandas(_sketcher(k), _SKETCHED), "dup-sketches")
+    rows = store.materialise(source.mapInPandas(_sketcher(k), _SKETCHED), "dup-sketches", records=2000)
     able = rows.where("n > 0 and doc_id is not null")
-    smallest = able.groupBy("signature").agg(F.min("doc_id").alias("node"))
-    smallest = store.materialise(smallest, "dup-classes")
+    smallest = store.materialise(able.groupBy("signature").agg(F.min("doc_id").alias("node")), "dup-classes")
     chosen = smallest.select(F.col("signature").alias("own"), "node")
     classes = able.join(chosen, (able["doc_id"] == chosen["node"]) & (able["signature"] == chosen["own"])).select("node", "n", "sketch").dropDuplicates(["node", "n"])
     classes = store.materialise(classes, "dup-nodes")
-    lists, sizes = _lists(classes, common, percent)
-
-    member = lists.join(sizes, "value")
-    short = member.where(F.col("size") <= SHORT).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
-    after = F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: F.struct(x.alias("x"), y.alias("y"))))
-    paired = short.select(F.explode(F.flatten(after)).alias("p")).where(_alike("p.x.n", "p.y.n", percent) & (F.col("p.x.node") != F.col("p.y.node")))
-    paired = paired.select(F.col("p.x.node").alias("a"), F.col("p.y.node").alias("b"))
-    star = member.where((F.col("size") > SHORT) & (F.col("node") != F.col("middle"))).select(F.col("middle").alias("a"), F.col("node").alias("b"))
-    tried = store.materialise(paired.unionByName(star).distinct(), "dup-tried")
-    labels = components(_confirmed(tried, classes, source, percent))
-
-    # Long lists whose members are not all connected yet.
-    long_lists = store.materialise(member.where(F.col("size") > SHORT).select("value", "node", "n", "centre", "middle"), "dup-long")
-    at_a_time = 8
+    # A family is what one chain of centres has in common; the lists of retained values have none yet.
+    keys, labels, at_once = ["family", "value"], None, SHORT
+    least = F.least(F.lit(common), F.ceil(F.col("n") * percent / 100)).cast("int")
+    entries = classes.select(F.lit(0).cast("long").alias("family"), F.explode("sketch").alias("value"), "node", "n", F.lit(0).cast("long").alias("centre"), least.alias("least"))
     while True:
-        named = labels.withColumnsRenamed({"node": "at", "label": "name"})
-        placed = long_lists.join(named, long_lists["node"] == named["at"], "left").select("value", "node", "n", "centre", "middle", F.coalesce("name", "node").alias("name"))
+        lists = store.materialise(_named(_lists(entries), labels), "dup-lists")
+        sizes = lists.groupBy(*keys).agg(
+            F.min("name").alias("low"), F.max("name").alias("high"), F.max(F.struct("centre", (-F.col("node")).alias("back"), "name")).alias("most")
+        )
+        sizes = store.materialise(sizes.where("low <> high").select(*keys, (-F.col("most.back")).alias("middle"), F.col("most.name").alias("main")), "dup-sizes")
+        if sizes.isEmpty():
+            return rows, smallest, labels if labels is not None else lists.limit(0).select("node", F.col("node").alias("label"))
+        member = lists.join(sizes, keys)
+        counted = member.groupBy(*keys).agg(F.count_if(F.col("name") != F.col("main")).alias("out"))
+        member = store.materialise(member.join(counted, keys), "dup-members")
+        short = _pairs(member.where(F.col("out") <= at_once), keys, percent)
+        families = member.where((F.col("out") > at_once) & (F.col("node") != F.col("middle"))).select(F.xxhash64("family", "middle").alias("family"), "middle", "node", "n", "centre").distinct()
+        at_once *= 4
+        families = store.materialise(families, "dup-families")
+        star = _verified(families.select(F.col("middle").alias("a"), F.col("node").alias("b")).distinct(), source, percent, outside=True)
+        links = _links(short, classes, source, percent).unionByName(star.where("linked").select("a", "b"))
+        labels = _joined(links, labels)
+        if families.isEmpty():
+            return rows, smallest, labels
+        # Families that the centre has not brought into one component.
+        placed = _named(families, labels).withColumn("own", F.col("name"))
+        hub = _named(families.select(F.col("middle").alias("node")).distinct(), labels).select(F.col("node").alias("middle"), F.col("name").alias("main"))
+        placed = placed.join(hub, "middle").join(star.select(F.col("a").alias("middle"), F.col("b").alias("node"), "common", "outside"), ["middle", "node"])
         placed = store.materialise(placed, "dup-placed")
-        apart = placed.groupBy("value").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.max(F.when(F.col("node") == F.col("middle"), F.col("name"))).alias("main")).where("low <> high")
-        apart = store.materialise(apart.select("value", "main"), "dup-apart")
-        if apart.isEmpty():
-            break
-        open_lists = placed.join(apart, "value")
-        # Members outside the main component take their turn as centres, a number of turns by hash at a time.
-        outside = open_lists.where("name <> main")
-        most = outside.groupBy("value").agg(F.count(F.lit(1)).alias("n_out")).agg(F.max("n_out")).first()[0]
-        turns = max(1, -(-most // at_a_time))
-        centres = outside.where(F.pmod(F.xxhash64("node"), F.lit(turns)) == 0).select("value", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("name").alias("c_name"))
-        met = open_lists.join(centres, "value").where((F.col("name") != F.col("c_name")) & _alike("n", "c_n", percent)).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = store.materialise(met.join(known, ["a", "b"], "left_anti"), "dup-tried")
-        if not fresh.isEmpty():
-            labels = components(_confirmed(fresh, classes, source, percent), labels)
-            tried = store.materialise(known.unionByName(fresh), "dup-tried")
-        if turns == 1:
-            break
-        at_a_time *= 8
-    return rows, smallest, labels
+        apart = store.materialise(placed.where("name <> main").select("family").distinct(), "dup-apart")
+        placed = placed.join(apart, "family")
+        # Second kind: both meet the centre in enough shingles for a link of their sizes.
+        reach = F.floor(F.col("common") * (100 + percent) / percent + 1e-9) - F.col("n")
+        inside = placed.withColumn("reach", reach).where(_alike("n", "reach", percent) | (F.col("reach") >= F.col("n")))
+        d = inside.where("name <> main").select("family", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("reach").alias("reach_a"), F.col("name").alias("name_a"))
+        largest = d.groupBy("family").agg(F.max("reach_a").alias("most"))
+        m = inside.join(largest, "family").where("n <= most").select("family", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"), F.col("name").alias("name_b"))
+        second = d.join(m, "family").where("name_a <> name_b and n_b <= reach_a and n_a <= reach_b").where(_alike("n_a", "n_b", percent))
+        second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        second = store.materialise(second, "dup-second")
+        if not second.isEmpty():
+            labels = _joined(_links(second, classes, source, percent), labels)
+        # First kind: the shingles outside the centre, of which a link needs 3/7 (|d| + |m|) - |d & c|.
+        least = (F.ceil(F.col("n") * percent / 100) - F.col("common")).cast("int")
+        entries = placed.select("family", F.explode("outside").alias("value"), "node", "n", "centre", least.alias("least"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -29,11 +29,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a frame over the files."""
+def materialise(df: DataFrame, label: str, records: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a frame over the files.
+
+    ``records``: most rows of a batch that goes to Python tasks, where rows are long.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if records:
+            spark.conf.set(key, str(records))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
