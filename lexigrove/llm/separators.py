@@ -26,11 +26,11 @@ BLOCK = 1 << 21
 EOD = 49407
 
 
-def write_flat(docs: DataFrame, folder: str, tokenizer: str, eod: int = EOD, rows: int = tokens.ROWS, width: int = 2) -> DataFrame:
+def write_flat(docs: DataFrame, folder: str, tokenizer: str, eod: int = EOD, width: int = 2) -> DataFrame:
     """Flat files of the documents' ids, each document followed by ``eod``: (part, name, n_ids, doc_ids).
 
-    Parts and documents ascend by doc_id, null first; a null text is empty. ``doc_ids`` is the
-    writer's own note of what it wrote; the files hold ids alone.
+    A part is a partition of ``docs`` as it is read, so that nothing is shuffled; a null text is empty.
+    ``doc_ids`` is the writer's own note of what it wrote; the files hold ids alone.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,8 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, eod: int = EOD, row
             names=["part", "name", "n_ids", "doc_ids"],
         )
 
-    placed = tokens.in_order(docs, rows).withColumn("part", F.spark_partition_id())
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    placed = source.withColumn("part", F.spark_partition_id())
     return store.materialise(placed.mapInArrow(encode, "part int, name string, n_ids long, doc_ids array<long>"), "flat-manifest", records=2048)
 
 

@@ -51,14 +51,25 @@ class Pieces:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.starts, self.lengths, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def forget(self) -> None:
+        """Drop the pieces that one batch only has had; most pieces of a large corpus occur once."""
+        words = list(self.number)
+        keep = np.flatnonzero(self.uses[: len(words)] > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = keep[:0]
+        starts, lengths = self.starts[keep], self.lengths[keep]
+        ids = self.pool[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        self.clear()
+        self._add([words[i] for i in keep.tolist()], ids, lengths)
 
     def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         n, k = len(self.number), len(words)
         while len(self.pool) < self.used + len(ids):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         while len(self.starts) < n + k:
-            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.uses))
         self.pool[self.used : self.used + len(ids)] = ids
         self.starts[n : n + k] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n : n + k] = lengths
@@ -87,11 +98,13 @@ class Pieces:
         numbered = split.flatten().dictionary_encode()
         words = numbered.dictionary.to_pylist()
         if len(self.number) + len(words) > REMEMBERED:
-            self.clear()
+            self.forget()
         new = [w for w in words if w not in self.number]
         if new:
             self.learn(new)
-        own = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[numbered.indices.to_numpy(zero_copy_only=False)]
+        distinct = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.uses[distinct] += 1
+        own = distinct[numbered.indices.to_numpy(zero_copy_only=False)]
         lengths = self.lengths[own]
         total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.pool[np.repeat(self.starts[own] - total[:-1], lengths) + np.arange(total[-1])]
