@@ -18,7 +18,25 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("start", found["start"].cast("long"))
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+OP2_SQL = f"""
+WITH it AS (SELECT item_id, ws, len(ws) AS w, least(5, len(ws)) AS k FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+ish AS (SELECT item_id, w, k, w - k + 1 AS m, v, count(*) AS ci FROM (SELECT item_id, w, k, unnest(list_transform(range(1, w - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS v FROM it) GROUP BY ALL),
+d AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)),
+dp AS (SELECT doc_id, n, k, unnest(range(0, n - k + 1)) AS pos, unnest(list_transform(range(1, n - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS v FROM d, (SELECT DISTINCT k FROM it) WHERE n >= k),
+h AS (SELECT dp.doc_id, dp.n, dp.pos, ish.item_id, ish.w, ish.k, ish.m, ish.ci, ish.v FROM dp JOIN ish ON dp.k = ish.k AND dp.v = ish.v),
+st AS (SELECT DISTINCT doc_id, n, item_id, w, k, m, greatest(0, least(pos, n - w)) AS start FROM h),
+o AS (SELECT st.doc_id, st.item_id, st.start, st.m, least(st.w, st.n) - st.k + 1 AS mw, h.v, count(*) AS cw, any_value(h.ci) AS ci
+  FROM st JOIN h ON h.doc_id = st.doc_id AND h.item_id = st.item_id AND h.pos BETWEEN st.start AND st.start + least(st.w, st.n) - st.k GROUP BY ALL),
+sm AS (SELECT doc_id, item_id, start, sum(least(cw, ci))::DOUBLE / (m + mw - sum(least(cw, ci))) AS similarity FROM o GROUP BY doc_id, item_id, start, m, mw)
+SELECT doc_id, item_id, start::BIGINT AS start, similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM sm WHERE similarity >= 0.75) WHERE r = 1
+"""
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +92,18 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP8_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s), x AS (SELECT doc_id, unnest(sh) AS v FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT r.doc_id, n::BIGINT AS n_shingles, min(root) AS component_id, r.doc_id = min(root) AS kept FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id, n
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.copies(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -99,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op8_minhash_neardup": OP8_SQL}
