@@ -1,7 +1,7 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
-A document's set is its distinct five-word shingles, hashed once; its sketch is the k smallest
-hashes. Documents with the same set are collapsed into a class first.
+A document's set is its distinct five-word shingles, hashed once; its sketch is the smallest
+hashes: k of them make lists, and more estimate similarities. Documents with the same set are collapsed into a class first.
 
 Candidates. Two classes of Jaccard similarity 0.75 or more have at least 0.75 of the values of their
 union's sketch in common, so that their sketches share c values or more: certain for sets of up to
@@ -11,8 +11,8 @@ in whatever order rarity puts them. Inverted lists are therefore kept for those
 first by the number of classes that retain them, and values retained by one class need no list. A
 passage that thousands of documents share never makes a list unless it fills 0.4 of a sketch.
 
-Every list has a centre, its most central member (the one whose values are the most common, which is
-the original in a family of copies). Where few members are outside the centre's component, they are paired
+Every list has a centre, its most central member (the one whose shared values are the most and the
+commonest, which is the original in a family of copies). Where few members are outside the centre's component, they are paired
 with the whole list. A longer list is compared with its centre. A pair (d, m) of
 members that the centre c leaves in different components can only be a link if it has a shingle
 in common outside c, or if both |d & c| and |m & c| reach 3/7 (|d| + |m|). Pairs of the second kind
@@ -39,8 +39,10 @@ from . import store
 from .components import components
 from .shingles import shingle_set
 
-#: Retained values of a sketch.
+#: Retained values of a sketch that make lists.
 K = 64
+#: Retained values that estimate similarities.
+ESTIMATED = 160
 #: Values that sketches of similar sets share at least, for large sets.
 COMMON = 28
 #: Similarity of a link: PERCENT / 100.
@@ -62,29 +64,35 @@ def _sketcher(k: int):
                     "doc_id": batch["doc_id"].astype("Int64"),
                     "n": [len(s) for s in sets],
                     "signature": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "sketch": [s[:k] for s in sets],
+                    "sketch": [s[: max(k, ESTIMATED)] for s in sets],
                 }
             )
 
     return sketch
 
 
-def _lists(entries: DataFrame) -> DataFrame:
-    """(family, value, node, n, centre) for the rare values of each member of a family.
+def _lists(entries: DataFrame, within: bool) -> DataFrame:
+    """(family, value, node, n, centre, probe) for the rare values of each member of a family.
 
-    ``entries``: (family, value, node, n, centre, least), where similar members share ``least`` values or
+    ``entries``: (family, value, node, n, least, first), where similar members share ``least`` values or
     more: then they share one of all but the ``least - 1`` most common values of either. Values that
-    only one member holds are the rarest and need no list.
+    only one member holds are the rarest and need no list. ``first`` is what members no larger share with
+    it at least; the values that this leaves are marked ``probe``. Of every similar pair the smaller member
+    has a common value as a probe, and the larger one has it in its list. ``within`` a family, where
+    members share many values, ``held`` has all of a member's lists in order, so that a pair is made in the
+    first list that it shares; there are too many rows for that at the top.
     """
     held = entries.groupBy("family", "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = (
         entries.join(held, ["family", "value"])
         .groupBy("family", "node")
-        .agg(F.first("n").alias("n"), F.max(F.coalesce("centre", F.lit(0))).alias("centre"), F.first("least").alias("least"), F.sum("df").alias("total"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
+        .agg(F.first("n").alias("n"), F.first("least").alias("least"), F.first("first").alias("first"), F.sum("df").alias("total"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
     )
     rare = F.slice("values", 1, F.greatest(F.least(F.size("values"), F.size("values") - F.col("least") + 1), F.lit(0)))
-    rows = shared.select("family", "node", "n", F.greatest("centre", "total").alias("centre"), F.explode(rare).alias("v"))
-    return rows.select("family", F.col("v.value").alias("value"), "node", "n", "centre")
+    held_lists = F.transform(rare, lambda v: v["value"]) if within else F.lit(None).cast("array<long>")
+    # Central is whose shared values are the most and the commonest.
+    rows = shared.select("family", "node", "n", F.col("total").alias("centre"), (F.size("values") - F.col("first")).alias("last"), held_lists.alias("held"), F.posexplode(rare).alias("pos", "v"))
+    return rows.select("family", F.col("v.value").alias("value"), "node", "n", "centre", (F.col("pos") <= F.col("last")).alias("probe"), "held")
 
 
 def _alike(a: str, b: str, percent: int):
@@ -98,7 +106,8 @@ _VERIFIED = "a long, b long, common long, linked boolean, outside array<long>"
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, outside: bool) -> DataFrame:
     """(a, b, common, linked, outside) of pairs by their full sets; ``outside``: shingles of b that a lacks."""
     pairs = store.materialise(pairs, "dup-pairs")
-    involved = store.materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "dup-involved")
+    involved = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
+    involved = store.materialise(involved, "dup-involved")
     wanted = F.broadcast(involved) if involved.count() <= SENT_IDS else involved
     texts = store.materialise(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").select("doc_id", "text"), "dup-texts")
     joined = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
@@ -128,20 +137,21 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
     # Up to the union's k-th value both sketches are complete.
-    union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, K)
+    union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, ESTIMATED)
     estimate = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b"))) / F.size(union)
     t = percent / 100
-    floor = F.when(F.size(union) < K, t).otherwise(t - 5 * (t * (1 - t) / K) ** 0.5)
+    floor = F.when(F.size(union) < ESTIMATED, t).otherwise(t - 5 * (t * (1 - t) / ESTIMATED) ** 0.5)
     likely = pairs.join(left, "a").join(right, "b").where(estimate >= floor - 1e-9).select("a", "b")
     return _verified(likely, docs, percent, outside=False).where("linked").select("a", "b")
 
 
 def _pairs(member: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """Pairs (a < b) of members of a list of which one is outside the centre's component, names apart."""
-    outside = member.where("name <> main").select(*keys, F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("name").alias("name_a"))
-    inside = member.select(*keys, F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("name").alias("name_b"))
-    met = outside.join(inside, keys).where("name_a <> name_b").where(_alike("n_a", "n_b", percent))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    row = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "name", "probe", "held")]
+    met = member.where("name <> main").select(*keys, *row("a")).join(member.select(*keys, *row("b")), keys)
+    met = met.where("name_a <> name_b and ((probe_a and n_a <= n_b) or (probe_b and n_b <= n_a))").where(_alike("n_a", "n_b", percent))
+    met = met.where(F.coalesce(F.get(F.array_intersect("held_a", "held_b"), F.lit(0)) == F.col("value"), F.lit(True)))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -168,21 +178,23 @@ def classes_and_links(docs: DataFrame, k: int = K, common: int = COMMON, percent
     classes = able.join(chosen, (able["doc_id"] == chosen["node"]) & (able["signature"] == chosen["own"])).select("node", "n", "sketch").dropDuplicates(["node", "n"])
     classes = store.materialise(classes, "dup-nodes")
     # A family is what one chain of centres has in common; the lists of retained values have none yet.
-    keys, labels, at_once = ["family", "value"], None, SHORT
+    keys, labels, at_once, tried = ["family", "value"], None, SHORT, None
     least = F.least(F.lit(common), F.ceil(F.col("n") * percent / 100)).cast("int")
-    entries = classes.select(F.lit(0).cast("long").alias("family"), F.explode("sketch").alias("value"), "node", "n", F.lit(0).cast("long").alias("centre"), least.alias("least"))
+    entries = classes.select(F.lit(0).cast("long").alias("family"), F.explode(F.slice("sketch", 1, k)).alias("value"), "node", "n", least.alias("least"), least.alias("first"))
     while True:
-        lists = store.materialise(_named(_lists(entries), labels), "dup-lists")
+        lists = store.materialise(_named(_lists(entries, tried is not None), labels), "dup-lists")
         sizes = lists.groupBy(*keys).agg(
-            F.min("name").alias("low"), F.max("name").alias("high"), F.max(F.struct("centre", (-F.col("node")).alias("back"), "name")).alias("most")
+            F.min("name").alias("low"), F.max("name").alias("high"), F.max("probe").alias("probed"), F.max(F.struct("centre", (-F.col("node")).alias("back"), "name")).alias("most")
         )
-        sizes = store.materialise(sizes.where("low <> high").select(*keys, (-F.col("most.back")).alias("middle"), F.col("most.name").alias("main")), "dup-sizes")
+        sizes = store.materialise(sizes.where("low <> high and probed").select(*keys, (-F.col("most.back")).alias("middle"), F.col("most.name").alias("main")), "dup-sizes")
         if sizes.isEmpty():
             return rows, smallest, labels if labels is not None else lists.limit(0).select("node", F.col("node").alias("label"))
         member = lists.join(sizes, keys)
         counted = member.groupBy(*keys).agg(F.count_if(F.col("name") != F.col("main")).alias("out"))
         member = store.materialise(member.join(counted, keys), "dup-members")
         short = _pairs(member.where(F.col("out") <= at_once), keys, percent)
+        short = store.materialise(short if tried is None else short.join(tried, ["a", "b"], "left_anti"), "dup-short")
+        tried = short if tried is None else store.materialise(tried.unionByName(short), "dup-tried")
         families = member.where((F.col("out") > at_once) & (F.col("node") != F.col("middle"))).select(F.xxhash64("family", "middle").alias("family"), "middle", "node", "n", "centre").distinct()
         at_once *= 4
         families = store.materialise(families, "dup-families")
@@ -211,7 +223,8 @@ def classes_and_links(docs: DataFrame, k: int = K, common: int = COMMON, percent
             labels = _joined(_links(second, classes, source, percent), labels)
         # First kind: the shingles outside the centre, of which a link needs 3/7 (|d| + |m|) - |d & c|.
         least = (F.ceil(F.col("n") * percent / 100) - F.col("common")).cast("int")
-        entries = placed.select("family", F.explode("outside").alias("value"), "node", "n", "centre", least.alias("least"))
+        first = (F.ceil(F.col("n") * 2 * percent / (100 + percent)) - F.col("common")).cast("int")
+        entries = placed.select("family", F.explode("outside").alias("value"), "node", "n", least.alias("least"), first.alias("first"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
