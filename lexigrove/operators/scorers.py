@@ -91,6 +91,34 @@ def cross_encoder(folder: str, max_length: int = 192) -> Callable[[list[str], li
     return score
 
 
+def yes_no_reranker(folder: str, task: str, max_length: int = 512) -> Callable[[list[str], list[str]], list[float]]:
+    """Probability of "yes" against "no" as a causal model's next token after a prompt for each pair."""
+    import torch
+    from transformers import AutoModelForCausalLM, AutoTokenizer
+
+    if not torch.cuda.is_available():
+        raise RuntimeError("this scorer needs a GPU")
+    tokenizer = AutoTokenizer.from_pretrained(folder, padding_side="left")
+    model = AutoModelForCausalLM.from_pretrained(folder, torch_dtype=torch.float16).cuda().eval()
+    words = [tokenizer.convert_tokens_to_ids(w) for w in ("no", "yes")]
+
+    def score(queries: list[str], docs: list[str]) -> list[float]:
+        prompts = [f"<Instruct>: {task}\n<Query>: {q}\n<Document>: {d}" for q, d in zip(queries, docs, strict=True)]
+        with torch.inference_mode():
+            given = tokenizer(prompts, padding=True, truncation=True, max_length=max_length, return_tensors="pt").to("cuda")
+            last = model(**given).logits[:, -1, words].float()
+        return torch.softmax(last, dim=-1)[:, 1].tolist()
+
+    return score
+
+
+def scorer_for(name: str, folder: str, task: str = "", batch: int = 24) -> ModelScorer:
+    """Causal rerankers by their name, sequence classifiers otherwise."""
+    if "reranker" in name.lower() and "qwen" in name.lower():
+        return ModelScorer(lambda where: yes_no_reranker(where, task), folder, batch)
+    return ModelScorer(cross_encoder, folder, batch)
+
+
 def encoder(folder: str, max_length: int = 512) -> Callable[[list[str]], list[list[float]]]:
     """Unit vectors by the mean over the tokens that the attention mask leaves."""
     import torch

@@ -65,3 +65,9 @@ def write_predictions(ranking: DataFrame, path: str) -> None:
 
 def input_order(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("input_ord", F.row_number().over(Window.orderBy(key)))
+
+
+def settled(df: DataFrame, path: str) -> DataFrame:
+    """Written as Parquet and read back, so that plans over it do not carry how it was made."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
