@@ -126,7 +126,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, outside: bool) ->
                 rows.append((a, b, n, 100 * n >= percent * (len(own) + len(other) - n), rest))
             yield pd.DataFrame(rows, columns=["a", "b", "common", "linked", "outside"])
 
-    done = store.materialise(joined.mapInPandas(verify, _VERIFIED), "dup-verified", records=256)
+    done = store.materialise(joined.mapInPandas(verify, _VERIFIED), "dup-verified", records=64)
     for used in (pairs, involved, texts):
         store.drop(used)
     return done
@@ -171,7 +171,7 @@ def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
 def classes_and_links(docs: DataFrame, k: int = K, common: int = COMMON, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketched rows, classes of equal sets with their smallest doc_id as ``node``, and (node, label)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = store.materialise(source.mapInPandas(_sketcher(k), _SKETCHED), "dup-sketches", records=2000)
+    rows = store.materialise(source.mapInPandas(_sketcher(k), _SKETCHED), "dup-sketches", records=500)
     able = rows.where("n > 0 and doc_id is not null")
     smallest = store.materialise(able.groupBy("signature").agg(F.min("doc_id").alias("node")), "dup-classes")
     chosen = smallest.select(F.col("signature").alias("own"), "node")

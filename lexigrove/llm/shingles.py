@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-_CACHE = 200_000
+_CACHE = 100_000
 _known: dict[bytes, int] = {}
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SIGN = np.uint64(1 << 63)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers at most before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 #: Documents of a file.
 ROWS = 8192
 

@@ -155,7 +155,7 @@ class Index:
         key = tuple(sorted(counts.items()))
         if key in self.known:
             return self.known[key]
-        if len(self.known) > 20_000:
+        if len(self.known) > 2_000:
             self.known.clear()
         self.known[key] = self._score(counts)
         return self.known[key]
@@ -195,11 +195,15 @@ def held_out(doc_id: Column) -> Column:
 
 def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tally: dict[str, list[int]] = {}
+    rows = lambda: pd.DataFrame([(t, a, b) for t, (a, b) in tally.items()], columns=["term", "clean", "toxic"])
     for batch in batches:
         for text, label in zip(batch["text"], batch["toxic"], strict=True):
             for t in terms_of(text):
                 tally.setdefault(t, [0, 0])[int(label)] += 1
-    yield pd.DataFrame([(t, a, b) for t, (a, b) in tally.items()], columns=["term", "clean", "toxic"])
+            if len(tally) > 50_000:  # Spark adds up the parts
+                yield rows()
+                tally = {}
+    yield rows()
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int = TERMS) -> tuple[Vocabulary, Index]:
@@ -218,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: i
     # At most 2 * per_class rows, so sending them to every executor is bounded.
     picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int"))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
-    sample = store.materialise(sample, "toxic-examples")
+    sample = store.materialise(sample.repartition(16), "toxic-examples")
     found = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = found.get(0, 0), found.get(1, 0)
     tally = sample.select("text", "toxic").mapInPandas(_tally, "term string, clean long, toxic long")
@@ -262,4 +266,5 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     scored = source.mapInPandas(scores, "doc_id long, held_out boolean, score double, evidence array<long>")
+    scored = store.materialise(scored, "toxic-scores", records=500)
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
