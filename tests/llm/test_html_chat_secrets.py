@@ -41,6 +41,23 @@ def test_articles_that_repeat_stay(spark):
     assert {r.text for r in html.main_text(pages(spark, ("http://h/1", same), ("http://h/2", same + " "))).collect()} == {"one two three four five six seven"}
 
 
+def test_only_long_repeats_go(spark):
+    phrase = "as we said in the last report"
+    licence = " ".join(f"clause{k}" for k in range(40))
+    body = lambda k: f"<h2>Introduction</h2><p>first words {k}</p><p>Yes.</p><p>{phrase} and more words {k}</p><p>{licence} own{k}</p>"
+    rows = [(f"http://h.com/{k}", f"<body>{body(k)}</body>") for k in range(4)]
+    got = {r.page_id: r.text for r in html.main_text(pages(spark, *rows)).collect()}
+    assert got == {k: f"Introduction first words {k} Yes. {phrase} and more words {k} own{k}" for k in range(4)}
+    mirrors = [(f"http://m.com/{k}", f"<body><nav>menu {k}</nav><main><p>{licence}</p></main></body>") for k in range(2)]
+    assert {r.text for r in html.main_text(pages(spark, *mirrors)).collect()} == {licence}
+    # A block on few of a host's pages is text, on half of them it is a notice.
+    notice = "some words that stand on two of eight pages"
+    few = [(f"http://f.com/{k}", f"<body><p>page {k}</p>{f'<p>{notice}</p>' * (k < 2)}</body>") for k in range(8)]
+    half = [(u.replace("f.com", "g.com"), f"<body><p>page {k}</p>{f'<p>{notice}</p>' * (k < 4)}</body>") for k, (u, _) in enumerate(few)]
+    got = [r.text for r in html.main_text(pages(spark, *few, *half)).orderBy("page_id").collect()]
+    assert got == [f"page {k} {notice}" if k < 2 else f"page {k}" for k in range(8)] + [f"page {k}" for k in range(8)]
+
+
 def test_preferences(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "q"), (1, 0, "user", "hi"), (1, 1, "assistant", "bb"), (2, 0, None, None), (2, 0, "user", "x"), (None, 0, "user", "x"), (5, 0, "user", "z"), (5, 0, "user", "z")]
     frame = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, n int")
