@@ -3,9 +3,10 @@
 The fixed patterns give base spans of three kinds. Their matched credentials are labelled examples,
 from which a probabilistic automaton is inferred for each kind: a prefix tree of the examples' character
 classes, whose states are merged where their outgoing frequencies are statistically compatible
-(Hoeffding bound, states in breadth-first order, merges folded into a deterministic automaton). Every other
-long run of credential characters is then scored by the likelihood of its format, and what looks
-like an example more than like prose is added as a span of kind ``inferred``.
+(Hoeffding bound, states in breadth-first order, merges folded into a deterministic automaton). What
+is left of every long run of credential characters outside base spans is then scored by the likelihood of its
+format, as a whole and in the pieces between its separators (a name or a path can stand before a
+credential), and what looks like an example more than like prose is added as a span of kind ``inferred``.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ KINDS = ("assign", "access", "hex", "inferred")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+PIECE = re.compile(r"[^=/._+-]+")
 #: What every ``assign`` match contains, in lower case.
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
@@ -59,19 +61,28 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
-    """(start, run) of the long runs of credential characters that touch no base span."""
+    """(start, run) of what the base spans leave of the long runs of credential characters, if long enough itself."""
     out = []
     k = 0
-    by_end = sorted((s, e) for s, _, e, _ in base)
+    covered: list[list[int]] = []
+    for s, _, e, _ in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
     for m in RUN.finditer(text):
-        run = m[0].rstrip(".=-_/")
-        start = m.start() + len(run) - len(run := run.lstrip(".=-_/"))
-        if len(run) < LEAST["assign"]:
-            continue
-        while k < len(by_end) and by_end[k][1] <= start:
+        while k < len(covered) and covered[k][1] <= m.start():
             k += 1
-        if not any(s < start + len(run) and start < e for s, e in by_end[k:]):
-            out.append((start, run))
+        left, at, j = [], m.start(), k
+        while j < len(covered) and covered[j][0] < m.end():
+            left.append((at, covered[j][0]))
+            at = covered[j][1]
+            j += 1
+        for s, e in [*left, (at, m.end())]:
+            run = text[s:e].rstrip(".=-_/") if s < e else ""
+            start = s + len(run) - len(run := run.lstrip(".=-_/"))
+            if len(run) >= LEAST["assign"]:
+                out.append((start, run))
     return out
 
 
@@ -191,10 +202,16 @@ class Formats:
         self.automata = {kind: a for kind, a in made.items() if a}
         self.background = Background(Counter(w.translate(_TO_CLASS) for w in prose))
         self.known: dict[str, float] = {}
+        self.found: dict[str, list[tuple[int, int]]] = {}
+        #: Joined pieces are credentials of a learned format up to this length.
+        self.longest = max((len(e) for words in examples.values() for e in words), default=0)
 
-    def margin(self, run: str) -> float:
-        """By how much the run's format is likelier under the best automaton than as prose; -inf if below all floors."""
-        word = run.translate(_TO_CLASS)
+    def margin(self, run: str, classes: bool = False) -> float:
+        """By how much the run's format is likelier under the best automaton than as prose; -inf if below all floors.
+
+        ``classes``: ``run`` is its class string already.
+        """
+        word = run if classes else run.translate(_TO_CLASS)
         if word not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
@@ -203,6 +220,32 @@ class Formats:
             self.known[word] = max(good) - self.background.score(word) if good else -math.inf
         return self.known[word]
 
+    def spans(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) in ``run`` of what is likelier as a credential than as prose, apart from each other.
+
+        The run as a whole, every piece between separators, and neighbouring pieces joined up to the
+        longest example compete by the logarithm of their likelihood ratio; the best come first.
+        """
+        word = run.translate(_TO_CLASS)
+        if word not in self.found:
+            if len(self.found) > 50_000:
+                self.found.clear()
+            pieces = [m.span() for m in PIECE.finditer(word)]
+            parts = {(0, len(word))}
+            for i, (s, e) in enumerate(pieces):
+                parts.add((s, e))
+                for _, e in pieces[i + 1 :]:
+                    if e - s > self.longest:
+                        break
+                    parts.add((s, e))
+            scored = [((e - s + 1) * m, s, e) for s, e in parts if e - s >= LEAST["assign"] and (m := self.margin(word[s:e], True)) > 0]
+            best: list[tuple[int, int]] = []
+            for _, s, e in sorted(scored, key=lambda x: (-x[0], x[1], x[2])):
+                if all(e <= a or b <= s for a, b in best):
+                    best.append((s, e))
+            self.found[word] = sorted(best)
+        return self.found[word]
+
 
 _SCANNED = "doc_id long, base array<struct<start:long,kind:int,end:long>>, values array<string>, starts array<long>, runs array<string>, word string"
 
@@ -245,7 +288,7 @@ def find(docs: DataFrame, examples: int = EXAMPLES, prose: int = PROSE) -> DataF
                 spans = [(b["start"], b["kind"], b["end"]) for b in base]
                 own = Counter(k for _, k, _ in spans)
                 show = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
-                more = [(int(s), 3, int(s) + len(r)) for s, r in zip(starts, runs, strict=True) if formats.margin(r) > 0]
+                more = [(int(s) + a, 3, int(s) + b) for s, r in zip(starts, runs, strict=True) for a, b in formats.spans(r)]
                 rows.append((doc_id, own[0], own[1], own[2], len(more), hashlib.sha256(show(spans).encode()).hexdigest(), show(spans + more)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_inferred", "base_sha256", "spans"]).astype({"doc_id": "Int64"})
 

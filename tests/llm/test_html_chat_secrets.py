@@ -108,3 +108,17 @@ def test_candidates_touch_no_base_span():
     found = secrets.base_spans(text)
     assert all(text[s : s + len(r)] == r and re.fullmatch(r"[A-Za-z0-9+/_.=-]{12,}", r) for s, r in secrets.candidates(text, found))
     assert [r for _, r in secrets.candidates(text, found)] == ["other_run-of.chars", "q" * 12]
+
+
+def test_credentials_behind_names_and_beside_base_spans(spark):
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+    fresh = [key() for _ in range(5)]
+    lines = [f"client_key={fresh[0]}", f"see vault/{fresh[1]} now", f"label.{fresh[2]}", f"two {fresh[3]}/{fresh[4]}", "an ordinary day"]
+    frame = spark.createDataFrame(list(enumerate(lines + [f"prose words secret: {key()} follow" for _ in range(400)])), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.find(frame).where("doc_id < 5").collect()}
+    for k, names in enumerate([fresh[:1], fresh[1:2], fresh[2:3], fresh[3:], []]):
+        want = [f"inferred:{lines[k].index(n)}:{lines[k].index(n) + len(n)}" for n in names]
+        assert got[k].spans.split(",") == (want or [""]) and got[k].n_inferred == len(want)
+    text = f"{fresh[0]}_0123456789abcdef-{fresh[1]}"
+    assert secrets.candidates(text, [(25, 2, 41, "0123456789abcdef")]) == [(0, fresh[0]), (42, fresh[1])]
