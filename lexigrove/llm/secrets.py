@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,14 +39,33 @@ _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 #: Labelled credentials that are learned from, a kind. They are those of the smallest hashes among all.
 EXAMPLES = 500
-#: Words of prose that the background is learned from.
-PROSE = 5000
 #: Confidence parameter of the compatibility test.
 ALPHA = 0.05
 
 _CLASS = {**{c: "d" for c in "0123456789"}, **{c: "h" for c in "abcdef"}, **{c: "l" for c in "ghijklmnopqrstuvwxyz"}, **{c: "H" for c in "ABCDEF"}, **{c: "U" for c in "GHIJKLMNOPQRSTUVWXYZ"}}
 _TO_CLASS = str.maketrans(_CLASS)
 END = "$"
+#: The background's symbols: the ends of words, the classes, the separators, and one for all other characters.
+SYMBOLS = END + "dhlHU+/_.=-" + "o"
+#: Symbol of every code point up to the last white space; higher ones are like the last entry.
+_SYMBOL = np.array([0 if chr(c).isspace() else SYMBOLS.index(_CLASS.get(chr(c), chr(c))) if c < 128 and (chr(c) in _CLASS or chr(c) in "+/_.=-") else len(SYMBOLS) - 1 for c in range(0x3002)], np.int64)
+
+
+def symbol_pairs(text: str, base: list[tuple[int, int, int, str]], step: int = 1 << 20) -> np.ndarray:
+    """Counts of neighbouring symbols in all words outside base spans; entry a * len(SYMBOLS) + b is a before b."""
+    n = len(SYMBOLS)
+    total = np.zeros(n * n, np.int64)
+    before = 0
+    for at in range(0, len(text), step):
+        points = np.frombuffer(text[at : at + step].encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = _SYMBOL[np.minimum(points, len(_SYMBOL) - 1)]
+        for s, _, e, _ in base:
+            codes[max(0, s - at) : max(0, e - at)] = 0
+        total += np.bincount(np.concatenate(([before], codes[:-1])) * n + codes, minlength=n * n)
+        before = int(codes[-1])
+    total[before * n] += 1
+    total[0] = 0
+    return total
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -179,28 +199,34 @@ def infer(words: Counter, alpha: float = ALPHA) -> Automaton | None:
 class Background:
     """Class bigrams of prose, every bigram possible."""
 
-    def __init__(self, words: Counter):
-        pairs: Counter = Counter()
-        for w, n in words.items():
-            for a, b in zip(END + w, w + END, strict=True):
-                pairs[a, b] += n
+    def __init__(self, pairs: Counter):
         firsts: Counter = Counter()
         for (a, _), n in pairs.items():
             firsts[a] += n
         self.pairs, self.firsts = dict(pairs), dict(firsts)
 
+    @classmethod
+    def of(cls, words: list[str]) -> Background:
+        return cls.counted(sum((symbol_pairs(w, []) for w in words), np.zeros(len(SYMBOLS) ** 2, np.int64)))
+
+    @classmethod
+    def counted(cls, counts: np.ndarray) -> Background:
+        n = len(SYMBOLS)
+        return cls(Counter({(SYMBOLS[k // n], SYMBOLS[k % n]): int(c) for k, c in enumerate(counts) if c}))
+
     def score(self, word: str) -> float:
-        logs = [math.log((self.pairs.get((a, b), 0) + 0.5) / (self.firsts.get(a, 0) + 6.0)) for a, b in zip(END + word, word + END, strict=True)]
+        logs = [math.log((self.pairs.get((a, b), 0) + 0.5) / (self.firsts.get(a, 0) + 0.5 * len(SYMBOLS))) for a, b in zip(END + word, word + END, strict=True)]
         return sum(logs) / len(logs)
 
 
 class Formats:
     """The automata of the kinds against the background of prose."""
 
-    def __init__(self, examples: dict[str, list[str]], prose: list[str]):
+    def __init__(self, examples: dict[str, list[str]], prose: list[str] | np.ndarray):
+        """``prose``: words, or their counts of ``symbol_pairs``."""
         made = {kind: infer(Counter(e.translate(_TO_CLASS) for e in words)) for kind, words in examples.items()}
         self.automata = {kind: a for kind, a in made.items() if a}
-        self.background = Background(Counter(w.translate(_TO_CLASS) for w in prose))
+        self.background = Background.counted(prose) if isinstance(prose, np.ndarray) else Background.of(prose)
         self.known: dict[str, float] = {}
         self.found: dict[str, list[tuple[int, int]]] = {}
         #: Joined pieces are credentials of a learned format up to this length.
@@ -247,28 +273,32 @@ class Formats:
         return self.found[word]
 
 
-_SCANNED = "doc_id long, base array<struct<start:long,kind:int,end:long>>, values array<string>, starts array<long>, runs array<string>, word string"
+_SCANNED = "doc_id long, base array<struct<start:long,kind:int,end:long>>, values array<string>, starts array<long>, runs array<string>, pairs array<long>"
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
+        pairs = np.zeros(len(SYMBOLS) ** 2, np.int64)
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             text = text or ""
             base = base_spans(text)
             runs = candidates(text, base)
-            word = next((w for w in text.split() if w.isalpha() and w.isascii() and len(w) > 2), "")
-            rows.append((doc_id, [{"start": s, "kind": k, "end": e} for s, k, e, _ in base], [f"{KINDS[k]}:{v}" for _, k, _, v in base], [s for s, _ in runs], [r for _, r in runs], word))
-        yield pd.DataFrame(rows, columns=["doc_id", "base", "values", "starts", "runs", "word"]).astype({"doc_id": "Int64"})
+            if text:
+                pairs += symbol_pairs(text, base)
+            rows.append([doc_id, [{"start": s, "kind": k, "end": e} for s, k, e, _ in base], [f"{KINDS[k]}:{v}" for _, k, _, v in base], [s for s, _ in runs], [r for _, r in runs], None])
+        if rows:
+            rows[-1][-1] = pairs.tolist()  # the batch's counts travel with one of its rows
+        yield pd.DataFrame(rows, columns=["doc_id", "base", "values", "starts", "runs", "pairs"]).astype({"doc_id": "Int64"})
 
 
-def find(docs: DataFrame, examples: int = EXAMPLES, prose: int = PROSE) -> DataFrame:
+def find(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """Secrets of every document: (doc_id, n_assign, n_access, n_hex, n_inferred, base_sha256, spans).
 
     ``docs``: doc_id and text; more columns are ignored. Null and empty texts have no spans, and the
     hash of the empty string. Rows of the same doc_id each get a result. Spans are kind:start:end in
     code points, end exclusive, by start and then by kind. Without any base match nothing is learned
-    and nothing added.
+    and nothing added. The background of prose is counted over all words of all texts outside base spans.
     """
     scanned = store.materialise(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_scan, _SCANNED), "secrets-scan"
@@ -278,8 +308,10 @@ def find(docs: DataFrame, examples: int = EXAMPLES, prose: int = PROSE) -> DataF
     for kind in KINDS[:3]:
         some = labelled.where(F.col("v").startswith(kind + ":")).orderBy(F.xxhash64("v"), "v").limit(examples).collect()
         learned[kind] = [r.v[len(kind) + 1 :] for r in some]
-    words = scanned.where("word <> ''").select("word").distinct().orderBy(F.xxhash64("word"), "word").limit(prose).collect()
-    formats = Formats(learned, [r.word for r in words])
+    pairs = np.zeros(len(SYMBOLS) ** 2, np.int64)
+    for r in scanned.where("pairs is not null").select(F.posexplode("pairs").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        pairs[r.k] = r.n
+    formats = Formats(learned, pairs)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

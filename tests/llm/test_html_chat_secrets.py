@@ -122,3 +122,17 @@ def test_credentials_behind_names_and_beside_base_spans(spark):
         assert got[k].spans.split(",") == (want or [""]) and got[k].n_inferred == len(want)
     text = f"{fresh[0]}_0123456789abcdef-{fresh[1]}"
     assert secrets.candidates(text, [(25, 2, 41, "0123456789abcdef")]) == [(0, fresh[0]), (42, fresh[1])]
+
+
+def test_background_counts_all_words(spark, monkeypatch):
+    text = "Eine été 2024-01-31 a/b token=abcdefghijklmnop zz"
+    own = secrets.base_spans(text)
+    left = text.replace("token=abcdefghijklmnop", " ").split()
+    want = secrets.Background.of(left)
+    assert secrets.Background.counted(secrets.symbol_pairs(text, own)).pairs == want.pairs == secrets.Background.counted(secrets.symbol_pairs(text, own, 3)).pairs
+    assert want.pairs["$", "d"] == 1 and want.pairs["d", "-"] == 2 and want.pairs["h", "/"] == 1 and want.pairs["$", "o"] == 1 and ("$", "$") not in want.pairs
+    seen = []
+    made = secrets.Formats
+    monkeypatch.setattr(secrets, "Formats", lambda learned, prose: seen.append(prose) or made(learned, prose))
+    secrets.find(spark.createDataFrame([(k, text) for k in range(7000)] + [(7000, None), (7001, "")], "doc_id long, text string"))
+    assert (seen[0] == 7000 * secrets.symbol_pairs(text, own)).all()
