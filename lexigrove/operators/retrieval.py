@@ -7,10 +7,14 @@ before these are cut down to the terms that a query has.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..llm import store
+
 
 def postings(texts: DataFrame, key: str, terms: Column) -> DataFrame:
     """(id, term, tf) from a column of term arrays."""
@@ -97,6 +101,52 @@ def complete(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFram
     return pairs.join(scores, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def places(docs: DataFrame) -> DataFrame:
+    """(doc_id, place): the documents' places from 0 in the order of their ids, without a sort in one task."""
+    sorted_ids = docs.select("doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("at", F.monotonically_increasing_id())
+    # Written, because the ranges are sampled and could differ when they are computed again.
+    ids = store.materialise(sorted_ids, "places").withColumn("part", F.shiftright("at", 33))
+    sizes = ids.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    # One row a partition.
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    return ids.join(F.broadcast(starts), "part").select("doc_id", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
+def ranks_of_all(legs: dict[str, DataFrame], queries: DataFrame, docs: DataFrame, least: int, digits: int = 9) -> DataFrame:
+    """(query_id, doc_id, one column of ranks a leg): ranks as if every leg held every pair, with score 0 where it has none.
+
+    No product is formed. The rows are the pairs that a leg has, and of each query the ``least``
+    documents of the smallest ids that no leg has; of those without a score in any leg no other can
+    come before these in a fusion of the ranks. ``doc_id`` is unique in ``docs``.
+    """
+    where = places(docs)
+    rows = [s.select("query_id", "doc_id", F.lit(name).alias("leg"), F.round("score", digits).alias("r")) for name, s in legs.items()]
+    scored = reduce(DataFrame.unionByName, rows).groupBy("query_id", "doc_id").agg(*[F.max(F.when(F.col("leg") == name, F.col("r"))).alias(name) for name in legs])
+    found = scored.join(where, "doc_id")
+    # A found document with fewer than j + 1 unfound ones before it pushes the unfound one of index j one place on.
+    by_place = Window.partitionBy("query_id").orderBy("place")
+    gaps = found.select("query_id", (F.col("place") - F.row_number().over(by_place) + 1).alias("gap")).where(F.col("gap") < least).groupBy("query_id", "gap").agg(F.count(F.lit(1)).alias("n"))
+    gaps = gaps.groupBy("query_id").agg(F.collect_list(F.struct("gap", "n")).alias("gaps"))
+    none = F.array().cast("array<struct<gap:bigint,n:bigint>>")
+    unfound = queries.select("query_id").distinct().join(gaps, "query_id", "left").select("query_id", F.coalesce("gaps", none).alias("gaps"), F.explode(F.sequence(F.lit(0), F.lit(least - 1))).alias("j"))
+    pushed = F.aggregate("gaps", F.lit(0).cast("long"), lambda s, g: s + F.when(g["gap"] <= F.col("j"), g["n"]).otherwise(0))
+    unfound = unfound.select("query_id", (F.col("j") + pushed).alias("place")).join(where, "place").select("query_id", "doc_id", "place", *[F.lit(None).cast("double").alias(name) for name in legs])
+    pairs = found.unionByName(unfound).crossJoin(F.broadcast(corpus_size(docs)))
+    before, whole = by_place.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("query_id")
+    for name in legs:
+        r = F.col(name)
+        own = F.row_number().over(whole.orderBy(r.desc_nulls_last(), "place"))
+        count = lambda c, w: F.coalesce(F.sum(F.when(c, 1).otherwise(0)).over(w), F.lit(0))
+        rank = (
+            F.when(r > 0, own)
+            .when(r == 0, own + F.col("place") - count(r.isNotNull(), before))
+            .when(r < 0, own + F.col("n") - count(r.isNotNull(), whole))
+            .otherwise(count(r > 0, whole) + F.col("place") + 1 - count(r != 0, before))
+        )
+        pairs = pairs.withColumn(f"rank {name}", rank.cast("long"))
+    return pairs.select("query_id", "doc_id", *[F.col(f"rank {name}").alias(name) for name in legs])
+
+
 def ranked(scores: DataFrame, by: str = "query_id", tie: str = "doc_id", digits: int = 9) -> DataFrame:
     """``rank`` from 1 within each query: score (rounded, so that sums in another order agree) down, then ``tie``."""
     order = Window.partitionBy(by).orderBy(F.round("score", digits).desc(), F.col(tie))

@@ -24,8 +24,6 @@ class Config:
     constraint_weight: float = 0.0
     ce_field: str = "fine_text"
     top_k: int = 10
-    #: Largest catalogue for which every pair is ranked, the pairs without a common term included.
-    full_catalogue: int = 100_000
 
 
 LEXICAL = Config()
@@ -47,15 +45,17 @@ def legs(queries: DataFrame, docs: DataFrame, names: list[str], text: str = "coa
 def stage1(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, dense: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): weighted reciprocal rank fusion of the legs.
 
-    Up to ``full_catalogue`` documents every pair has a rank in every leg; beyond, only pairs that
-    share a term have.
+    Every pair has a rank in every leg, the pairs without a common term included. Rows are pairs with a
+    common term and, of each query, the ``n_candidates`` documents of the smallest ids without one, so
+    that ranks up to ``n_candidates`` are those among all pairs. With ``dense``, which has every pair, all are rows.
     """
-    full = docs.limit(config.full_catalogue + 1).count() <= config.full_catalogue
-    fill = (lambda s: retrieval.complete(s, queries, docs)) if full else (lambda s: s)
     scored = legs(queries, docs, [n for n, w in config.weights.items() if w])
-    fused = fusion.rrf([(retrieval.ranked(fill(s)), config.weights[name]) for name, s in scored.items()])
     if dense is not None:
+        fused = fusion.rrf([(retrieval.ranked(retrieval.complete(s, queries, docs)), config.weights[name]) for name, s in scored.items()])
         fused = fusion.rrf([(retrieval.ranked(fused), 1.0), (retrieval.ranked(dense), config.dense_weight)])
+    else:
+        ranks = retrieval.ranks_of_all(scored, queries, docs, config.n_candidates)
+        fused = fusion.rrf([(ranks.select("query_id", "doc_id", F.col(name).alias("rank")), config.weights[name]) for name in scored])
     return retrieval.ranked(fused, digits=15)
 
 
