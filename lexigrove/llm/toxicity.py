@@ -31,8 +31,6 @@ from . import store
 
 #: Examples of each label that are kept at most.
 PER_CLASS = 3000
-#: Terms that are kept at most.
-TERMS = 1024
 #: Neighbours that vote.
 NEIGHBOURS = 15
 #: Examples in a block of the index.
@@ -206,8 +204,11 @@ def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield rows()
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int = TERMS) -> tuple[Vocabulary, Index]:
-    """Vocabulary and index from the labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Vocabulary, Index]:
+    """Vocabulary and index from the labelled documents that are not held out.
+
+    Every term that passes the chi-squared and count tests is kept; the bound on examples bounds them.
+    """
     spark = docs.sparkSession
     own = (
         labels.where("toxic is not null and doc_id is not null")
@@ -230,8 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: i
     summed = tally.groupBy("term").agg(a.cast("double").alias("a"), b.cast("double").alias("b")).where("a + b >= 3")
     total = float(max(1, n0 + n1))
     chi = total * F.pow(F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a")), 2) / (max(1, n1) * max(1, n0) * (F.col("a") + F.col("b")) * F.greatest(F.lit(0.5), total - F.col("a") - F.col("b")))
-    keep = min(terms, max(16, 4 * min(n0, n1)))
-    ranked = summed.withColumn("chi", chi).where("chi > 10").orderBy(F.desc("chi"), "term").limit(keep).select("term")
+    ranked = summed.withColumn("chi", chi).where("chi > 10").orderBy(F.desc("chi"), "term").select("term")
     vocabulary = Vocabulary([r.term for r in ranked.collect()])
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,7 +255,7 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """
     spark = docs.sparkSession
     vocabulary, index = fit(docs, labels, **options)
-    # Bounded by the numbers of examples and terms: about 25 MB.
+    # Bounded by the number of examples and their terms.
     sent = spark.sparkContext.broadcast(cloudpickle.dumps((vocabulary, index)))
 
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -266,3 +266,13 @@ def test_memo_forgets(monkeypatch):
         ids, lengths = memo.encode(pa.array(texts))
         want = [e.ids for e in memo.tokenizer.encode_batch(texts, add_special_tokens=False)]
         assert ids.tolist() == sum(want, []) and lengths.tolist() == [len(x) for x in want]
+
+
+def test_toxicity_keeps_every_term_that_passes(spark):
+    letters = "abcdefghijklmnopqrst"
+    bad = [f"{a}{b}{a}{b}x" for a in letters[:10] for b in letters[10:]]
+    rows = [(k, " ".join(bad) if k % 4 == 0 else f"calm{k} quiet words", int(k % 4 == 0)) for k in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    vocabulary, _ = toxicity.fit(frame.drop("toxic"), frame.drop("text"))
+    assert len(vocabulary.terms) > 4 * 20
+    assert all(any(w in t for t in vocabulary.terms) for w in bad)
