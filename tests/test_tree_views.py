@@ -42,6 +42,13 @@ def test_ancestors_skip_closed_branches(spark):
     assert found[8] == [1, 2, 3, 7] and found[9] == [1, 2]
 
 
+def test_levels_have_no_limit(spark):
+    rows = spark.createDataFrame([("f", 1, k, k) for k in range(40)] + [("f", 1, 40, 30)], "file string, section int, line_no int, depth int")
+    found = {r.line_no: r.ancestors for r in tree.linked(rows).collect()}
+    assert all(found[k] == list(range(k)) for k in range(40)) and found[40] == list(range(30))
+    assert tree.linked(rows.limit(0)).count() == 0
+
+
 def test_first_code_wins(spark):
     found = {r.code: r for r in tree.by_code(nodes(spark)).collect()}
     assert found["2710194800"].line_no == 8 and found["2710194800"].label == "прочие"
