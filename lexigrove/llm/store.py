@@ -6,19 +6,25 @@ checkpointed frame does not.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_OPEN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """The session's ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lexigrove-")
@@ -26,13 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used; deleted with the innermost open ``scratch``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if getattr(_OPEN, "paths", None):
+        _OPEN.paths[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str, records: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a frame over the files.
 
-    ``records``: most rows of a batch that goes to Python tasks, where rows are long.
+    ``records``: most rows of a batch that goes to Python tasks, where rows are long; it is the session's
+    setting while the table is written.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
@@ -43,18 +54,34 @@ def materialise(df: DataFrame, label: str, records: int | None = None) -> DataFr
             spark.conf.set(key, str(records))
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(key, before)
+        if records:
+            spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, so what is returned must be written by ``kept``."""
+    if not hasattr(_OPEN, "paths"):
+        _OPEN.paths = []
+    _OPEN.paths.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.paths.pop():
+            drop_path(spark, path)
+
+
+def kept(df: DataFrame, label: str, records: int | None = None) -> DataFrame:
+    """``materialise`` for the result of a ``scratch``: the table belongs to the scratch around it, if any."""
+    own = _OPEN.paths.pop()
+    try:
+        return materialise(df, label, records)
+    finally:
+        _OPEN.paths.append(own)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a written table once nothing lazy reads it any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files under a frame that ``materialise`` returned."""
-    files = df.inputFiles()
-    if files:
-        drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
