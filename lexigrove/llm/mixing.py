@@ -9,13 +9,16 @@ at each meeting, so a source misses its target by less than one document.
 
 The meetings form a reduction tree. Documents are dealt into small random groups within their
 source; a fold over each group decides all but one of its members, and only the undecided go to the
-next level. A source that holds a third of all rows is just more groups.
+next level. A source that holds a third of all rows is just more groups. Rows of equal doc_id, source
+and text are one entry with a count from the start: among them mass moves until all but one are integral,
+which takes no draw, so no number of equal rows makes a large group.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 from pyspark.sql.window import Window
 
 from . import store
@@ -31,7 +34,10 @@ MOST = 2.0
 FAN_IN = 64
 SEED = 20
 
-_ROW = "struct<doc_id:bigint,twin:bigint,size:bigint,whole:bigint,source_size:bigint,target:double,p:double>"
+#: Equal rows or copies that one task writes for an entry at a time.
+CHUNK = 1024
+
+_ROW = "struct<doc_id:bigint,twin:bigint,size:bigint,n:bigint,whole:bigint,more:bigint,source_size:bigint,target:double,p:double>"
 _OUT = f"array<{_ROW}>"
 
 
@@ -125,26 +131,35 @@ def _fold(level: DataFrame, depth: int) -> DataFrame:
     return grouped.select("name", F.explode(folded).alias("row"))
 
 
-def copies(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, fan_in: int = FAN_IN) -> DataFrame:
-    """The mix: (doc_id, twin, size, source_size, target, copies, taken) for each row of ``docs``.
+def _twin(doc_id: Column, source: Column, text: Column) -> Column:
+    """A hash by which rows of one doc_id are told apart."""
+    return F.xxhash64(doc_id.cast("long"), source.cast("string"), text.cast("string"))
+
+
+def entries(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, fan_in: int = FAN_IN) -> DataFrame:
+    """(doc_id, twin, size, n, whole, extra, source_size, target): the mix of ``n`` equal rows.
 
-    ``docs`` needs doc_id, source and text; more columns are allowed. ``twin`` is a hash of the whole
-    row, so that rows of one doc_id can be told apart; rows equal in every column stay rows of their
-    own. Null or blank texts have size 0 and are not taken. An empty table gives an empty result.
+    Each of them is taken ``whole`` times, and ``extra`` of them once more.
     """
     rows = store.materialise(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("twin"), word_count(docs["text"]).alias("size")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _twin(docs["doc_id"], docs["source"], docs["text"]).alias("twin"), word_count(docs["text"]).alias("size"))
+        .groupBy("doc_id", "source", "twin", "size")
+        .agg(F.count(F.lit(1)).alias("n")),
         "mix-sizes",
     )
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights).select(_name(F.col("source")).alias("name"), "source_size", "target")
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    goal = targets(sizes, share, most, weights).select(_name(F.col("source")).alias("name"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    snapped = lambda x: F.when(F.abs(x - F.round(x)) < 1e-12 * F.greatest(F.lit(1.0), x), F.round(x)).otherwise(x)
     rated = (
         rows.withColumn("name", _name(F.col("source")))
         .join(goal, "name")
-        .withColumn("rate", F.when(F.abs(rate - F.round(rate)) < 1e-12, F.round(rate)).otherwise(rate))
+        .withColumn("rate", snapped(rate))
         .withColumn("whole", F.floor("rate").cast("long"))
-        .withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("whole")).otherwise(0.0))
-        .select("name", F.struct("doc_id", "twin", "size", "whole", "source_size", "target", "p").cast(_ROW).alias("row"))
+        .withColumn("left", F.when(F.col("size") > 0, snapped((F.col("rate") - F.col("whole")) * F.col("n"))).otherwise(0.0))
+        .withColumn("more", F.floor("left").cast("long"))
+        .withColumn("p", F.col("left") - F.col("more"))
+        .select("name", F.struct("doc_id", "twin", "size", "n", "whole", "more", "source_size", "target", "p").cast(_ROW).alias("row"))
     )
     level = store.materialise(rated, "mix-level")
     parts, depth = [], 0
@@ -165,16 +180,71 @@ def copies(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: t
     decided = parts[0]
     for part in parts[1:]:
         decided = decided.unionByName(part)
-    taken = F.col("row")["whole"] + F.col("row")["p"].cast("long")
-    return decided.select("row.doc_id", "row.twin", "row.size", "row.source_size", "row.target", taken.alias("copies"), (taken * F.col("row")["size"]).alias("taken"))
+    return decided.select("row.doc_id", "row.twin", "row.size", "row.n", "row.whole", (F.col("row.more") + F.col("row.p").cast("long")).alias("extra"), "row.source_size", "row.target")
+
+
+def _chunks(n: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / CHUNK).cast("long"))
+
+
+def _of_chunk(n: Column) -> Column:
+    """The numbers from 0 below ``n`` that belong to the chunk of the row."""
+    first = F.col("chunk") * CHUNK
+    return F.sequence(first, F.least(first + CHUNK, n) - 1)
+
+
+def copies(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, fan_in: int = FAN_IN) -> DataFrame:
+    """The mix: (doc_id, twin, size, source_size, target, copies, taken) for each row of ``docs``.
+
+    ``docs`` needs doc_id, source and text; more columns are ignored. ``twin`` is a hash of the three,
+    so that rows of one doc_id can be told apart; rows equal in them stay rows of their own, of which as many are
+    taken once more as belongs to them together. Null or blank texts have size 0 and are not taken; texts of any length
+    are counted whole. A null source is a source. An empty table gives an empty result.
+    """
+    with store.scratch(docs.sparkSession):
+        found = store.kept(entries(docs, share, most, weights, fan_in), "mix-entries")
+    single = found.where("n = 1").withColumn("k", F.lit(0).cast("long"))
+    # A chunk is a row of its own before it is dealt out, so that many equal rows are not written by one task.
+    several = found.where("n > 1").withColumn("chunk", F.explode(_chunks(F.col("n")))).repartition("doc_id", "twin", "chunk")
+    each = single.unionByName(several.withColumn("k", F.explode(_of_chunk(F.col("n")))).drop("chunk"))
+    taken = F.col("whole") + F.when(F.col("k") < F.col("extra"), 1).otherwise(0)
+    return each.select("doc_id", "twin", "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, in the columns of ``docs``."""
-    twin = F.xxhash64(*[docs[c] for c in docs.columns])
-    chosen = copies(docs, **options).groupBy("doc_id", "twin").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("mix_doc"), F.col("twin").alias("mix_twin"), F.col("copies").alias("mix_copies"))
-    kept = docs.withColumn("mix_own", twin)
-    joined = kept.join(chosen, kept["doc_id"].cast("long").eqNullSafe(chosen["mix_doc"]) & (kept["mix_own"] == chosen["mix_twin"]))
-    once = joined.dropDuplicates(["mix_doc", "mix_twin"])
-    return once.withColumn("mix_time", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as the mix takes it, in the columns of ``docs``, whatever their names and types.
+
+    Of rows that agree in doc_id, source and text but not in other columns one stands for all. Null, blank
+    and other odd values as in ``copies``.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: F.col(names[docs.columns.index(c)]) for c in ("doc_id", "source", "text")}
+    key = F.coalesce(at["doc_id"].cast("long"), F.lit(0).cast("long"))
+    plain = docs.toDF(*names)
+    kept = plain.withColumn("twin", _twin(at["doc_id"], at["source"], at["text"])).withColumn("key", key)
+    order = F.xxhash64(*[c for c, f in zip(names, docs.schema.fields, strict=True) if not _holds_map(f.dataType)])
+    with store.scratch(docs.sparkSession):
+        total = F.col("n") * F.col("whole") + F.col("extra")
+        chosen = entries(docs, **options).select("twin", F.coalesce("doc_id", F.lit(0).cast("long")).alias("key"), "n", total.alias("copies"))
+        chosen = store.kept(chosen.where("copies > 0"), "mix-chosen")
+
+    def rows(some: DataFrame) -> DataFrame:
+        met = kept.join(some, ["twin", "key"])
+        one = F.min_by(F.struct(*names), F.when(F.col("n") > 1, order).otherwise(0))
+        return met.groupBy("twin", "key").agg(one.alias("row"), F.first("copies").alias("copies"))
+
+    few = rows(chosen.where(F.col("copies") <= CHUNK)).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("k"))
+    if chosen.where(F.col("copies") > CHUNK).isEmpty():
+        return few.select("row.*").toDF(*docs.columns)
+    many = rows(chosen.where(F.col("copies") > CHUNK)).withColumn("chunk", F.explode(_chunks(F.col("copies")))).repartition("twin", "key", "chunk")
+    out = few.unionByName(many.select("row", F.explode(_of_chunk(F.col("copies"))).alias("k")))
+    return out.select("row.*").toDF(*docs.columns)
+
+
+def _holds_map(kind: DataType) -> bool:
+    """Whether values of a type cannot be hashed."""
+    if isinstance(kind, ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (MapType, VariantType))
