@@ -9,6 +9,7 @@ place) of the blocks, within files first and then over the files' totals.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,34 +28,37 @@ EOD = 49407
 
 
 def write_flat(docs: DataFrame, folder: str, tokenizer: str, eod: int = EOD, width: int = 2) -> DataFrame:
-    """Flat files of the documents' ids, each document followed by ``eod``: (part, name, n_ids, doc_ids).
+    """Flat files of the documents' ids, each document followed by ``eod``: (part, name, n_ids, k, doc_ids).
 
-    A part is a partition of ``docs`` as it is read, so that nothing is shuffled; a null text is empty.
-    ``doc_ids`` is the writer's own note of what it wrote; the files hold ids alone.
+    A part is a partition of ``docs`` as it is read, so that nothing is shuffled; a null text is empty. A
+    file is written batch by batch, and every batch has a row: its ids, the file's documents before it and
+    ``doc_ids``, the writer's own note of what it wrote; the files hold ids alone. An id that ``width`` bytes
+    cannot hold is an error.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = tokens.pieces(tokenizer, literal=True)
-        part, data, doc_ids = None, [], []
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                some = batch.slice(start, 2048)
-                ids, _ = tokens.ended(*memo.encode(some.column("text")), eod)
-                data.append(ids.astype(f"<u{width}").tobytes())
-                doc_ids += some.column("doc_id").to_pylist()
-                part = some.column("part")[0].as_py()
-        if part is None:
-            return
-        flat = b"".join(data)
-        tokens.write_file(folder, name := f"part-{part:06d}.tokens", flat)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([name]), pa.array([len(flat) // width], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64()))],
-            names=["part", "name", "n_ids", "doc_ids"],
-        )
+        with contextlib.ExitStack() as files:
+            f, k = None, 0
+            for batch in batches:
+                for some in tokens.slices(batch, 2048):
+                    ids, _ = tokens.ended(*memo.encode(some.column("text")), eod)
+                    if int(ids.max()) >> (8 * width):
+                        raise ValueError(f"an id does not fit {width} bytes")
+                    part = some.column("part")[0].as_py()
+                    name = f"part-{part:06d}.tokens"
+                    f = f or files.enter_context(tokens.writing(folder, name))
+                    f.write(ids.astype(f"<u{width}").tobytes())
+                    row = {"part": part, "name": name, "n_ids": len(ids), "k": k, "doc_ids": some.column("doc_id").to_pylist()}
+                    yield pa.RecordBatch.from_pylist([row], schema=_NOTED)
+                    k += some.num_rows
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     placed = source.withColumn("part", F.spark_partition_id())
-    return store.materialise(placed.mapInArrow(encode, "part int, name string, n_ids long, doc_ids array<long>"), "flat-manifest", records=2048)
+    return store.materialise(placed.mapInArrow(encode, "part int, name string, n_ids long, k long, doc_ids array<long>"), "flat-manifest", records=2048)
+
+
+_NOTED = pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_ids", pa.int64()), ("k", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
 
 
 def scan(files: DataFrame, folder: str, eod: int = EOD, width: int = 2, block: int = BLOCK) -> DataFrame:
@@ -97,13 +101,18 @@ def scan(files: DataFrame, folder: str, eod: int = EOD, width: int = 2, block: i
     return closed.unionByName(open_)
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None, eod: int = EOD) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str | None = None, eod: int = EOD, width: int = 2) -> DataFrame:
     """(doc_id, doc_no, start, n_tokens): the documents' token counts as the scan of flat files finds them.
 
-    ``docs``: doc_id, text; more columns are ignored. Null and empty texts count 0. Rows of one doc_id
-    are documents of their own, by text. An empty table gives an empty result.
+    ``docs``: doc_id, text; more columns are ignored. Null and empty texts count 0; long texts are taken
+    whole. Rows of one doc_id, equal ones too, are documents of their own. An empty table gives an empty
+    result. The files go once they have been counted.
     """
-    folder = store.new_path(docs.sparkSession, "flat-files")
-    files = write_flat(docs, folder, tokenizer or tokens.default_tokenizer(), eod)
-    noted = files.select("part", F.posexplode("doc_ids").alias("k", "doc_id")).withColumn("k", F.col("k").cast("long"))
-    return scan(files.select("part", "name", "n_ids"), folder, eod).join(noted, ["part", "k"]).select("doc_id", "doc_no", "start", "n_tokens")
+    with store.scratch(docs.sparkSession):
+        folder = store.new_path(docs.sparkSession, "flat-files")
+        written = write_flat(docs, folder, tokenizer or tokens.default_tokenizer(), eod, width)
+        files = store.materialise(written.groupBy("part", "name").agg(F.sum("n_ids").alias("n_ids")), "flat-files-sizes")
+        noted = written.select("part", F.col("k").alias("k0"), F.posexplode("doc_ids").alias("at", "doc_id")).select("part", (F.col("k0") + F.col("at")).alias("k"), "doc_id")
+        # A row a document on both sides: shuffled, never broadcast.
+        counted = scan(files, folder, eod, width).hint("merge").join(noted.hint("merge"), ["part", "k"])
+        return store.kept(counted.select("doc_id", "doc_no", "start", "n_tokens"), "token-counts")

@@ -7,10 +7,12 @@ tokenized once a worker, and ids are gathered by number. The memo outlives a tas
 
 from __future__ import annotations
 
+import contextlib
 import os
 import sys
 import types
 import uuid
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers at most before it starts anew.
 REMEMBERED = 250_000
-#: Documents of a file.
+#: Documents of a part of the corpus.
 ROWS = 8192
+#: Bytes of text that are tokenized at once, if it is more than one document.
+TEXT_BYTES = 16 << 20
 
 
 def default_tokenizer() -> str:
@@ -121,6 +125,17 @@ def pieces(path: str, literal: bool = False) -> Pieces:
     return found[1]
 
 
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``rows`` documents and about ``TEXT_BYTES`` of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(size, (size[at - 1] if at else 0) + TEXT_BYTES, "right"))
+        stop = min(max(stop, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def ended(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same ids with ``end`` after each document."""
     out = np.full(len(ids) + len(lengths), end, np.uint32)
@@ -132,16 +147,22 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, name: str, data: bytes) -> None:
-    """A whole file, put in place by a rename, so that a task that runs twice leaves one."""
+@contextlib.contextmanager
+def writing(uri: str, name: str) -> Iterator[Any]:
+    """A stream for a file that is put in place by a rename at the end, so that a task that runs twice leaves one."""
     system, folder = open_folder(uri)
     system.create_dir(folder, recursive=True)
     aside = f"{folder}/.{name}-{uuid.uuid4().hex}"
     with system.open_output_stream(aside) as f:
-        f.write(data)
+        yield f
     system.move(aside, f"{folder}/{name}")
 
 
+def write_file(uri: str, name: str, data: bytes) -> None:
+    with writing(uri, name) as f:
+        f.write(data)
+
+
 def read_range(uri: str, name: str, start: int = 0, length: int | None = None) -> bytes:
     system, folder = open_folder(uri)
     with system.open_input_file(f"{folder}/{name}") as f:
@@ -150,7 +171,13 @@ def read_range(uri: str, name: str, start: int = 0, length: int | None = None) -
 
 
 def in_order(docs: DataFrame, rows: int = ROWS) -> DataFrame:
-    """(doc_id, text) in partitions of about ``rows`` documents by ascending doc_id, null first."""
+    """(doc_id, text) in partitions of about ``rows`` documents by ascending doc_id, null first.
+
+    Rows of one doc_id are ordered by a hash of their text and then the text, so that an id that a
+    third of the rows share is not one partition.
+    """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = max(1, -(-source.count() // rows))
-    return source.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    placed = source.withColumn("spread", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("spread"), F.col("text")]
+    return placed.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).drop("spread")
