@@ -1,8 +1,9 @@
 """Lexical and dense scores of query-document pairs from postings.
 
-Postings are rows (id, term, tf). Scores come from an equi-join on the term of a small side, the
-queries, with the documents' postings; document norms and lengths are aggregates of the postings, taken
-before these are cut down to the terms that a query has.
+Postings are rows (id, term, tf), dealt out by id: texts are shuffled once, as they are, and everything that
+is counted by document stays where it is. Scores take two passes over the documents' postings. The first
+counts documents by term into a written table. The second weighs the postings, takes each document's norm or
+length and keeps of its terms those that a query has; these meet the queries' terms.
 """
 
 from __future__ import annotations
@@ -13,12 +14,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..llm import store
+from .. import store
+
+#: Most terms, of the vocabulary or of all queries, that are broadcast (some tens of bytes each); more are joined by shuffle.
+SENT_TERMS = 1_000_000
 
 
 def postings(texts: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(id, term, tf) from a column of term arrays."""
-    return texts.select(F.col(key).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf) from a column of term arrays, partitioned by id.
+
+    The short texts are shuffled instead of their many terms, whose counts then need no shuffle.
+    """
+    dealt = texts.repartition(F.col(key))
+    return dealt.select(F.col(key).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def counted(rows: DataFrame, key: str) -> DataFrame:
+    """(id, term, tf) from rows (key, term)."""
+    return rows.groupBy(F.col(key).alias("id"), "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table of terms, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= SENT_TERMS else df
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -35,8 +53,17 @@ def idf(docs: DataFrame, size: DataFrame) -> DataFrame:
     return document_frequency(docs).crossJoin(F.broadcast(size)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def _weighted(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    return rows.join(weights.select("term", "idf"), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+def _asked(queries: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The queries' postings with the weights of their terms, and all weights with whether a query has the term, written."""
+    asked = queries.select("term").distinct().withColumn("asked", F.lit(True))
+    weights = store.materialise(weights.join(asked, "term", "left").withColumn("asked", F.col("asked").isNotNull()), "term-weights")
+    return store.materialise(queries.join(_sent(weights.where("asked").drop("asked")), "term"), "query-terms"), weights
+
+
+def _met(found: DataFrame, q: DataFrame, part: Column) -> DataFrame:
+    """(query_id, doc_id, score): the sum of ``part`` over the terms that a document of ``found`` (doc_id, met, …) shares with a query."""
+    rows = found.where(F.size("met") > 0).select("*", F.explode("met").alias("m")).drop("met").select("*", "m.*").drop("m")
+    return rows.join(_sent(q), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def tfidf_scores(queries: DataFrame, docs: DataFrame, size: DataFrame) -> DataFrame:
@@ -44,15 +71,14 @@ def tfidf_scores(queries: DataFrame, docs: DataFrame, size: DataFrame) -> DataFr
 
     A query's norm is over the terms that the documents have.
     """
-    weights = idf(docs, size)
-    d = _weighted(docs, weights)
-    d_norm = d.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
-    q = _weighted(queries, weights)
-    q_norm = q.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
-    dot = q.select(F.col("id").alias("query_id"), "term", F.col("w").alias("wq")).join(d.select(F.col("id").alias("doc_id"), "term", F.col("w").alias("wd")), "term")
-    dot = dot.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
-    dot = dot.join(q_norm.withColumnRenamed("id", "query_id"), "query_id").join(d_norm.withColumnRenamed("id", "doc_id"), "doc_id")
-    return dot.select("query_id", "doc_id", (F.col("dot") / (F.col("q_norm") * F.col("d_norm"))).alias("score"))
+    q, weights = _asked(queries, idf(docs, size).select("term", "idf"))
+    w = (1 + F.log("tf")) * F.col("idf")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
+    q = q.withColumn("w", w)
+    q = q.join(q.groupBy("id").agg(norm.alias("q_norm")), "id").select("term", F.col("id").alias("query_id"), (F.col("w") / F.col("q_norm")).alias("wq"))
+    d = docs.join(_sent(weights), "term").withColumn("w", w)
+    found = d.groupBy(F.col("id").alias("doc_id")).agg(norm.alias("d_norm"), F.collect_list(F.when(F.col("asked"), F.struct("term", F.col("w").alias("wd")))).alias("met"))
+    return _met(found, store.materialise(q, "query-terms"), F.col("wq") * F.col("wd") / F.col("d_norm"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, size: DataFrame, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
@@ -62,15 +88,16 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, size: DataFrame, k1: float
     often as they occur. ``size``: one row n, all documents, those without terms included.
     """
     n = F.col("n")
-    raw = document_frequency(docs).crossJoin(F.broadcast(size)).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    weights = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    length = docs.groupBy("id").agg(F.sum("tf").alias("dl"))
-    average = length.agg(F.sum("dl").alias("tokens")).crossJoin(size).select((F.col("tokens") / n).alias("avgdl"))
-    q = queries.select(F.col("id").alias("query_id"), "term", F.col("tf").alias("qtf")).join(weights, "term")
-    hit = q.join(docs.withColumnRenamed("id", "doc_id"), "term").join(length.withColumnRenamed("id", "doc_id"), "doc_id").crossJoin(F.broadcast(average))
+    counted = store.materialise(docs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("times")), "term-counts")
+    raw = counted.crossJoin(F.broadcast(size)).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean"), (F.sum("times") / F.first("n")).alias("avgdl"))  # one row
+    weights = raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    q, weights = _asked(queries, weights)
+    q = q.select("term", F.col("id").alias("query_id"), F.col("tf").alias("qtf"), "idf", "avgdl")
+    d = docs.join(_sent(weights.where("asked").select("term", "asked")), "term", "left")
+    found = d.groupBy(F.col("id").alias("doc_id")).agg(F.sum("tf").alias("dl"), F.collect_list(F.when(F.col("asked"), F.struct("term", "tf"))).alias("met"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return _met(found, q, part)
 
 
 def unit_vector(v: Column) -> Column:
