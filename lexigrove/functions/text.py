@@ -43,7 +43,7 @@ def drop_stopwords(tokens: Column) -> Column:
 
 
 def tokenise(text: Column, stopwords: bool = True) -> Column:
-    """Tokens whose lemma is themselves: exact for text without Cyrillic; see ``lemmatise``."""
+    """Tokens whose lemma is themselves: exact for text without Cyrillic; see ``lemma_rows``."""
     return drop_stopwords(raw_tokens(text)) if stopwords else raw_tokens(text)
 
 
@@ -58,6 +58,13 @@ def lemmatise(tokens: DataFrame, lemmas: DataFrame, token: str = "token") -> Dat
     return joined.withColumn(token, F.coalesce("lemma", token)).drop("_token", "lemma")
 
 
+def lemma_rows(texts: DataFrame, key: str, text: str, lemmas: DataFrame) -> DataFrame:
+    """(key, term): the lemmas of every text's tokens, a row a token, without stop words and single characters."""
+    rows = texts.select(key, F.explode(raw_tokens(F.col(text))).alias("term"))
+    found = lemmatise(rows, lemmas, "term")
+    return found.where((F.length("term") > 1) & ~F.col("term").isin(*STOPWORDS))
+
+
 def numbers(text: Column) -> Column:
     """Every number of the text that no word character, comma or point precedes, comma decimals included."""
     found = F.regexp_extract_all(normalise(text), F.lit(r"(?<![\p{L}\p{N}_,.])(\d+(?:[.,]\d+)?)"), F.lit(1))
@@ -104,5 +111,25 @@ def passage(text: Column, model: str, query: bool) -> Column:
     return F.concat(F.lit("query: " if query else "passage: "), text) if "e5" in model.lower() else text
 
 
+#: The chat template around a causal reranker's question, as its model was trained on.
+PROMPT_BEGIN = (
+    "<|im_start|>system\nJudge whether the Document meets the requirements based on the Query and the Instruct provided. "
+    'Note that the answer can only be "yes" or "no".<|im_end|>\n<|im_start|>user\n'
+)
+PROMPT_END = "<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"
+TASK = (
+    "Given a customs goods declaration, judge whether the candidate TN VED tariff code is the correct classification for it. "
+    "Pay attention to numeric thresholds, negations, condition (new/used) and material composition."
+)
+PROMPT_BODY = "<Instruct>: %s\n<Query>: %s\n<Document>: %s"
+
+
 def rerank_prompt(task: Column, query: Column, document: Column) -> Column:
-    return F.format_string("<Instruct>: %s\n<Query>: %s\n<Document>: %s", task, query, document)
+    """The question about a pair, inside the chat template."""
+    body = F.format_string(PROMPT_BODY, task, query, document)
+    return F.concat(F.lit(PROMPT_BEGIN), body, F.lit(PROMPT_END))
+
+
+def yes_probability(no: Column, yes: Column) -> Column:
+    """Softmax over two logits: the weight of the second."""
+    return 1.0 / (1.0 + F.exp(no - yes))

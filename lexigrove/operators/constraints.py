@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.quantities import COMPARED, QUANTITY, comparisons, contains, family, intervals, matches, quantities
-from ..functions.text import normalise
+from ..functions.text import lemmatise, normalise
 
 
 def _matched(texts: DataFrame, key: str, text: str, pattern: str, groups: int) -> DataFrame:
-    """(key, g1.., marked): step by step, so that no regular expression is evaluated inside a lambda."""
+    """(key, before, g1..): step by step, so that no regular expression is evaluated inside a lambda."""
     norm = texts.select(key, normalise(F.col(text)).alias("norm"))
     return norm.select(key, *[c.alias(n) for n, c in matches(F.col("norm"), pattern, groups).items()])
 
 
 def _parts(groups: int) -> dict[str, Column]:
-    return {n: F.col(n) for n in [*(f"g{g}" for g in range(1, groups + 1)), "marked"]}
+    return {n: F.col(n) for n in ["before", *(f"g{g}" for g in range(1, groups + 1))]}
 
 
 def comparison_rows(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,6 +43,15 @@ def quantity_rows(texts: DataFrame, key: str = "query_id", text: str = "text") -
     return rows.select("query_id", "pos", "q.*").withColumn("family", family(F.col("unit")))
 
 
+def lemmatised(rows: DataFrame, key: str, lemmas: DataFrame | None) -> DataFrame:
+    """Interval or quantity rows with the lemmas of their subject's words, by ``lemmas`` (token, lemma); see ``lemmatise``."""
+    if lemmas is None:
+        return rows
+    words = lemmatise(rows.select(key, "pos", F.explode("subject").alias("token")), lemmas)
+    found = words.groupBy(key, "pos").agg(F.collect_set("token").alias("found"))
+    return rows.join(found, [key, "pos"], "left").withColumn("subject", F.coalesce("found", F.array().cast("array<string>"))).drop("found")
+
+
 def signal(pairs: DataFrame, found_intervals: DataFrame, found_quantities: DataFrame) -> DataFrame:
     """``pairs`` (query_id, doc_id, …) with ``signal``.
 

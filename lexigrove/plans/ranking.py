@@ -7,16 +7,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_grams, tokenise
+from .. import store
+from ..functions.text import char_grams, lemma_rows, tokenise
 from ..operators import fusion, retrieval
-from ..operators.constraints import interval_rows, quantity_rows, signal
-from ..operators.scorers import Scorer
+from ..operators.constraints import interval_rows, lemmatised, quantity_rows, signal
+from ..operators.scorers import Device, Scorer
 
 
 @dataclass(frozen=True)
 class Config:
-    """Knobs of a run. ``weights`` names the legs of stage 1: char, word, bm25."""
+    """Knobs of a run. ``weights`` names the legs of stage 1: char, word, bm25. Models are named as the lock file has them."""
 
+    name: str = "lexical"
     weights: dict[str, float] = field(default_factory=lambda: {"char": 3.0, "word": 1.0})
     n_candidates: int = 16
     ce_weight: float = 1.0
@@ -24,32 +26,42 @@ class Config:
     constraint_weight: float = 0.0
     ce_field: str = "fine_text"
     top_k: int = 10
+    cross_encoder: str | None = None
+    bi_encoder: str | None = None
+    batch_ce: int = 16
+    batch_bi: int = 32
+    max_len_ce: int = 256
+    max_len_bi: int = 192
+    device: Device = Device()
 
 
 LEXICAL = Config()
-CPU = Config(n_candidates=12, ce_weight=1.0, constraint_weight=0.02)
-GPU = Config(n_candidates=32, ce_weight=2.0, constraint_weight=0.05)
+CPU = Config("cpu", n_candidates=12, ce_weight=1.0, constraint_weight=0.02, cross_encoder="BAAI/bge-reranker-v2-m3", batch_ce=24, max_len_ce=192, device=Device(int8=True))
+GPU = Config("gpu", n_candidates=32, ce_weight=2.0, constraint_weight=0.05, cross_encoder="Qwen/Qwen3-Reranker-4B", batch_ce=8, max_len_ce=512, device=Device(gpu=True, half=True))
 
 
-def legs(queries: DataFrame, docs: DataFrame, names: list[str], text: str = "coarse_text") -> dict[str, DataFrame]:
-    """Scores by leg; ``queries``: (query_id, text), ``docs``: (doc_id, coarse_text)."""
+def legs(queries: DataFrame, docs: DataFrame, names: list[str], text: str = "coarse_text", lemmas: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Scores by leg; ``queries``: (query_id, text), ``docs``: (doc_id, coarse_text); ``lemmas``: (token, lemma) for the legs of words."""
     size = retrieval.corpus_size(docs)
     found = {}
     for name in names:
-        terms = char_grams if name == "char" else tokenise
-        d, q = retrieval.postings(docs, "doc_id", terms(F.col(text))), retrieval.postings(queries, "query_id", terms(F.col("text")))
+        if name == "char" or lemmas is None:
+            terms = char_grams if name == "char" else tokenise
+            d, q = retrieval.postings(docs, "doc_id", terms(F.col(text))), retrieval.postings(queries, "query_id", terms(F.col("text")))
+        else:
+            d, q = (retrieval.counted(lemma_rows(side, key, column, lemmas), key) for side, key, column in ((docs, "doc_id", text), (queries, "query_id", "text")))
         found[name] = (retrieval.bm25_scores if name == "bm25" else retrieval.tfidf_scores)(q, d, size)
     return found
 
 
-def stage1(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, dense: DataFrame | None = None) -> DataFrame:
+def stage1(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, dense: DataFrame | None = None, lemmas: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): weighted reciprocal rank fusion of the legs.
 
     Every pair has a rank in every leg, the pairs without a common term included. Rows are pairs with a
     common term and, of each query, the ``n_candidates`` documents of the smallest ids without one, so
     that ranks up to ``n_candidates`` are those among all pairs. With ``dense``, which has every pair, all are rows.
     """
-    scored = legs(queries, docs, [n for n, w in config.weights.items() if w])
+    scored = legs(queries, docs, [n for n, w in config.weights.items() if w], lemmas=lemmas)
     if dense is not None:
         fused = fusion.rrf([(retrieval.ranked(retrieval.complete(s, queries, docs)), config.weights[name]) for name, s in scored.items()])
         fused = fusion.rrf([(retrieval.ranked(fused), 1.0), (retrieval.ranked(dense), config.dense_weight)])
@@ -59,20 +71,26 @@ def stage1(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, dense:
     return retrieval.ranked(fused, digits=15)
 
 
-def rank(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, scorer: Scorer | None = None, dense: DataFrame | None = None) -> DataFrame:
+def rank(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, scorer: Scorer | None = None, dense: DataFrame | None = None, lemmas: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score): the final ranking.
 
     ``queries``: (query_id, text); ``docs``: (doc_id, coarse_text, fine_text, disc_text). The scorer
-    sees only the candidates, which are cached so that it runs once for each pair.
+    sees only the candidates, which are written, as its scores are, so that it runs once for each pair.
+    ``lemmas``: (token, lemma), for the legs of words and the subjects of quantities.
     """
-    candidates = stage1(queries, docs, config, dense).where(F.col("rank") <= config.n_candidates).select("query_id", "doc_id", (F.col("rank") - 1).alias("cand_pos")).cache()
-    scored = None
-    if scorer is not None:
-        pairs = candidates.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id").join(docs.select("doc_id", F.col(config.ce_field).alias("doc_text")), "doc_id")
-        scored = scorer.score(pairs).cache()
-    final = fusion.rerank(candidates, scored, config.ce_weight)
-    if config.constraint_weight:
-        adjusted = signal(final, interval_rows(docs, "doc_id", "disc_text"), quantity_rows(queries, "query_id", "text"))
-        final = adjusted.withColumn("score", F.col("score") + config.constraint_weight * F.col("signal"))
-    best = fusion.top_stable(final, config.top_k)
-    return fusion.clamp(best).select("query_id", "rank", "doc_id", "score")
+    spark = queries.sparkSession
+    with store.scratch(spark):
+        found = stage1(queries, docs, config, dense, lemmas).where(F.col("rank") <= config.n_candidates)
+        candidates = store.materialise(found.select("query_id", "doc_id", (F.col("rank") - 1).alias("cand_pos")), "candidates")
+        scored = None
+        if scorer is not None:
+            pairs = candidates.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id").join(docs.select("doc_id", F.col(config.ce_field).alias("doc_text")), "doc_id")
+            scored = store.materialise(scorer.score(pairs), "candidate-scores")
+        final = fusion.rerank(candidates, scored, config.ce_weight)
+        if config.constraint_weight:
+            near = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+            intervals, quantities = interval_rows(near, "doc_id", "disc_text"), quantity_rows(queries, "query_id", "text")
+            adjusted = signal(final, lemmatised(intervals, "doc_id", lemmas), lemmatised(quantities, "query_id", lemmas))
+            final = adjusted.withColumn("score", F.col("score") + config.constraint_weight * F.col("signal"))
+        best = fusion.top_stable(final, config.top_k)
+        return store.kept(fusion.clamp(best).select("query_id", "rank", "doc_id", "score"), "ranking")

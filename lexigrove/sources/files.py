@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import declaration_text, strip
 from ..operators.tree import lines
@@ -34,10 +33,16 @@ def regulations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def declarations(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with the text of each declaration; ``input_ord`` is the place in the file."""
+    """JSON lines with the text of each declaration; ``input_ord`` is the place in the input.
+
+    It orders by file, then by the split that a task read, then by the row in it, so that it holds over several files
+    and splits, in whatever order these are dealt to tasks.
+    """
     raw = spark.read.schema(DECLARATIONS).json(path)
-    clean = raw.select("declaration_id", strip(F.col("G31_1")).alias("g31"), strip(F.col("desc_extention")).alias("ext"), strip(F.col("G011")).alias("direction"), strip(F.col("G34")).alias("country"))
-    return clean.withColumn("text", declaration_text(F.col("g31"), F.col("ext"))).withColumn("input_ord", F.monotonically_increasing_id())
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    raw = raw.select("*", place.alias("input_ord"))
+    clean = raw.select("declaration_id", strip(F.col("G31_1")).alias("g31"), strip(F.col("desc_extention")).alias("ext"), strip(F.col("G011")).alias("direction"), strip(F.col("G34")).alias("country"), "input_ord")
+    return clean.withColumn("text", declaration_text(F.col("g31"), F.col("ext")))
 
 
 def dump(spark: SparkSession, path: str) -> DataFrame:
@@ -63,11 +68,7 @@ def write_predictions(ranking: DataFrame, path: str) -> None:
     ordered.drop("input_ord").write.mode("overwrite").option("header", True).csv(path)
 
 
-def input_order(rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumn("input_ord", F.row_number().over(Window.orderBy(key)))
-
-
-def settled(df: DataFrame, path: str) -> DataFrame:
-    """Written as Parquet and read back, so that plans over it do not carry how it was made."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def lemmas(spark: SparkSession, path: str) -> DataFrame:
+    """(token, lemma) from a CSV with a header; of several lemmas of a token the smallest counts."""
+    rows = spark.read.option("header", True).schema("token string, lemma string").csv(path)
+    return rows.where("token is not null and lemma is not null").groupBy("token").agg(F.min("lemma").alias("lemma"))
