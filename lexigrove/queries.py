@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as tx
+from .functions.quantities import COMPARED
 from .operators import constraints, evaluate, fusion, retrieval, tree, views
 from .operators.scorers import TableScorer
 
@@ -48,10 +49,10 @@ def _tf(side: str, key: str, name: str, terms: str) -> str:
     return f"{name} AS (SELECT id, term, count(*) AS tf FROM (SELECT {key} AS id, unnest({terms.format(t='text')}) AS term FROM {side}) GROUP BY 1, 2)"
 
 
-def _tfidf_sql(leg: str, terms: str) -> str:
+def _tfidf_sql(leg: str, terms: str, queries: str = "benchmark") -> str:
     """CTEs ending in ``leg`` (query_id, doc_id, score)."""
     return f"""
-{_tf("documents", "doc_id", f"{leg}_d", terms)}, {_tf("benchmark", "item_id", f"{leg}_q", terms)},
+{_tf("documents", "doc_id", f"{leg}_d", terms)}, {_tf(queries, "item_id", f"{leg}_q", terms)},
 {leg}_idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM {leg}_d GROUP BY 1),
 {leg}_dw AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM {leg}_d JOIN {leg}_idf USING (term)),
 {leg}_qw AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM {leg}_q JOIN {leg}_idf USING (term)),
@@ -73,6 +74,12 @@ def _rank_sql(leg: str, name: str) -> str:
     return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {leg})"
 
 
+def _rank_all_sql(leg: str, name: str) -> str:
+    """Ranks of all pairs, those without a common term included."""
+    pairs = "(SELECT item_id AS query_id, doc_id FROM benchmark, documents)"
+    return f"{name} AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(score, 0), 9) DESC, doc_id) AS rank FROM {pairs} LEFT JOIN {leg} USING (query_id, doc_id))"
+
+
 def _top_sql(ctes: str, leg: str) -> str:
     return f"WITH {ctes}, {_rank_sql(leg, 'ranks')} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ranks WHERE rank <= 10"
 
@@ -133,12 +140,16 @@ def _fused_sql(legs: list[tuple[str, float]]) -> str:
     return f"fused AS (SELECT query_id, doc_id, sum(part) AS score FROM ({union}) GROUP BY 1, 2)"
 
 
-_ALL_LEGS = f"{_tfidf_sql('word', _TOKENS)}, {_tfidf_sql('chars', _GRAMS)}, {_BM25_SQL}, {_rank_sql('word', 'r_word')}, {_rank_sql('chars', 'r_chars')}, {_rank_sql('bm25', 'r_bm25')}"
-_TWO_LEGS = f"{_tfidf_sql('word', _TOKENS)}, {_tfidf_sql('chars', _GRAMS)}, {_rank_sql('word', 'r_word')}, {_rank_sql('chars', 'r_chars')}"
+_ALL_LEGS = f"{_tfidf_sql('word', _TOKENS)}, {_tfidf_sql('chars', _GRAMS)}, {_BM25_SQL}, {_rank_all_sql('word', 'r_word')}, {_rank_all_sql('chars', 'r_chars')}, {_rank_all_sql('bm25', 'r_bm25')}"
+_TWO_LEGS = f"{_tfidf_sql('word', _TOKENS)}, {_tfidf_sql('chars', _GRAMS)}, {_rank_all_sql('word', 'r_word')}, {_rank_all_sql('chars', 'r_chars')}"
 
 
 def _fused(spark: SparkSession, sf_dir: str, weights: dict[str, float]) -> DataFrame:
-    return fusion.rrf([(retrieval.ranked(_leg(spark, sf_dir, name)), w) for name, w in weights.items()])
+    """The legs' ranks of all pairs, fused; of the pairs without a common term those that can come among the ten best."""
+    queries, docs = _sides(spark, sf_dir)
+    legs = {name: _leg(spark, sf_dir, name) for name in weights}
+    ranks = retrieval.ranks_of_all(legs, queries.select(F.col("item_id").alias("query_id")), docs.select("doc_id"), 10)
+    return fusion.rrf([(ranks.select("query_id", "doc_id", F.col(name).alias("rank")), w) for name, w in weights.items()])
 
 
 @query(_top_sql(f"{_ALL_LEGS}, {_fused_sql([('chars', 1.0), ('word', 1.0), ('bm25', 1.0)])}", "fused"))
@@ -196,13 +207,13 @@ def normalised_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(q.e, d.e) AS score FROM v q, v d WHERE q.vec_id % 50 = 0) "
+    "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(q.e, d.e) AS score FROM v q, v d WHERE q.vec_id % 20 = 0) "
     "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10"
 )
 def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 50th vector is the stated block of queries, against all rows."""
+    """Every vector whose id 20 divides is the stated block of queries, against all rows."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return _top10(retrieval.dense_scores(rows.where(F.col("id") % 50 == 0), rows))
+    return _top10(retrieval.dense_scores(rows.where(F.col("id") % 20 == 0), rows))
 
 
 # --- intervals, quantities, constraint signals ----------------------------------------------------
@@ -214,7 +225,7 @@ def _part_text() -> Column:
     return F.concat(F.lit("более "), F.col("p_size").cast("string"), F.lit(" мм, но не более "), (F.col("p_size") + 10).cast("string"), F.lit(" мм; не менее "), F.round("p_retailprice").cast("long").cast("string"), F.lit(" кг"))
 
 
-_CMP = "(не более|не менее|не превышает|более|менее|свыше|выше|ниже|от|до)\\s*(\\d+(?:[.,]\\d+)?)\\s*([а-яё0-9./%]*)"
+_CMP = COMPARED
 _CMP_SQL = f"""WITH t AS (SELECT p_partkey, {_PART_TEXT.replace('p_retailprice::BIGINT', 'round(p_retailprice)::BIGINT')} AS text FROM part),
 m AS (SELECT p_partkey, unnest(regexp_extract_all(text, '{_CMP}', 1)) AS word, unnest(regexp_extract_all(text, '{_CMP}', 2))::DOUBLE AS value, unnest(regexp_extract_all(text, '{_CMP}', 3)) AS raw, unnest(range(len(regexp_extract_all(text, '{_CMP}', 1)))) AS pos FROM t)"""
 
@@ -250,11 +261,11 @@ def quantity_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT o_orderkey AS query_id, p_partkey AS doc_id, CASE WHEN o_orderkey % 60 > p_size AND o_orderkey % 60 <= p_size + 10 AND floor(o_totalprice / 100) + 0.5 >= round(p_retailprice) THEN 1.0 ELSE -1.0 END AS signal "
-    "FROM orders JOIN part ON o_custkey = p_partkey"
+    "FROM orders JOIN part ON o_orderkey % 200 = p_partkey"
 )
 def constraint_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("изделие "), (F.col("o_orderkey") % 60).cast("string"), F.lit(" мм, масса "), F.floor(F.col("o_totalprice") / 100).cast("string"), F.lit(",5 кг"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").alias("doc_id"), text.alias("text"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 200).alias("doc_id"), text.alias("text"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _part_text().alias("text"))
     pairs = orders.select("query_id", "doc_id").join(parts.select("doc_id"), "doc_id")
     return constraints.signal(pairs, constraints.interval_rows(parts), constraints.quantity_rows(orders)).select("query_id", "doc_id", "signal")
