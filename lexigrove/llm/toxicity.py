@@ -2,11 +2,12 @@
 
 The examples are a bounded sample of labelled documents (at most ``per_class`` of each label, those of
 the smallest hashes of their ids). From them come the terms, words and the letter n-grams inside words that
-tell the labels apart by a chi-squared score, their idf, and an inverted index over unit TF-IDF
+tell the labels apart: those whose chi-squared score none of the tested terms would reach by chance, but for
+odds of ``CHANCE``. They have an idf and an inverted index over the examples' unit TF-IDF
 vectors. Examples are dealt into blocks and every term keeps its largest weight in each block. For a
-text, the terms' block maxima bound the cosine of every example of a block, blocks are visited by
-falling bound, and the search ends when no bound exceeds the k-th best cosine found: the k nearest
-are exact. They vote with the square of their cosine; an isotonic fit of leave-one-out votes on the
+text, the terms' block maxima bound the cosine of every example of a block. Its two best blocks are evaluated
+first; then those whose bound reaches the k-th best cosine found, and no others: the k nearest
+are exact. Texts of a batch that visit the same block are evaluated together. The nearest vote with the square of their cosine; an isotonic fit of leave-one-out votes on the
 examples, weighted back to the labels' true shares, turns votes into probabilities.
 
 Every text is scored whole, by its words alone.
@@ -19,6 +20,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import ahocorasick
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from .. import store
 
 #: Examples of each label that are kept at most.
 PER_CLASS = 3000
@@ -35,6 +37,10 @@ PER_CLASS = 3000
 NEIGHBOURS = 15
 #: Examples in a block of the index.
 BLOCK = 64
+#: Odds that any of the tested terms passes by chance, and examples that a tested term is in at least.
+CHANCE, LEAST = 0.01, 3
+#: Texts that are searched together.
+BATCH = 128
 #: Weight of the share of toxic labels among the votes.
 PRIOR_WEIGHT = 0.3
 
@@ -100,12 +106,13 @@ class Index:
         #: Weights by term, block and example in the block; each term's largest weight in each block.
         self.weights = weights.reshape(n_terms, blocks, BLOCK)
         self.maxima = self.weights.max(axis=2) if n else np.zeros((n_terms, 0), np.float32)
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
+        self.known: dict[tuple, tuple[float, list[int]]] = {}  # results of repeated texts
         share = np.array([weight[int(t)] for t in self.toxic])
         self.prior = float((share * self.toxic).sum() / share.sum()) if n else 0.0
         self.steps: tuple[list[float], list[float]] = ([], [])
         if n:
-            votes = np.array([self.vote(*self.nearest(vectors[i], NEIGHBOURS, skip=row)) for row, i in enumerate(order)])
+            found = [f for a in range(0, n, BATCH) for f in self.nearest([vectors[i] for i in order[a : a + BATCH]], NEIGHBOURS, list(range(a, min(n, a + BATCH))))]
+            votes = np.array([self.vote(*f) for f in found])
             self.steps = isotonic(votes, self.toxic, share)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,51 +122,65 @@ class Index:
         norm = np.sqrt((w * w).sum())
         return ids, (w / norm if norm > 0 else w).astype(np.float32)
 
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples of positive cosine, nearest first, ties by row."""
-        ids, w = vector
-        if not len(ids):
-            return np.empty(0, np.int64), np.empty(0)
-        bounds = w @ self.maxima[ids]
-        order = np.argsort(-bounds, kind="stable")
-        rows, best = self._cosines(ids, w, order[:2], k, skip)
-        least = best[k - 1] - 1e-6 if len(best) >= k else 0.0
-        more = order[2:][(bounds[order[2:]] >= least) & (bounds[order[2:]] > 0)]
-        if len(more):
-            # No example of another block can be nearer than the k-th of these.
-            other, near = self._cosines(ids, w, more, k, skip)
-            rows, best = np.concatenate([rows, other]), np.concatenate([best, near])
-            first = np.lexsort((rows, -best))[:k]
-            rows, best = rows[first], best[first]
-        return rows, best.astype(np.float64)
-
-    def _cosines(self, ids: np.ndarray, w: np.ndarray, blocks: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples of the blocks with a positive cosine."""
-        cos = w @ self.weights[ids[:, None], blocks[None, :]].reshape(len(ids), -1)
-        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)[None, :]).reshape(-1)
-        keep = np.nonzero((cos > 0) & (rows != skip))[0]
-        if len(keep) > 4 * k:
-            # Of equal cosines all stay, for the order by row.
-            keep = keep[cos[keep] >= np.partition(cos[keep], len(keep) - k)[len(keep) - k]]
-        rows, cos = rows[keep], cos[keep]
-        first = np.lexsort((rows, -cos))[:k]
-        return rows[first], cos[first]
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the rows and cosines of the k nearest examples of positive cosine, nearest first, ties by row.
+
+        ``skip``: a row that each leaves out.
+        """
+        x = np.zeros((len(vectors), len(self.weights)), np.float32)
+        for i, (ids, w) in enumerate(vectors):
+            x[i, ids] = w
+        bounds = x @ self.maxima
+        cos = np.zeros((len(vectors), self.weights.shape[1], BLOCK), np.float32)
+        wanted = np.zeros(bounds.shape, bool)
+        first = np.argpartition(-bounds, 1, axis=1)[:, :2] if bounds.shape[1] > 2 else np.tile(np.arange(bounds.shape[1]), (len(x), 1))
+        np.put_along_axis(wanted, first, True, axis=1)
+        self._evaluate(x, wanted, cos, skip)
+        some = np.take_along_axis(cos, first[:, :, None], 1).reshape(len(x), -1)
+        if some.shape[1] > k:
+            # No example of a block with a lower bound can be nearer than the k-th of these.
+            least = np.maximum(np.partition(some, -k, axis=1)[:, -k], 0.0) - 1e-6
+            self._evaluate(x, (bounds >= least[:, None]) & (bounds > 0) & ~wanted, cos, skip)
+        else:
+            self._evaluate(x, (bounds > 0) & ~wanted, cos, skip)
+        out = []
+        for own in cos.reshape(len(x), -1):
+            keep = np.flatnonzero(own > 0)
+            if len(keep) > 4 * k:
+                # Of equal cosines all stay, for the order by row.
+                keep = np.flatnonzero(own >= max(np.partition(own, -k)[-k], np.finfo(np.float32).tiny))
+            keep = keep[np.lexsort((keep, -own[keep]))[:k]]
+            out.append((keep, own[keep].astype(np.float64)))
+        return out
+
+    def _evaluate(self, x: np.ndarray, wanted: np.ndarray, cos: np.ndarray, skip: list[int] | None) -> None:
+        """Fill in the cosines of the texts and blocks that are wanted."""
+        for b in np.flatnonzero(wanted.any(0)):
+            some = np.flatnonzero(wanted[:, b])
+            cos[some, b] = x[some] @ self.weights[:, b]
+            if skip is not None:
+                for i in some[[skip[i] // BLOCK == b for i in some]]:
+                    cos[i, b, skip[i] % BLOCK] = 0.0
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
         w = cos * cos
         return float(((w * self.toxic[rows]).sum() + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        key = tuple(sorted(counts.items()))
-        if key in self.known:
-            return self.known[key]
-        if len(self.known) > 2_000:
+    def score(self, counts: list[dict[int, int]]) -> list[tuple[float, list[int]]]:
+        """(probability, the three nearest examples' ids) of texts by their counts of terms."""
+        keys = [tuple(sorted(c.items())) for c in counts]
+        new = dict.fromkeys(key for key in keys if key not in self.known)
+        if len(self.known) + len(new) > 10_000:
             self.known.clear()
-        self.known[key] = self._score(counts)
-        return self.known[key]
-
-    def _score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        rows, cos = self.nearest(self.vector(counts), NEIGHBOURS)
+            new = dict.fromkeys(keys)
+        todo = list(new)
+        for a in range(0, len(todo), BATCH):
+            some = todo[a : a + BATCH]
+            for key, found in zip(some, self.nearest([self.vector(dict(key)) for key in some], NEIGHBOURS), strict=True):
+                self.known[key] = self._fitted(*found)
+        return [self.known[key] for key in keys]
+
+    def _fitted(self, rows: np.ndarray, cos: np.ndarray) -> tuple[float, list[int]]:
         at, value = self.steps
         vote = self.vote(rows, cos)
         if not at:
@@ -207,7 +228,7 @@ def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Vocabulary, Index]:
     """Vocabulary and index from the labelled documents that are not held out.
 
-    Every term that passes the chi-squared and count tests is kept; the bound on examples bounds them.
+    Every term that passes the tests is kept; the bound on examples bounds them.
     """
     spark = docs.sparkSession
     own = (
@@ -228,10 +249,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     n0, n1 = found.get(0, 0), found.get(1, 0)
     tally = sample.select("text", "toxic").mapInPandas(_tally, "term string, clean long, toxic long")
     a, b = F.sum("toxic"), F.sum("clean")
-    summed = tally.groupBy("term").agg(a.cast("double").alias("a"), b.cast("double").alias("b")).where("a + b >= 3")
+    summed = tally.groupBy("term").agg(a.cast("double").alias("a"), b.cast("double").alias("b")).where(F.col("a") + F.col("b") >= LEAST)
+    summed = store.materialise(summed, "toxic-terms")
     total = float(max(1, n0 + n1))
+    # Bonferroni: the square of the normal quantile at CHANCE over the number of tests.
+    bound = NormalDist().inv_cdf(1 - CHANCE / max(1, summed.count()) / 2) ** 2
     chi = total * F.pow(F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a")), 2) / (max(1, n1) * max(1, n0) * (F.col("a") + F.col("b")) * F.greatest(F.lit(0.5), total - F.col("a") - F.col("b")))
-    ranked = summed.withColumn("chi", chi).where("chi > 10").orderBy(F.desc("chi"), "term").select("term")
+    ranked = summed.withColumn("chi", chi).where(F.col("chi") > bound).orderBy(F.desc("chi"), "term").select("term")
     vocabulary = Vocabulary([r.term for r in ranked.collect()])
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,21 +274,22 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     ``docs``: doc_id and text; ``labels``: doc_id and toxic (0, 1); more columns are ignored. Of several
     labels of a document the largest counts; null labels and null ids are left out. Null, empty and
-    term-free texts get the fitted probability of a text without evidence. Without any labels scores
-    are 0. ``evidence`` holds the ids of the three nearest examples.
+    term-free texts get the fitted probability of a text without evidence; long texts are read whole, rows of
+    one doc_id each get a score. Without any labels scores are 0, an empty table gives an empty result. ``evidence`` holds the ids of the three nearest examples.
     """
     spark = docs.sparkSession
-    vocabulary, index = fit(docs, labels, **options)
-    # Bounded by the number of examples and their terms.
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps((vocabulary, index)))
-
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, index = pickle.loads(sent.value)
-        for batch in batches:
-            found = [index.score(vocabulary.counts(t)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": [s for s, _ in found], "evidence": [e for _, e in found]})
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    scored = source.mapInPandas(scores, "doc_id long, held_out boolean, score double, evidence array<long>")
-    scored = store.materialise(scored, "toxic-scores", records=500)
-    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
+    with store.scratch(spark):
+        vocabulary, index = fit(docs, labels, **options)
+        # Bounded by the number of examples and their terms.
+        sent = spark.sparkContext.broadcast(cloudpickle.dumps((vocabulary, index)))
+
+        def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            vocabulary, index = pickle.loads(sent.value)
+            for batch in batches:
+                found = index.score([vocabulary.counts(t) for t in batch["text"]])
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": [s for s, _ in found], "evidence": [e for _, e in found]})
+
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+        scored = source.mapInPandas(scores, "doc_id long, held_out boolean, score double, evidence array<long>")
+        scored = store.kept(scored, "toxic-scores", records=500)
+        return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")

@@ -160,9 +160,7 @@ def test_block_max_is_exact():
     rng = np.random.default_rng(3)
     counts = [{int(t): int(rng.integers(1, 5)) for t in rng.choice(60, rng.integers(1, 9), replace=False)} for _ in range(500)]
     index = toxicity.Index(counts, [i % 2 for i in range(500)], list(range(500)), 60, (1.0, 1.0))
-    for c in counts[:60]:
-        ids, w = index.vector(c)
-        rows, cos = index.nearest((ids, w), 15)
+    for (ids, w), (rows, cos) in zip(map(index.vector, counts[:60]), index.nearest([index.vector(c) for c in counts[:60]], 15), strict=True):
         full = w @ index.weights.reshape(60, -1)[ids]
         assert cos == pytest.approx(np.sort(full)[::-1][:15], abs=1e-5)
 
