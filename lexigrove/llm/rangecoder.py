@@ -1,15 +1,17 @@
 """An adaptive context-mixing range coder for token ids.
 
-A file's ids are cut into blocks, each coded on its own with a fresh model and a checksum. An id is
-first predicted: a table by the two ids before it and one by the id before it hold the id that last
-followed and how often it did so in a row. The order-2 prediction is the candidate, else the order-1
-one. Two adaptive estimates that the candidate is right, by the state of either table, are mixed
-with a weight that follows whichever has erred less. An id that is not the candidate is coded by an
-order-0 model: adaptive frequencies of its upper byte, and its lower byte as it is.
+A file's ids are cut into blocks, each coded on its own from the same first state and with a checksum. The
+state that every block resets to is the file's order-0 model, the frequencies of its ids, which the header
+holds: a block of some thousand ids cannot learn an alphabet of tens of thousands by itself. What
+adapts in a block are the contexts. A table by the two ids before and one by the id before hold the id that last
+followed and how often it did so in a row; the order-2 prediction is the candidate if it has held before, else the
+order-1 one. Two adaptive estimates that the candidate is right, by the runs in both tables and by
+the order-0 weight of the id before, are mixed with a weight that follows whichever has erred less.
+An id that is not the candidate is coded by its order-0 frequency.
 
 All blocks of a file advance together, one id a step, so that a step is a few dozen array operations
 over all blocks. The coder has a low end of 48 bits with carry and a range of at least 32 bits; an id takes
-at most 32 bits of it and is followed by moving whole 16-bit words out. All arithmetic is on integers.
+at most 28 bits of it and is followed by moving whole 16-bit words out. All arithmetic is on integers.
 """
 
 from __future__ import annotations
@@ -23,97 +25,118 @@ import numpy as np
 BLOCK = 4096
 #: Blocks that advance together at most.
 LANES = 4096
-#: Ids are below this.
+#: Ids are below this, and the order-0 frequencies add up to it.
 LIMIT = 1 << 16
-MAGIC = b"LXGRCM01"
+MAGIC = b"LXGRCM02"
 
 _S1, _S2 = 1 << 9, 1 << 10
 _I = np.int32
 _LOW = np.uint64((1 << 32) - 1)
 _FULL = np.uint64((1 << 48) - 1)
 _U = np.uint64
+#: Odds of 4096 that a candidate is right stay below this, which leaves the order-0 code its precision.
+_MOST = 4064
+
+
+class Alphabet:
+    """The ids of a file and their frequencies, which add up to ``LIMIT``. Symbols are places among the ids."""
+
+    def __init__(self, ids: np.ndarray, freq: np.ndarray):
+        self.ids, self.freq = ids.astype(np.uint32), freq.astype(np.uint64)
+        self.cum = np.cumsum(self.freq) - self.freq
+        #: 0 to 7 by how common a symbol is.
+        self.weight = np.minimum(np.log2(freq.astype(np.float64)) * 0.75, 7).astype(_I)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Alphabet:
+        times = np.bincount(ids) if len(ids) else np.ones(1, np.int64)
+        if len(times) > LIMIT:
+            raise ValueError(f"ids must be below {LIMIT}")
+        own = np.flatnonzero(times)
+        freq = 1 + times[own] * (LIMIT - len(own)) // max(1, int(times.sum()))
+        freq[np.argmax(freq)] += LIMIT - freq.sum()
+        return cls(own, freq)
+
+    def symbols(self, ids: np.ndarray) -> np.ndarray:
+        place = np.zeros(int(self.ids[-1]) + 1, _I)
+        place[self.ids] = np.arange(len(self.ids))
+        return place[ids]
+
+    def pack(self) -> bytes:
+        return zlib.compress(np.diff(self.ids, prepend=np.uint32(0)).astype("<u4").tobytes() + (self.freq - _U(1)).astype("<u2").tobytes(), 9)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Alphabet:
+        raw = zlib.decompress(data)
+        n = len(raw) // 6
+        return cls(np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.uint32), np.frombuffer(raw, "<u2", n, 4 * n).astype(np.int64) + 1)
 
 
 class _Model:
-    def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.one, self.two = np.zeros(lanes * _S1, _I), np.zeros(lanes * _S2, _I)  # id << 3 | run
-        self.base1, self.base2, self.lane16, self.lane256 = lane * _S1, lane * _S2, lane * 16, lane * 256
-        self.pa, self.pb = np.full(lanes * 16, 8192, _I), np.full(lanes * 16, 8192, _I)
-        self.weight = np.full(lanes, 8, _I)
-        self.prev1, self.prev2 = np.zeros(lanes, _I), np.zeros(lanes, _I)
-        self.counts = np.zeros(lanes * 256, _I)
-        self.step = 0
-        self.slots: np.ndarray | None = None
-        self.rescale()
-
-    def rescale(self) -> None:
-        counts = self.counts.reshape(-1, 256)
-        freq = 1 + counts * (4096 - 256) // max(1, min(self.step, BLOCK))
-        freq[:, 0] += 4096 - freq.sum(1)
-        self.freq = freq.astype(np.uint64).reshape(-1)
-        self.cum = (np.cumsum(freq, 1) - freq).astype(np.uint64).reshape(-1)
-        if self.slots is not None:
-            self.slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(freq)), freq.reshape(-1))
+    """The adaptive part; what a step needs of it is laid out by lane."""
+
+    def __init__(self, lanes: int, weight: np.ndarray):
+        lane = np.arange(lanes, dtype=np.int64)
+        self.one, self.two = np.zeros(lanes * _S1, _I), np.zeros(lanes * _S2, _I)  # symbol << 3 | run
+        self.base1, self.base2, self.lane64 = lane * _S1, lane * _S2, lane * 64
+        self.pa, self.pb = np.full(lanes * 64, 4096, _I), np.full(lanes * 64, 4096, _I)
+        self.mix = np.full(lanes, 8, _I)
+        self.prev1, self.hash1 = np.zeros(lanes, _I), np.zeros(lanes, _I)
+        self.weight = weight
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The candidates of the first n lanes and the odds of 4096 that they are right."""
         a = self.prev1[:n]
         # Products of 32 bits wrap alike everywhere.
         h = a * _I(40503)
+        self.h = h
         self.i1 = self.base1[:n] + ((h >> 5) & (_S1 - 1))
-        self.i2 = self.base2[:n] + ((h + self.prev2[:n] * _I(30983) >> 4) & (_S2 - 1))
-        e1, e2 = self.one.take(self.i1), self.two.take(self.i2)
-        self.c1, self.c2, self.p1, self.p2 = e1 & 7, e2 & 7, e1 >> 3, e2 >> 3
-        same = self.p1 == self.p2
-        self.sa, self.sb = self.lane16[:n] + self.c2 * 2 + same, self.lane16[:n] + self.c1 * 2 + same
+        self.i2 = self.base2[:n] + ((h + self.hash1[:n] >> 4) & (_S2 - 1))
+        self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
+        c2 = self.e2 & 7
+        guess = np.where(c2 > 0, self.e2, self.e1) >> 3
+        self.sa = self.lane64[:n] + (c2 << 3 | self.e1 & 7)
+        self.sb = self.lane64[:n] + (self.weight.take(a) << 3 | self.e1 & 7)
         self.xa, self.xb = self.pa.take(self.sa), self.pb.take(self.sb)
-        w = self.weight[:n]
-        odds = (self.xa * w + self.xb * (16 - w)) >> 8
-        return np.where(self.c2 > 0, self.p2, self.p1), np.minimum(np.maximum(odds, 1), 4095).astype(np.uint64)
+        odds = self.xb * 16 + (self.xa - self.xb) * self.mix[:n] >> 8
+        return guess, np.minimum(np.maximum(odds, 1), _MOST).astype(np.uint64)
 
-    def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        n = len(ids)
-        goal = hit.astype(_I) * 65535
+    def update(self, own: np.ndarray, hit: np.ndarray) -> None:
+        n = len(own)
+        goal = hit * _I(65535)
         ea, eb = goal - self.xa, goal - self.xb
-        self.pa[self.sa] = self.xa + (ea >> 4)
-        self.pb[self.sb] = self.xb + (eb >> 4)
-        w = self.weight[:n]
-        w += (np.abs(ea) < np.abs(eb)).astype(_I) * 2 - 1
+        self.pa[self.sa] = self.xa + (ea >> 5)
+        self.pb[self.sb] = self.xb + (eb >> 5)
+        w = self.mix[:n]
+        w += np.sign(np.abs(eb) - np.abs(ea))
         np.minimum(w, 16, out=w)
         np.maximum(w, 0, out=w)
-        fresh = ids << 3 | 1
-        for table, at, p, c in ((self.one, self.i1, self.p1, self.c1), (self.two, self.i2, self.p2, self.c2)):
-            right = p == ids
-            run = np.where(right, np.minimum(c + 1, 7), c >> 1)
-            table[at] = np.where(right & (c > 0) | (run > 0), p << 3 | run, fresh)
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = ids
-        self.counts[self.lane256[:n] + (ids >> 8)] += 1
-        self.step += 1
-        if self.step % 256 == 0 or self.step in (16, 64):
-            self.rescale()
-
-
-def _cut(ids: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """Groups of blocks as (steps x lanes) and the number of ids of the last lane."""
+        fresh = own << 3
+        # Within 8 of the entry: the same symbol, and its run goes on up to 7.
+        for table, at, e in ((self.one, self.i1, self.e1), (self.two, self.i2, self.e2)):
+            run = e - fresh + 1
+            table[at] = fresh + np.where((run > 0) & (run < 9), np.minimum(run, 7), 0)
+        np.multiply(self.h, _I(30983), out=self.hash1[:n])
+        self.prev1[:n] = own
+
+
+def _cut(symbols: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Groups of blocks as (steps x lanes) and the number of symbols of the last lane."""
     out = []
-    for start in range(0, len(ids), BLOCK * LANES):
-        part = ids[start : start + BLOCK * LANES].astype(_I)
+    for start in range(0, len(symbols), BLOCK * LANES):
+        part = symbols[start : start + BLOCK * LANES]
         lanes = -(-len(part) // BLOCK)
         last = len(part) - (lanes - 1) * BLOCK
         out.append((np.concatenate([part, np.zeros(lanes * BLOCK - len(part), _I)]).reshape(lanes, BLOCK).T.copy(), last))
     return out
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
+def encode_blocks(ids: np.ndarray, alphabet: Alphabet) -> list[bytes]:
     """The code of each block of the ids."""
-    if len(ids) and int(ids.max()) >= LIMIT:
-        raise ValueError(f"ids must be below {LIMIT}")
     coded: list[bytes] = []
-    for steps, last in _cut(ids):
+    for steps, last in _cut(alphabet.symbols(ids)):
         lanes = steps.shape[1]
-        model = _Model(lanes)
+        model = _Model(lanes, alphabet.weight)
         low, span = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
         out, pos = np.zeros((lanes, 2 * BLOCK + 8), np.uint16), np.zeros(lanes, np.int64)
         for t in range(BLOCK if lanes > 1 else last):
@@ -121,17 +144,11 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
             own, lo, sp = steps[t, :n], low[:n], span[:n]
             guess, odds = model.predict(n)
             hit = own == guess
-            miss = (~hit).astype(np.uint64)
             r = sp >> _U(12)
             cut = r * odds
-            lo += cut * miss
-            sp[:] = np.where(hit, cut, r * (_U(4096) - odds))
-            at = model.lane256[:n] + (own >> 8)
-            r = sp >> _U(12)
-            lo += model.cum.take(at) * r * miss
-            inner = model.freq.take(at) * r >> _U(8)
-            lo += (own & 255).astype(np.uint64) * inner * miss
-            sp[:] = np.where(hit, sp, inner)
+            unit = (r << _U(12)) - cut >> _U(16)
+            lo += np.where(hit, _U(0), cut + alphabet.cum.take(own) * unit)
+            sp[:] = np.where(hit, cut, alphabet.freq.take(own) * unit)
             over = np.flatnonzero(lo > _FULL)
             if len(over):
                 lo[over] &= _FULL
@@ -140,15 +157,16 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
                     out[over, back] += np.uint16(1)
                     again = out[over, back] == 0
                     over, back = over[again], back[again] - 1
-            for _ in range(2):
-                short = np.flatnonzero(sp <= _LOW)
-                if not len(short):
-                    break
+            short = np.flatnonzero(sp <= _LOW)
+            while len(short):
                 x = lo[short]
-                out[short, pos[short]] = x >> _U(32)
-                pos[short] += 1
+                at = pos[short]
+                out[short, at] = x >> _U(32)
+                pos[short] = at + 1
                 lo[short] = (x & _LOW) << _U(16)
-                sp[short] <<= _U(16)
+                x = sp[short] << _U(16)
+                sp[short] = x
+                short = short[x <= _LOW]
             model.update(own, hit)
         for lane in range(lanes):
             x = int(low[lane])
@@ -157,22 +175,21 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     return coded
 
 
-def decode_blocks(coded: list[bytes], total: int) -> np.ndarray:
+def decode_blocks(coded: list[bytes], total: int, alphabet: Alphabet) -> np.ndarray:
     """The ids of consecutive blocks that hold ``total`` ids."""
     out = np.empty(total, np.uint32)
+    slots = np.repeat(np.arange(len(alphabet.ids), dtype=_I), alphabet.freq.astype(np.int64))
     for g in range(0, len(coded), LANES):
         group = coded[g : g + LANES]
         lanes, start = len(group), g * BLOCK
         last = min(BLOCK, total - start - (lanes - 1) * BLOCK)
-        words = np.zeros((lanes, max(map(len, group)) // 2 + 4), np.uint64)
+        words = np.zeros((lanes, max(map(len, group)) // 2 + 4), np.uint16)
         for lane, b in enumerate(group):
             words[lane, : len(b) // 2] = np.frombuffer(b, "<u2")
-        value = words[:, 0] << _U(32) | words[:, 1] << _U(16) | words[:, 2]
+        first = words[:, :3].astype(np.uint64)
+        value = first[:, 0] << _U(32) | first[:, 1] << _U(16) | first[:, 2]
         pos, span = np.full(lanes, 3, np.int64), np.full(lanes, _FULL)
-        model = _Model(lanes)
-        model.slots = np.empty(0, np.uint8)
-        model.rescale()
-        lane4096 = np.arange(lanes) * 4096
+        model = _Model(lanes, alphabet.weight)
         steps = np.zeros((BLOCK, lanes), np.uint32)
         for t in range(BLOCK if lanes > 1 else last):
             n = lanes if t < last else lanes - 1
@@ -181,62 +198,62 @@ def decode_blocks(coded: list[bytes], total: int) -> np.ndarray:
             r = sp >> _U(12)
             cut = r * odds
             hit = v < cut
-            v -= np.where(hit, _U(0), cut)
-            sp[:] = np.where(hit, cut, r * (_U(4096) - odds))
-            r = sp >> _U(12)
-            # Quotients below 4096 of numbers below 2**48 are exact in doubles.
-            slot = np.minimum((v / r).astype(_I), 4095)
-            high = model.slots.take(lane4096[:n] + slot).astype(_I)
-            at = model.lane256[:n] + high
-            rest = v - model.cum.take(at) * r
-            inner = model.freq.take(at) * r >> _U(8)
-            byte = np.minimum((rest / inner).astype(_I), 255)
-            own = np.where(hit, guess, high << 8 | byte)
-            v[:] = np.where(hit, v, rest - byte.astype(np.uint64) * inner)
-            sp[:] = np.where(hit, sp, inner)
-            for _ in range(2):
-                short = np.flatnonzero(sp <= _LOW)
-                if not len(short):
-                    break
-                v[short] = v[short] << _U(16) | words[short, pos[short]]
-                pos[short] += 1
-                sp[short] <<= _U(16)
+            unit = (r << _U(12)) - cut >> _U(16)
+            rest = np.where(hit, _U(0), v - cut)
+            # Quotients up to 2**16 of numbers below 2**48 are exact in doubles.
+            symbol = slots.take(np.minimum((rest / unit).astype(_I), LIMIT - 1))
+            own = np.where(hit, guess, symbol)
+            v[:] = np.where(hit, v, rest - alphabet.cum.take(symbol) * unit)
+            sp[:] = np.where(hit, cut, alphabet.freq.take(symbol) * unit)
+            short = np.flatnonzero(sp <= _LOW)
+            while len(short):
+                at = pos[short]
+                v[short] = v[short] << _U(16) | words[short, at]
+                pos[short] = at + 1
+                x = sp[short] << _U(16)
+                sp[short] = x
+                short = short[x <= _LOW]
             steps[t, :n] = own
             model.update(own, hit)
-        flat = steps.T.reshape(-1)
-        out[start : start + (lanes - 1) * BLOCK + last] = flat[: (lanes - 1) * BLOCK + last]
+        flat = steps.T.reshape(-1)[: (lanes - 1) * BLOCK + last]
+        out[start : start + len(flat)] = alphabet.ids[flat]
     return out
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
-    """A file: magic, counts, the zlib-packed table of documents, the table of blocks, the blocks' codes.
+    """A file: magic, counts, the zlib-packed tables of documents and of ids, the table of blocks, the blocks' codes.
 
-    Little-endian. Counts: documents, ids, bytes of the document table, blocks. The document table has every
-    doc_id (int64, 0 for null), whether it is null (uint8) and its number of ids (uint32). The block
+    Little-endian. Counts: documents, ids, bytes of the document table, bytes of the id table, blocks. The document
+    table has every doc_id (int64, 0 for null), whether it is null (uint8) and its number of ids (uint32); the id
+    table the distinct ids as differences (uint32) and their frequencies less 1 (uint16). The block
     table has each block's number of ids, of code bytes, and the crc32 of its ids as uint32.
     """
     table = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "<u1").tobytes() + lengths.astype("<u4").tobytes()
     table = zlib.compress(table)
-    coded = encode_blocks(ids)
+    alphabet = Alphabet.of(ids)
+    shown = alphabet.pack()
+    coded = encode_blocks(ids, alphabet)
     own = [ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4") for i in range(len(coded))]
     entries = b"".join(struct.pack("<III", len(x), len(c), zlib.crc32(x.tobytes())) for x, c in zip(own, coded, strict=True))
-    return MAGIC + struct.pack("<QQQQ", len(doc_ids), len(ids), len(table), len(coded)) + table + entries + b"".join(coded)
+    return MAGIC + struct.pack("<QQQQQ", len(doc_ids), len(ids), len(table), len(shown), len(coded)) + table + shown + entries + b"".join(coded)
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
     """(ids, doc_ids, lengths) of a file; a block that fails its checksum is an error."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
-    n_docs, n_ids, n_table, n_blocks = struct.unpack_from("<QQQQ", data, 8)
-    at = 40 + n_table
-    table = zlib.decompress(data[40:at])
+    n_docs, n_ids, n_table, n_shown, n_blocks = struct.unpack_from("<QQQQQ", data, 8)
+    at = 48 + n_table
+    table = zlib.decompress(data[48:at])
     doc_ids = np.frombuffer(table, "<i8", n_docs)
     null = np.frombuffer(table, "<u1", n_docs, 8 * n_docs)
     lengths = np.frombuffer(table, "<u4", n_docs, 9 * n_docs).astype(np.int64)
+    alphabet = Alphabet.unpack(data[at : at + n_shown])
+    at += n_shown
     entries = np.frombuffer(data, "<u4", 3 * n_blocks, at).reshape(-1, 3)
     at += 12 * n_blocks
     ends = at + np.cumsum(entries[:, 1], dtype=np.int64)
-    ids = decode_blocks([data[e - n : e] for e, n in zip(ends.tolist(), entries[:, 1].tolist(), strict=True)], n_ids)
+    ids = decode_blocks([data[e - n : e] for e, n in zip(ends.tolist(), entries[:, 1].tolist(), strict=True)], n_ids, alphabet)
     for i, (n, _, crc) in enumerate(entries.tolist()):
         if zlib.crc32(ids[i * BLOCK : i * BLOCK + n].astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i} is damaged")

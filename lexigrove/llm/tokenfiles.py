@@ -12,48 +12,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import rangecoder, store, tokens
+from .. import store
+from . import rangecoder, tokens
 
 #: Id after each document.
 END = 2
 #: Documents that are tokenized at once.
-BATCH = 2048
+BATCH = 4096
+#: Ids of a file, about: the file that reaches it is closed after the document.
+IDS = 1 << 23
 
-MANIFEST = "part int, name string, n_docs long, n_ids long, n_bytes long"
+MANIFEST = "part int, seq int, name string, n_docs long, n_ids long, n_bytes long"
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, rows: int = tokens.ROWS) -> DataFrame:
-    """Write the ids of every text and return the manifest: (part, name, n_docs, n_ids, n_bytes) by file.
+def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, rows: int = tokens.ROWS, most: int = IDS) -> DataFrame:
+    """Write the ids of every text and return the manifest: (part, seq, name, n_docs, n_ids, n_bytes) by file.
 
     Texts are tokenized whole, without special tokens added; ``end`` follows each. A null text is
-    empty. A part holds about ``rows`` documents; parts and their documents ascend by doc_id, null first.
+    empty. A part holds about ``rows`` documents in files of about ``most`` ids, so that long texts
+    make more files and not larger ones; parts, files and documents ascend by doc_id, null first.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = tokens.pieces(tokenizer)
-        part, ids, lengths, doc_ids = None, [], [], []
+        ids, lengths, doc_ids, held, seq = [], [], [], 0, 0
+
+        def close(part: int) -> pa.RecordBatch:
+            nonlocal ids, lengths, doc_ids, held, seq
+            flat, name = np.concatenate(ids), f"part-{part:06d}-{seq:04d}.lxcm"
+            data = rangecoder.pack(flat, doc_ids, np.concatenate(lengths))
+            tokens.write_file(folder, name, data)
+            row = {"part": part, "seq": seq, "name": name, "n_docs": len(doc_ids), "n_ids": len(flat), "n_bytes": len(data)}
+            ids, lengths, doc_ids, held, seq = [], [], [], 0, seq + 1
+            return pa.RecordBatch.from_pylist([row], schema=_ARROW)
+
+        part = None
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                some = batch.slice(start, BATCH)
+            for some in tokens.slices(batch, BATCH):
+                part = some.column("part")[0].as_py()
                 own, n = tokens.ended(*memo.encode(some.column("text")), end)
                 ids.append(own)
                 lengths.append(n)
                 doc_ids += some.column("doc_id").to_pylist()
-                part = some.column("part")[0].as_py()
-        if part is None:
-            return
-        flat, name = np.concatenate(ids), f"part-{part:06d}.lxcm"
-        data = rangecoder.pack(flat, doc_ids, np.concatenate(lengths))
-        tokens.write_file(folder, name, data)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([name]), pa.array([len(doc_ids)], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([len(data)], pa.int64())],
-            names=["part", "name", "n_docs", "n_ids", "n_bytes"],
-        )
+                held += len(own)
+                if held >= most:
+                    yield close(part)
+        if doc_ids:
+            yield close(part)
 
     placed = tokens.in_order(docs, rows).withColumn("part", F.spark_partition_id())
     return store.materialise(placed.mapInArrow(encode, MANIFEST), "token-manifest", records=BATCH)
 
 
+_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
+
+
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document from the files of a manifest.
 
@@ -63,25 +76,27 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part, name in zip(batch["part"], batch["name"], strict=True):
+            for part, seq, name in zip(batch["part"], batch["seq"], batch["name"], strict=True):
                 ids, doc_ids, lengths = rangecoder.unpack(tokens.read_range(folder, name))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-                yield pd.DataFrame({"part": part, "doc_id": pd.array(doc_ids, "Int64"), "offset": ends - lengths, "n_tokens": lengths, "ids_crc32": crc})
+                yield pd.DataFrame({"part": part, "seq": seq, "doc_id": pd.array(doc_ids, "Int64"), "offset": ends - lengths, "n_tokens": lengths, "ids_crc32": crc})
 
-    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
-    base = store.materialise(manifest.select("part", F.coalesce(before, F.lit(0)).alias("base")), "token-base")
+    before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
+    base = store.materialise(manifest.select("part", "seq", F.coalesce(before, F.lit(0)).alias("base")), "token-base")
     files = max(1, manifest.count())
-    rows = manifest.select("part", "name").repartition(files, "part").mapInPandas(decode, "part int, doc_id long, offset long, n_tokens long, ids_crc32 long")
-    return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    rows = manifest.select("part", "seq", "name").repartition(files, "part", "seq").mapInPandas(decode, "part int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    return rows.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> DataFrame:
     """Write the files to a new folder of the shared directory and read the documents back from them.
 
-    ``docs``: doc_id, text; more columns are ignored. Rows of one doc_id are documents of their own, by
-    text. Null and empty texts hold the end id alone. An empty table gives an empty result.
+    ``docs``: doc_id, text; more columns are ignored. Rows of one doc_id are documents of their own, by a
+    hash of their text. Null and empty texts hold the end id alone; long texts are taken whole. An empty
+    table gives an empty result. The files go once they have been read.
     """
-    folder = store.new_path(docs.sparkSession, "token-files")
-    return read(write(docs, folder, tokenizer or tokens.default_tokenizer(), end), folder)
+    with store.scratch(docs.sparkSession):
+        folder = store.new_path(docs.sparkSession, "token-files")
+        return store.kept(read(write(docs, folder, tokenizer or tokens.default_tokenizer(), end), folder), "token-rows")

@@ -1,8 +1,11 @@
 """Token ids of whole texts for Python tasks, and files of them in the shared folder.
 
 White space always separates what the tokenizer sees, so a text's ids are those of its
-white-space-delimited pieces in a row. Pieces are split off and numbered by Arrow, each distinct piece is
-tokenized once a worker, and ids are gathered by number. The memo outlives a task where workers are reused.
+white-space-delimited pieces in a row. Where the tokenizer lowers case and cuts between letters and other
+characters by itself, ASCII letters are lowered and such cuts made before (not at apostrophes, which can begin
+a word of their own, and not in texts that may spell a special token), so that fewer pieces are distinct.
+Pieces are split off and numbered by Arrow, each distinct piece is tokenized once a worker, and ids are
+gathered by number. The memo outlives a task where workers are reused.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers at most before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 #: Documents of a part of the corpus.
 ROWS = 8192
 #: Bytes of text that are tokenized at once, if it is more than one document.
@@ -37,6 +40,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A letter beside an ASCII digit or mark other than an apostrophe, in either order.
+_MARK = r"[!-&(-@\[-`{-~]"
+_CUTS = ((rf"(\pL)({_MARK})", r"\1 \2"), (rf"({_MARK})(\pL)", r"\1 \2"))
+#: Text whose tokenization shows whether a tokenizer lowers case and cuts there.
+_PROBE = "Ab1c.D,e_F(g)2h"
+
+
 class Pieces:
     """Ids of distinct pieces in one flat pool."""
 
@@ -48,6 +58,9 @@ class Pieces:
         # True: the strings of special tokens in a text are ordinary text.
         self.tokenizer.encode_special_tokens = literal
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.apart = ids(_PROBE) == ids("ab 1 c . d , e _ f ( g ) 2 h")
+        self.marks = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
@@ -82,28 +95,41 @@ class Pieces:
 
     def learn(self, words: list[str]) -> None:
         # A piece of letters only is one word of the tokenizer, whose last id ends a word: many go in one call.
-        plain = [w for w in words if w.isalpha()]
-        rest = [w for w in words if not w.isalpha()]
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isalpha() else rest).append(w)
         for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids])
             if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids) - 1):
                 self._add(some, ids, np.diff(ends, prepend=-1))
             else:  # some letter changes into several characters
                 rest += some
         for i in range(0, len(rest), 2000):
-            found = [e.ids for e in self.tokenizer.encode_batch(rest[i : i + 2000], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(rest[i : i + 2000], add_special_tokens=False)]
             self._add(rest[i : i + 2000], np.array([t for ids in found for t in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
 
+    def cut(self, texts: pa.Array) -> pa.Array:
+        """The texts in lower case (ASCII) and with spaces at cuts, where that changes no ids."""
+        if not self.apart:
+            return texts
+        made = pc.ascii_lower(texts)
+        for pattern, to in _CUTS:
+            made = pc.replace_substring_regex(made, pattern, to)
+        for mark in self.marks:
+            made = pc.if_else(pc.match_substring(texts, mark), texts, made)
+        return made
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has. A null text counts as empty."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        split = pc.ascii_split_whitespace(self.cut(pc.fill_null(texts, "")))
         numbered = split.flatten().dictionary_encode()
         words = numbered.dictionary.to_pylist()
-        if len(self.number) + len(words) > REMEMBERED:
-            self.forget()
         new = [w for w in words if w not in self.number]
+        if new and len(self.number) + len(new) > REMEMBERED:
+            self.forget()
+            new = [w for w in words if w not in self.number]
         if new:
             self.learn(new)
         distinct = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
