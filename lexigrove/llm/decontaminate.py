@@ -4,13 +4,13 @@ Texts are words with A-Z in lower case. A window of an item's number of words sl
 (the whole document where it is shorter), and a window matches an item when the weighted Jaccard
 similarity of their five-word shingles, counted with repeats, is 0.75 or more.
 
-Which windows get a fingerprint: such a window has at least 6/7 of its shingles in common with the item,
-and moving its start to the next common shingle loses none. So it is enough to look at windows that
-start at a shingle of the item (or end with the document) and to keep those in which as many of the
-item's shingles follow closely enough. This leaves out no match.
+Which windows get a fingerprint: one that matches an item has shingles in common with it, and moving its start
+to the first of them loses none. So windows of every size that an item has are taken at the places
+where some item of that size has a shingle, and where such a window would end beyond the document, at its end.
+This leaves out no match, and says nothing yet of which items a window matches. Equal windows of all documents are one.
 
-Fingerprints: 64 bits, the majority of the shingles' hash bits. A multi-index over 8 blocks of 8 bits
-finds every item within ``RADIUS`` bits: of at most 23 differing bits, some block has at most two,
+Candidates: fingerprints are 64 bits, the majority of the shingles' hash bits. A multi-index over 8 blocks of 8 bits
+finds every item of the window's size within ``RADIUS`` bits: of at most 23 differing bits, some block has at most two,
 and the index holds each item block with all its neighbours at distance 0, 1 and 2. Similarity 0.75
 of equal sizes is a cosine of 6/7, for which 11 differing bits are expected; 23 are 4 standard
 deviations above. Candidates are verified by exact weighted similarity.
@@ -21,17 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from .. import store
 from .words import ascii_lower, word_array
 
 WIDTH = 5
 PERCENT = 75
 RADIUS = 23
 BLOCKS = 8
-#: Most rows of the benchmark's tables that are broadcast (some tens of bytes each); larger ones are shuffled.
-SENT_ROWS = 1_000_000
-#: Most document ids that are broadcast to pick out texts.
-SENT_IDS = 1_000_000
+#: Most entries of a table that are broadcast, of at most some tens of bytes each; larger tables are shuffled.
+SENT = 500_000
 
 
 def _word_hashes(text: Column) -> Column:
@@ -80,8 +78,9 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _bounded(df: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
+def _bounded(df: DataFrame, entries: int | None = None) -> DataFrame:
+    """A written table, marked for broadcast if its rows, or the ``entries`` of its arrays, are few."""
+    return F.broadcast(df) if (df.count() if entries is None else entries) <= SENT else df
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -89,47 +88,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text; more columns are ignored. ``start`` is the
     window's first word, from 0; of equally similar windows that start at a shingle of the item the first counts. Null and blank texts on
-    either side match nothing. An item of fewer than five words is one shingle and matches wherever
-    its words stand in a row. Rows that share a doc_id are searched apart and reported together; rows
+    either side match nothing; texts of any length are searched whole. An item of fewer than five words is one shingle and matches wherever
+    its words stand in a row. Rows that share a doc_id are searched apart and reported together, repeated rows and null ids too; rows
     of one item_id are items of their own, reported together. Empty tables give an empty result.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
-    items = items.withColumn("w", F.size("words")).withColumn("k", F.least(F.lit(WIDTH), F.col("w"))).withColumn("own", _shingles(F.col("words"), F.col("k")))
-    items = store.materialise(items.select("item_id", "w", "k", "own", F.xxhash64("item_id", "words").alias("item"), simhash(F.col("own")).alias("print")), "leak-items")
-    widths = [r.k for r in items.select("k").distinct().orderBy("k").collect()]  # of 1 to 5
-    if not widths:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id")).limit(0).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("start", "int"), ("similarity", "double"))])
-    anchors = items.select("item", "w", "k", F.size("own").alias("m"), F.explode(F.array_distinct("own")).alias("shingle"))
-    anchors = store.materialise(anchors, "leak-anchors")
-    n_anchors = anchors.count()
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    row = F.xxhash64("doc_id", "text")
-    words = source.select(row.alias("row"), _word_hashes(F.col("text")).alias("words"))
-    spread = words.select("row", F.size("words").alias("n"), F.explode(F.concat(*[_positions(F.col("words"), k) for k in widths])).alias("p"))
-    hits = spread.select("row", "n", "p.*").join(_bounded(anchors, n_anchors, SENT_ROWS), ["k", "shingle"])
-    per_item = hits.groupBy("row", "item", "w", "k", "m", "n").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    # A window of m' shingles and an item of m have at least 0.75 (m + m') / 1.75 in common.
-    window = F.least(F.col("w"), F.col("n")) - F.col("k") + 1
-    least = F.greatest(F.lit(1), F.ceil((F.col("m") + window) * percent / (100 + percent) - 1e-9)).cast("int")
-    dense = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + least - 1) - x < window, F.lit(False)))
-    starts = per_item.select("row", "w", "k", F.explode(F.array_distinct(F.transform(dense, lambda x: F.greatest(F.lit(0), F.least(x, F.col("n") - F.col("w")))))).alias("start"))
-    starts = store.materialise(starts.groupBy("row").agg(F.collect_set(F.struct("start", "w", "k")).alias("starts")), "leak-starts")
-
-    wanted = _bounded(starts, starts.count(), SENT_IDS)
-    found = source.withColumn("row", row).join(wanted, "row").select("doc_id", "row", _word_hashes(F.col("text")).alias("words"), "starts")
-    cut = F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["w"].alias("w"), _shingles(F.slice(F.col("words"), s["start"] + 1, s["w"]), s["k"]).alias("own")))
-    windows = found.select("doc_id", "row", F.explode(cut).alias("s")).select("doc_id", "row", "s.*").withColumn("print", simhash(F.col("own")))
-    windows = store.materialise(windows, "leak-windows")
-
-    keys = items.select("item", "w", "print", F.explode(_blocks(F.col("print"))).alias("b"))
-    keys = keys.select("item", "w", F.col("print").alias("item_print"), "b.block", F.explode(F.transform(_neighbours(), lambda m: F.col("b.value").bitwiseXOR(m))).alias("value")).distinct()
-    keys = store.materialise(keys, "leak-index")
-    probes = windows.select("doc_id", "row", "start", "w", "print", F.explode(_blocks(F.col("print"))).alias("b")).select("doc_id", "row", "start", "w", "print", "b.*")
-    near = probes.join(_bounded(keys, keys.count(), SENT_ROWS), ["w", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.select("doc_id", "row", "start", "w", "item").distinct()
-    pairs = near.join(windows.select(F.col("row"), "start", "w", "own").distinct(), ["row", "start", "w"])
-    pairs = pairs.join(_bounded(items.select("item", "item_id", F.col("own").alias("item_own")).dropDuplicates(["item"]), n_anchors, SENT_ROWS), "item")
-    alike = pairs.withColumn("similarity", weighted_similarity(F.col("own"), F.col("item_own"))).where(F.col("similarity") >= percent / 100)
-    best = alike.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
-    return best.select("doc_id", "item_id", (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity"))
+    spark = docs.sparkSession
+    with store.scratch(spark):
+        items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
+        items = items.withColumn("w", F.size("words")).withColumn("k", F.least(F.lit(WIDTH), F.col("w"))).withColumn("own", _shingles(F.col("words"), F.col("k")))
+        items = store.materialise(items.select("item_id", "w", "k", "own", F.xxhash64("words").alias("item"), simhash(F.col("own")).alias("print")), "leak-items")
+        widths = [r.k for r in items.select("k").distinct().orderBy("k").collect()]  # of 1 to 5
+        if not widths:
+            return docs.select(F.col("doc_id").cast("long").alias("doc_id")).limit(0).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("item_id", "long"), ("start", "int"), ("similarity", "double"))])
+        anchors = store.materialise(items.select("w", "k", F.explode("own").alias("shingle")).distinct(), "leak-anchors")
+
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+        words = source.select("row", _word_hashes(F.col("text")).alias("words"))
+        spread = words.select("row", F.size("words").alias("n"), F.explode(F.concat(*[_positions(F.col("words"), k) for k in widths])).alias("p"))
+        hits = spread.select("row", "n", "p.*").join(_bounded(anchors), ["k", "shingle"])
+        place = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - F.col("w")))
+        starts = store.materialise(hits.groupBy("row").agg(F.collect_set(F.struct(place.alias("start"), "w", "k")).alias("starts")), "leak-starts")
+
+        wanted = store.materialise(starts.select("row"), "leak-rows")
+        found = source.join(_bounded(wanted), "row", "left_semi").dropDuplicates(["row"]).join(starts, "row").select("doc_id", "row", _word_hashes(F.col("text")).alias("words"), "starts")
+        cut = F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["w"].alias("w"), _shingles(F.slice(F.col("words"), s["start"] + 1, s["w"]), s["k"]).alias("own")))
+        windows = found.select("doc_id", F.explode(cut).alias("s")).select("doc_id", "s.*").withColumn("window", F.xxhash64("w", "own"))
+        windows = store.materialise(windows, "leak-windows")
+        distinct = store.materialise(windows.groupBy("window").agg(F.first("w").alias("w"), F.first("own").alias("own")).withColumn("print", simhash(F.col("own"))), "leak-prints")
+
+        keys = items.select("item", "w", "print", F.explode(_blocks(F.col("print"))).alias("b"))
+        keys = keys.select("item", "w", F.col("print").alias("item_print"), "b.block", F.explode(F.transform(_neighbours(), lambda m: F.col("b.value").bitwiseXOR(m))).alias("value")).distinct()
+        keys = store.materialise(keys, "leak-index")
+        probes = distinct.select("window", "w", "print", F.explode(_blocks(F.col("print"))).alias("b")).select("window", "w", "print", "b.*")
+        near = probes.join(_bounded(keys), ["w", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+        near = near.select("window", "item").distinct().join(distinct.select("window", "own"), "window")
+        shown = items.groupBy("item").agg(F.first("own").alias("item_own"), F.collect_set("item_id").alias("item_ids"))
+        shown = store.materialise(shown, "leak-shown")
+        entries = shown.agg(F.sum(F.size("item_own") + F.size("item_ids"))).first()[0]
+        alike = near.join(_bounded(shown, entries), "item").withColumn("similarity", weighted_similarity(F.col("own"), F.col("item_own"))).where(F.col("similarity") >= percent / 100)
+        alike = store.materialise(alike.select("window", "similarity", F.explode("item_ids").alias("item_id")), "leak-alike")
+        met = windows.select("doc_id", "start", "window").join(_bounded(alike), "window")
+        best = met.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+        return store.kept(best.select("doc_id", "item_id", (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity")), "leak-found")

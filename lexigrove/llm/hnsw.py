@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import store
+from .. import store
 
 #: Rows of a shard, on average.
 SHARD = 16384
@@ -99,8 +99,9 @@ def search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, start: np.ndarray, e
     n_q = len(q)
     ids, dist, done = np.full((n_q, ef), -1, np.int64), np.full((n_q, ef), np.inf), np.ones((n_q, ef), bool)
     ids[:, 0], dist[:, 0], done[:, 0] = start, _to(q, x, start[:, None])[:, 0], False
-    visited = np.zeros((n_q, len(graph)), bool)
+    visited = np.zeros((n_q, len(graph) + 1), bool)
     visited[np.arange(n_q), start] = True
+    visited[:, -1] = True  # where a link that is not there, -1, points
     live = np.arange(n_q)
     while True:
         ahead = np.where(done[live], np.inf, dist[live])
@@ -110,10 +111,9 @@ def search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, start: np.ndarray, e
         if not len(live):
             break
         done[live, k] = True
-        near = graph[ids[live, k]]
-        nodes = np.maximum(near, 0).astype(np.int64)
-        new = (near >= 0) & ~visited[live[:, None], nodes]
-        visited[live[:, None], nodes] |= near >= 0
+        nodes = graph[ids[live, k]].astype(np.int64)
+        new = ~visited[live[:, None], nodes]
+        visited[live[:, None], nodes] = True
         found = np.where(new, _to(q[live], x, nodes), np.inf)
         all_dist = np.concatenate([dist[live], found], 1)
         keep = np.argpartition(all_dist, ef - 1, axis=1)[:, :ef]

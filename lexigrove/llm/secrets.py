@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from .. import store
 
 # The patterns, their kinds in order, and the least length of a match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -297,33 +297,35 @@ def find(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
 
     ``docs``: doc_id and text; more columns are ignored. Null and empty texts have no spans, and the
     hash of the empty string. Rows of the same doc_id each get a result. Spans are kind:start:end in
-    code points, end exclusive, by start and then by kind. Without any base match nothing is learned
-    and nothing added. The background of prose is counted over all words of all texts outside base spans.
+    code points, end exclusive, by start and then by kind. Texts of any length are scanned whole. Without any base match nothing is learned
+    and nothing added; an empty table gives an empty result. The background of prose is counted over all words of all texts outside base spans.
     """
-    scanned = store.materialise(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_scan, _SCANNED), "secrets-scan"
-    )
-    labelled = scanned.where("size(values) > 0").select(F.explode("values").alias("v")).distinct()
-    learned = {}
-    for kind in KINDS[:3]:
-        some = labelled.where(F.col("v").startswith(kind + ":")).orderBy(F.xxhash64("v"), "v").limit(examples).collect()
-        learned[kind] = [r.v[len(kind) + 1 :] for r in some]
-    pairs = np.zeros(len(SYMBOLS) ** 2, np.int64)
-    for r in scanned.where("pairs is not null").select(F.posexplode("pairs").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
-        pairs[r.k] = r.n
-    formats = Formats(learned, pairs)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, base, starts, runs in zip(batch["doc_id"], batch["base"], batch["starts"], batch["runs"], strict=True):
-                spans = [(b["start"], b["kind"], b["end"]) for b in base]
-                own = Counter(k for _, k, _ in spans)
-                show = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
-                more = [(int(s) + a, 3, int(s) + b) for s, r in zip(starts, runs, strict=True) for a, b in formats.spans(r)]
-                rows.append((doc_id, own[0], own[1], own[2], len(more), hashlib.sha256(show(spans).encode()).hexdigest(), show(spans + more)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_inferred", "base_sha256", "spans"]).astype({"doc_id": "Int64"})
-
-    return scanned.select("doc_id", "base", "starts", "runs").mapInPandas(
-        score, "doc_id long, n_assign long, n_access long, n_hex long, n_inferred long, base_sha256 string, spans string"
-    )
+    with store.scratch(docs.sparkSession):  # what was scanned holds credentials in clear and goes at the end
+        scanned = store.materialise(
+            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_scan, _SCANNED), "secrets-scan"
+        )
+        labelled = scanned.where("size(values) > 0").select(F.explode("values").alias("v")).distinct()
+        learned = {}
+        for kind in KINDS[:3]:
+            some = labelled.where(F.col("v").startswith(kind + ":")).orderBy(F.xxhash64("v"), "v").limit(examples).collect()
+            learned[kind] = [r.v[len(kind) + 1 :] for r in some]
+        pairs = np.zeros(len(SYMBOLS) ** 2, np.int64)
+        for r in scanned.where("pairs is not null").select(F.posexplode("pairs").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+            pairs[r.k] = r.n
+        formats = Formats(learned, pairs)
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for doc_id, base, starts, runs in zip(batch["doc_id"], batch["base"], batch["starts"], batch["runs"], strict=True):
+                    spans = [(b["start"], b["kind"], b["end"]) for b in base]
+                    own = Counter(k for _, k, _ in spans)
+                    show = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+                    more = [(int(s) + a, 3, int(s) + b) for s, r in zip(starts, runs, strict=True) for a, b in formats.spans(r)]
+                    rows.append((doc_id, own[0], own[1], own[2], len(more), hashlib.sha256(show(spans).encode()).hexdigest(), show(spans + more)))
+                yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_inferred", "base_sha256", "spans"]).astype({"doc_id": "Int64"})
+
+        scored = scanned.select("doc_id", "base", "starts", "runs").mapInPandas(
+            score, "doc_id long, n_assign long, n_access long, n_hex long, n_inferred long, base_sha256 string, spans string"
+        )
+        return store.kept(scored, "secrets-found")

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import store, tokens
+from .. import store
+from . import tokens
 
 #: Ids of a block.
 BLOCK = 1 << 21
