@@ -21,9 +21,6 @@ COMPARED = r"(не более|не менее|не превышает|более
 QUANTITY = r"(\d+(?:[.,]\d+)?)\s*([а-яё0-9./%]+)"
 #: Characters before a match in which its subject is looked for.
 REACH = 60
-#: Matches nothing and captures the up to REACH characters before; a lookahead for what a match begins with keeps it off other places.
-_BEHIND = rf"(?<=(^.{{0,{REACH - 1}}}|.{{{REACH}}}))"
-_BEGINS = {COMPARED: "(?=[нбмсвод])", QUANTITY: r"(?=\d)"}
 
 
 def unit(raw: Column) -> Column:
@@ -47,14 +44,20 @@ def _value(number: Column) -> Column:
 def _subject(before: Column) -> Column:
     """Distinct Cyrillic words of more than two letters in the characters before a match, no stop words."""
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    words = F.regexp_extract_all(before, F.lit("[а-яё]+"), F.lit(0))
+    words = F.regexp_extract_all(F.right(before, F.lit(REACH)), F.lit("[а-яё]+"), F.lit(0))
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)))
 
 
 def matches(norm: Column, pattern: str, groups: int) -> dict[str, Column]:
-    """Arrays g1.. of each match's groups, and ``before``: the characters before each match."""
-    full = F.lit(f"(?Us){_BEGINS[pattern]}{_BEHIND}{pattern}")
-    return {"before": F.regexp_extract_all(norm, full, F.lit(1))} | {f"g{g}": F.regexp_extract_all(norm, full, F.lit(g + 1)) for g in range(1, groups + 1)}
+    """Arrays g1.. of each match's groups, and ``marked``: the text split before each match."""
+    pattern = f"(?U){pattern}"
+    found = {f"g{g}": F.regexp_extract_all(norm, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)}
+    return found | {"marked": F.split(F.regexp_replace(norm, pattern, "\u0001$0"), "\u0001")}
+
+
+def _before(marked: Column, i: Column) -> Column:
+    """At least the REACH characters before match ``i``: parts have one or more, so so many parts are enough."""
+    return F.array_join(F.slice(marked, F.greatest(i + 2 - REACH, F.lit(1)), F.least(i + 1, F.lit(REACH))), "")
 
 
 def comparisons(m: dict[str, Column]) -> Column:
@@ -63,7 +66,7 @@ def comparisons(m: dict[str, Column]) -> Column:
         m["g1"],
         lambda w, i: F.struct(
             w.alias("word"), _value(F.get(m["g2"], i)).alias("value"), unit(F.get(m["g3"], i)).alias("unit"),
-            w.isin(*LOWER_STRICT, *LOWER).alias("is_lower"), w.isin(*LOWER_STRICT, *UPPER_STRICT).alias("strict"), _subject(F.get(m["before"], i)).alias("subject"),
+            w.isin(*LOWER_STRICT, *LOWER).alias("is_lower"), w.isin(*LOWER_STRICT, *UPPER_STRICT).alias("strict"), _subject(_before(m["marked"], i)).alias("subject"),
         ),
     )
     return F.filter(made, lambda x: x["unit"].isNotNull())
@@ -94,7 +97,7 @@ def intervals(found: Column) -> Column:
 
 def quantities(m: dict[str, Column]) -> Column:
     """Quantities with a known unit: (unit, value, subject), in order."""
-    made = F.transform(m["g1"], lambda v, i: F.struct(unit(F.get(m["g2"], i)).alias("unit"), _value(v).alias("value"), _subject(F.get(m["before"], i)).alias("subject")))
+    made = F.transform(m["g1"], lambda v, i: F.struct(unit(F.get(m["g2"], i)).alias("unit"), _value(v).alias("value"), _subject(_before(m["marked"], i)).alias("subject")))
     return F.filter(made, lambda x: x["unit"].isNotNull())
 
 

@@ -71,16 +71,22 @@ def numbers(text: Column) -> Column:
     return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
 
 
-def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams inside words that have a blank added at both ends."""
+def words_of(text: Column) -> Column:
+    """The words that character n-grams are taken from: lower-case runs without white space."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+
 
-    def of_word(w: Column) -> Column:
-        p = F.concat(F.lit(" "), w, F.lit(" "))
-        at = lambda n: F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substring(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        return F.concat(*[at(n) for n in range(low, high + 1)])
+def word_grams(word: Column, low: int = 3, high: int = 5) -> Column:
+    """Character n-grams of a word that has a blank at both ends already."""
+    at = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(*[at(n) for n in range(low, high + 1)])
 
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
-    return F.flatten(F.transform(words, of_word))
+
+def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
+    """Character n-grams inside words that have a blank added at both ends."""
+    # Padded first, so that no gram builds its word anew.
+    padded = F.transform(words_of(text), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded, lambda p: word_grams(p, low, high)))
 
 
 def short_family(label: Column, limit: int = 110) -> Column:

@@ -1,20 +1,23 @@
 """Lexical and dense scores of query-document pairs from postings.
 
-Postings are rows (id, term, tf), dealt out by id: texts are shuffled once, as they are, and everything that
-is counted by document stays where it is. Scores take two passes over the documents' postings. The first
-counts documents by term into a written table. The second weighs the postings, takes each document's norm or
-length and keeps of its terms those that a query has; these meet the queries' terms.
+Postings are rows (id, term, tf). Texts are shuffled once, by id, and their terms are counted where the text is.
+The documents' postings are written once; from that table come the terms' document counts, the
+documents' norms or lengths, and, cut down to the terms that a query has, the products with the queries' postings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import store
+from ..functions.text import word_grams, words_of
 
 #: Most terms, of the vocabulary or of all queries, that are broadcast (some tens of bytes each); more are joined by shuffle.
 SENT_TERMS = 1_000_000
@@ -29,6 +32,13 @@ def postings(texts: DataFrame, key: str, terms: Column) -> DataFrame:
     return dealt.select(F.col(key).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def gram_postings(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, term, tf) of character n-grams, by id; a document's repeated words are cut up once."""
+    words = texts.repartition(F.col(key)).select(F.col(key).alias("id"), F.explode(words_of(F.col(text))).alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"))
+    grams = words.select("id", "n", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p")).select("id", "n", F.explode(word_grams(F.col("p"))).alias("term"))
+    return grams.groupBy("id", "term").agg(F.sum("n").alias("tf"))
+
+
 def counted(rows: DataFrame, key: str) -> DataFrame:
     """(id, term, tf) from rows (key, term)."""
     return rows.groupBy(F.col(key).alias("id"), "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -60,25 +70,20 @@ def _asked(queries: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame
     return store.materialise(queries.join(_sent(weights.where("asked").drop("asked")), "term"), "query-terms"), weights
 
 
-def _met(found: DataFrame, q: DataFrame, part: Column) -> DataFrame:
-    """(query_id, doc_id, score): the sum of ``part`` over the terms that a document of ``found`` (doc_id, met, …) shares with a query."""
-    rows = found.where(F.size("met") > 0).select("*", F.explode("met").alias("m")).drop("met").select("*", "m.*").drop("m")
-    return rows.join(_sent(q), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-
-
 def tfidf_scores(queries: DataFrame, docs: DataFrame, size: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): cosine of sublinear TF-IDF vectors, for pairs that share a term.
 
     A query's norm is over the terms that the documents have.
     """
+    docs = store.materialise(docs, "postings")
     q, weights = _asked(queries, idf(docs, size).select("term", "idf"))
     w = (1 + F.log("tf")) * F.col("idf")
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    q = q.withColumn("w", w)
-    q = q.join(q.groupBy("id").agg(norm.alias("q_norm")), "id").select("term", F.col("id").alias("query_id"), (F.col("w") / F.col("q_norm")).alias("wq"))
-    d = docs.join(_sent(weights), "term").withColumn("w", w)
-    found = d.groupBy(F.col("id").alias("doc_id")).agg(norm.alias("d_norm"), F.collect_list(F.when(F.col("asked"), F.struct("term", F.col("w").alias("wd")))).alias("met"))
-    return _met(found, store.materialise(q, "query-terms"), F.col("wq") * F.col("wd") / F.col("d_norm"))
+    norm = F.sqrt(F.sum(w * w))
+    q = q.join(q.groupBy("id").agg(norm.alias("q_norm")), "id").select("term", F.col("id").alias("query_id"), (w / F.col("q_norm")).alias("wq"))
+    d_norm = docs.join(_sent(weights), "term").groupBy(F.col("id").alias("doc_id")).agg(norm.alias("d_norm"))
+    d = docs.join(_sent(weights.where("asked")), "term").select("term", F.col("id").alias("doc_id"), w.alias("wd"))
+    dot = d.join(_sent(store.materialise(q, "query-terms")), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
+    return dot.join(d_norm, "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("d_norm")).alias("score"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, size: DataFrame, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
@@ -88,16 +93,17 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, size: DataFrame, k1: float
     often as they occur. ``size``: one row n, all documents, those without terms included.
     """
     n = F.col("n")
+    docs = store.materialise(docs, "postings")
     counted = store.materialise(docs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("times")), "term-counts")
     raw = counted.crossJoin(F.broadcast(size)).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"), (F.sum("times") / F.first("n")).alias("avgdl"))  # one row
     weights = raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     q, weights = _asked(queries, weights)
     q = q.select("term", F.col("id").alias("query_id"), F.col("tf").alias("qtf"), "idf", "avgdl")
-    d = docs.join(_sent(weights.where("asked").select("term", "asked")), "term", "left")
-    found = d.groupBy(F.col("id").alias("doc_id")).agg(F.sum("tf").alias("dl"), F.collect_list(F.when(F.col("asked"), F.struct("term", "tf"))).alias("met"))
+    length = docs.groupBy(F.col("id").alias("doc_id")).agg(F.sum("tf").alias("dl"))
+    hit = docs.withColumnRenamed("id", "doc_id").join(_sent(q), "term").join(length, "doc_id")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return _met(found, q, part)
+    return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def unit_vector(v: Column) -> Column:
@@ -114,14 +120,43 @@ def dot(a: Column, b: Column) -> Column:
 def dense_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of every pair by cosine; both sides are (id, vector).
 
-    This is a full product by definition; the smaller side is the block of queries. For search in large
-    tables use an index instead.
+    This is a full product by definition, for a bounded catalogue. For the best of many use ``dense_top``.
     """
     q = queries.select(F.col("id").alias("query_id"), unit_vector(F.col("vector")).alias("q"))
     d = docs.select(F.col("id").alias("doc_id"), unit_vector(F.col("vector")).alias("d"))
     return d.crossJoin(q).select("query_id", "doc_id", dot(F.col("q"), F.col("d")).alias("score"))
 
 
+def _blocks(rows: DataFrame, size: int, side: str) -> DataFrame:
+    """Blocks of about ``size`` rows (id, vector): (block, ids, vectors), the vectors of length 1 and end to end."""
+    n = rows.count()
+    spot = F.pmod(F.xxhash64("id", "vector"), F.lit(max(1, -(-n // size))))
+    packed = rows.select(spot.alias("block"), F.struct("id", unit_vector(F.col("vector")).alias("v")).alias("row")).groupBy("block").agg(F.collect_list("row").alias("rows"))
+    return packed.select(F.transform("rows", lambda r: r["id"]).alias(f"{side}_ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias(f"{side}_vectors"))
+
+
+def dense_top(queries: DataFrame, docs: DataFrame, k: int = 10, query_block: int = 512, doc_block: int = 4096, digits: int = 9) -> DataFrame:
+    """(query_id, doc_id, rank, score): the k best of ``docs`` by cosine for every query; both sides are (id, vector) of one length.
+
+    The product goes block by block: a block of queries meets a block of documents in one matrix product,
+    of which only each query's k best leave the task. Ties, after rounding, go to the smaller doc_id. Zero vectors have cosine 0.
+    """
+    kinds = dict(queries.dtypes)["id"], dict(docs.dtypes)["id"]
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                q_ids, d_ids = np.asarray(row.q_ids), np.asarray(row.d_ids)
+                order = np.argsort(d_ids, kind="stable")
+                scores = np.asarray(row.q_vectors).reshape(len(q_ids), -1) @ np.asarray(row.d_vectors).reshape(len(d_ids), -1)[order].T
+                first = np.argsort(-scores.round(digits), axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(q_ids, first.shape[1]), "doc_id": d_ids[order][first.reshape(-1)], "score": np.take_along_axis(scores, first, 1).reshape(-1)})
+
+    pairs = _blocks(docs, doc_block, "d").crossJoin(_blocks(queries, query_block, "q"))
+    found = store.materialise(pairs.mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"), "dense-best", records=1)
+    return top(found, k)
+
+
 def complete(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Every pair of (query_id) and (doc_id), with score 0 where none was found: for bounded catalogues."""
     pairs = queries.select("query_id").crossJoin(docs.select("doc_id"))
@@ -149,7 +184,7 @@ def ranks_of_all(legs: dict[str, DataFrame], queries: DataFrame, docs: DataFrame
     where = places(docs)
     rows = [s.select("query_id", "doc_id", F.lit(name).alias("leg"), F.round("score", digits).alias("r")) for name, s in legs.items()]
     scored = reduce(DataFrame.unionByName, rows).groupBy("query_id", "doc_id").agg(*[F.max(F.when(F.col("leg") == name, F.col("r"))).alias(name) for name in legs])
-    found = scored.join(where, "doc_id")
+    found = store.materialise(scored.join(where, "doc_id"), "leg-scores")  # used thrice
     # A found document with fewer than j + 1 unfound ones before it pushes the unfound one of index j one place on.
     by_place = Window.partitionBy("query_id").orderBy("place")
     gaps = found.select("query_id", (F.col("place") - F.row_number().over(by_place) + 1).alias("gap")).where(F.col("gap") < least).groupBy("query_id", "gap").agg(F.count(F.lit(1)).alias("n"))

@@ -90,8 +90,10 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _leg(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     queries, docs = _sides(spark, sf_dir)
-    terms = tx.char_grams if name == "char" else tx.tokenise
-    q, d = retrieval.postings(queries, "item_id", terms(F.col("text"))), retrieval.postings(docs, "doc_id", terms(F.col("text")))
+    if name == "char":
+        q, d = retrieval.gram_postings(queries, "item_id", "text"), retrieval.gram_postings(docs, "doc_id", "text")
+    else:
+        q, d = retrieval.postings(queries, "item_id", tx.tokenise(F.col("text"))), retrieval.postings(docs, "doc_id", tx.tokenise(F.col("text")))
     return (retrieval.bm25_scores if name == "bm25" else retrieval.tfidf_scores)(q, d, retrieval.corpus_size(docs))
 
 
@@ -213,7 +215,7 @@ def normalised_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id 20 divides is the stated block of queries, against all rows."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return _top10(retrieval.dense_scores(rows.where(F.col("id") % 20 == 0), rows))
+    return retrieval.dense_top(rows.where(F.col("id") % 20 == 0), rows).select("query_id", "doc_id", "rank", rounded("score"))
 
 
 # --- intervals, quantities, constraint signals ----------------------------------------------------

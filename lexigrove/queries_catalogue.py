@@ -75,6 +75,19 @@ def constraint_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.signal(pairs, constraints.interval_rows(parts), constraints.quantity_rows(orders)).select("query_id", "doc_id", "signal")
 
 
+@query(
+    "SELECT p_partkey, i.pos::BIGINT AS pos, i.unit, i.lo, i.hi, i.subject FROM (SELECT p_partkey, unnest(["
+    "{'pos': 0, 'unit': 'mm', 'lo': p_size::DOUBLE, 'hi': p_size + 10::DOUBLE, 'subject': 'длина доски шириной'}, "
+    "{'pos': 1, 'unit': 'kg', 'lo': NULL::DOUBLE, 'hi': 7::DOUBLE, 'subject': 'длина доски масса шириной'}]) AS i FROM part)"
+)
+def interval_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merged interval has the words before either of its bounds, without stop words and repeats."""
+    size = F.col("p_size")
+    text = F.concat(F.lit("Длина доски более "), size.cast("string"), F.lit(" мм, шириной до "), (size + 10).cast("string"), F.lit(" мм, для доски масса "), F.lit("менее 7 кг"))
+    rows = constraints.interval_rows(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+    return rows.select(F.col("doc_id").alias("p_partkey"), F.col("pos").cast("long").alias("pos"), "unit", "lo", "hi", F.array_join(F.sort_array("subject"), " ").alias("subject"))
+
+
 _LEMMAS = (("колеса", "колесо"), ("стальные", "стальной"), ("мебели", "мебель"), ("данные", "данный"))
 
 
