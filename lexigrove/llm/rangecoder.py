@@ -34,8 +34,8 @@ _I = np.int32
 _LOW = np.uint64((1 << 32) - 1)
 _FULL = np.uint64((1 << 48) - 1)
 _U = np.uint64
-#: Odds of 4096 that a candidate is right stay below this, which leaves the order-0 code its precision.
-_MOST = 4064
+#: The run of a symbol that has followed once more.
+_RUN = np.array([1, 2, 3, 4, 5, 6, 7, 7], _I)
 
 
 class Alphabet:
@@ -82,7 +82,7 @@ class _Model:
         self.pa, self.pb = np.full(lanes * 64, 4096, _I), np.full(lanes * 64, 4096, _I)
         self.mix = np.full(lanes, 8, _I)
         self.prev1, self.hash1 = np.zeros(lanes, _I), np.zeros(lanes, _I)
-        self.weight = weight
+        self.weight, self.step = weight << 3, 0
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The candidates of the first n lanes and the odds of 4096 that they are right."""
@@ -92,14 +92,14 @@ class _Model:
         self.h = h
         self.i1 = self.base1[:n] + ((h >> 5) & (_S1 - 1))
         self.i2 = self.base2[:n] + ((h + self.hash1[:n] >> 4) & (_S2 - 1))
-        self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
-        c2 = self.e2 & 7
-        guess = np.where(c2 > 0, self.e2, self.e1) >> 3
-        self.sa = self.lane64[:n] + (c2 << 3 | self.e1 & 7)
-        self.sb = self.lane64[:n] + (self.weight.take(a) << 3 | self.e1 & 7)
+        e1, e2 = self.one.take(self.i1), self.two.take(self.i2)
+        self.p1, self.p2, self.c1, self.c2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
+        self.sa = self.lane64[:n] + (self.c2 << 3 | self.c1)
+        self.sb = self.lane64[:n] + (self.weight.take(a) | self.c1)
         self.xa, self.xb = self.pa.take(self.sa), self.pb.take(self.sb)
-        odds = self.xb * 16 + (self.xa - self.xb) * self.mix[:n] >> 8
-        return guess, np.minimum(np.maximum(odds, 1), _MOST).astype(np.uint64)
+        # Estimates stay between 0 and 65504, so that odds are 1 to 4095.
+        odds = (self.xb * 16 + (self.xa - self.xb) * self.mix[:n] >> 8) + 1
+        return np.where(self.c2 > 0, self.p2, self.p1), odds.astype(np.uint64)
 
     def update(self, own: np.ndarray, hit: np.ndarray) -> None:
         n = len(own)
@@ -107,15 +107,14 @@ class _Model:
         ea, eb = goal - self.xa, goal - self.xb
         self.pa[self.sa] = self.xa + (ea >> 5)
         self.pb[self.sb] = self.xb + (eb >> 5)
-        w = self.mix[:n]
-        w += np.sign(np.abs(eb) - np.abs(ea))
-        np.minimum(w, 16, out=w)
-        np.maximum(w, 0, out=w)
+        self.step += 1
+        if self.step & 3 == 0:
+            w = self.mix[:n]
+            w += np.sign(np.abs(eb) - np.abs(ea))
+            np.clip(w, 0, 16, out=w)
         fresh = own << 3
-        # Within 8 of the entry: the same symbol, and its run goes on up to 7.
-        for table, at, e in ((self.one, self.i1, self.e1), (self.two, self.i2, self.e2)):
-            run = e - fresh + 1
-            table[at] = fresh + np.where((run > 0) & (run < 9), np.minimum(run, 7), 0)
+        self.one[self.i1] = fresh + _RUN.take(self.c1) * (self.p1 == own)
+        self.two[self.i2] = fresh + _RUN.take(self.c2) * (self.p2 == own)
         np.multiply(self.h, _I(30983), out=self.hash1[:n])
         self.prev1[:n] = own
 
@@ -233,8 +232,8 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> byt
     alphabet = Alphabet.of(ids)
     shown = alphabet.pack()
     coded = encode_blocks(ids, alphabet)
-    own = [ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4") for i in range(len(coded))]
-    entries = b"".join(struct.pack("<III", len(x), len(c), zlib.crc32(x.tobytes())) for x, c in zip(own, coded, strict=True))
+    block = lambda i: ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()
+    entries = b"".join(struct.pack("<III", len(b) // 4, len(c), zlib.crc32(b)) for i, c in enumerate(coded) for b in [block(i)])
     return MAGIC + struct.pack("<QQQQQ", len(doc_ids), len(ids), len(table), len(shown), len(coded)) + table + shown + entries + b"".join(coded)
 
 

@@ -39,11 +39,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, rows: in
 
         def close(part: int) -> pa.RecordBatch:
             nonlocal ids, lengths, doc_ids, held, seq
-            flat, name = np.concatenate(ids), f"part-{part:06d}-{seq:04d}.lxcm"
+            flat, ids = np.concatenate(ids), []
             data = rangecoder.pack(flat, doc_ids, np.concatenate(lengths))
-            tokens.write_file(folder, name, data)
+            tokens.write_file(folder, name := f"part-{part:06d}-{seq:04d}.lxcm", data)
             row = {"part": part, "seq": seq, "name": name, "n_docs": len(doc_ids), "n_ids": len(flat), "n_bytes": len(data)}
-            ids, lengths, doc_ids, held, seq = [], [], [], 0, seq + 1
+            lengths, doc_ids, held, seq = [], [], 0, seq + 1
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         part = None

@@ -226,3 +226,46 @@ def test_scratch_is_deleted(spark, tmp_path, monkeypatch):
     result = neardup.near_duplicates(corpus(spark, ["a b c d e f", "a b c d e f", "x"]))
     assert result.count() == 3 and len(list(tmp_path.iterdir())) == 1
     assert secrets.find(corpus(spark, ["password=abcdefghijklmnop"])).count() == 1 and len(list(tmp_path.iterdir())) == 2
+
+
+def test_repeats_like_brute_force(spark):
+    """On pages without an article: every stretch of DEPTH tokens that another page of the host has goes, and common whole blocks."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    fresh = lambda n: [rng.choice(words) + str(rng.randrange(999)) for _ in range(n)]
+    shared = {h: [fresh(70) for _ in range(4)] for h in "ab"}
+    common = {h: fresh(8) for h in "ab"}
+    pages = []
+    for h in "ab":
+        for p in range(14):
+            blocks = []
+            for _ in range(rng.randrange(2, 6)):
+                own = rng.choice(shared[h])
+                at = rng.randrange(30)
+                blocks.append(rng.choice([fresh(rng.randrange(1, 40)), fresh(5) + own[at : at + rng.randrange(10, 45)] + fresh(4), own[at : at + 31]]))
+            if p % 3:
+                blocks.insert(rng.randrange(len(blocks)), common[h])
+            pages.append((h, blocks))
+        pages.append(pages[-1])  # a mirror counts as one page with it
+    rows = [(i, f"http://{h}.example/{i}", "<body>" + "".join(f"<div>{' '.join(b)}</div>" for b in blocks) + "</body>") for i, (h, blocks) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    depth = html.DEPTH
+    for i, (h, blocks) in enumerate(pages):
+        others = {str(b): b for g, b in pages if g == h}
+        here = others.pop(str(blocks))
+        stream = [t for b in here for t in b]
+        gone = [False] * len(stream)
+        for other in others.values():
+            theirs = [t for b in other for t in b]
+            windows = {tuple(theirs[k : k + depth]) for k in range(len(theirs) - depth + 1)}
+            for k in range(len(stream) - depth + 1):
+                if tuple(stream[k : k + depth]) in windows:
+                    gone[k : k + depth] = [True] * depth
+        kept, at = [], 0
+        for b in here:
+            on = sum(b in other for other in [here, *others.values()])
+            left = [t for t, g in zip(b, gone[at : at + len(b)], strict=True) if not g]
+            at += len(b)
+            if left and not (len(b) >= html.LEAST_BLOCK and on >= html.LEAST_PAGES and 2 * on >= len(others) + 1):
+                kept.append(" ".join(left))
+        assert got[i] == " ".join(kept), i
