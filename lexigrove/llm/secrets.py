@@ -3,10 +3,11 @@
 The fixed patterns give base spans of three kinds. Their matched credentials are labelled examples,
 from which a probabilistic automaton is inferred for each kind: a prefix tree of the examples' character
 classes, whose states are merged where their outgoing frequencies are statistically compatible
-(Hoeffding bound, states in breadth-first order, merges folded into a deterministic automaton). What
+(Hoeffding bound, states in breadth-first order, merges folded into a deterministic automaton); each
+state then learns which characters of a class it has, so that a fixed beginning is one. What
 is left of every long run of credential characters outside base spans is then scored by the likelihood of its
 format, as a whole and in the pieces between its separators (a name or a path can stand before a
-credential), and what looks like an example more than like prose is added as a span of kind ``inferred``.
+credential), and what looks like an example more than like prose, in whatever case, is added as a span of kind ``inferred``.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ ALPHA = 0.05
 
 _CLASS = {**{c: "d" for c in "0123456789"}, **{c: "h" for c in "abcdef"}, **{c: "l" for c in "ghijklmnopqrstuvwxyz"}, **{c: "H" for c in "ABCDEF"}, **{c: "U" for c in "GHIJKLMNOPQRSTUVWXYZ"}}
 _TO_CLASS = str.maketrans(_CLASS)
+_SMALL = str.maketrans("HU", "hl")
 END = "$"
 #: The background's symbols: the ends of words, the classes, the separators, and one for all other characters.
 SYMBOLS = END + "dhlHU+/_.=-" + "o"
@@ -106,20 +108,48 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
     return out
 
 
+#: Characters of each class.
+_SIZE = Counter(_CLASS.values())
+
+
 class Automaton:
-    """A deterministic probabilistic automaton over character classes."""
+    """A deterministic probabilistic automaton over character classes, whose states also tell how likely each character of a class is."""
 
     def __init__(self, counts: list[dict[str, int]], moves: list[dict[str, int]], floor: float):
         self.logs = [{a: math.log(n / sum(c.values())) for a, n in c.items()} for c in counts]
         self.moves, self.floor = moves, floor
-
-    def score(self, word: str) -> float:
-        """Mean log likelihood a symbol, the end included; minus infinity for an unseen move."""
+        self.chars: list[dict[str, float]] = [{} for _ in counts]
+
+    def spell(self, words: Counter) -> None:
+        """Learn the characters of the examples, state by state, half an example of each added."""
+        seen: list[Counter] = [Counter() for _ in self.moves]
+        for word, n in words.items():
+            state = 0
+            for c in word:
+                seen[state][c] += n
+                state = self.moves[state][_CLASS.get(c, c)]
+        for state, own in enumerate(seen):
+            total = Counter()
+            for c, n in own.items():
+                total[_CLASS.get(c, c)] += n
+            size = lambda k: _SIZE.get(k, 1)
+            # By how much a character is likelier here than any of its class; a blank and the class stand for those not seen.
+            self.chars[state] = {c: math.log((n + 0.5) * size(k) / (total[k] + 0.5 * size(k))) for c, n in own.items() for k in [_CLASS.get(c, c)]}
+            self.chars[state] |= {" " + k: math.log(0.5 * size(k) / (n + 0.5 * size(k))) for k, n in total.items()}
+
+    def score(self, word: str, chars: str | None = None) -> float:
+        """Mean log likelihood a symbol, the end included; minus infinity for an unseen move.
+
+        ``word`` is a class string. With its characters, how these differ from even odds in their classes counts too.
+        """
         state, total = 0, 0.0
-        for a in word:
+        for k, a in enumerate(word):
             if a not in self.logs[state]:
                 return -math.inf
             total += self.logs[state][a]
+            if chars is not None:
+                own = self.chars[state]
+                total += own[chars[k]] if chars[k] in own else own.get(" " + a, 0.0)
             state = self.moves[state][a]
         return (total + self.logs[state].get(END, -math.inf)) / (len(word) + 1)
 
@@ -224,27 +254,34 @@ class Formats:
 
     def __init__(self, examples: dict[str, list[str]], prose: list[str] | np.ndarray):
         """``prose``: words, or their counts of ``symbol_pairs``."""
-        made = {kind: infer(Counter(e.translate(_TO_CLASS) for e in words)) for kind, words in examples.items()}
-        self.automata = {kind: a for kind, a in made.items() if a}
+        self.automata: dict[str, Automaton] = {}
+        for kind, words in examples.items():
+            if made := infer(Counter(e.translate(_TO_CLASS) for e in words)):
+                made.spell(Counter(words))
+                scores = sorted(made.score(e.translate(_TO_CLASS), e) for e in words)
+                made.floor = scores[len(scores) // 100]
+                self.automata[kind] = made
         self.background = Background.counted(prose) if isinstance(prose, np.ndarray) else Background.of(prose)
-        self.known: dict[str, float] = {}
+        self.known: dict[str, tuple[float, list[Automaton]]] = {}
         self.found: dict[str, list[tuple[int, int]]] = {}
         #: Joined pieces are credentials of a learned format up to this length.
         self.longest = max((len(e) for words in examples.values() for e in words), default=0)
 
-    def margin(self, run: str, classes: bool = False) -> float:
-        """By how much the run's format is likelier under the best automaton than as prose; -inf if below all floors.
-
-        ``classes``: ``run`` is its class string already.
-        """
-        word = run if classes else run.translate(_TO_CLASS)
+    def margin(self, run: str) -> float:
+        """By how much the run's format is likelier under the best automaton than as prose; -inf if below all floors."""
+        word = run.translate(_TO_CLASS)
         if word not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            own = [a.score(word) for a in self.automata.values()]
-            good = [s for s, a in zip(own, self.automata.values(), strict=True) if s >= a.floor]
-            self.known[word] = max(good) - self.background.score(word) if good else -math.inf
-        return self.known[word]
+            prose = self.background.score(word)
+            if not ("h" in word or "l" in word):
+                # A word in capitals is as much prose as in small letters, of which there is more to learn from.
+                prose = max(prose, self.background.score(word.translate(_SMALL)))
+            # Few formats can come about at all; only these are worth a look at the characters.
+            self.known[word] = prose, [a for a in self.automata.values() if a.score(word) > -math.inf]
+        prose, able = self.known[word]
+        good = [s for a in able if (s := a.score(word, run)) >= a.floor]
+        return max(good) - prose if good else -math.inf
 
     def spans(self, run: str) -> list[tuple[int, int]]:
         """(start, end) in ``run`` of what is likelier as a credential than as prose, apart from each other.
@@ -252,25 +289,24 @@ class Formats:
         The run as a whole, every piece between separators, and neighbouring pieces joined up to the
         longest example compete by the logarithm of their likelihood ratio; the best come first.
         """
-        word = run.translate(_TO_CLASS)
-        if word not in self.found:
+        if run not in self.found:
             if len(self.found) > 50_000:
                 self.found.clear()
-            pieces = [m.span() for m in PIECE.finditer(word)]
-            parts = {(0, len(word))}
+            pieces = [m.span() for m in PIECE.finditer(run)]
+            parts = {(0, len(run))}
             for i, (s, e) in enumerate(pieces):
                 parts.add((s, e))
                 for _, e in pieces[i + 1 :]:
                     if e - s > self.longest:
                         break
                     parts.add((s, e))
-            scored = [((e - s + 1) * m, s, e) for s, e in parts if e - s >= LEAST["assign"] and (m := self.margin(word[s:e], True)) > 0]
+            scored = [((e - s + 1) * m, s, e) for s, e in parts if e - s >= LEAST["assign"] and (m := self.margin(run[s:e])) > 0]
             best: list[tuple[int, int]] = []
             for _, s, e in sorted(scored, key=lambda x: (-x[0], x[1], x[2])):
                 if all(e <= a or b <= s for a, b in best):
                     best.append((s, e))
-            self.found[word] = sorted(best)
-        return self.found[word]
+            self.found[run] = sorted(best)
+        return self.found[run]
 
 
 _SCANNED = "doc_id long, base array<struct<start:long,kind:int,end:long>>, values array<string>, starts array<long>, runs array<string>, pairs array<long>"

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 REMEMBERED = 600_000
 #: Documents of a part of the corpus.
 ROWS = 8192
+#: Pieces whose ids are gathered at once.
+GATHERED = 1 << 16
 #: Bytes of text that are tokenized at once, if it is more than one document.
 TEXT_BYTES = 16 << 20
 
@@ -123,19 +125,27 @@ class Pieces:
         """Ids of all texts in a row, and how many each has. A null text counts as empty."""
         split = pc.ascii_split_whitespace(self.cut(pc.fill_null(texts, "")))
         numbered = split.flatten().dictionary_encode()
-        words = numbered.dictionary.to_pylist()
-        new = [w for w in words if w not in self.number]
-        if new and len(self.number) + len(new) > REMEMBERED:
-            self.forget()
-            new = [w for w in words if w not in self.number]
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.number.get, words))
+        new = [w for w, k in zip(words, found, strict=True) if k is None]
         if new:
+            if len(self.number) + len(new) > REMEMBERED:
+                self.forget()
+                new = [w for w in words if w not in self.number]
             self.learn(new)
-        distinct = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            found = list(map(self.number.__getitem__, words))
+        distinct = np.array(found, np.int64)
         self.uses[distinct] += 1
         own = distinct[numbered.indices.to_numpy(zero_copy_only=False)]
         lengths = self.lengths[own]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.pool[np.repeat(self.starts[own] - total[:-1], lengths) + np.arange(total[-1])]
+        ids = np.empty(total[-1], np.uint32)
+        base = self.starts[own] - total[:-1]
+        for a in range(0, len(own), GATHERED):  # as much at a time as caches hold
+            b = min(len(own), a + GATHERED)
+            place = np.arange(total[a], total[b])
+            place += np.repeat(base[a:b], lengths[a:b])
+            self.pool.take(place, out=ids[total[a] : total[b]], mode="clip")
         at = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
         return ids, np.diff(total[at])
 
@@ -162,8 +172,11 @@ def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 
 def ended(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same ids with ``end`` after each document."""
-    out = np.full(len(ids) + len(lengths), end, np.uint32)
-    out[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)] = ids
+    last = np.cumsum(lengths + 1) - 1
+    own = np.ones(len(ids) + len(lengths), bool)
+    own[last] = False
+    out = np.empty(len(own), np.uint32)
+    out[own], out[last] = ids, end
     return out, lengths + 1
 
 
@@ -197,11 +210,13 @@ def read_range(uri: str, name: str, start: int = 0, length: int | None = None) -
 def in_order(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """(doc_id, text) in partitions of about ``rows`` documents by ascending doc_id, null first.
 
-    Rows of one doc_id are ordered by a hash of their text and then the text, so that an id that a
-    third of the rows share is not one partition.
+    Rows of one doc_id are ordered by a hash of their text and then the text. Where more of them than a partition has share an
+    id, the hash is part of the ranges too, so that they are not one partition; else the ranges need no text.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = max(1, -(-source.count() // rows))
-    placed = source.withColumn("spread", F.xxhash64("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("spread"), F.col("text")]
-    return placed.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).drop("spread")
+    total, most = source.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    parts = max(1, -(-(total or 0) // rows))
+    spread = F.xxhash64("text")
+    order = [F.col("doc_id").asc_nulls_first(), spread.asc()]
+    ranged = source.repartitionByRange(parts, *(order if (most or 0) > rows else order[:1]))
+    return ranged.sortWithinPartitions(*order, "text")

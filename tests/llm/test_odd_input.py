@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexigrove import store
-from lexigrove.llm import chat, components, decontaminate, hnsw, html, mixing, neardup, secrets, shingles
+from lexigrove.llm import chat, components, decontaminate, hnsw, html, mixing, neardup, secrets, shingles, tokens
 from tests.llm.test_corpus import corpus, edited, prose
 
 
@@ -269,3 +269,21 @@ def test_repeats_like_brute_force(spark):
             if left and not (len(b) >= html.LEAST_BLOCK and on >= html.LEAST_PAGES and 2 * on >= len(others) + 1):
                 kept.append(" ".join(left))
         assert got[i] == " ".join(kept), i
+
+
+def test_order_of_an_id_that_many_rows_share(spark):
+    rows = [(5, f"text {k % 30}") for k in range(40)] + [(None, f"n{k}") for k in range(9)] + [(k, "x") for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spread", F.lit(1))
+    got = tokens.in_order(frame, 6).select("doc_id", "text", F.spark_partition_id().alias("part")).collect()
+    hashed = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    assert [(r.doc_id, r.text) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]], r[1]))
+    assert len({r.part for r in got if r.doc_id == 5}) > 2
+
+
+def test_words_in_capitals_are_prose(spark):
+    rng = random.Random(10)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    texts = [f"the words of an ordinary sentence, internationalisation and more AKIA{key(16)} again" for _ in range(300)]
+    texts += ["THIS IS SHOUTED!! INTERNATIONALISATION!! VERANTWORTUNGSBEWUSSTSEIN", f"here is AKIA{key(11)}7"]
+    got = {r.doc_id: r for r in secrets.find(corpus(spark, texts)).where("doc_id >= 300").collect()}
+    assert got[300].n_inferred == 0 and got[301].n_inferred == 1 and got[301].n_access == 0
