@@ -3,7 +3,8 @@
 White space always separates what the tokenizer sees, so a text's ids are those of its
 white-space-delimited pieces in a row. Where the tokenizer lowers case and cuts between letters and other
 characters by itself, ASCII letters are lowered and such cuts made before (not at apostrophes, which can begin
-a word of their own, and not in texts that may spell a special token), so that fewer pieces are distinct.
+a word of their own, not at letters that the tokenizer turns into more than letters, such as a capital I with a dot,
+and not in texts that may spell a special token), so that fewer pieces are distinct.
 Pieces are split off and numbered by Arrow, each distinct piece is tokenized once a worker, and ids are
 gathered by number. The memo outlives a task where workers are reused.
 """
@@ -15,7 +16,7 @@ import os
 import sys
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -42,13 +43,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A letter beside an ASCII digit or mark other than an apostrophe, in either order. A character takes part in one cut.
+#: ASCII digits and marks other than an apostrophe.
 _MARK = r"[!-&(-@\[-`{-~]"
-_CUT = (rf"(\pL)({_MARK})|({_MARK})(\pL)", r"\1\3 \2\4")
 #: Text whose tokenization shows whether a tokenizer lowers case and cuts there.
 _PROBE = "Ab1c.D,e_F(g)2h"
 
 
+def _cuts(normalise: Callable[[str], str]) -> tuple[str, str]:
+    """Pattern and replacement that part a letter from a mark beside it, in either order. A character takes part in one cut.
+
+    A letter that ``normalise`` turns into anything but letters (U+0130 becomes i and a combining dot, which would join
+    a mark behind it) is left with its neighbours.
+    """
+    letters = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalpha()]
+    odd = [c for c, made in zip(letters, normalise(" ".join(letters)).split(" "), strict=True) if not made.isalpha()]
+    letter = rf"[^\PL{''.join(rf'\x{{{ord(c):x}}}' for c in odd)}]"
+    return rf"({letter})({_MARK})|({_MARK})({letter})", r"\1\3 \2\4"
+
+
 class Pieces:
     """Ids of distinct pieces in one flat pool."""
 
@@ -62,6 +74,7 @@ class Pieces:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.apart = ids(_PROBE) == ids("ab 1 c . d , e _ f ( g ) 2 h")
+        self.cuts = _cuts(self.tokenizer.normalizer.normalize_str) if self.apart else ("", "")
         self.marks = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -116,7 +129,7 @@ class Pieces:
         """The texts in lower case (ASCII) and with spaces at cuts, where that changes no ids."""
         if not self.apart:
             return texts
-        made = pc.replace_substring_regex(pc.ascii_lower(texts), *_CUT)
+        made = pc.replace_substring_regex(pc.ascii_lower(texts), *self.cuts)
         for mark in self.marks:
             made = pc.if_else(pc.match_substring(texts, mark), texts, made)
         return made
