@@ -12,6 +12,7 @@ credential), and what looks like an example more than like prose, in whatever ca
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter, defaultdict, deque
@@ -296,16 +297,17 @@ class Formats:
             parts = {(0, len(run))}
             for i, (s, e) in enumerate(pieces):
                 parts.add((s, e))
-                for _, e in pieces[i + 1 :]:
-                    if e - s > self.longest:
+                for k in range(i + 1, len(pieces)):
+                    if pieces[k][1] - s > self.longest:
                         break
-                    parts.add((s, e))
+                    parts.add((s, pieces[k][1]))
             scored = [((e - s + 1) * m, s, e) for s, e in parts if e - s >= LEAST["assign"] and (m := self.margin(run[s:e])) > 0]
-            best: list[tuple[int, int]] = []
+            best: list[tuple[int, int]] = []  # by start
             for _, s, e in sorted(scored, key=lambda x: (-x[0], x[1], x[2])):
-                if all(e <= a or b <= s for a, b in best):
-                    best.append((s, e))
-            self.found[run] = sorted(best)
+                k = bisect.bisect(best, (s, e))
+                if (k == 0 or best[k - 1][1] <= s) and (k == len(best) or e <= best[k][0]):
+                    best.insert(k, (s, e))
+            self.found[run] = best
         return self.found[run]
 
 
