@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hnsw, html, mixing, neardup, secrets, separators, tokenfiles, toxicity
+from . import chat, decontaminate, hnsw, html, merkle, mixing, neardup, secrets, separators, tokenfiles, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +114,75 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.proofs(docs, merkle.lowered(F.col("doc_id"), F.col("text")))
+
+
+def _leaf_sql(text: str) -> str:
+    shown = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(shown)})"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# crc32 bit by bit: a character's code enters by exclusive or, and eight steps (-1) divide by the polynomial.
+_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+    "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+)
+
+
+def _up_sql(name: str, lowest: str) -> str:
+    """Recursive CTE of a tree's nodes over ``lowest`` (tree, idx, digest, n)."""
+    return (
+        f"{name}(tree, level, idx, digest, n) AS (SELECT tree, 0, idx, digest, n FROM {lowest} UNION ALL "
+        f"SELECT tree, level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM {name} WHERE n > 1 GROUP BY tree, level, idx // 8, n)"
+    )
+
+
+def _steps_sql(starts: str, name: str, key: str, first: int) -> str:
+    return (
+        f"SELECT {key}, {first} + level AS step, coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx < s.idx // (8 ** level)::BIGINT), '') AS before, "
+        f"coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx > s.idx // (8 ** level)::BIGINT), '') AS after "
+        f"FROM {starts} s JOIN {name} u ON u.tree = s.tree AND u.n > 1 AND u.idx // 8 = s.idx // (8 ** (level + 1))::BIGINT GROUP BY ALL"
+    )
+
+
+OP11_SQL = f"""
+WITH RECURSIVE l AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf_sql("text")} AS leaf, CASE WHEN {_CRC32} % 3 = 0 THEN {_leaf_sql(_LOWER)} END AS claimed FROM documents),
+d AS (SELECT *, leaf AS digest, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM l),
+{_up_sql("up", "d")},
+t AS (SELECT '' AS tree, tree AS lang, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+{_up_sql("top", "t")},
+own AS ({_steps_sql("d", "up", "s.tree AS lang, s.idx", 0)}),
+over AS ({_steps_sql("t", "top", "s.lang", 100)}),
+steps AS (SELECT *, row_number() OVER (PARTITION BY lang, idx ORDER BY step) AS k FROM (SELECT lang, idx, step, before, after FROM own UNION ALL SELECT d.tree, d.idx, step, before, after FROM over JOIN d ON d.tree = over.lang)),
+fold(lang, idx, k, acc) AS (SELECT tree, idx, 0, coalesce(claimed, leaf) FROM d UNION ALL
+  SELECT f.lang, f.idx, f.k + 1, sha256(before || acc || after) FROM fold f JOIN steps s ON s.lang = f.lang AND s.idx = f.idx AND s.k = f.k + 1),
+folded AS (SELECT lang, idx, arg_max(acc, k) AS folded_root FROM fold GROUP BY 1, 2),
+shown AS (SELECT lang, idx, string_agg(before || after, '' ORDER BY step) AS proof FROM steps GROUP BY 1, 2)
+SELECT d.doc_id, d.leaf, t.digest AS subroot, r.digest AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = r.digest AS verified
+FROM d JOIN t ON t.lang = d.tree JOIN (SELECT digest FROM top WHERE n = 1) r ON true JOIN folded f ON f.lang = d.tree AND f.idx = d.idx LEFT JOIN shown s ON s.lang = d.tree AND s.idx = d.idx
+"""
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+_BASE32 = (
+    "array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], "
+    "lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * i + 1, 5))::BIGINT >> b) & 31) + 1)::BIGINT, 1)), '')), '')"
+)
+
+OP12_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS top FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM m
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -125,8 +195,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_neardup": op8_minhash_neardup,
         "op9_mixing": op9_mixing,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_warc": op12_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op8_minhash_neardup": OP8_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op8_minhash_neardup": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op12_warc": OP12_SQL}
