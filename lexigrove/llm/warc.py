@@ -132,30 +132,25 @@ def members(read: Callable[[int, int], bytes], size: int, start: int, stop: int)
     data = read(start, min(stop + len(MAGIC) - 1, size) - start)  # a magic that begins inside can end outside
     at = data.find(MAGIC)
     while 0 <= at < stop - start:
-        unpacker = zlib.decompressobj(31)
+        unpacker, fed, out, wrong = zlib.decompressobj(31), at, bytearray(), ""
         try:
-            out = bytearray(unpacker.decompress(data[at : at + CHUNK]))
-        except zlib.error:
-            out = bytearray()
-        fed = min(at + CHUNK, len(data))
-        if out.startswith(VERSION):
-            try:
-                while not unpacker.eof:
-                    more = data[fed : fed + CHUNK] if fed < len(data) else read(start + fed, min(CHUNK, size - start - fed))
-                    if not more:
-                        raise ValueError("the file ends inside the record")
-                    fed += len(more)
-                    out += unpacker.decompress(more)
-                head, _, rest = bytes(out).partition(b"\r\n\r\n")
-                headers = _headers(head)
-                if len(rest) != int(headers["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
-                    raise ValueError("the record is not as long as its header says")
-            except (ValueError, KeyError, zlib.error) as e:
-                raise ValueError(f"damaged record at byte {start + at}: {e}") from e
-            yield start + at, headers, rest[:-4]
-            at = data.find(MAGIC, fed - len(unpacker.unused_data))
-        else:
+            while not unpacker.eof and (len(out) < len(VERSION) or out.startswith(VERSION)):
+                more = data[fed : fed + CHUNK] if fed < len(data) else read(start + fed, min(CHUNK, size - start - fed))
+                if not more:
+                    raise zlib.error("the file ends inside the record")
+                fed += len(more)
+                out += unpacker.decompress(more)
+        except zlib.error as e:
+            wrong = str(e)
+        if not out.startswith(VERSION):
             at = data.find(MAGIC, at + 1)
+            continue
+        head, _, rest = bytes(out).partition(b"\r\n\r\n")
+        headers = _headers(head)
+        if wrong or not rest.endswith(b"\r\n\r\n") or str(len(rest) - 4) != headers.get("content-length"):
+            raise ValueError(f"damaged record at byte {start + at}: {wrong or 'it is not as long as its header says'}")
+        yield start + at, headers, rest[:-4]
+        at = data.find(MAGIC, fed - len(unpacker.unused_data))
 
 
 def _headers(head: bytes) -> dict[str, str]:
