@@ -58,7 +58,7 @@ class Alphabet:
         return cls(own, freq)
 
     def symbols(self, ids: np.ndarray) -> np.ndarray:
-        place = np.zeros(int(self.ids[-1]) + 1, _I)
+        place = np.zeros(int(self.ids[-1]) + 1, np.uint16)  # symbols are below LIMIT
         place[self.ids] = np.arange(len(self.ids))
         return place[ids]
 
@@ -126,7 +126,7 @@ def _cut(symbols: np.ndarray) -> list[tuple[np.ndarray, int]]:
         part = symbols[start : start + BLOCK * LANES]
         lanes = -(-len(part) // BLOCK)
         last = len(part) - (lanes - 1) * BLOCK
-        out.append((np.concatenate([part, np.zeros(lanes * BLOCK - len(part), _I)]).reshape(lanes, BLOCK).T.copy(), last))
+        out.append((np.concatenate([part, np.zeros(lanes * BLOCK - len(part), np.uint16)]).reshape(lanes, BLOCK).T.copy(), last))
     return out
 
 
@@ -140,7 +140,7 @@ def encode_blocks(ids: np.ndarray, alphabet: Alphabet) -> list[bytes]:
         out, pos = np.zeros((lanes, 2 * BLOCK + 8), np.uint16), np.zeros(lanes, np.int64)
         for t in range(BLOCK if lanes > 1 else last):
             n = lanes if t < last else lanes - 1
-            own, lo, sp = steps[t, :n], low[:n], span[:n]
+            own, lo, sp = steps[t, :n].astype(_I), low[:n], span[:n]
             guess, odds = model.predict(n)
             hit = own == guess
             r = sp >> _U(12)
@@ -189,7 +189,7 @@ def decode_blocks(coded: list[bytes], total: int, alphabet: Alphabet) -> np.ndar
         value = first[:, 0] << _U(32) | first[:, 1] << _U(16) | first[:, 2]
         pos, span = np.full(lanes, 3, np.int64), np.full(lanes, _FULL)
         model = _Model(lanes, alphabet.weight)
-        steps = np.zeros((BLOCK, lanes), np.uint32)
+        steps = np.zeros((BLOCK, lanes), np.uint16)
         for t in range(BLOCK if lanes > 1 else last):
             n = lanes if t < last else lanes - 1
             v, sp = value[:n], span[:n]
