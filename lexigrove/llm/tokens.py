@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import sys
 import types
 import uuid
@@ -61,6 +62,22 @@ def _cuts(normalise: Callable[[str], str]) -> tuple[str, str]:
     return rf"({letter})({_MARK})|({_MARK})({letter})", r"\1\3 \2\4"
 
 
+#: Words of Latin letters that no Unicode normalisation changes and that stay letters in lower case.
+_LATIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+
+def _light(tokenizer: Any) -> Any:
+    """A tokenizer with the same model that takes words of Latin letters as they stand; None if its ids are others."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    made = Tokenizer(tokenizer.model)
+    made.normalizer = normalizers.Lowercase()
+    made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    letters = [c for c in map(chr, range(97, 0x250)) if _LATIN.fullmatch(c)]
+    probe = " ".join(letters + [a + b for a, b in zip(letters, letters[1:], strict=False)] + ["nomenclature", "überprüfung", "évaluation"])
+    return made if made.encode(probe, add_special_tokens=False).ids == tokenizer.encode(probe, add_special_tokens=False).ids else None
+
+
 class Pieces:
     """Ids of distinct pieces in one flat pool."""
 
@@ -75,6 +92,7 @@ class Pieces:
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.apart = ids(_PROBE) == ids("ab 1 c . d , e _ f ( g ) 2 h")
         self.cuts = _cuts(self.tokenizer.normalizer.normalize_str) if self.apart else ("", "")
+        self.light = _light(self.tokenizer) if self.apart else None
         self.marks = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -110,17 +128,18 @@ class Pieces:
 
     def learn(self, words: list[str]) -> None:
         # A piece of letters only is one word of the tokenizer, whose last id ends a word: many go in one call.
-        plain, rest = [], []
+        latin, plain, rest = [], [], []
         for w in words:
-            (plain if w.isalpha() else rest).append(w)
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids])
-            if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids) - 1):
-                self._add(some, ids, np.diff(ends, prepend=-1))
-            else:  # some letter changes into several characters
-                rest += some
+            (latin if self.light and _LATIN.fullmatch(w) else plain if w.isalpha() else rest).append(w)
+        for tokenizer, own in ((self.light, latin), (self.tokenizer, plain)):
+            for i in range(0, len(own), 2000):
+                some = own[i : i + 2000]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.ends[ids])
+                if len(ends) == len(some) and ends[-1] == len(ids) - 1:
+                    self._add(some, ids, np.diff(ends, prepend=-1))
+                else:  # some letter changes into several characters
+                    rest += some
         for i in range(0, len(rest), 2000):
             found = [e.ids for e in self.tokenizer.encode_batch_fast(rest[i : i + 2000], add_special_tokens=False)]
             self._add(rest[i : i + 2000], np.array([t for ids in found for t in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
