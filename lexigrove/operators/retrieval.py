@@ -2,13 +2,12 @@
 
 Postings are rows (id, term, tf). Texts are shuffled once, by id, and their terms are counted where the text is.
 The documents' postings are written once; from that table come the terms' document counts, the
-documents' norms or lengths, and, cut down to the terms that a query has, the products with the queries' postings.
+documents' norms or lengths, and, cut down to the terms that a query has, a leg of products with the queries' vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql.window import Window
 
 from .. import store
 from ..functions.text import word_grams, words_of
+from .products import Leg
 
 #: Most terms, of the vocabulary or of all queries, that are broadcast (some tens of bytes each); more are joined by shuffle.
 SENT_TERMS = 1_000_000
@@ -70,24 +70,19 @@ def _asked(queries: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame
     return store.materialise(queries.join(_sent(weights.where("asked").drop("asked")), "term"), "query-terms"), weights
 
 
-def tfidf_scores(queries: DataFrame, docs: DataFrame, size: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): cosine of sublinear TF-IDF vectors, for pairs that share a term.
-
-    A query's norm is over the terms that the documents have.
-    """
+def tfidf_leg(queries: DataFrame, docs: DataFrame, size: DataFrame) -> Leg:
+    """Cosine of sublinear TF-IDF vectors. A query's norm is over the terms that the documents have."""
     docs = store.materialise(docs, "postings")
     q, weights = _asked(queries, idf(docs, size).select("term", "idf"))
     w = (1 + F.log("tf")) * F.col("idf")
     norm = F.sqrt(F.sum(w * w))
-    q = q.join(q.groupBy("id").agg(norm.alias("q_norm")), "id").select("term", F.col("id").alias("query_id"), (w / F.col("q_norm")).alias("wq"))
-    d_norm = docs.join(_sent(weights), "term").groupBy(F.col("id").alias("doc_id")).agg(norm.alias("d_norm"))
-    d = docs.join(_sent(weights.where("asked")), "term").select("term", F.col("id").alias("doc_id"), w.alias("wd"))
-    dot = d.join(_sent(store.materialise(q, "query-terms")), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
-    return dot.join(d_norm, "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("d_norm")).alias("score"))
+    q = q.join(q.groupBy("id").agg(norm.alias("q_norm")), "id").select(F.col("id").alias("query_id"), "term", (w / F.col("q_norm")).alias("weight"), F.col("idf").alias("factor"))
+    norms = docs.join(_sent(weights), "term").groupBy(F.col("id").alias("doc_id")).agg(norm.alias("scale"))
+    return Leg(store.materialise(q, "query-vectors"), docs.select(F.col("id").alias("doc_id"), "term", (1 + F.log("tf")).alias("weight")), store.materialise(norms, "norms"), lambda weight, norm: weight / norm)
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, size: DataFrame, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
-    """(query_id, doc_id, score) by Okapi BM25 for pairs that share a term.
+def bm25_leg(queries: DataFrame, docs: DataFrame, size: DataFrame, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> Leg:
+    """Okapi BM25.
 
     Negative idf are replaced by ``eps`` times the mean idf of the vocabulary; query tokens count as
     often as they occur. ``size``: one row n, all documents, those without terms included.
@@ -96,14 +91,22 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, size: DataFrame, k1: float
     docs = store.materialise(docs, "postings")
     counted = store.materialise(docs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("times")), "term-counts")
     raw = counted.crossJoin(F.broadcast(size)).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"), (F.sum("times") / F.first("n")).alias("avgdl"))  # one row
-    weights = raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    q, weights = _asked(queries, weights)
-    q = q.select("term", F.col("id").alias("query_id"), F.col("tf").alias("qtf"), "idf", "avgdl")
-    length = docs.groupBy(F.col("id").alias("doc_id")).agg(F.sum("tf").alias("dl"))
-    hit = docs.withColumnRenamed("id", "doc_id").join(_sent(q), "term").join(length, "doc_id")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    whole = raw.agg(F.avg("raw").alias("mean"), (F.sum("times") / F.first("n")).alias("avgdl")).first()
+    mean, avgdl = whole["mean"] or 0.0, whole["avgdl"] or 1.0
+    q, _ = _asked(queries, raw.select("term", F.when(F.col("raw") < 0, eps * mean).otherwise(F.col("raw")).alias("idf")))
+    q = q.select(F.col("id").alias("query_id"), "term", (F.col("tf") * F.col("idf") * (k1 + 1)).alias("weight"), F.lit(1.0).alias("factor"))
+    lengths = docs.groupBy(F.col("id").alias("doc_id")).agg(F.sum("tf").cast("double").alias("scale"))
+    return Leg(store.materialise(q, "query-vectors"), docs.select(F.col("id").alias("doc_id"), "term", F.col("tf").cast("double").alias("weight")), store.materialise(lengths, "lengths"), lambda tf, length: tf / (tf + k1 * (1 - b + b * length / avgdl)))
+
+
+def pair_scores(leg: Leg) -> DataFrame:
+    """(query_id, doc_id, score) of every pair with a common term: for bounded catalogues, as the dense leg needs them.
+
+    For the best of many use ``products.best``, for ranks ``fusion.best_fused``.
+    """
+    met = leg.docs.join(leg.queries.select("query_id", "term", F.col("weight").alias("wq"), "factor"), "term").join(leg.scales, "doc_id")
+    made = leg.scaled(F.col("weight") * F.col("factor"), F.col("scale"))  # arithmetic on columns as on arrays
+    return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * made).alias("score"))
 
 
 def unit_vector(v: Column) -> Column:
@@ -174,41 +177,6 @@ def places(docs: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(starts), "part").select("doc_id", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
 
 
-def ranks_of_all(legs: dict[str, DataFrame], queries: DataFrame, docs: DataFrame, least: int, digits: int = 9) -> DataFrame:
-    """(query_id, doc_id, one column of ranks a leg): ranks as if every leg held every pair, with score 0 where it has none.
-
-    No product is formed. The rows are the pairs that a leg has, and of each query the ``least``
-    documents of the smallest ids that no leg has; of those without a score in any leg no other can
-    come before these in a fusion of the ranks. ``doc_id`` is unique in ``docs``.
-    """
-    where = places(docs)
-    rows = [s.select("query_id", "doc_id", F.lit(name).alias("leg"), F.round("score", digits).alias("r")) for name, s in legs.items()]
-    scored = reduce(DataFrame.unionByName, rows).groupBy("query_id", "doc_id").agg(*[F.max(F.when(F.col("leg") == name, F.col("r"))).alias(name) for name in legs])
-    found = store.materialise(scored.join(where, "doc_id"), "leg-scores")  # used thrice
-    # A found document with fewer than j + 1 unfound ones before it pushes the unfound one of index j one place on.
-    by_place = Window.partitionBy("query_id").orderBy("place")
-    gaps = found.select("query_id", (F.col("place") - F.row_number().over(by_place) + 1).alias("gap")).where(F.col("gap") < least).groupBy("query_id", "gap").agg(F.count(F.lit(1)).alias("n"))
-    gaps = gaps.groupBy("query_id").agg(F.collect_list(F.struct("gap", "n")).alias("gaps"))
-    none = F.array().cast("array<struct<gap:bigint,n:bigint>>")
-    unfound = queries.select("query_id").distinct().join(gaps, "query_id", "left").select("query_id", F.coalesce("gaps", none).alias("gaps"), F.explode(F.sequence(F.lit(0), F.lit(least - 1))).alias("j"))
-    pushed = F.aggregate("gaps", F.lit(0).cast("long"), lambda s, g: s + F.when(g["gap"] <= F.col("j"), g["n"]).otherwise(0))
-    unfound = unfound.select("query_id", (F.col("j") + pushed).alias("place")).join(where, "place").select("query_id", "doc_id", "place", *[F.lit(None).cast("double").alias(name) for name in legs])
-    pairs = found.unionByName(unfound).crossJoin(F.broadcast(corpus_size(docs)))
-    before, whole = by_place.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("query_id")
-    for name in legs:
-        r = F.col(name)
-        own = F.row_number().over(whole.orderBy(r.desc_nulls_last(), "place"))
-        count = lambda c, w: F.coalesce(F.sum(F.when(c, 1).otherwise(0)).over(w), F.lit(0))
-        rank = (
-            F.when(r > 0, own)
-            .when(r == 0, own + F.col("place") - count(r.isNotNull(), before))
-            .when(r < 0, own + F.col("n") - count(r.isNotNull(), whole))
-            .otherwise(count(r > 0, whole) + F.col("place") + 1 - count(r != 0, before))
-        )
-        pairs = pairs.withColumn(f"rank {name}", rank.cast("long"))
-    return pairs.select("query_id", "doc_id", *[F.col(f"rank {name}").alias(name) for name in legs])
-
-
 def ranked(scores: DataFrame, by: str = "query_id", tie: str = "doc_id", digits: int = 9) -> DataFrame:
     """``rank`` from 1 within each query: score (rounded, so that sums in another order agree) down, then ``tie``."""
     order = Window.partitionBy(by).orderBy(F.round("score", digits).desc(), F.col(tie))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PROMPT_BEGIN, PROMPT_BODY, PROMPT_END, TASK, tokenise
-from .retrieval import corpus_size, postings, tfidf_scores
+from .retrieval import corpus_size, pair_scores, postings, tfidf_leg
 
 
 class Scorer(Protocol):
@@ -43,7 +43,7 @@ class LexicalScorer:
         docs = pairs.select(F.col("doc_id").alias("id"), F.col("doc_text").alias("text")).dropDuplicates(["id"])
         queries = pairs.select(F.col("query_id").alias("id"), F.col("query_text").alias("text")).dropDuplicates(["id"])
         d, q = (postings(x, "id", tokenise(F.col("text"))) for x in (docs, queries))
-        found = tfidf_scores(q, d, corpus_size(docs))
+        found = pair_scores(tfidf_leg(q, d, corpus_size(docs)))
         return pairs.select("query_id", "doc_id").join(found, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

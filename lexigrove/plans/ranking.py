@@ -11,6 +11,7 @@ from .. import store
 from ..functions.text import lemma_rows, tokenise
 from ..operators import fusion, retrieval
 from ..operators.constraints import interval_rows, lemmatised, quantity_rows, signal
+from ..operators.products import Leg
 from ..operators.scorers import Device, Scorer
 
 
@@ -40,8 +41,8 @@ CPU = Config("cpu", n_candidates=12, ce_weight=1.0, constraint_weight=0.02, cros
 GPU = Config("gpu", n_candidates=32, ce_weight=2.0, constraint_weight=0.05, cross_encoder="Qwen/Qwen3-Reranker-4B", batch_ce=8, max_len_ce=512, device=Device(gpu=True, half=True))
 
 
-def legs(queries: DataFrame, docs: DataFrame, names: list[str], text: str = "coarse_text", lemmas: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Scores by leg; ``queries``: (query_id, text), ``docs``: (doc_id, coarse_text); ``lemmas``: (token, lemma) for the legs of words."""
+def legs(queries: DataFrame, docs: DataFrame, names: list[str], text: str = "coarse_text", lemmas: DataFrame | None = None) -> dict[str, Leg]:
+    """Legs by name; ``queries``: (query_id, text), ``docs``: (doc_id, coarse_text); ``lemmas``: (token, lemma) for the legs of words."""
     size = retrieval.corpus_size(docs)
     found = {}
     for name in names:
@@ -51,24 +52,22 @@ def legs(queries: DataFrame, docs: DataFrame, names: list[str], text: str = "coa
             d, q = retrieval.postings(docs, "doc_id", tokenise(F.col(text))), retrieval.postings(queries, "query_id", tokenise(F.col("text")))
         else:
             d, q = (retrieval.counted(lemma_rows(side, key, column, lemmas), key) for side, key, column in ((docs, "doc_id", text), (queries, "query_id", "text")))
-        found[name] = (retrieval.bm25_scores if name == "bm25" else retrieval.tfidf_scores)(q, d, size)
+        found[name] = (retrieval.bm25_leg if name == "bm25" else retrieval.tfidf_leg)(q, d, size)
     return found
 
 
 def stage1(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, dense: DataFrame | None = None, lemmas: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank): weighted reciprocal rank fusion of the legs.
+    """(query_id, doc_id, score, rank): the ``n_candidates`` best of each query by weighted reciprocal rank fusion of the legs.
 
-    Every pair has a rank in every leg, the pairs without a common term included. Rows are pairs with a
-    common term and, of each query, the ``n_candidates`` documents of the smallest ids without one, so
-    that ranks up to ``n_candidates`` are those among all pairs. With ``dense``, which has every pair, all are rows.
+    Every pair has a rank in every leg, the pairs without a common term included. With ``dense``, which has every pair of a
+    bounded catalogue, all pairs are rows.
     """
-    scored = legs(queries, docs, [n for n, w in config.weights.items() if w], lemmas=lemmas)
-    if dense is not None:
-        fused = fusion.rrf([(retrieval.ranked(retrieval.complete(s, queries, docs)), config.weights[name]) for name, s in scored.items()])
-        fused = fusion.rrf([(retrieval.ranked(fused), 1.0), (retrieval.ranked(dense), config.dense_weight)])
-    else:
-        ranks = retrieval.ranks_of_all(scored, queries, docs, config.n_candidates)
-        fused = fusion.rrf([(ranks.select("query_id", "doc_id", F.col(name).alias("rank")), config.weights[name]) for name in scored])
+    made = legs(queries, docs, [n for n, w in config.weights.items() if w], lemmas=lemmas)
+    if dense is None:
+        return fusion.best_fused(made, config.weights, queries, docs.select("doc_id"), config.n_candidates)
+    scored = {name: retrieval.pair_scores(leg) for name, leg in made.items()}
+    fused = fusion.rrf([(retrieval.ranked(retrieval.complete(s, queries, docs)), config.weights[name]) for name, s in scored.items()])
+    fused = fusion.rrf([(retrieval.ranked(fused), 1.0), (retrieval.ranked(dense), config.dense_weight)])
     return retrieval.ranked(fused, digits=15)
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import store
 from .functions import text as tx
 from .functions.quantities import COMPARED
-from .operators import constraints, evaluate, fusion, retrieval, tree, views
+from .operators import constraints, evaluate, fusion, products, retrieval, tree, views
 from .operators.scorers import TableScorer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +21,7 @@ ORACLE: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = store.tidy(f)
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -88,17 +89,21 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
 
 
-def _leg(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _leg(spark: SparkSession, sf_dir: str, name: str) -> products.Leg:
     queries, docs = _sides(spark, sf_dir)
     if name == "char":
         q, d = retrieval.gram_postings(queries, "item_id", "text"), retrieval.gram_postings(docs, "doc_id", "text")
     else:
         q, d = retrieval.postings(queries, "item_id", tx.tokenise(F.col("text"))), retrieval.postings(docs, "doc_id", tx.tokenise(F.col("text")))
-    return (retrieval.bm25_scores if name == "bm25" else retrieval.tfidf_scores)(q, d, retrieval.corpus_size(docs))
+    return (retrieval.bm25_leg if name == "bm25" else retrieval.tfidf_leg)(q, d, retrieval.corpus_size(docs))
 
 
-def _top10(scores: DataFrame) -> DataFrame:
-    return retrieval.top(scores).select("query_id", "doc_id", "rank", rounded("score"))
+def _top(spark: SparkSession, sf_dir: str, name: str, k: int) -> DataFrame:
+    return retrieval.top(products.best(_leg(spark, sf_dir, name), k), k)
+
+
+def _top10(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _top(spark, sf_dir, name, 10).select("query_id", "doc_id", "rank", rounded("score"))
 
 
 @query(f"SELECT doc_id, len({_TOKENS.format(t='text')})::BIGINT AS n_tokens, array_to_string({_TOKENS.format(t='text')}, ' ') AS tokens FROM documents")
@@ -121,17 +126,17 @@ def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_top_sql(_tfidf_sql("word", _TOKENS), "word"))
 def tfidf_word_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top10(_leg(spark, sf_dir, "word"))
+    return _top10(spark, sf_dir, "word")
 
 
 @query(_top_sql(_tfidf_sql("chars", _GRAMS), "chars"))
 def tfidf_char_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top10(_leg(spark, sf_dir, "char"))
+    return _top10(spark, sf_dir, "char")
 
 
 @query(_top_sql(_BM25_SQL, "bm25"))
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top10(_leg(spark, sf_dir, "bm25"))
+    return _top10(spark, sf_dir, "bm25")
 
 
 # --- fusion ---------------------------------------------------------------------------------------
@@ -147,21 +152,21 @@ _TWO_LEGS = f"{_tfidf_sql('word', _TOKENS)}, {_tfidf_sql('chars', _GRAMS)}, {_ra
 
 
 def _fused(spark: SparkSession, sf_dir: str, weights: dict[str, float]) -> DataFrame:
-    """The legs' ranks of all pairs, fused; of the pairs without a common term those that can come among the ten best."""
+    """The ten best by the legs' ranks of all pairs, those without a common term included."""
     queries, docs = _sides(spark, sf_dir)
     legs = {name: _leg(spark, sf_dir, name) for name in weights}
-    ranks = retrieval.ranks_of_all(legs, queries.select(F.col("item_id").alias("query_id")), docs.select("doc_id"), 10)
-    return fusion.rrf([(ranks.select("query_id", "doc_id", F.col(name).alias("rank")), w) for name, w in weights.items()])
+    found = fusion.best_fused(legs, weights, queries.select(F.col("item_id").alias("query_id")), docs.select("doc_id"), 10, digits=9)
+    return found.select("query_id", "doc_id", "rank", rounded("score"))
 
 
 @query(_top_sql(f"{_ALL_LEGS}, {_fused_sql([('chars', 1.0), ('word', 1.0), ('bm25', 1.0)])}", "fused"))
 def rrf_fused_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top10(_fused(spark, sf_dir, {"char": 1.0, "word": 1.0, "bm25": 1.0}))
+    return _fused(spark, sf_dir, {"char": 1.0, "word": 1.0, "bm25": 1.0})
 
 
 @query(_top_sql(f"{_TWO_LEGS}, {_fused_sql([('chars', 3.0), ('word', 1.0)])}", "fused"))
 def rrf_weighted_3_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top10(_fused(spark, sf_dir, {"char": 3.0, "word": 1.0}))
+    return _fused(spark, sf_dir, {"char": 3.0, "word": 1.0})
 
 
 _RERANK = f"""{_tfidf_sql('word', _TOKENS)}, {_rank_sql('word', 'r_word')},
@@ -174,7 +179,7 @@ normal AS (SELECT query_id, doc_id, cand_pos, f / max(f) OVER (PARTITION BY quer
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 16 best by words, reranked by a table scorer: document length."""
     docs = table(spark, sf_dir, "documents")
-    candidates = retrieval.top(_leg(spark, sf_dir, "word"), 16).select("query_id", "doc_id", (F.col("rank") - 1).alias("cand_pos"))
+    candidates = _top(spark, sf_dir, "word", 16).select("query_id", "doc_id", (F.col("rank") - 1).alias("cand_pos"))
     lengths = candidates.join(docs, "doc_id").select("query_id", "doc_id", F.col("n_chars").cast("double").alias("score"))
     return fusion.rerank(candidates, TableScorer(lengths).score(candidates), 2.0)
 
@@ -388,7 +393,7 @@ _RANKING = f"WITH {_tfidf_sql('word', _TOKENS)}, {_rank_sql('word', 'r_word')},
 
 def _ranking_and_gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The word ranking, and as gold the smallest id among each query's first twelve."""
-    found = retrieval.top(_leg(spark, sf_dir, "word"), 12).select(F.col("query_id").alias("declaration_id"), F.col("doc_id").alias("regulation_id"), "rank", "score")
+    found = _top(spark, sf_dir, "word", 12).select(F.col("query_id").alias("declaration_id"), F.col("doc_id").alias("regulation_id"), "rank", "score")
     return found.where(F.col("rank") <= 10), found.groupBy("declaration_id").agg(F.min("regulation_id").alias("regulation_id"))
 
 

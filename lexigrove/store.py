@@ -7,10 +7,11 @@ checkpointed frame does not.
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +82,18 @@ def kept(df: DataFrame, label: str, records: int | None = None) -> DataFrame:
         _OPEN.paths.append(own)
 
 
+def tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, without the tables that it wrote on its way; what it returns is written then, and lazy else."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch(spark):
+            found = query(spark, sf_dir)
+            return kept(found, query.__name__) if _OPEN.paths[-1] else found
+
+    return run
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a written table once nothing lazy reads it any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -31,7 +31,7 @@ def test_bm25_floor(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a"), (3, "a c c")], "id long, text string")
     d = retrieval.postings(docs, "id", F.split("text", " "))
     q = retrieval.postings(spark.createDataFrame([(9, "a c a")], "id long, text string"), "id", F.split("text", " "))
-    got = {r.doc_id: r.score for r in retrieval.bm25_scores(q, d, retrieval.corpus_size(docs)).collect()}
+    got = {r.doc_id: r.score for r in retrieval.pair_scores(retrieval.bm25_leg(q, d, retrieval.corpus_size(docs))).collect()}
     raw = {"a": math.log(0.5) - math.log(3.5), "b": math.log(2.5) - math.log(1.5), "c": math.log(2.5) - math.log(1.5)}
     idf = {t: v if v >= 0 else 0.25 * sum(raw.values()) / 3 for t, v in raw.items()}
     part = lambda t, tf, dl: idf[t] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / 2))
@@ -56,24 +56,6 @@ def test_plan(spark):
     assert {r.query_id: r.doc_id for r in first} == {1: 1, 2: 3}
 
 
-def test_ranks_of_all_are_those_of_the_full_product(spark):
-    rng = random.Random(5)
-    docs = spark.createDataFrame([(3 * d + 1,) for d in range(60)], "doc_id long")
-    queries = spark.createDataFrame([(q,) for q in range(6)], "query_id long")
-    # Query 5 has no score in any leg; query 4 has the first documents in one leg only; scores can be 0 or negative.
-    share = [0.9, 0.3, 0.1, 0.02, 0.2, 0.0]
-    of = lambda leg: [(q, 3 * d + 1, rng.choice([0.5, 0.25, 0.0, -0.5, rng.random()])) for q in range(6) for d in range(60) if rng.random() < share[q] or (q == 4 and leg == "a" and d < 9)]
-    legs = {leg: spark.createDataFrame(of(leg), "query_id long, doc_id long, score double") for leg in ("a", "b")}
-    got = {(r.query_id, r.doc_id): r for r in retrieval.ranks_of_all(legs, queries, docs, 7).collect()}
-    full = {leg: {(r.query_id, r.doc_id): r["rank"] for r in retrieval.ranked(retrieval.complete(s, queries, docs)).collect()} for leg, s in legs.items()}
-    assert all(r[leg] == full[leg][key] for key, r in got.items() for leg in legs) and len(got) < 360
-    fused = lambda key, ranks: 3 / (60 + ranks["a"]) + 1 / (60 + ranks["b"])
-    for q in range(6):
-        mine = sorted((-round(fused(k, r), 15), k[1]) for k, r in got.items() if k[0] == q)[:7]
-        want = sorted((-round(fused(k, {leg: full[leg][k] for leg in legs}), 15), k[1]) for k in full["a"] if k[0] == q)[:7]
-        assert mine == want
-
-
 def test_model_scorer(spark):
     pairs = spark.createDataFrame([(1, 2, "ab", "abc")], "query_id long, doc_id long, query_text string, doc_text string")
     load = lambda folder: lambda qs, ds: [float(len(q) + len(d)) for q, d in zip(qs, ds, strict=True)]
