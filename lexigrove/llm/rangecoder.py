@@ -22,14 +22,14 @@ import zlib
 import numpy as np
 
 #: Ids of a block.
-BLOCK = 4096
+BLOCK = 2048
 #: Blocks that advance together at most.
-LANES = 4096
+LANES = 8192
 #: Ids are below this, and the order-0 frequencies add up to it.
 LIMIT = 1 << 16
-MAGIC = b"LXGRCM02"
+MAGIC = b"LXGRCM03"
 
-_S1, _S2 = 1 << 9, 1 << 10
+_S1, _S2 = 1 << 8, 1 << 9
 _I = np.int32
 _LOW = np.uint64((1 << 32) - 1)
 _FULL = np.uint64((1 << 48) - 1)
