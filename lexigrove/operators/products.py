@@ -252,6 +252,35 @@ def best(leg: Leg, k: int, label: str = "best") -> DataFrame:
     return _union(found, leg, "score double")
 
 
+def best_of_each(leg: Leg, k: int, label: str = "best-of-each") -> DataFrame:
+    """(query_id, doc_id, score), written: the other way round, the k best queries of each document, from every group of held ones.
+
+    For many documents that meet a bounded number of texts: each document's rows come from one task. Only pairs with
+    a common term. Of equal scores, after rounding, those of smaller query ids.
+    """
+    scaled, found = leg.scaled, []
+    id_type = _schema(leg.docs, ["doc_id"]).field(0).type
+    for held in groups(leg):
+
+        def choose(batches: Iterator[pa.RecordBatch], held: Held = held) -> Iterator[pa.RecordBatch]:
+            ids = held.ids.to_numpy(zero_copy_only=False)
+            place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # in the order of ids
+            few = min(k, len(ids))
+            for chunk in chunks(batches, held, scaled):
+                touched = np.zeros((len(chunk.ids), len(ids)), bool)
+                score = chunk.products(held, touched=touched)
+                down = np.where(touched, -score.round(DIGITS), np.inf)
+                d, q = np.nonzero(touched & (down <= np.partition(down, few - 1, axis=1)[:, few - 1 : few]))
+                by = np.lexsort((place[q], down[d, q], d))
+                d, q = d[by], q[by]
+                keep = np.arange(len(d)) - np.searchsorted(d, d) < k
+                d, q = d[keep], q[keep]
+                yield pa.RecordBatch.from_arrays([held.ids.take(pa.array(q)), pa.array(chunk.ids[d].tolist(), id_type), pa.array(score[d, q])], ["query_id", "doc_id", "score"])
+
+        found.append(store.materialise(_entries(leg, held).mapInArrow(choose, f"{_types(leg)}, score double"), label))
+    return _union(found, leg, "score double")
+
+
 def ranks_of(leg: Leg, pairs: DataFrame, places: DataFrame, size: int) -> DataFrame:
     """(query_id, doc_id, score, rank), written: the pairs' ranks among all documents, those of score 0 included.
 

@@ -81,6 +81,22 @@ def tfidf_leg(queries: DataFrame, docs: DataFrame, size: DataFrame) -> Leg:
     return Leg(store.materialise(q, "query-vectors"), docs.select(F.col("id").alias("doc_id"), "term", (1 + F.log("tf")).alias("weight")), store.materialise(norms, "norms"), lambda weight, norm: weight / norm)
 
 
+def arrivals_leg(queries: DataFrame, docs: DataFrame, size: DataFrame) -> Leg:
+    """The leg of ``tfidf_leg`` with sides changed: many queries pass by, the documents of a bounded catalogue are held.
+
+    In the result the catalogue's documents are ``query_id`` and the arriving queries ``doc_id``, as ``products.best_of_each`` wants them.
+    """
+    docs = store.materialise(docs, "postings")
+    queries = store.materialise(queries, "postings")
+    weights = store.materialise(idf(docs, size).select("term", "idf"), "term-weights")
+    w = (1 + F.log("tf")) * F.col("idf")
+    norm = F.sqrt(F.sum(w * w))
+    d = docs.join(_sent(weights), "term")
+    d = d.join(d.groupBy("id").agg(norm.alias("norm")), "id").select(F.col("id").alias("query_id"), "term", (w / F.col("norm")).alias("weight"), F.col("idf").alias("factor"))
+    norms = queries.join(_sent(weights), "term").groupBy(F.col("id").alias("doc_id")).agg(norm.alias("scale"))
+    return Leg(store.materialise(d, "catalogue-vectors"), queries.select(F.col("id").alias("doc_id"), "term", (1 + F.log("tf")).alias("weight")), store.materialise(norms, "norms"), lambda weight, norm: weight / norm)
+
+
 def bm25_leg(queries: DataFrame, docs: DataFrame, size: DataFrame, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> Leg:
     """Okapi BM25.
 

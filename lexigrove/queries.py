@@ -169,6 +169,20 @@ def rrf_weighted_3_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir, {"char": 3.0, "word": 1.0})
 
 
+# What the jobs write, for the registered queries that run them.
+MATCHED_SQL = f"""WITH {_TWO_LEGS}, {_fused_sql([('chars', 3.0), ('word', 1.0)])},
+r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 15) DESC, doc_id) AS rank FROM fused),
+own AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r WHERE rank <= 16)
+SELECT query_id, rank, doc_id, round(61e0 / (60 + rank), 6) AS score, lang FROM own JOIN (SELECT doc_id, min(lang) AS lang FROM documents GROUP BY 1) USING (doc_id) WHERE rank <= 10"""
+ROUTED_SQL = f"""WITH {_tf("benchmark", "item_id", "e", _TOKENS)}, {_tf("documents", "doc_id", "a", _TOKENS)},
+i AS (SELECT term, ln((1 + (SELECT count(DISTINCT item_id) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM e GROUP BY 1),
+ew AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM e JOIN i USING (term)), aw AS (SELECT id, term, (1 + ln(tf)) * idf AS w FROM a JOIN i USING (term)),
+en AS (SELECT id, sqrt(sum(w * w)) AS n FROM ew GROUP BY 1), an AS (SELECT id, sqrt(sum(w * w)) AS n FROM aw GROUP BY 1),
+p AS (SELECT aw.id AS doc_id, ew.id AS entry_id, sum(aw.w * ew.w) AS s FROM aw JOIN ew USING (term) GROUP BY 1, 2),
+r AS (SELECT doc_id, entry_id, s / (an.n * en.n) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(s / (an.n * en.n), 9) DESC, entry_id) AS rank FROM p JOIN an ON an.id = doc_id JOIN en ON en.id = entry_id)
+SELECT doc_id, entry_id, rank, round(score, 6) AS score, lang FROM r JOIN (SELECT doc_id, min(lang) AS lang FROM documents GROUP BY 1) USING (doc_id) WHERE rank <= 3"""
+
+
 _RERANK = f"""{_tfidf_sql('word', _TOKENS)}, {_rank_sql('word', 'r_word')},
 cand AS (SELECT query_id, doc_id, rank - 1 AS cand_pos FROM r_word WHERE rank <= 16),
 scored AS (SELECT c.*, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, cand_pos) AS rank_ce FROM cand c JOIN documents USING (doc_id)),
