@@ -213,7 +213,7 @@ def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_predictions(ranked, f"{folder}/out")
     lines = files.dump(spark, f"{folder}/out").where("line_no > 0 and value <> ''").select(F.expr("split(value, ',')").alias("f"), (F.col("line_no") - 1).cast("long").alias("line"))
     read = files.predictions(spark, f"{folder}/out")
-    placed = lines.select("line", F.col("f")[0].alias("declaration_id"), F.col("f")[1].cast("int").alias("rank"))
+    placed = lines.select("line", F.col("f")[0].alias("declaration_id"), F.expr("try_cast(f[1] as int)").alias("rank"))
     return read.join(placed, ["declaration_id", "rank"]).join(given.select("declaration_id", "text"), "declaration_id").select("line", "declaration_id", "rank", "regulation_id", "score", "text")
 
 

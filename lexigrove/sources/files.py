@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .. import store
 from ..functions.text import declaration_text, strip
-from ..operators.tree import lines
 
 REGULATIONS = "regulation_id string, code string, description string, explanation string"
 DECLARATIONS = "declaration_id string, G31_1 string, desc_extention string, G011 string, G34 string"
@@ -46,8 +47,17 @@ def declarations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dump(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) of a text whose line order matters."""
-    return lines(spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name()))
+    """(file, line_no, value) of texts whose line order matters, with any line end; nothing comes after a last line end.
+
+    Files are read by byte ranges, as Spark splits them; a line belongs to the range that it begins in. Lines are
+    counted by range, and the sums over the ranges before give their numbers, from 0.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    found = store.materialise(read, "dump-lines")  # written, so that both uses see the same numbers
+    ranges = found.groupBy("file", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    shifts = ranges.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return found.join(shifts, ["file", "start"]).select("file", (F.col("at") + F.col("shift")).alias("line_no"), "value")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,10 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from lexigrove.operators import tree, views
+from lexigrove.sources import files
 
 DUMP = """шапка | не узел
 ИЕРАРХИЯ ТН ВЭД
@@ -77,3 +81,85 @@ def test_catalogue(spark):
     assert found["R1"].fine_text == "Нефть и нефтепродукты | газойли | серы не более 0,05 мас.% | газойли низкосернистые | с серой до 0,05"
     assert found["R1"].disc_text == "серы не более 0,05 мас.% | с серой до 0,05"
     assert found["R3"].disc_text == "соль" and found["R3"].coarse_text == "соль"
+
+
+def random_dump(rng, n):
+    """Lines of several sections with nodes of any depth, lines that are none, and nodes outside sections."""
+    out = []
+    for k in range(n):
+        roll = rng.random()
+        if roll < 0.02:
+            out.append(rng.choice([f"{tree.BEGIN} {k}", f"  {tree.END[0]}", tree.END[1]]))
+        elif roll < 0.1:
+            out.append(rng.choice(["", "no node", "  "]))
+        else:
+            out.append(f"{rng.choice(['', '10', '0203', '0203110000', 'IV'])} | {'– ' * rng.randrange(6)}label {k}")
+    return out
+
+
+def stacked(lines):
+    """(section, line) to its ancestors, by one stack a section, from parsed depths by line."""
+    found, section, inside, stack = {}, 0, False, []
+    for k, (value, depth) in enumerate(lines):
+        bare = value.strip(" ")
+        if bare.startswith(tree.BEGIN):
+            section, inside, stack = section + 1, True, []
+        elif bare.startswith(tree.END):
+            inside = False
+        elif inside and depth is not None:
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+            found[section, k] = [i for _, i in stack]
+            stack.append((depth, k))
+    return found
+
+
+def test_blocks_of_any_size_give_the_same_tree(spark):
+    rng = random.Random(8)
+    texts = {name: random_dump(rng, n) for name, n in (("a", 400), ("b", 90), ("c", 1), ("d", 0))}
+    texts["a"] = [tree.BEGIN] + texts["a"]
+    rows = spark.createDataFrame([(f, k, v) for f, own in texts.items() for k, v in enumerate(own)], "file string, line_no long, value string")
+    depth = {(r.file, r.line_no): r.depth for r in tree.parsed(rows).collect()}
+    want = {(f, *key): up for f, own in texts.items() for key, up in stacked([(v, depth.get((f, k))) for k, v in enumerate(own)]).items()}
+    for block in (1, 7, 1 << 13):
+        got = tree.linked(tree.parsed(tree.sections(rows, block)), block).collect()
+        assert {(r.file, r.section, r.line_no): r.ancestors for r in got} == want
+        assert all(r.parent == (r.ancestors[-1] if r.ancestors else None) for r in got)
+
+
+def test_one_section_is_many_tasks(spark):
+    """No window of the plan is over a file or section alone, but for a row a block."""
+    rows = spark.range(40000).select(F.lit("f").alias("file"), F.col("id").alias("line_no"), F.when(F.col("id") == 0, tree.BEGIN).otherwise(F.concat(F.lit("0203 | "), F.repeat(F.lit("– "), (F.col("id") % 4).cast("int")), F.lit("x"))).alias("value"))
+    linked = tree.linked(tree.parsed(tree.sections(rows, 1000)), 1000)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    try:
+        spark.conf.set(key, "false")
+        sizes = [r["count"] for r in linked.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("count"), F.max("ancestors")).collect()]
+    finally:
+        spark.conf.unset(key)
+    assert sum(sizes) == 39999 and max(sizes) < 30000
+    plan = linked._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line and "line_no" in line]
+    assert windows and all("block" in line for line in windows)
+
+
+@pytest.mark.parametrize("end", ["\r\n", None])
+def test_lines_of_files_that_are_cut_anywhere(spark, tmp_path, end):
+    rng = random.Random(9)
+    for name in ("x", "y"):
+        lines = ["".join(rng.choice("abé | –") for _ in range(rng.randrange(5))) for _ in range(5)]
+        body = "".join(line + (end or rng.choice(["\n", "\r\n", "\r"])) for line in lines) + rng.choice(["", "last"])
+        (tmp_path / f"{name}.txt").write_bytes(body.encode())
+    size = max((tmp_path / f"{n}.txt").stat().st_size for n in ("x", "y"))
+    whole = tree.lines(spark.read.text(str(tmp_path), wholetext=True).withColumn("file", F.col("_metadata.file_path"))).collect()
+    want = {(r.file, r.line_no): r.value for r in whole}
+    want = {(f, k): v for (f, k), v in want.items() if v or (f, k + 1) in want}  # nothing comes after a last line end
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for cut in (1, 2, 3, 5, size // 2):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(cut))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert {(r.file, r.line_no): r.value for r in files.dump(spark, str(tmp_path)).collect()} == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
