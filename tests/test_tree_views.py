@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrove import store
 from lexigrove.operators import tree, views
 from lexigrove.sources import files
 
@@ -144,7 +145,7 @@ def test_one_section_is_many_tasks(spark):
 
 
 @pytest.mark.parametrize("end", ["\r\n", None])
-def test_lines_of_files_that_are_cut_anywhere(spark, tmp_path, end):
+def test_lines_of_files_that_are_cut_anywhere(spark, tmp_path, monkeypatch, end):
     rng = random.Random(9)
     for name in ("x", "y"):
         lines = ["".join(rng.choice("abé | –") for _ in range(rng.randrange(5))) for _ in range(5)]
@@ -154,12 +155,18 @@ def test_lines_of_files_that_are_cut_anywhere(spark, tmp_path, end):
     whole = tree.lines(spark.read.text(str(tmp_path), wholetext=True).withColumn("file", F.col("_metadata.file_path"))).collect()
     want = {(r.file, r.line_no): r.value for r in whole}
     want = {(f, k): v for (f, k), v in want.items() if v or (f, k + 1) in want}  # nothing comes after a last line end
-    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    try:
-        for cut in (1, 2, 3, 5, size // 2):
-            spark.conf.set("spark.sql.files.maxPartitionBytes", str(cut))
-            spark.conf.set("spark.sql.files.openCostInBytes", "1")
-            assert {(r.file, r.line_no): r.value for r in files.dump(spark, str(tmp_path)).collect()} == want
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    written = store.materialise
+
+    def then_whole(*args):
+        try:
+            return written(*args)
+        finally:  # what was written is not cut any more
+            for k in keys:
+                spark.conf.unset(k)
+
+    monkeypatch.setattr(store, "materialise", then_whole)
+    for cut in (1, 2, 3, 5, size // 2):
+        spark.conf.set(keys[0], str(cut))
+        spark.conf.set(keys[1], "1")
+        assert {(r.file, r.line_no): r.value for r in files.dump(spark, str(tmp_path)).collect()} == want
