@@ -4,7 +4,7 @@ The examples are a bounded sample of labelled documents (at most ``per_class`` o
 the smallest hashes of their ids). From them come the terms, words and the letter n-grams inside words that
 tell the labels apart: those whose chi-squared score none of the tested terms would reach by chance, but for
 odds of ``CHANCE``. They have an idf and an inverted index over the examples' unit TF-IDF
-vectors. Examples are dealt into blocks and every term keeps its largest weight in each block. For a
+vectors, kept as postings by block and term. Examples are dealt into blocks and every term keeps its largest weight in each block. For a
 text, the terms' block maxima bound the cosine of every example of a block. Its two best blocks are evaluated
 first; then those whose bound reaches the k-th best cosine found, and no others: the k nearest
 are exact. Texts of a batch that visit the same block are evaluated together. The nearest vote with the square of their cosine; an isotonic fit of leave-one-out votes on the
@@ -41,6 +41,8 @@ BLOCK = 64
 CHANCE, LEAST = 0.01, 3
 #: Texts that are searched together.
 BATCH = 128
+#: Bytes of an index that is sent to the workers at most, and of blocks that a worker keeps laid out.
+SENT_BYTES, LAID_BYTES = 512 << 20, 48 << 20
 #: Weight of the share of toxic labels among the votes.
 PRIOR_WEIGHT = 0.3
 
@@ -99,13 +101,19 @@ class Index:
         order = sorted(range(n), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else n_terms, doc_ids[i]))
         self.doc_ids = np.array([doc_ids[i] for i in order], np.int64)
         self.toxic = np.array([toxic[i] for i in order], np.float64)
-        blocks = -(-n // BLOCK)
-        weights = np.zeros((n_terms, blocks * BLOCK), np.float32)
-        for row, i in enumerate(order):
-            weights[vectors[i][0], row] = vectors[i][1]
-        #: Weights by term, block and example in the block; each term's largest weight in each block.
-        self.weights = weights.reshape(n_terms, blocks, BLOCK)
-        self.maxima = self.weights.max(axis=2) if n else np.zeros((n_terms, 0), np.float32)
+        self.blocks = -(-n // BLOCK)
+        term = np.concatenate([vectors[i][0] for i in order]) if n else np.empty(0, np.int64)
+        row = np.repeat(np.arange(n), [len(vectors[i][0]) for i in order]) if n else np.empty(0, np.int64)
+        value = np.concatenate([vectors[i][1] for i in order]) if n else np.empty(0, np.float32)
+        by = np.lexsort((row, term, row // BLOCK))
+        #: Postings by block and term: the term, the example's place in the block, the weight.
+        self.term, self.place, self.weight = term[by].astype(np.int32), (row[by] % BLOCK).astype(np.uint8), value[by]
+        self.starts = np.searchsorted(row[by] // BLOCK, np.arange(self.blocks + 1))
+        #: Each term's largest weight in each block.
+        self.maxima = np.zeros((n_terms, self.blocks), np.float32)
+        np.maximum.at(self.maxima, (self.term, row[by] // BLOCK), self.weight)
+        self.laid: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.laid_bytes = 0
         self.known: dict[tuple, tuple[float, list[int]]] = {}  # results of repeated texts
         share = np.array([weight[int(t)] for t in self.toxic])
         self.prior = float((share * self.toxic).sum() / share.sum()) if n else 0.0
@@ -115,6 +123,21 @@ class Index:
             votes = np.array([self.vote(*f) for f in found])
             self.steps = isotonic(votes, self.toxic, share)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"laid": {}, "laid_bytes": 0, "known": {}}
+
+    def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a block and its weights (terms x examples); those that were laid out stay, up to ``LAID_BYTES``."""
+        if b in self.laid:
+            return self.laid[b]
+        a, e = self.starts[b], self.starts[b + 1]
+        terms, at = np.unique(self.term[a:e], return_inverse=True)
+        weights = np.zeros((len(terms), BLOCK), np.float32)
+        weights[at, self.place[a:e]] = self.weight[a:e]
+        if self.laid_bytes + weights.nbytes <= LAID_BYTES:
+            self.laid[b], self.laid_bytes = (terms, weights), self.laid_bytes + weights.nbytes
+        return terms, weights
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """(term ids, unit weights) with sublinear term frequency; empty if no kept term occurs."""
         ids = np.fromiter(counts.keys(), np.int64, len(counts))
@@ -127,11 +150,11 @@ class Index:
 
         ``skip``: a row that each leaves out.
         """
-        x = np.zeros((len(vectors), len(self.weights)), np.float32)
+        x = np.zeros((len(vectors), len(self.maxima)), np.float32)
         for i, (ids, w) in enumerate(vectors):
             x[i, ids] = w
         bounds = x @ self.maxima
-        cos = np.zeros((len(vectors), self.weights.shape[1], BLOCK), np.float32)
+        cos = np.zeros((len(vectors), self.blocks, BLOCK), np.float32)
         wanted = np.zeros(bounds.shape, bool)
         first = np.argpartition(-bounds, 1, axis=1)[:, :2] if bounds.shape[1] > 2 else np.tile(np.arange(bounds.shape[1]), (len(x), 1))
         np.put_along_axis(wanted, first, True, axis=1)
@@ -157,7 +180,8 @@ class Index:
         """Fill in the cosines of the texts and blocks that are wanted."""
         for b in np.flatnonzero(wanted.any(0)):
             some = np.flatnonzero(wanted[:, b])
-            cos[some, b] = x[some] @ self.weights[:, b]
+            terms, weights = self.block(int(b))
+            cos[some, b] = x[np.ix_(some, terms)] @ weights
             if skip is not None:
                 for i in some[[skip[i] // BLOCK == b for i in some]]:
                     cos[i, b, skip[i] % BLOCK] = 0.0
@@ -280,8 +304,11 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     with store.scratch(spark):
         vocabulary, index = fit(docs, labels, **options)
-        # Bounded by the number of examples and their terms.
-        sent = spark.sparkContext.broadcast(cloudpickle.dumps((vocabulary, index)))
+        # Postings of a bounded number of examples, and a maximum for each term and block.
+        data = cloudpickle.dumps((vocabulary, index))
+        if len(data) > SENT_BYTES:
+            raise ValueError(f"an index of {len(data)} bytes is too large to be sent: learn from fewer than {options.get('per_class', PER_CLASS)} examples of each label")
+        sent = spark.sparkContext.broadcast(data)
 
         def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             vocabulary, index = pickle.loads(sent.value)

@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -156,13 +157,43 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, frame.limit(0)).collect()} == {0.0}
 
 
-def test_block_max_is_exact():
+def test_block_max_is_exact(monkeypatch):
     rng = np.random.default_rng(3)
     counts = [{int(t): int(rng.integers(1, 5)) for t in rng.choice(60, rng.integers(1, 9), replace=False)} for _ in range(500)]
     index = toxicity.Index(counts, [i % 2 for i in range(500)], list(range(500)), 60, (1.0, 1.0))
-    for (ids, w), (rows, cos) in zip(map(index.vector, counts[:60]), index.nearest([index.vector(c) for c in counts[:60]], 15), strict=True):
-        full = w @ index.weights.reshape(60, -1)[ids]
-        assert cos == pytest.approx(np.sort(full)[::-1][:15], abs=1e-5)
+    dense = np.zeros((500, 60))
+    for i, c in enumerate(counts):
+        ids, w = index.vector(c)
+        dense[i, ids] = w
+    dense = dense[index.doc_ids]  # in the index's order
+    nearest = [index.nearest([index.vector(c) for c in counts[:60]], 15)]
+    monkeypatch.setattr(toxicity, "LAID_BYTES", 0)
+    again = pickle.loads(pickle.dumps(index))
+    assert not again.laid and index.laid
+    nearest.append(again.nearest([index.vector(c) for c in counts[:60]], 15))
+    assert not again.laid
+    for found in nearest:
+        for (ids, w), (rows, cos) in zip(map(index.vector, counts[:60]), found, strict=True):
+            full = dense[:, ids] @ w
+            assert cos == pytest.approx(np.sort(full)[::-1][:15], abs=1e-5) and full[rows] == pytest.approx(cos, abs=1e-5)
+            # Of equal cosines those that stand first.
+            tied = [(r, c) for r, c in zip(rows.tolist(), cos.tolist(), strict=True)]
+            assert all(a[1] > b[1] or a[0] < b[0] for a, b in zip(tied, tied[1:], strict=False))
+
+
+def test_index_of_many_terms_is_small():
+    """20,000 terms and 6000 examples of 100 terms each: bytes that are sent, and no dense table of terms and examples."""
+    rng = np.random.default_rng(5)
+    counts = [dict.fromkeys(rng.choice(20_000, 100, replace=False).tolist(), 1) for _ in range(600)]
+    index = toxicity.Index(counts, [i % 2 for i in range(600)], list(range(600)), 20_000, (1.0, 1.0))
+    assert len(pickle.dumps(index)) < 600 * 100 * 9 + 20_000 * 4 * 11 + 100_000 + 20_000 * 8
+
+
+def test_index_that_is_too_large_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SENT_BYTES", 100)
+    docs = spark.createDataFrame([(1, "good"), (2, "bad")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="too large to be sent"):
+        toxicity.score(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"))
 
 
 def test_nearest_vectors(spark):
