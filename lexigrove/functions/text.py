@@ -50,8 +50,8 @@ def tokenise(text: Column, stopwords: bool = True) -> Column:
 def lemmatise(tokens: DataFrame, lemmas: DataFrame, token: str = "token") -> DataFrame:
     """Replace ``token`` by its entry in ``lemmas`` (token, lemma), where it has Cyrillic letters and an entry.
 
-    A dictionary table takes the place of a morphological analyser; each distinct token is looked up by
-    an equi-join. Stop words are dropped afterwards, since they are compared with lemmas.
+    A dictionary table takes the place of a morphological analyser, with guesses by word endings for what it
+    lacks (``operators.lemmas.extended``); each token is looked up by an equi-join. Stop words are dropped afterwards, since they are compared with lemmas.
     """
     known = lemmas.select(F.col("token").alias("_token"), "lemma")
     joined = tokens.join(known, (tokens[token] == known["_token"]) & tokens[token].rlike("[а-яё]"), "left")

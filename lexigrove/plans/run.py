@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import store
 from ..operators import evaluate, tree, views
+from ..operators import lemmas as endings
 from ..operators.retrieval import dense_scores
 from ..operators.scorers import Scorer, embed, encoder, model_folder, scorer_for
 from ..sources import files
@@ -86,7 +87,11 @@ def run(
         with _timed(timings, "dense"):
             dense = dense_of(config, queries, docs, lock_file, models)
         with _timed(timings, "ranking"):
-            found = rank(queries, docs, config, scorer, dense, files.lemmas(spark, lemmas) if lemmas else None)
+            known = None
+            if lemmas:  # forms that the dictionary lacks follow its endings
+                texts = [(docs, "coarse_text"), (docs, "disc_text"), (queries, "text")]
+                known = endings.extended(files.lemmas(spark, lemmas), endings.tokens_of(texts))
+            found = rank(queries, docs, config, scorer, dense, known)
             found = found.select(F.col("query_id").alias("declaration_id"), "rank", F.col("doc_id").alias("regulation_id"), "score")
             files.write_predictions(found.join(given.select("declaration_id", "input_ord"), "declaration_id"), out)
         with _timed(timings, "gate"):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import store
 from .functions import text as tx
 from .functions.quantities import UNITS
-from .operators import constraints, evaluate, tree, views
+from .operators import constraints, evaluate, lemmas, tree, views
 from .operators.retrieval import dense_scores
 from .operators.scorers import TableScorer
 from .plans import ranking
@@ -323,3 +323,40 @@ def dense_fused_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = dense_scores(queries.select(F.col("query_id").alias("id"), "vector"), docs.select(F.col("doc_id").alias("id"), "vector"))
     found = ranking.stage1(queries.drop("vector"), docs.drop("vector"), ranking.Config(weights={"word": 1.0}), dense)
     return found.where(F.col("rank") <= 10).select("query_id", "doc_id", "rank", rounded("score"))
+
+
+# --- lemmas of unseen forms -----------------------------------------------------------------------
+
+# Words of the documents in Cyrillic letters stand for stems; three declensions by the stem's last letter, forms by its length.
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшщзы"
+_BASE = ["а", "ь", ""]
+_FORMS = [["ы", "е", "ами"], ["и", "ю", "ями"], ["ов", "у", "ом"]]
+_WORDS_SQL = f"""w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
+s AS (SELECT w, translate(w, '{_LATIN}', '{_CYRILLIC}') AS stem, (ascii(right(w, 1)) % 3)::INT AS class, (length(w) % 3)::INT AS form FROM w WHERE length(w) >= 4),
+forms AS (SELECT w, stem || {_BASE}[class + 1] AS lemma, stem || {_FORMS}[class + 1][form + 1] AS token, ascii(w) % 2 = 0 AS known FROM s)"""
+
+
+@query(
+    f"""WITH {_WORDS_SQL},
+given AS (SELECT DISTINCT token, lemma FROM forms WHERE known),
+p AS (SELECT *, CASE WHEN len(same) = 0 THEN 0 WHEN list_position(same, false) > 0 THEN list_position(same, false) - 1 ELSE len(same) END AS st FROM
+  (SELECT token, lemma, list_transform(range(1, least(length(token), length(lemma)) + 1), lambda i: substr(token, i, 1) = substr(lemma, i, 1)) AS same FROM given)),
+pd AS (SELECT token, length(token) - st AS cut, substr(lemma, st + 1) AS add FROM p WHERE st >= 2),
+ends AS (SELECT right(token, z) AS ending, cut, add FROM (SELECT *, unnest(range(greatest(cut, 1), least(6, length(token) - 2) + 1)) AS z FROM pd WHERE cut <= 6)),
+c AS (SELECT ending, cut, add, count(*) AS n FROM ends GROUP BY ALL HAVING count(*) >= 2),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ending ORDER BY n DESC, cut, add) AS k FROM c) WHERE k = 1),
+asked AS (SELECT DISTINCT token, lemma FROM forms WHERE NOT known AND token NOT IN (SELECT token FROM given)),
+m AS (SELECT a.token, a.lemma, left(a.token, length(a.token) - r.cut) || r.add AS guess, row_number() OVER (PARTITION BY a.token, a.lemma ORDER BY z DESC) AS k
+  FROM (SELECT *, unnest(range(1, least(6, length(token) - 2) + 1)) AS z FROM asked) a JOIN r ON r.ending = right(a.token, z) AND length(a.token) - r.cut >= 2)
+SELECT token, lemma, guess FROM m WHERE k = 1"""
+)
+def lemma_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from half of the words' forms, applied to the forms of the other half."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).where("length(w) >= 4").distinct()
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
+    kind, form, stem = (F.ascii(F.expr("right(w, 1)")) % 3), (F.length("w") % 3), F.translate("w", _LATIN, _CYRILLIC)
+    inflected = F.when(kind == 0, pick(_FORMS[0], form)).when(kind == 1, pick(_FORMS[1], form)).otherwise(pick(_FORMS[2], form))
+    forms = store.materialise(words.select(F.concat(stem, inflected).alias("token"), F.concat(stem, pick(_BASE, kind)).alias("lemma"), (F.ascii("w") % 2 == 0).alias("known")), "forms")
+    given = forms.where("known").select("token", "lemma").distinct()
+    asked = forms.where("not known").select("token", "lemma").distinct().join(given.select("token").distinct(), "token", "left_anti")
+    return asked.join(lemmas.guessed(asked, lemmas.rules(given)).withColumnRenamed("lemma", "guess"), "token").select("token", "lemma", "guess")
