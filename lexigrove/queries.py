@@ -280,13 +280,19 @@ def quantity_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id.l_orderkey", "query_id.l_linenumber", F.col("pos").cast("long").alias("pos"), "unit", "value")
 
 
+def _some_part(spark: SparkSession, sf_dir: str, key: Column) -> Column:
+    """A part for each key, all parts in turn; part keys have no gaps."""
+    known = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("low")).first()
+    return key % max(1, known["n"]) + (known["low"] or 0)
+
+
 @query(
     "SELECT o_orderkey AS query_id, p_partkey AS doc_id, CASE WHEN o_orderkey % 60 > p_size AND o_orderkey % 60 <= p_size + 10 AND floor(o_totalprice / 100) + 0.5 >= round(p_retailprice) THEN 1.0 ELSE -1.0 END AS signal "
-    "FROM orders JOIN part ON o_orderkey % 200 = p_partkey"
+    "FROM orders JOIN part ON o_orderkey % (SELECT count(*) FROM part) = p_partkey - (SELECT min(p_partkey) FROM part)"
 )
 def constraint_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("изделие "), (F.col("o_orderkey") % 60).cast("string"), F.lit(" мм, масса "), F.floor(F.col("o_totalprice") / 100).cast("string"), F.lit(",5 кг"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 200).alias("doc_id"), text.alias("text"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), _some_part(spark, sf_dir, F.col("o_orderkey")).alias("doc_id"), text.alias("text"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _part_text().alias("text"))
     pairs = orders.select("query_id", "doc_id").join(parts.select("doc_id"), "doc_id")
     return constraints.signal(pairs, constraints.interval_rows(parts), constraints.quantity_rows(orders)).select("query_id", "doc_id", "signal")

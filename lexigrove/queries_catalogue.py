@@ -12,7 +12,7 @@ from .operators import constraints, evaluate, lemmas, tree, views
 from .operators.retrieval import dense_scores
 from .operators.scorers import TableScorer
 from .plans import ranking
-from .queries import _GRAMS, _LCP, _TOKENS, _geography, _rank_all_sql, _tfidf_sql, query, rounded, table
+from .queries import _GRAMS, _LCP, _TOKENS, _geography, _rank_all_sql, _some_part, _tfidf_sql, query, rounded, table
 from .sources import files
 
 # --- parsers: every comparator and unit -------------------------------------------------------------
@@ -53,7 +53,7 @@ def unit_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH p AS (SELECT o_orderkey AS query_id, p_partkey AS doc_id, o_orderkey % 4 AS kind, o_orderkey % 60 AS a, p_size FROM orders JOIN part ON p_partkey = o_orderkey % 200) "
+    "WITH p AS (SELECT o_orderkey AS query_id, p_partkey AS doc_id, o_orderkey % 4 AS kind, o_orderkey % 60 AS a, p_size FROM orders JOIN part ON p_partkey - (SELECT min(p_partkey) FROM part) = o_orderkey % (SELECT count(*) FROM part)) "
     "SELECT query_id, doc_id, CASE WHEN kind IN (0, 3) THEN 0e0 WHEN a <= p_size THEN 1e0 ELSE -1e0 END AS signal FROM p"
 )
 def constraint_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def constraint_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("хлопка много"),
     ]
     text = F.when(key % 4 == 0, texts[0]).when(key % 4 == 1, texts[1]).when(key % 4 == 2, texts[2]).otherwise(texts[3])
-    orders = table(spark, sf_dir, "orders").select(key.alias("query_id"), (key % 200).alias("doc_id"), text.alias("text"))
+    orders = table(spark, sf_dir, "orders").select(key.alias("query_id"), _some_part(spark, sf_dir, key).alias("doc_id"), text.alias("text"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("ткани, хлопка не более "), F.col("p_size").cast("string"), F.lit(" %")).alias("text"))
     pairs = orders.select("query_id", "doc_id").join(parts.select("doc_id"), "doc_id")
     return constraints.signal(pairs, constraints.interval_rows(parts), constraints.quantity_rows(orders)).select("query_id", "doc_id", "signal")

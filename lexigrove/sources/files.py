@@ -15,6 +15,10 @@ PREDICTIONS = "declaration_id string, rank int, regulation_id string, score doub
 LABELS = "declaration_id string, regulation_id string, code string, runner_up string, confidence string, evidence string"
 
 
+#: Rows of a file of predictions, about.
+FILE_ROWS = 5_000_000
+
+
 class MissingInput(ValueError):
     """An input does not exist."""
 
@@ -68,13 +72,16 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(PREDICTIONS).csv(path)
 
 
-def write_predictions(ranking: DataFrame, path: str) -> None:
-    """One CSV with a header, in the declarations' input order and then by rank, scores with six decimals.
+def write_predictions(ranking: DataFrame, path: str, parts: int | None = None) -> None:
+    """CSV files in the declarations' input order and then by rank, scores with six decimals, under a header.
 
-    ``ranking``: (declaration_id, rank, regulation_id, score, input_ord).
+    ``ranking``: (declaration_id, rank, regulation_id, score, input_ord). The rows are cut into ranges of (input_ord, rank), a task and a file
+    each, about ``FILE_ROWS`` rows or ``parts`` of them: files in the order of their names, without their headers, are the one file that a single task
+    would write. Spark puts all of them in place together at the end of the job.
     """
     shown = ranking.select("input_ord", "declaration_id", "rank", "regulation_id", F.format_string("%.6f", "score").alias("score"))
-    ordered = shown.repartition(1).sortWithinPartitions("input_ord", "rank")
+    parts = parts or max(1, -(-shown.count() // FILE_ROWS))
+    ordered = (shown.repartition(1) if parts == 1 else shown.repartitionByRange(parts, "input_ord", "rank")).sortWithinPartitions("input_ord", "rank")
     ordered.drop("input_ord").write.mode("overwrite").option("header", True).csv(path)
 
 

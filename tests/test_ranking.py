@@ -109,3 +109,18 @@ def test_files(spark, tmp_path):
     assert files.predictions(spark, str(tmp_path / "out")).count() == 3
     with pytest.raises(files.MissingInput):
         files.require(spark, str(tmp_path / "none"))
+
+
+def test_predictions_of_many_tasks_are_those_of_one(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(f"D{d}", k, f"R{rng.randrange(50)}", rng.random(), 3 * d) for d in range(40) for k in range(1, 11)]
+    rng.shuffle(rows)
+    ranking = spark.createDataFrame(rows, "declaration_id string, rank int, regulation_id string, score double, input_ord long").repartition(5)
+    texts = {}
+    for parts in (1, 7):
+        files.write_predictions(ranking, str(tmp_path / str(parts)), parts)
+        names = sorted(p for p in os.listdir(tmp_path / str(parts)) if p.startswith("part"))
+        bodies = [open(tmp_path / str(parts) / p, encoding="utf-8").read().split("\n", 1) for p in names]
+        assert {head for head, _ in bodies} == {"declaration_id,rank,regulation_id,score"}
+        texts[parts] = len(names), "".join(body for _, body in bodies)
+    assert texts[1][0] == 1 and texts[7][0] > 4 and texts[1][1] == texts[7][1] and texts[1][1].count("\n") == 400
