@@ -7,10 +7,6 @@ documents' norms or lengths, and, cut down to the terms that a query has, a leg
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,43 +135,13 @@ def dot(a: Column, b: Column) -> Column:
 def dense_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of every pair by cosine; both sides are (id, vector).
 
-    This is a full product by definition, for a bounded catalogue. For the best of many use ``dense_top``.
+    This is a full product by definition, for a bounded catalogue. For the best of many use ``pivots.dense_top``.
     """
     q = queries.select(F.col("id").alias("query_id"), unit_vector(F.col("vector")).alias("q"))
     d = docs.select(F.col("id").alias("doc_id"), unit_vector(F.col("vector")).alias("d"))
     return d.crossJoin(q).select("query_id", "doc_id", dot(F.col("q"), F.col("d")).alias("score"))
 
 
-def _blocks(rows: DataFrame, size: int, side: str) -> DataFrame:
-    """Blocks of about ``size`` rows (id, vector): (block, ids, vectors), the vectors of length 1 and end to end."""
-    n = rows.count()
-    spot = F.pmod(F.xxhash64("id", "vector"), F.lit(max(1, -(-n // size))))
-    packed = rows.select(spot.alias("block"), F.struct("id", unit_vector(F.col("vector")).alias("v")).alias("row")).groupBy("block").agg(F.collect_list("row").alias("rows"))
-    return packed.select(F.transform("rows", lambda r: r["id"]).alias(f"{side}_ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias(f"{side}_vectors"))
-
-
-def dense_top(queries: DataFrame, docs: DataFrame, k: int = 10, query_block: int = 512, doc_block: int = 4096, digits: int = 9) -> DataFrame:
-    """(query_id, doc_id, rank, score): the k best of ``docs`` by cosine for every query; both sides are (id, vector) of one length.
-
-    The product goes block by block: a block of queries meets a block of documents in one matrix product,
-    of which only each query's k best leave the task. Ties, after rounding, go to the smaller doc_id. Zero vectors have cosine 0.
-    """
-    kinds = dict(queries.dtypes)["id"], dict(docs.dtypes)["id"]
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                q_ids, d_ids = np.asarray(row.q_ids), np.asarray(row.d_ids)
-                order = np.argsort(d_ids, kind="stable")
-                scores = np.asarray(row.q_vectors).reshape(len(q_ids), -1) @ np.asarray(row.d_vectors).reshape(len(d_ids), -1)[order].T
-                first = np.argsort(-scores.round(digits), axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, first.shape[1]), "doc_id": d_ids[order][first.reshape(-1)], "score": np.take_along_axis(scores, first, 1).reshape(-1)})
-
-    pairs = _blocks(docs, doc_block, "d").crossJoin(_blocks(queries, query_block, "q"))
-    found = store.materialise(pairs.mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"), "dense-best", records=1)
-    return top(found, k)
-
-
 def complete(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Every pair of (query_id) and (doc_id), with score 0 where none was found: for bounded catalogues."""
     pairs = queries.select("query_id").crossJoin(docs.select("doc_id"))

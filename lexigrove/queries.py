@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from . import store
 from .functions import text as tx
 from .functions.quantities import COMPARED
-from .operators import constraints, evaluate, fusion, products, retrieval, tree, views
+from .operators import constraints, evaluate, fusion, pivots, products, retrieval, tree, views
 from .operators.scorers import TableScorer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,7 +234,7 @@ def normalised_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id 20 divides is the stated block of queries, against all rows."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return retrieval.dense_top(rows.where(F.col("id") % 20 == 0), rows).select("query_id", "doc_id", "rank", rounded("score"))
+    return pivots.dense_top(rows.where(F.col("id") % 20 == 0), rows).select("query_id", "doc_id", "rank", rounded("score"))
 
 
 # --- intervals, quantities, constraint signals ----------------------------------------------------
