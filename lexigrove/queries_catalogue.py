@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import store
 from .functions import text as tx
@@ -12,7 +13,7 @@ from .operators import constraints, evaluate, lemmas, tree, views
 from .operators.retrieval import dense_scores
 from .operators.scorers import TableScorer
 from .plans import ranking
-from .queries import _GRAMS, _LCP, _TOKENS, _geography, _rank_all_sql, _some_part, _tfidf_sql, query, rounded, table
+from .queries import ORACLE, QUERIES, _GRAMS, _LCP, _TOKENS, _geography, _rank_all_sql, _some_part, _tfidf_sql, query, rounded, table
 from .sources import files
 
 # --- parsers: every comparator and unit -------------------------------------------------------------
@@ -360,3 +361,63 @@ def lemma_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = forms.where("known").select("token", "lemma").distinct()
     asked = forms.where("not known").select("token", "lemma").distinct().join(given.select("token").distinct(), "token", "left_anti")
     return asked.join(lemmas.guessed(asked, lemmas.rules(given)).withColumnRenamed("lemma", "guess"), "token").select("token", "lemma", "guess")
+
+
+# --- odd texts that parsing must take as they are, and samples of violations ------------------------
+
+#: Text for each kind (# is the number), and the intervals that come of it: unit, lower bound, strict, upper bound, strict; the numbers added to #.
+_ODD_INTERVALS = [
+    ("азот #%", [("pct", 0, False, None, False)]),  # a comparator inside a word
+    ("не свыше # кг", [("kg", 0, True, None, False)]),  # no negation of this word
+    ("от # до 99 кг", []),  # the second comparator is taken for a unit
+    ("более #, но не более 99 кг", [("kg", None, False, 99, False)]),  # a bound without a unit of its own
+    ("не более # летний", [("year", None, False, 0, False)]),  # units by their beginning
+    ("более 1 1# см3", []),  # a blank between thousands
+    ("не более # мм, более 99 мм", [("mm", None, False, 0, False), ("mm", 99, True, None, False)]),  # an upper bound does not open
+    ("не  более # кг", [("kg", 0, True, None, False)]),  # two blanks are no negation
+    ("текстиль не менее # текстиль", [("tex", 0, False, None, False)]),
+    ("менее #,5 годный", [("year", None, False, 0.5, True)]),
+]
+#: The same for quantities; their values are in the SQL.
+_ODD_QUANTITIES = [("20#0 года", ["year"]), ("1 #00 см3", []), ("# мм2", ["mm"]), ("масса #,25 кг нетто, 5 %", ["kg", "pct"]), ("#об.%", ["pct_vol"]), ("# тыс", [])]
+
+
+def _odd_text(kinds: list, key: Column, number: Column) -> Column:
+    """The text of a row's kind with its number."""
+    texts = F.element_at(F.array(*[F.lit(text) for text, _ in kinds]), (key % len(kinds) + 1).cast("int"))
+    return F.replace(texts, F.lit("#"), number.cast("string"))
+
+
+def _bound_sql(added: float | None) -> str:
+    return "NULL::DOUBLE" if added is None else f"{added}::DOUBLE" if added == 99 else f"(p_size + {added})::DOUBLE"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT p_partkey, {pos}::BIGINT AS pos, '{unit}' AS unit, {_bound_sql(lo)} AS lo, {ls} AS lo_strict, {_bound_sql(hi)} AS hi, {hs} AS hi_strict FROM part WHERE p_partkey % {len(_ODD_INTERVALS)} = {kind}"
+        for kind, (_, found) in enumerate(_ODD_INTERVALS)
+        for pos, (unit, lo, ls, hi, hs) in enumerate(found)
+    )
+)
+def interval_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose reading surprises, kept as it is: what the patterns take is what counts."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _odd_text(_ODD_INTERVALS, F.col("p_partkey"), F.col("p_size")).alias("text"))
+    return constraints.interval_rows(parts).select(F.col("doc_id").alias("p_partkey"), F.col("pos").cast("long").alias("pos"), "unit", "lo", "lo_strict", "hi", "hi_strict")
+
+
+@query(
+    "SELECT p_partkey, 0::BIGINT AS pos, 'year' AS unit, ('20' || p_size || '0')::DOUBLE AS value FROM part WHERE p_partkey % 6 = 0 UNION ALL "
+    "SELECT p_partkey, 0, 'mm', p_size FROM part WHERE p_partkey % 6 = 2 UNION ALL SELECT p_partkey, 0, 'kg', p_size + 0.25::DOUBLE FROM part WHERE p_partkey % 6 = 3 UNION ALL "
+    "SELECT p_partkey, 1, 'pct', 5 FROM part WHERE p_partkey % 6 = 3 UNION ALL SELECT p_partkey, 0, 'pct_vol', p_size FROM part WHERE p_partkey % 6 = 4"
+)
+def quantity_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), _odd_text(_ODD_QUANTITIES, F.col("p_partkey"), F.col("p_size")).alias("text"))
+    return constraints.quantity_rows(parts).select(F.col("query_id").alias("p_partkey"), F.col("pos").cast("long").alias("pos"), "unit", "value")
+
+
+@query(f"SELECT rule, declaration_id, detail FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY declaration_id, detail) AS k FROM ({ORACLE['validate_gate']})) WHERE k <= 5")
+def violation_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five of each rule's violations, in order."""
+    order = Window.partitionBy("rule").orderBy("declaration_id", "detail")
+    found = QUERIES["validate_gate"](spark, sf_dir).withColumn("k", F.row_number().over(order))
+    return found.where("k <= 5").drop("k")
