@@ -11,7 +11,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .operators.scorers import gpu_visible
+from .operators.artifacts import executors_have_gpu
 from .plans.run import DECLARATIONS, DUMP, PREDICTIONS, REGULATIONS, choose, run
 
 
@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("lexigrove").getOrCreate()
     paths = [f"{given.data.rstrip('/')}/{name}" for name in (REGULATIONS, DECLARATIONS, DUMP)]
     try:
-        config = choose(given.pipeline, gpu_visible(), given.n_candidates)
+        config = choose(given.pipeline, executors_have_gpu(spark), given.n_candidates)
         wrong = run(spark, *paths, f"{given.out.rstrip('/')}/{PREDICTIONS}", config, lemmas=given.lemmas, lock_file=given.lock, models=given.models)
     except (ValueError, KeyError, FileNotFoundError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PROMPT_BEGIN, PROMPT_BODY, PROMPT_END, TASK, tokenise
+from .artifacts import Shipped, local, profile_for
 from .retrieval import corpus_size, pair_scores, postings, tfidf_leg
 
 
@@ -54,14 +55,14 @@ class ModelScorer:
     one, is released at the task's end, so that two models are never held at once.
     """
 
-    def __init__(self, load: Callable[[str], Callable[[list[str], list[str]], list[float]]], folder: str, batch: int = 24):
-        self.load, self.folder, self.batch = load, folder, batch
+    def __init__(self, load: Callable[[str], Callable[[list[str], list[str]], list[float]]], folder: str | Shipped, batch: int = 24, gpu: bool = False):
+        self.load, self.folder, self.batch, self.gpu = load, folder, batch, gpu
 
     def score(self, pairs: DataFrame) -> DataFrame:
         load, folder, batch = self.load, self.folder, self.batch
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = load(folder)
+            model = load(local(folder))
             try:
                 for frame in frames:
                     scores: list[float] = []
@@ -73,7 +74,9 @@ class ModelScorer:
                 getattr(model, "close", lambda: None)()
 
         kinds = dict(pairs.dtypes)
-        scored = pairs.select("query_id", "doc_id", "query_text", "doc_text").mapInPandas(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+        scored = pairs.select("query_id", "doc_id", "query_text", "doc_text").mapInPandas(
+            run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double", profile=profile_for(pairs, self.gpu)
+        )
         return scored.withColumn("score", finite(F.col("score"), "a score is not finite"))
 
 
@@ -188,10 +191,10 @@ def is_causal(name: str) -> bool:
     return "qwen3-reranker" in name.lower()
 
 
-def scorer_for(name: str, folder: str, batch: int = 16, max_length: int = 256, device: Device = Device()) -> ModelScorer:
+def scorer_for(name: str, folder: str | Shipped, batch: int = 16, max_length: int = 256, device: Device = Device()) -> ModelScorer:
     """Causal rerankers by their name, sequence classifiers otherwise."""
     make = yes_no_reranker if is_causal(name) else cross_encoder
-    return ModelScorer(lambda where: make(where, max_length=max_length, device=device), folder, batch)
+    return ModelScorer(lambda where: make(where, max_length=max_length, device=device), folder, batch, device.gpu)
 
 
 def encoder(folder: str, name: str = "", query: bool = False, max_length: int = 192, device: Device = Device()) -> Callable[[list[str]], list[list[float]]]:
@@ -223,11 +226,11 @@ def mean_pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return mean / np.where(norm > 0, norm, 1.0)
 
 
-def embed(texts: DataFrame, load: Callable[[str], Callable[[list[str]], list[list[float]]]], folder: str, batch: int = 32) -> DataFrame:
+def embed(texts: DataFrame, load: Callable[[str], Callable[[list[str]], list[list[float]]]], folder: str | Shipped, batch: int = 32, gpu: bool = False) -> DataFrame:
     """(id, vector) of (id, text) by a model that ``load(folder)`` returns; a component that is not finite is an error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load(folder)
+        model = load(local(folder))
         try:
             for frame in frames:
                 texts = frame["text"].tolist()
@@ -238,7 +241,7 @@ def embed(texts: DataFrame, load: Callable[[str], Callable[[list[str]], list[lis
         finally:
             getattr(model, "close", lambda: None)()
 
-    return texts.select("id", "text").mapInPandas(run, f"id {dict(texts.dtypes)['id']}, vector array<float>")
+    return texts.select("id", "text").mapInPandas(run, f"id {dict(texts.dtypes)['id']}, vector array<float>", profile=profile_for(texts, gpu))
 
 
 def model_folder(name: str, lock_file: str, models: str) -> str:

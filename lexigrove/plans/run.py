@@ -14,6 +14,7 @@ from .. import store
 from ..operators import evaluate, tree, views
 from ..operators import lemmas as endings
 from ..operators.retrieval import dense_scores
+from ..operators.artifacts import ship
 from ..operators.scorers import Scorer, embed, encoder, model_folder, scorer_for
 from ..sources import files
 from .ranking import CPU, GPU, LEXICAL, Config, rank
@@ -33,19 +34,21 @@ def choose(pipeline: str = "auto", gpu: bool = False, n_candidates: int | None =
 
 
 def scorer_of(config: Config, lock_file: str, models: str) -> Scorer | None:
-    """The reranker that a configuration names, from its locked snapshot; None if it names none."""
+    """The reranker that a configuration names, from its locked snapshot, which is sent to the workers; None if it names none."""
     if config.cross_encoder is None:
         return None
-    return scorer_for(config.cross_encoder, model_folder(config.cross_encoder, lock_file, models), config.batch_ce, config.max_len_ce, config.device)
+    folder, spark = model_folder(config.cross_encoder, lock_file, models), SparkSession.getActiveSession()
+    return scorer_for(config.cross_encoder, ship(spark, folder) if spark else folder, config.batch_ce, config.max_len_ce, config.device)
 
 
 def dense_of(config: Config, queries: DataFrame, docs: DataFrame, lock_file: str, models: str) -> DataFrame | None:
     """Cosines of every pair by the configuration's bi-encoder; None if it names none."""
     if config.bi_encoder is None:
         return None
-    name, folder, length, device = config.bi_encoder, model_folder(config.bi_encoder, lock_file, models), config.max_len_bi, config.device
+    name, length, device = config.bi_encoder, config.max_len_bi, config.device
+    folder = ship(queries.sparkSession, model_folder(name, lock_file, models))
     make = lambda query: lambda where: encoder(where, name, query, length, device)
-    vectors = lambda side, key, text, query: store.materialise(embed(side.select(F.col(key).alias("id"), F.col(text).alias("text")), make(query), folder, config.batch_bi), "vectors")
+    vectors = lambda side, key, text, query: store.materialise(embed(side.select(F.col(key).alias("id"), F.col(text).alias("text")), make(query), folder, config.batch_bi, device.gpu), "vectors")
     return dense_scores(vectors(queries, "query_id", "text", True), vectors(docs, "doc_id", "coarse_text", False))
 
 
