@@ -67,3 +67,18 @@ def catalogue(entries: DataFrame, codes: DataFrame) -> DataFrame:
             "disc_text": F.coalesce(*[F.nullif(c, F.lit("")) for c in (own, F.col("leaf"), F.col("tail"))], F.col("desc")),
         }
     )
+
+
+#: Texts of a catalogue's entries that its statistics are of.
+VIEWS = ("coarse_text", "fine_text", "disc_text")
+
+
+def statistics(median: bool = True) -> list[Column]:
+    """Aggregates over a ``catalogue``: entries, characters of each view, entries without a path and without a gloss.
+
+    Without the medians they can be observed while the catalogue is written.
+    """
+    size = {v: F.char_length(v) for v in VIEWS}
+    middle = [F.median(n).alias(f"{v}_median") for v, n in size.items()] if median else []
+    most = [F.coalesce(F.max(n), F.lit(0)).cast("long").alias(f"{v}_max") for v, n in size.items()]
+    return [F.count(F.lit(1)).alias("entries"), *middle, *most, F.count_if(F.size("path") == 0).alias("no_path"), F.count_if(F.col("gloss") == "").alias("no_gloss")]

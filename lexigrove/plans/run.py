@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import store
@@ -59,8 +59,11 @@ def prepare(spark: SparkSession, regulations: str, dump: str) -> DataFrame:
         parsed = store.materialise(tree.parsed(tree.sections(files.dump(spark, dump))), "nodes")
         nodes = store.materialise(tree.linked(parsed), "nodes")
         codes = store.materialise(tree.by_code(store.materialise(tree.with_labels(nodes), "nodes")), "codes")
-        rows = views.catalogue(files.regulations(spark, regulations), codes)
-        return store.kept(rows.select(F.col("regulation_id").alias("doc_id"), "coarse_text", "fine_text", "disc_text"), "catalogue")
+        seen = Observation()
+        rows = views.catalogue(files.regulations(spark, regulations), codes).observe(seen, *views.statistics(median=False))
+        made = store.kept(rows.select(F.col("regulation_id").alias("doc_id"), *views.VIEWS), "catalogue")
+        print("[catalogue] " + "  ".join(f"{k}={v}" for k, v in seen.get.items()))
+        return made
 
 
 @contextmanager

@@ -162,6 +162,18 @@ def catalogue_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("regulation_id").alias("doc_id"), "coarse_text", "fine_text", "disc_text")
 
 
+@query(
+    "SELECT count(*) AS entries, "
+    + ", ".join(f"round(median(length({v})), 6) AS {v}_median, max(length({v}))::BIGINT AS {v}_max" for v in views.VIEWS)
+    + ", (SELECT count(*) FROM part WHERE p_partkey % 7 = 0) AS no_path, (SELECT count(*) FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 3 <> 0) AS no_gloss "
+    + f"FROM ({ORACLE['catalogue_views']})"
+)
+def catalogue_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What there is to know after a catalogue was made: lengths of its views, entries without a path or a gloss."""
+    found = views.catalogue(*_entries(spark, sf_dir)).agg(*views.statistics())
+    return found.withColumns({f"{v}_median": F.round(f"{v}_median", 6) for v in views.VIEWS})
+
+
 _PLACED = """WITH rows AS (
   SELECT r_regionkey AS r, -1 AS n, -1 AS c, NULL AS code, r_name AS label FROM region
   UNION ALL SELECT n_regionkey, n_nationkey, -1, lpad(n_nationkey::VARCHAR, 2, '0'), n_name FROM nation JOIN region ON n_regionkey = r_regionkey
