@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from .. import store
 from .components import roots
+from .memory import returned
 from .shingles import shingle_set
 
 #: Retained values of a sketch that make lists.
@@ -127,7 +128,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, repeated: bool) -
     """
     involved = store.materialise(pairs.select(key_id(F.col("a")).alias("id")).union(pairs.select(key_id(F.col("b")))).distinct(), "dup-involved")
     texts = docs.join(_bounded(involved), docs["doc_id"] == involved["id"], "left_semi").where("text is not null")
-    sets = store.materialise(texts.mapInPandas(_sets, "node binary, values array<long>"), "dup-sets", records=500)
+    sets = store.materialise(texts.mapInPandas(returned(_sets), "node binary, values array<long>"), "dup-sets", records=500)
     if repeated:  # rows of one doc_id and text
         sets = sets.dropDuplicates(["node"])
     joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("values").alias("b_set")), "b").join(sets.select(F.col("node").alias("a"), F.col("values").alias("a_set")), "a")
@@ -196,7 +197,7 @@ def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
 def classes_and_links(docs: DataFrame, k: int = K, common: int = COMMON, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Rows (doc_id, n, key), classes (node, n, sketch), and labels (node, label) of the linked nodes."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = store.materialise(source.mapInPandas(_sketcher(k), _SKETCHED), "dup-sketches", records=500)
+    rows = store.materialise(source.mapInPandas(returned(_sketcher(k)), _SKETCHED), "dup-sketches", records=500)
     keyed = rows.where("key is not null").withColumn("own", _own("key"))
     classes = keyed.groupBy("own").agg(F.min_by(F.struct("key", "n", "sketch"), "key").alias("c")).select(F.col("c.key").alias("node"), "c.n", "c.sketch")
     classes = store.materialise(classes, "dup-nodes")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from .. import store
 from . import rangecoder, tokens
+from .memory import returned
 
 #: Id after each document.
 END = 2
@@ -61,7 +62,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, rows: in
             yield close(part)
 
     placed = tokens.in_order(docs, rows).withColumn("part", F.spark_partition_id())
-    return store.materialise(placed.mapInArrow(encode, MANIFEST), "token-manifest", records=BATCH)
+    return store.materialise(placed.mapInArrow(returned(encode), MANIFEST), "token-manifest", records=BATCH)
 
 
 _ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
@@ -86,7 +87,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
     base = store.materialise(manifest.select("part", "seq", F.coalesce(before, F.lit(0)).alias("base")), "token-base")
     files = max(1, manifest.count())
-    rows = manifest.select("part", "seq", "name").repartition(files, "part", "seq").mapInPandas(decode, "part int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    rows = manifest.select("part", "seq", "name").repartition(files, "part", "seq").mapInPandas(returned(decode), "part int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long")
     return rows.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import store
+from .memory import returned
 
 #: Examples of each label that are kept at most.
 PER_CLASS = 3000
@@ -271,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     sample = store.materialise(sample.repartition(16), "toxic-examples")
     found = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = found.get(0, 0), found.get(1, 0)
-    tally = sample.select("text", "toxic").mapInPandas(_tally, "term string, clean long, toxic long")
+    tally = sample.select("text", "toxic").mapInPandas(returned(_tally), "term string, clean long, toxic long")
     a, b = F.sum("toxic"), F.sum("clean")
     summed = tally.groupBy("term").agg(a.cast("double").alias("a"), b.cast("double").alias("b")).where(F.col("a") + F.col("b") >= LEAST)
     summed = store.materialise(summed, "toxic-terms")
@@ -287,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
             counts = [vocabulary.counts(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "ids": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]})
 
-    rows = sample.mapInPandas(vectors, "doc_id long, toxic int, ids array<int>, tf array<int>").orderBy("doc_id", "ids").collect()
+    rows = sample.mapInPandas(returned(vectors), "doc_id long, toxic int, ids array<int>, tf array<int>").orderBy("doc_id", "ids").collect()
     weight = tuple(totals.get(c, 0) / max(1, found.get(c, 0)) for c in (0, 1))
     index = Index([dict(zip(r.ids, r.tf, strict=True)) for r in rows], [r.toxic for r in rows], [r.doc_id for r in rows], len(vocabulary.terms), weight)
     return vocabulary, index
@@ -317,6 +318,7 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
                 yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
         source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-        scored = source.mapInPandas(scores, "doc_id long, held_out boolean, score double, evidence array<long>")
+        scored = source.mapInPandas(returned(scores), "doc_id long, held_out boolean, score double, evidence array<long>")
         scored = store.kept(scored, "toxic-scores", records=500)
+        sent.destroy()  # executors and their workers keep it no longer
         return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
