@@ -7,7 +7,7 @@ from lexigrove.llm import queries as llm
 
 def test_queries_are_registered():
     names = set(llm.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} and len(names) == 10
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 13)} and len(names) == 12
     assert "pipeline" in __spark_entry__.queries() and set(llm.oracle_sql()) <= names
 
 
