@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import shutil
+import sys
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -12,13 +13,16 @@ from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
 import pandas as pd
-from pyspark import SparkFiles
+from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 if TYPE_CHECKING:
     from pyspark.resource import ResourceProfile
 
 
+# What runs in tasks travels with them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: A file beside a snapshot's own in its archive, so that one without files is unpacked too.
 MARK = ".snapshot"
 
