@@ -35,9 +35,9 @@ def report(ranking: DataFrame, gold: DataFrame) -> DataFrame:
     return found.withColumns({"hit1_low": low, "hit1_high": high})
 
 
-def label_checks(labels: DataFrame, regulations: DataFrame, block: int = 3) -> DataFrame:
-    """One row about a label set: n, different regulations, blocks of ``block`` regulations of a heading, and how many have just one label."""
-    headings = regulations.select("regulation_id", F.substring("code", 1, 4).alias("heading"))
+def label_checks(labels: DataFrame, regulations: DataFrame, block: int = 3, digits: int = 4) -> DataFrame:
+    """One row about a label set: n, different regulations, blocks of ``block`` regulations of a heading (``digits`` of the code), and how many have just one label."""
+    headings = regulations.select("regulation_id", F.substring("code", 1, digits).alias("heading"))
     counted = headings.join(labels.select("regulation_id", F.lit(1).alias("labelled")), "regulation_id", "left")
     blocks = counted.groupBy("heading").agg(F.count_distinct("regulation_id").alias("size"), F.count("labelled").alias("n")).where(F.col("size") == block)
     found = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("n") == 1).alias("blocks_with_one"))

@@ -268,8 +268,9 @@ def label_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def label_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    regulations = table(spark, sf_dir, "part").select(F.concat(F.lit("R"), key.cast("string")).alias("regulation_id"), F.lpad(F.floor(key / 3).cast("string"), 4, "0").alias("code"))
-    return evaluate.label_checks(_labels(spark, sf_dir), regulations)
+    digits = 19  # of a long: four would be cut, and headings run into each other, from key 30,000 on
+    regulations = table(spark, sf_dir, "part").select(F.concat(F.lit("R"), key.cast("string")).alias("regulation_id"), F.lpad(F.expr("p_partkey div 3").cast("string"), digits, "0").alias("code"))
+    return evaluate.label_checks(_labels(spark, sf_dir), regulations, digits=digits)
 
 
 @query(
