@@ -124,9 +124,10 @@ _ENTRIES = """e AS (SELECT 'R' || p_partkey AS regulation_id, h || lpad((p_partk
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Entries with ten-digit codes, and the tree's nodes of most of them, of all headings and chapters."""
+    """Entries with codes of ten digits or more, one for each, and the tree's nodes of most of them, of all headings and chapters."""
     heading = F.lpad((F.col("p_size") * 37).cast("string"), 4, "0")
-    code = F.concat(heading, F.lpad((F.col("p_partkey") % 1000000).cast("string"), 6, "0"))
+    key = F.col("p_partkey").cast("string")
+    code = F.concat(heading, F.when(F.length(key) > 6, key).otherwise(F.lpad(key, 6, "0")))
     part = table(spark, sf_dir, "part").withColumn("heading", heading).withColumn("code", code)
     entries = part.select(
         F.concat(F.lit("R"), F.col("p_partkey").cast("string")).alias("regulation_id"), "code", F.concat(F.lit("  group "), "heading", F.lit(", "), "p_name", F.lit(" "), "p_brand").alias("description"),
