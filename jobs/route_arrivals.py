@@ -19,7 +19,6 @@ from pyspark.sql.window import Window
 
 from jobs.common import log, main, read_config, write_counted
 from lexigrove import store
-from lexigrove.functions.text import tokenise
 from lexigrove.operators import products, retrieval
 
 SETTINGS = {"doc_id": "doc_id", "doc_text": "text", "partition": "lang", "entry_id": "item_id", "entry_text": "text", "top": 3, "files_per_batch": 64}
@@ -35,14 +34,13 @@ def run(spark: SparkSession, arrivals: str, catalogue: str, out: str, checkpoint
     counts = {"batches": 0, "documents": 0, "routes": 0}
     entries = spark.read.parquet(catalogue).select(F.col(c["entry_id"]).alias("entry_id"), F.col(c["entry_text"]).alias("text")).where("entry_id is not null")
     size = retrieval.corpus_size(entries.select("entry_id").distinct())
-    held = retrieval.postings(entries, "entry_id", tokenise(F.col("text")))
 
     def each(batch: DataFrame, number: int) -> None:
         seen = Observation()
         docs = batch.select(F.col(c["doc_id"]).alias("doc_id"), F.col(c["doc_text"]).alias("text"), F.col(c["partition"]).alias(c["partition"])).where("doc_id is not null")
         with store.scratch(spark):
             docs = store.materialise(docs.observe(seen, F.count(F.lit(1)).alias("rows")), "arrived")  # read once
-            leg = retrieval.arrivals_leg(retrieval.postings(docs, "doc_id", tokenise(F.col("text"))), held, size)
+            leg = retrieval.arrivals_text_leg(docs, "text", *retrieval.catalogue_terms(entries, "text", size))
             found = products.best_of_each(leg, c["top"]).select("doc_id", F.col("query_id").alias("entry_id"), "score")
             order = Window.partitionBy("doc_id").orderBy(F.round("score", products.DIGITS).desc(), "entry_id")  # no more than top rows from each group of entries
             best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= c["top"])

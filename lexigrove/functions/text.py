@@ -71,9 +71,14 @@ def numbers(text: Column) -> Column:
     return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
 
 
+def split_words(text: Column) -> Column:
+    """Lower-case runs without white space, and '' where white space begins or ends the text."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+")
+
+
 def words_of(text: Column) -> Column:
     """The words that character n-grams are taken from: lower-case runs without white space."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+    return F.filter(split_words(text), lambda w: w != "")
 
 
 def word_grams(word: Column, low: int = 3, high: int = 5) -> Column:

@@ -1,8 +1,8 @@
 """The best of sparse products, and ranks in them, without a row for every pair that shares a term.
 
 A ``Leg`` scores a pair by the sum over common terms of the query's weight times the document's. The queries' vectors are held
-by term, a bounded number of entries at a time, and go to every task; the documents' entries are dealt by
-document, sorted, and pass by in chunks. Rows that leave a task are at most k a query, whatever the documents have in common with it.
+by term, a bounded number of entries at a time, and go to every task; the documents pass by in chunks, as the rows of
+``terms.vectors`` or, where a leg has only single entries, dealt by document and sorted. Rows that leave a task are at most k a query, whatever the documents have in common with it.
 
 A chunk's largest weight of a term bounds what the term can add to a score in it. The terms of a query that together cannot lift a
 document over its k-th best score so far are left out at first (common words, mostly), all of them where the whole
@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +44,16 @@ class Leg:
     """``queries``: (query_id, term, weight, factor), written; ``docs``: (doc_id, term, weight), written; ``scales``: (doc_id, scale).
 
     A document's weight is ``scaled(weight * factor, scale)``: ``factor`` belongs to the term, ``scale`` to the document.
+    ``vectors``, if given, are the documents once more, a row each (``terms.vectors``), with ``weighed(tf)`` for the weight; the queries' rows then have the
+    terms' numbers ``t``.
     """
 
     queries: DataFrame
     docs: DataFrame
     scales: DataFrame
     scaled: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    vectors: DataFrame | None = None
+    weighed: Callable[[np.ndarray], np.ndarray] | None = None
 
 
 class Held:
@@ -64,6 +69,11 @@ class Held:
         self.starts = np.searchsorted(self.t, np.arange(len(self.terms) + 1))
         self.factor = np.ones(len(self.terms))
         self.factor[t] = rows.column("factor").to_numpy()
+        if "t" in rows.column_names:
+            number = np.empty(len(self.terms), np.int64)
+            number[t] = rows.column("t").to_numpy()
+            self.place = np.argsort(number)  # of the terms in the order of their numbers
+            self.numbered = number[self.place]
 
     def numbers(self, like: DataFrame) -> DataFrame:
         """(term, t, factor) for a join with the documents; at most as many rows as are held."""
@@ -100,6 +110,39 @@ class Chunk:
         return made.astype(np.float64, copy=False).reshape(n, len(held.ids))  # of nothing it is a count
 
 
+def _parted(own: np.ndarray, doc: np.ndarray, t: np.ndarray, w: np.ndarray, held: Held) -> Iterator[Chunk]:
+    """Chunks of the documents ``own`` with entries by document."""
+    # What a document costs: its cells, and the products of its entries.
+    cost = np.bincount(doc, held.starts[t + 1] - held.starts[t], len(own)) + len(held.ids)
+    part = (np.cumsum(cost) // CELLS).astype(np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(own)]])
+    ends = np.searchsorted(doc, edges)
+    for a, b, i, j in zip(edges[:-1], edges[1:], ends[:-1], ends[1:], strict=True):
+        yield Chunk(own[a:b], doc[i:j] - a, t[i:j], w[i:j])
+
+
+def vector_chunks(batches: Iterator[pa.RecordBatch], held: Held, scaled: Callable[[np.ndarray, np.ndarray], np.ndarray], weighed: Callable[[np.ndarray], np.ndarray]) -> Iterator[Chunk]:
+    """Chunks of documents from rows (doc_id, scale, t, tf), a document each; within a chunk they are in the order of their ids."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, scale = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+        lists = batch.column(2)
+        doc = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy())
+        given, tf = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+        at = np.minimum(np.searchsorted(held.numbered, given), len(held.numbered) - 1)
+        met = np.flatnonzero(held.numbered[at] == given)
+        doc, t = doc[met], held.place[at[met]]
+        w = scaled(weighed(tf[met]) * held.factor[t], scale[doc])
+        order = np.argsort(ids, kind="stable")
+        if (order[1:] < order[:-1]).any():
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.arange(len(ids))
+            by = np.argsort(rank[doc], kind="stable")
+            ids, doc, t, w = ids[order], rank[doc][by], t[by], w[by]
+        yield from _parted(ids, doc, t, w, held)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], held: Held, scaled: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[Chunk]:
     """Chunks of documents from rows (doc_id, t, w) by doc_id; t = -1 is a document's scale, which comes first."""
     waiting: list[tuple[np.ndarray, ...]] = []
@@ -112,14 +155,7 @@ def chunks(batches: Iterator[pa.RecordBatch], held: Held, scaled: Callable[[np.n
         scale[doc[t < 0]] = w[t < 0]
         keep = t >= 0
         doc, t, w = doc[keep], t[keep].astype(np.int64), w[keep]
-        w = scaled(w, scale[doc])
-        # What a document costs: its cells, and the products of its entries.
-        cost = np.bincount(doc, held.starts[t + 1] - held.starts[t], len(own)) + len(held.ids)
-        part = (np.cumsum(cost) // CELLS).astype(np.int64)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(own)]])
-        ends = np.searchsorted(doc, edges)
-        for a, b, i, j in zip(edges[:-1], edges[1:], ends[:-1], ends[1:], strict=True):
-            yield Chunk(own[a:b], doc[i:j] - a, t[i:j], w[i:j])
+        yield from _parted(own, doc, t, scaled(w, scale[doc]), held)
 
     for batch in batches:
         if batch.num_rows:
@@ -137,12 +173,12 @@ def chunks(batches: Iterator[pa.RecordBatch], held: Held, scaled: Callable[[np.n
 
 
 class Best:
-    """The k best documents of each query so far; of equal scores those that came first."""
+    """The k best documents of each query so far; of equal scores those of smaller ids."""
 
     def __init__(self, held: Held, k: int):
-        self.held, self.k, self.came = held, k, 0
+        self.held, self.k = held, k
         self.least = np.full(len(held.ids), -np.inf)  # a query's k-th best score
-        self.q, self.score, self.order, self.doc = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, object)
+        self.q, self.score, self.doc = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
         self.skipped = self.seen = 0  # (chunk, query) pairs that no document was scored for, and all
 
     def add(self, chunk: Chunk) -> None:
@@ -164,7 +200,6 @@ class Best:
         asked = np.bincount(held.q[active], minlength=n) > 0
         self.seen += n
         self.skipped += int(n - asked.sum())
-        base, self.came = self.came, self.came + len(chunk.ids)
         if not asked.any():
             return
         # Where a score of 0 may be among the best, a pair must be known to have a common term.
@@ -184,16 +219,21 @@ class Best:
             score = chunk.products(held, only=own)[row, q] if len(own) else np.empty(0)
         else:
             score = found[d, q]
-        self._keep(q, score, base + d, chunk.ids[d])
-
-    def _keep(self, q: np.ndarray, score: np.ndarray, order: np.ndarray, doc: np.ndarray) -> None:
-        q, score, order, doc = np.concatenate([self.q, q]), np.concatenate([self.score, score]), np.concatenate([self.order, order]), np.concatenate([self.doc, doc.astype(object)])
-        by = np.lexsort((order, -score.round(DIGITS), q))
-        q, score, order, doc = q[by], score[by], order[by], doc[by]
+        if len(d):
+            self._keep(q, score, d, chunk.ids)
+
+    def _keep(self, q: np.ndarray, score: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        known = len(self.doc)
+        all_ids = np.concatenate([self.doc, ids.astype(object)])
+        at = np.concatenate([np.arange(known), known + d])
+        place = np.unique(all_ids, return_inverse=True)[1][at]
+        q, score = np.concatenate([self.q, q]), np.concatenate([self.score, score])
+        by = np.lexsort((place, -score.round(DIGITS), q))
+        q, score, doc = q[by], score[by], all_ids[at[by]]
         first = np.searchsorted(q, np.arange(len(self.held.ids) + 1))
         rank = np.arange(len(q)) - first[q]
         keep = rank < self.k
-        self.q, self.score, self.order, self.doc = q[keep], score[keep], order[keep], doc[keep]
+        self.q, self.score, self.doc = q[keep], score[keep], doc[keep]
         last = rank == self.k - 1
         self.least[q[last]] = score[last].round(DIGITS)
 
@@ -203,13 +243,16 @@ def groups(leg: Leg) -> Iterator[Held]:
     parts = max(1, -(-leg.queries.count() // HELD))
     for part in range(parts):
         some = leg.queries if parts == 1 else leg.queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        rows = some.select("query_id", "term", F.col("weight").cast("double").alias("weight"), F.col("factor").cast("double").alias("factor")).toArrow()
+        more = [] if leg.vectors is None else ["t"]
+        rows = some.select("query_id", "term", F.col("weight").cast("double").alias("weight"), F.col("factor").cast("double").alias("factor"), *more).toArrow()
         if rows.num_rows:
             yield Held(rows)
 
 
 def _entries(leg: Leg, held: Held, only: DataFrame | None = None) -> DataFrame:
-    """(doc_id, t, w) of the documents' entries that a held query has, and each document's scale as t = -1, by document."""
+    """The leg's ``vectors``; without them (doc_id, t, w) of the documents' entries that a held query has, and each document's scale as t = -1, by document."""
+    if leg.vectors is not None:
+        return leg.vectors if only is None else leg.vectors.join(F.broadcast(only), "doc_id", "left_semi")
     docs, scales = leg.docs, leg.scales
     if only is not None:
         docs, scales = docs.join(only, "doc_id", "left_semi"), scales.join(only, "doc_id", "left_semi")
@@ -219,6 +262,14 @@ def _entries(leg: Leg, held: Held, only: DataFrame | None = None) -> DataFrame:
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "t")
 
 
+def _reader(leg: Leg) -> Callable[[Iterator[pa.RecordBatch], Held], Iterator[Chunk]]:
+    """Chunks of what ``_entries`` gives; holds no frame, so that it can travel."""
+    scaled, weighed = leg.scaled, leg.weighed
+    if leg.vectors is None:
+        return lambda batches, held: chunks(batches, held, scaled)
+    return lambda batches, held: vector_chunks(batches, held, scaled, weighed)
+
+
 def _types(leg: Leg) -> str:
     return f"query_id {dict(leg.queries.dtypes)['query_id']}, doc_id {dict(leg.docs.dtypes)['doc_id']}"
 
@@ -238,13 +289,13 @@ def best(leg: Leg, k: int, label: str = "best") -> DataFrame:
 
     Only pairs with a common term. Of equal scores, after rounding, those of smaller ids.
     """
-    scaled, found = leg.scaled, []
+    read, found = _reader(leg), []
     id_type = _schema(leg.docs, ["doc_id"]).field(0).type
     for held in groups(leg):
 
         def search(batches: Iterator[pa.RecordBatch], held: Held = held) -> Iterator[pa.RecordBatch]:
             state = Best(held, k)
-            for chunk in chunks(batches, held, scaled):
+            for chunk in read(batches, held):
                 state.add(chunk)
             yield pa.RecordBatch.from_arrays([held.ids.take(pa.array(state.q)), pa.array(state.doc.tolist(), id_type), pa.array(state.score)], ["query_id", "doc_id", "score"])
 
@@ -258,7 +309,7 @@ def best_of_each(leg: Leg, k: int, label: str = "best-of-each") -> DataFrame:
     For many documents that meet a bounded number of texts: each document's rows come from one task. Only pairs with
     a common term. Of equal scores, after rounding, those of smaller query ids.
     """
-    scaled, found = leg.scaled, []
+    read, found = _reader(leg), []
     id_type = _schema(leg.docs, ["doc_id"]).field(0).type
     for held in groups(leg):
 
@@ -266,7 +317,7 @@ def best_of_each(leg: Leg, k: int, label: str = "best-of-each") -> DataFrame:
             ids = held.ids.to_numpy(zero_copy_only=False)
             place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # in the order of ids
             few = min(k, len(ids))
-            for chunk in chunks(batches, held, scaled):
+            for chunk in read(batches, held):
                 touched = np.zeros((len(chunk.ids), len(ids)), bool)
                 score = chunk.products(held, touched=touched)
                 down = np.where(touched, -score.round(DIGITS), np.inf)
@@ -288,7 +339,7 @@ def ranks_of(leg: Leg, pairs: DataFrame, places: DataFrame, size: int) -> DataFr
     ids, from 0; ``size``: how many there are. The pairs are scored first; then the documents pass by and each task counts those that come before a
     pair. No task and no window holds the documents of one query.
     """
-    scaled, found = leg.scaled, []
+    read, found = _reader(leg), []
     only = store.materialise(pairs.select("doc_id").distinct(), "pair-docs")
     for held in groups(leg):
         mine = pairs.join(F.broadcast(pairs.sparkSession.createDataFrame(pa.table({"query_id": held.ids}))), "query_id")
@@ -300,7 +351,7 @@ def ranks_of(leg: Leg, pairs: DataFrame, places: DataFrame, size: int) -> DataFr
         first = np.searchsorted(q, np.arange(len(held.ids) + 1))
 
         def scores(batches: Iterator[pa.RecordBatch], held: Held = held, q=q, ids=ids) -> Iterator[pa.RecordBatch]:
-            for chunk in chunks(batches, held, scaled):
+            for chunk in read(batches, held):
                 at = np.minimum(np.searchsorted(chunk.ids, ids), len(chunk.ids) - 1)
                 here = np.flatnonzero(chunk.ids[at] == ids)
                 own, row = np.unique(at[here], return_inverse=True)
@@ -314,7 +365,7 @@ def ranks_of(leg: Leg, pairs: DataFrame, places: DataFrame, size: int) -> DataFr
 
         def count(batches: Iterator[pa.RecordBatch], held: Held = held, q=q, ids=ids, near=near, first=first) -> Iterator[pa.RecordBatch]:
             above, before, nonzero = (np.zeros(len(q), np.int64) for _ in range(3))
-            for chunk in chunks(batches, held, scaled):
+            for chunk in read(batches, held):
                 table = chunk.products(held).round(DIGITS)
                 for k in range(len(held.ids)):
                     a, b = first[k], first[k + 1]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import store
-from ..functions.text import lemma_rows, tokenise
+from ..functions.text import lemma_rows
 from ..operators import fusion, retrieval
 from ..operators.constraints import interval_rows, lemmatised, quantity_rows, signal
 from ..operators.products import Leg
@@ -46,12 +46,10 @@ def legs(queries: DataFrame, docs: DataFrame, names: list[str], text: str = "coa
     size = retrieval.corpus_size(docs)
     found = {}
     for name in names:
-        if name == "char":
-            d, q = retrieval.gram_postings(docs, "doc_id", text), retrieval.gram_postings(queries, "query_id", "text")
-        elif lemmas is None:
-            d, q = retrieval.postings(docs, "doc_id", tokenise(F.col(text))), retrieval.postings(queries, "query_id", tokenise(F.col("text")))
-        else:
-            d, q = (retrieval.counted(lemma_rows(side, key, column, lemmas), key) for side, key, column in ((docs, "doc_id", text), (queries, "query_id", "text")))
+        if name == "char" or lemmas is None:
+            found[name] = retrieval.text_leg(queries, docs, text, size, "char" if name == "char" else "word", name == "bm25")
+            continue
+        d, q = (retrieval.counted(lemma_rows(side, key, column, lemmas), key) for side, key, column in ((docs, "doc_id", text), (queries, "query_id", "text")))
         found[name] = (retrieval.bm25_leg if name == "bm25" else retrieval.tfidf_leg)(q, d, size)
     return found
 

@@ -91,11 +91,8 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _leg(spark: SparkSession, sf_dir: str, name: str) -> products.Leg:
     queries, docs = _sides(spark, sf_dir)
-    if name == "char":
-        q, d = retrieval.gram_postings(queries, "item_id", "text"), retrieval.gram_postings(docs, "doc_id", "text")
-    else:
-        q, d = retrieval.postings(queries, "item_id", tx.tokenise(F.col("text"))), retrieval.postings(docs, "doc_id", tx.tokenise(F.col("text")))
-    return (retrieval.bm25_leg if name == "bm25" else retrieval.tfidf_leg)(q, d, retrieval.corpus_size(docs))
+    asked = queries.select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.text_leg(asked, docs, "text", retrieval.corpus_size(docs), "char" if name == "char" else "word", name == "bm25")
 
 
 def _top(spark: SparkSession, sf_dir: str, name: str, k: int) -> DataFrame:
@@ -115,13 +112,13 @@ def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_tf('documents', 'doc_id', 'd', _TOKENS)} SELECT term, count(*) AS df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1, 6) AS idf FROM d GROUP BY 1")
 def token_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return retrieval.idf(retrieval.postings(docs, "doc_id", tx.tokenise(F.col("text"))), retrieval.corpus_size(docs)).select("term", "df", rounded("idf"))
+    counts = retrieval.term_statistics(docs, "doc_id", "text", "word")
+    return retrieval.smoothed(counts, retrieval.corpus_size(docs)).select("term", "df", rounded("idf"))
 
 
 @query(f"WITH {_tf('documents', 'doc_id', 'd', _GRAMS)} SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM d GROUP BY 1")
 def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", tx.char_grams(F.col("text")))
-    return grams.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+    return retrieval.term_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", "char")
 
 
 @query(_top_sql(_tfidf_sql("word", _TOKENS), "word"))
