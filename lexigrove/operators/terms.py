@@ -34,27 +34,68 @@ RECORDS = 1000
 COUNT_BITS = 20
 
 
+Cut = tuple[pa.Array, np.ndarray, np.ndarray]
+
+
+def _cut_by(terms: Callable[[str], list[str]], words: list[str]) -> Cut:
+    cut = [terms(w) for w in words]
+    starts = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
+    named = pa.array([t for c in cut for t in c], pa.string()).dictionary_encode()
+    return named.dictionary, starts, named.indices.to_numpy().astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Kind:
-    """``words``: a column of a text's words; ``terms``: the terms of one word, with repeats."""
+    """``words``: a column of a text's words; ``cut``: from different words to (names of their terms, where each word's terms begin, their numbers)."""
 
     words: Callable[[Column], Column]
-    terms: Callable[[str], list[str]]
+    cut: Callable[[list[str]], Cut]
 
 
 def tokens() -> Kind:
     """The terms of ``text.tokenise``."""
     stop = frozenset(tx.STOPWORDS)
-    return Kind(tx.raw_tokens, lambda w: [w] if len(w) > 1 and w not in stop else [])
+    return Kind(tx.raw_tokens, lambda words: _cut_by(lambda w: [w] if len(w) > 1 and w not in stop else [], words))
 
 
 def grams(low: int = 3, high: int = 5) -> Kind:
     """The terms of ``text.char_grams``."""
 
-    def cut(word: str) -> list[str]:
+    bits = 63 // high
+
+    def one(word: str) -> list[str]:
         padded = f" {word} "
         return [padded[i : i + n] for n in range(low, high + 1) for i in range(len(padded) - n + 1)] if word else []
 
+    def cut(words: list[str]) -> Cut:
+        """All words at once: a gram is a number made of its characters' places in the alphabet of the words."""
+        points = np.frombuffer((" " + "  ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        there = np.zeros(int(points.max()) + 1, bool)
+        there[points] = True
+        alphabet = np.flatnonzero(there)
+        if len(alphabet) >= 1 << bits or alphabet[0] == 0 or not words:
+            return _cut_by(one, words)
+        code = np.cumsum(there)[points].astype(np.int64)
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        begin = np.cumsum(length) - length
+        many = {n: np.where(length > 2, np.maximum(length - n + 1, 0), 0) for n in range(low, high + 1)}
+        starts = np.concatenate([[0], np.cumsum(sum(many.values()))])
+        key, at = np.empty(starts[-1], np.int64), starts[:-1].copy()
+        for n, each in many.items():
+            if total := int(each.sum()):
+                window = sum(code[k : len(code) - n + 1 + k] << (bits * k) for k in range(n))
+                place = np.arange(total) - np.repeat(np.cumsum(each) - each, each)
+                key[np.repeat(at, each) + place] = window[np.repeat(begin, each) + place]
+            at += each
+        coded = pa.array(key).dictionary_encode()
+        different = coded.dictionary.to_numpy()
+        spelled = np.zeros((len(different), high), np.uint32)
+        for k in range(high):
+            own = (different >> (bits * k)) & ((1 << bits) - 1)
+            spelled[:, k] = np.where(own > 0, alphabet[own - 1], 0)
+        names = pa.array(spelled.view(f"<U{high}").reshape(-1).tolist(), pa.string())
+        return names, starts, coded.indices.to_numpy().astype(np.int64)
+
     return Kind(tx.split_words, cut)
 
 
@@ -102,17 +143,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nd
         yield made(pa.concat_tables(waiting))
 
 
-def _counts(doc: np.ndarray, words: pa.Array, terms: Callable[[str], list[str]]) -> tuple[pa.Array, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def _counts(doc: np.ndarray, words: pa.Array, cut: Callable[[list[str]], Cut]) -> tuple[pa.Array, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """The block's different terms, and (document, number of the term, times), some documents at a time, by document and term."""
     coded = words.dictionary_encode()
-    cut = [terms(w) for w in coded.dictionary.to_pylist()]
-    starts = np.concatenate([[0], np.cumsum([len(c) for c in cut], dtype=np.int64)])
-    named = pa.array([t for c in cut for t in c], pa.string()).dictionary_encode()
-    number, names = named.indices.to_numpy().astype(np.int64), named.dictionary
+    names, starts, number = cut(coded.dictionary.to_pylist())
 
     def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = max(1, len(cut))
+        n = max(1, len(starts) - 1)
         # A document's repeated words are counted before they are cut up.
         pair = np.sort(doc * n + word)
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, np.int64)
@@ -147,7 +185,7 @@ def _counts(doc: np.ndarray, words: pa.Array, terms: Callable[[str], list[str]])
 
 def statistics(texts: DataFrame, key: str, text: str, kind: Kind) -> DataFrame:
     """(term, df, n): documents that have the term, and how often all of them have it. Rows that share an id are one document."""
-    terms = kind.terms
+    cut = kind.cut
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -158,7 +196,7 @@ def statistics(texts: DataFrame, key: str, text: str, kind: Kind) -> DataFrame:
 
         size = 0
         for _, doc, words in _blocks(batches):
-            names, parts = _counts(doc, words, terms)
+            names, parts = _counts(doc, words, cut)
             df, n = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
             for _, t, times in parts:
                 df += np.bincount(t, minlength=len(names))
@@ -187,7 +225,7 @@ def vectors(texts: DataFrame, key: str, text: str, kind: Kind, known: pa.Table,
     id_type = dict(texts.dtypes)[key]
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(known)
-    terms = kind.terms
+    cut = kind.cut
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -195,7 +233,7 @@ def vectors(texts: DataFrame, key: str, text: str, kind: Kind, known: pa.Table,
         weight = np.append(table.column("weight").to_numpy(), rest or 0.0)
         number = np.append(pc.fill_null(table.column("t"), -1).to_numpy(), -1)
         for ids, doc, words in _blocks(batches):
-            own, parts = _counts(doc, words, terms)
+            own, parts = _counts(doc, words, cut)
             at = pc.fill_null(pc.index_in(own, value_set=names), len(names)).to_numpy(zero_copy_only=False)
             w, asked = weight[at], number[at]
             for d, t, times in parts:
