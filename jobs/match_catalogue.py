@@ -30,7 +30,7 @@ def run(spark: SparkSession, queries: str, catalogue: str, out: str, config: str
     plan = ranking.Config(weights={"char": c["char_weight"], "word": c["word_weight"]}, n_candidates=c["candidates"], top_k=c["top"])
     with store.scratch(spark):
         known = docs.groupBy("doc_id").agg(F.min("partition").alias(c["partition"]))
-        texts = docs.groupBy("doc_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("coarse_text"))).alias("coarse_text"))
+        texts = store.materialise(docs.groupBy("doc_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("coarse_text"))).alias("coarse_text")), "texts")  # every leg reads them twice
         ids = asked.select("query_id").distinct()
         counts = {"queries": ids.count(), "documents": known.count()}
         log.info("read %d queries of %s and %d documents of %s", counts["queries"], queries, counts["documents"], catalogue)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,13 +25,15 @@ QUANTITY = r"(\d+(?:[.,]\d+)?)\s*([а-яё0-9./%]+)"
 REACH = 60
 
 
+_NAMES = {surface: canon for surface, canon in UNITS}
+#: The first surface form, in order of preference, that stands at the beginning; no form begins or ends with a character that is skipped there.
+_SURFACE = "^[ .,;]*(" + "|".join(re.escape(surface) for surface, _ in UNITS) + ")"
+
+
 def unit(raw: Column) -> Column:
     """The canonical unit whose surface form the text begins with; null if none."""
-    bare = F.regexp_replace(raw, "^[ .,;]+|[ .,;]+$", "")
-    found = F.lit(None).cast("string")
-    for surface, canon in reversed(UNITS):
-        found = F.when(F.startswith(bare, F.lit(surface)), F.lit(canon)).otherwise(found)
-    return found
+    names = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])
+    return F.try_element_at(names, F.regexp_extract(raw, _SURFACE, 1))
 
 
 def family(canon: Column) -> Column:

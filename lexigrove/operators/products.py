@@ -7,10 +7,14 @@ by term, a bounded number of entries at a time, and go to every task; the docume
 A chunk's largest weight of a term bounds what the term can add to a score in it. The terms of a query that together cannot lift a
 document over its k-th best score so far are left out at first (common words, mostly), all of them where the whole
 chunk cannot; only documents that the other terms bring close enough are scored in full. Nothing is lost: the result is exact.
+
+Where the held vectors fit a table of terms and queries (``TABLE``) and the documents have many entries for it, a chunk's scores are a product of
+matrices instead: its documents as rows of such terms, many more of them at once.
 """
 
 from __future__ import annotations
 
+import functools
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import store
+from .terms import RECORDS
 
 # What runs in tasks travels with them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,6 +39,8 @@ HELD = 1 << 20
 ENTRIES = 1 << 18
 #: Cells and products of a chunk, about.
 CELLS = 1 << 21
+#: Most cells of a table of held terms and queries, and how many of its products take the time of one of entries, about.
+TABLE, CHEAP = 1 << 23, 300
 #: Scores are compared after rounding to so many digits, so that sums in another order agree.
 DIGITS = 9
 SLACK = 1e-8
@@ -75,6 +82,21 @@ class Held:
             self.place = np.argsort(number)  # of the terms in the order of their numbers
             self.numbered = number[self.place]
 
+    @functools.cached_property
+    def table(self) -> np.ndarray:
+        """(terms x queries), of the weights."""
+        return np.bincount(self.t * len(self.ids) + self.q, self.w, len(self.terms) * len(self.ids)).reshape(len(self.terms), len(self.ids))
+
+    @functools.cached_property
+    def there(self) -> np.ndarray:
+        """(terms x queries): 1 where a query has the term, whatever its weight."""
+        out = np.zeros((len(self.terms), len(self.ids)), np.float32)
+        out[self.t, self.q] = 1
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "there")}  # made anew where they are wanted
+
     def numbers(self, like: DataFrame) -> DataFrame:
         """(term, t, factor) for a join with the documents; at most as many rows as are held."""
         return like.sparkSession.createDataFrame(pa.table({"term": self.terms, "t": np.arange(len(self.terms), dtype=np.int32), "factor": self.factor}))
@@ -83,8 +105,8 @@ class Held:
 class Chunk:
     """Whole documents, by id, and their entries."""
 
-    def __init__(self, ids: np.ndarray, doc: np.ndarray, t: np.ndarray, w: np.ndarray):
-        self.ids, self.doc, self.t, self.w = ids, doc, t, w
+    def __init__(self, ids: np.ndarray, doc: np.ndarray, t: np.ndarray, w: np.ndarray, dense: bool = False):
+        self.ids, self.doc, self.t, self.w, self.dense = ids, doc, t, w, dense
 
     def products(self, held: Held, starts: np.ndarray | None = None, place: np.ndarray | None = None, only: np.ndarray | None = None, touched: np.ndarray | None = None) -> np.ndarray:
         """Scores (documents x queries). ``starts``, ``place``: a part of the held entries by term; ``only``: numbers of documents.
@@ -97,6 +119,13 @@ class Chunk:
             row[only] = np.arange(len(only))
             own = np.flatnonzero(row[doc] >= 0)
             doc, t, w, n = row[doc[own]], t[own], w[own], len(only)
+        if self.dense and place is None:
+            cell, size = doc * len(held.terms) + t, n * len(held.terms)
+            if touched is not None:
+                seen = np.zeros(size, np.float32)
+                seen[cell] = 1
+                touched |= seen.reshape(n, -1) @ held.there > 0
+            return np.bincount(cell, w, size).astype(np.float64, copy=False).reshape(n, -1) @ held.table
         starts = held.starts if starts is None else starts
         times = starts[t + 1] - starts[t]
         total = np.cumsum(times)
@@ -113,12 +142,15 @@ class Chunk:
 def _parted(own: np.ndarray, doc: np.ndarray, t: np.ndarray, w: np.ndarray, held: Held) -> Iterator[Chunk]:
     """Chunks of the documents ``own`` with entries by document."""
     # What a document costs: its cells, and the products of its entries.
-    cost = np.bincount(doc, held.starts[t + 1] - held.starts[t], len(own)) + len(held.ids)
+    made = np.bincount(doc, held.starts[t + 1] - held.starts[t], len(own))
+    table = len(held.terms) * len(held.ids)
+    dense = table <= TABLE and table * len(own) < CHEAP * made.sum()
+    cost = np.full(len(own), (len(held.terms) + len(held.ids)) / 4) if dense else made + len(held.ids)
     part = (np.cumsum(cost) // CELLS).astype(np.int64)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(own)]])
     ends = np.searchsorted(doc, edges)
     for a, b, i, j in zip(edges[:-1], edges[1:], ends[:-1], ends[1:], strict=True):
-        yield Chunk(own[a:b], doc[i:j] - a, t[i:j], w[i:j])
+        yield Chunk(own[a:b], doc[i:j] - a, t[i:j], w[i:j], dense)
 
 
 def vector_chunks(batches: Iterator[pa.RecordBatch], held: Held, scaled: Callable[[np.ndarray, np.ndarray], np.ndarray], weighed: Callable[[np.ndarray], np.ndarray]) -> Iterator[Chunk]:
@@ -186,25 +218,29 @@ class Best:
         largest = np.zeros(len(held.terms))
         np.maximum.at(largest, chunk.t, chunk.w)
         bound = np.maximum(held.w, 0.0) * largest[held.t]
-        # A query's entries by bound: those whose sum stays below its k-th best score wait.
-        order = np.lexsort((bound, held.q))
-        total = np.cumsum(bound[order])
-        ends = np.searchsorted(held.q[order], np.arange(n), "right")
-        before = np.concatenate([[0.0], total])[np.concatenate([[0], ends[:-1]])]
-        inside = total - before[held.q[order]]
-        waits = inside < (self.least - SLACK)[held.q[order]]
-        rest = np.zeros(n)
-        np.maximum.at(rest, held.q[order][waits], inside[waits])
-        active = np.ones(len(held.q), bool)
-        active[order[waits]] = False
-        asked = np.bincount(held.q[active], minlength=n) > 0
+        if chunk.dense:
+            rest, asked = 0.0, np.bincount(held.q, bound, n) >= self.least - SLACK
+        else:
+            # A query's entries by bound: those whose sum stays below its k-th best score wait.
+            order = np.lexsort((bound, held.q))
+            total = np.cumsum(bound[order])
+            ends = np.searchsorted(held.q[order], np.arange(n), "right")
+            before = np.concatenate([[0.0], total])[np.concatenate([[0], ends[:-1]])]
+            inside = total - before[held.q[order]]
+            waits = inside < (self.least - SLACK)[held.q[order]]
+            rest = np.zeros(n)
+            np.maximum.at(rest, held.q[order][waits], inside[waits])
+            active = np.ones(len(held.q), bool)
+            active[order[waits]] = False
+            asked = np.bincount(held.q[active], minlength=n) > 0
         self.seen += n
         self.skipped += int(n - asked.sum())
         if not asked.any():
             return
         # Where a score of 0 may be among the best, a pair must be known to have a common term.
         touched = np.zeros((len(chunk.ids), n), bool) if (self.least <= SLACK).any() else None
-        if active.all():
+        whole = chunk.dense or active.all()
+        if whole:
             found = chunk.products(held, touched=touched)
         else:
             starts = np.concatenate([[0], np.cumsum(active)])[held.starts]
@@ -214,7 +250,7 @@ class Best:
         if touched is not None:
             near &= touched | (self.least > SLACK)
         d, q = np.nonzero(near)
-        if not active.all():
+        if not whole:
             own, row = np.unique(d, return_inverse=True)
             score = chunk.products(held, only=own)[row, q] if len(own) else np.empty(0)
         else:
@@ -270,6 +306,11 @@ def _reader(leg: Leg) -> Callable[[Iterator[pa.RecordBatch], Held], Iterator[Chu
     return lambda batches, held: vector_chunks(batches, held, scaled, weighed)
 
 
+def _records(leg: Leg) -> int | None:
+    """Most rows of a batch, where a row is a whole document."""
+    return None if leg.vectors is None else RECORDS
+
+
 def _types(leg: Leg) -> str:
     return f"query_id {dict(leg.queries.dtypes)['query_id']}, doc_id {dict(leg.docs.dtypes)['doc_id']}"
 
@@ -299,7 +340,7 @@ def best(leg: Leg, k: int, label: str = "best") -> DataFrame:
                 state.add(chunk)
             yield pa.RecordBatch.from_arrays([held.ids.take(pa.array(state.q)), pa.array(state.doc.tolist(), id_type), pa.array(state.score)], ["query_id", "doc_id", "score"])
 
-        found.append(store.materialise(_entries(leg, held).mapInArrow(search, f"{_types(leg)}, score double"), label))
+        found.append(store.materialise(_entries(leg, held).mapInArrow(search, f"{_types(leg)}, score double"), label, _records(leg)))
     return _union(found, leg, "score double")
 
 
@@ -328,7 +369,7 @@ def best_of_each(leg: Leg, k: int, label: str = "best-of-each") -> DataFrame:
                 d, q = d[keep], q[keep]
                 yield pa.RecordBatch.from_arrays([held.ids.take(pa.array(q)), pa.array(chunk.ids[d].tolist(), id_type), pa.array(score[d, q])], ["query_id", "doc_id", "score"])
 
-        found.append(store.materialise(_entries(leg, held).mapInArrow(choose, f"{_types(leg)}, score double"), label))
+        found.append(store.materialise(_entries(leg, held).mapInArrow(choose, f"{_types(leg)}, score double"), label, _records(leg)))
     return _union(found, leg, "score double")
 
 
@@ -387,7 +428,7 @@ def ranks_of(leg: Leg, pairs: DataFrame, places: DataFrame, size: int) -> DataFr
         named = pa.table({"pair": np.arange(len(q)), "query_id": held.ids.take(pa.array(q)), "doc_id": asked.column("doc_id").take(pa.array(by)), "score": scored, "near": near})
         whole = pairs.sparkSession.createDataFrame(named).join(counted, "pair", "left").join(places, "doc_id")
         zero = F.when(F.col("near") == 0, F.col("place") - F.coalesce("before", F.lit(0))).when(F.col("near") < 0, F.lit(size) - F.coalesce("nonzero", F.lit(0))).otherwise(0)
-        found.append(store.materialise(whole.select("query_id", "doc_id", "score", (1 + F.coalesce("above", F.lit(0)) + zero).cast("long").alias("rank")), "pair-ranks"))
+        found.append(store.materialise(whole.select("query_id", "doc_id", "score", (1 + F.coalesce("above", F.lit(0)) + zero).cast("long").alias("rank")), "pair-ranks", _records(leg)))
     # A query that has no term in this leg has score 0 with every document.
     rest = pairs.join(leg.queries.select("query_id").distinct(), "query_id", "left_anti").join(places, "doc_id")
     found.append(rest.select("query_id", "doc_id", F.lit(0.0).alias("score"), (F.col("place") + 1).cast("long").alias("rank")))

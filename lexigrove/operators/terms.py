@@ -25,11 +25,13 @@ from ..functions import text as tx
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words of a block of documents, and pairs of a word's term and a document that are sorted at once, about.
-WORDS, PAIRS = 1 << 20, 1 << 22
+WORDS, PAIRS = 1 << 20, 1 << 18
 #: Different terms that a task holds before it adds up what it has.
 HELD_TERMS = 1 << 20
 #: Rows of a batch that goes to tasks.
 RECORDS = 1000
+#: Bytes of text that a task puts in the order of ids, about.
+SORTED = 64 << 20
 #: Bits of a packed count.
 COUNT_BITS = 20
 
@@ -101,8 +103,11 @@ def grams(low: int = 3, high: int = 5) -> Kind:
 
 def _dealt(texts: DataFrame, key: str, text: str, kind: Kind) -> DataFrame:
     """(id, words), rows of an id in one task and beside each other."""
-    rows = texts.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id").sortWithinPartitions("id")
-    return rows.select("id", kind.words(F.col("text")).alias("words"))
+    rows = texts.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    parts = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SORTED
+    # The session's number of partitions, more where these would grow with the texts.
+    dealt = rows.repartition(parts, "id") if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition("id")
+    return dealt.sortWithinPartitions("id").select("id", kind.words(F.col("text")).alias("words"))
 
 
 def _changes(ids: pa.Array) -> np.ndarray:

@@ -167,3 +167,26 @@ def test_legs_of_texts_agree_with_pair_scores(spark):
     assert products.best(empty, 3).count() == 0
     none = retrieval.tfidf_leg(terms(queries, "query_id"), terms(docs.limit(0), "doc_id"), retrieval.corpus_size(docs.limit(0)))
     assert reduce(lambda a, b: a + b, [products.best(none, 3).count()]) == 0
+
+
+def test_long_documents_are_scored_as_matrices(spark, monkeypatch):
+    """Many documents at once where each has much in common with the queries, and the same scores as by entries."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    queries = {q: {w: rng.random() for w in rng.sample(words, 150)} for q in range(60)}
+    docs = {i: {w: rng.random() for w in rng.sample(words, 200)} for i in range(500)}
+    held = next(products.groups(leg_of(spark, queries, docs)))
+    number = {t: k for k, t in enumerate(held.terms.to_pylist())}
+    own, doc, t = np.array(list(docs)), np.repeat(np.arange(500), 200), np.array([number[w] for v in docs.values() for w in v])
+    w = np.array([x for v in docs.values() for x in v.values()])
+    found = {}
+    for table in (products.TABLE, 0):
+        monkeypatch.setattr(products, "TABLE", table)
+        made = list(products._parted(own, doc, t, w, held))
+        state = products.Best(held, 7)
+        for chunk in made:
+            state.add(chunk)
+        found[table] = len(made), np.concatenate([c.products(held) for c in made]), sorted(zip(state.q, state.doc, state.score.round(9), strict=True))
+    matrices, entries = found.values()
+    assert matrices[0] == 1 and entries[0] > 1
+    assert np.allclose(matrices[1], entries[1], rtol=1e-12, atol=0) and matrices[2] == entries[2]
