@@ -79,7 +79,8 @@ def _meet(asked: DataFrame, blocks: DataFrame, salts: int, k: int, digits: int,
     rows = asked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).groupBy("pivot", "sub", "salt").agg(F.collect_list(F.struct("id", "v")).alias("q"))
     rows = rows.select("pivot", "sub", "salt", F.col("q.id").alias("q_ids"), F.flatten("q.v").alias("q_vectors"))
     given = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    pairs = given.join(rows, ["pivot", "sub", "salt"]).select("d_ids", "d_vectors", "q_ids", "q_vectors")
+    # Never by a broadcast: repeated vectors are few bytes in the file and many in memory.
+    pairs = given.join(rows.hint("merge"), ["pivot", "sub", "salt"]).select("d_ids", "d_vectors", "q_ids", "q_vectors")
     return store.materialise(pairs.mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"), "dense-best", records=1)
 
 
