@@ -99,9 +99,10 @@ def intervals(found: Column) -> Column:
     return F.filter(F.transform(found, merged), lambda x: x.isNotNull())
 
 
-def quantities(m: dict[str, Column]) -> Column:
-    """Quantities with a known unit: (unit, value, subject), in order."""
-    made = F.transform(m["g1"], lambda v, i: F.struct(unit(F.get(m["g2"], i)).alias("unit"), _value(v).alias("value"), _subject(_before(m["marked"], i)).alias("subject")))
+def quantities(m: dict[str, Column], subjects: bool = True) -> Column:
+    """Quantities with a known unit: (unit, value, and subject if wanted), in order."""
+    subject = lambda i: [_subject(_before(m["marked"], i)).alias("subject")] if subjects else []
+    made = F.transform(m["g1"], lambda v, i: F.struct(unit(F.get(m["g2"], i)).alias("unit"), _value(v).alias("value"), *subject(i)))
     return F.filter(made, lambda x: x["unit"].isNotNull())
 
 

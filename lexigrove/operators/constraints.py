@@ -19,27 +19,33 @@ def _matched(texts: DataFrame, key: str, text: str, pattern: str, groups: int) -
     return norm.select(key, *[c.alias(n) for n, c in matches(F.col("norm"), pattern, groups).items()])
 
 
+def _dealt(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """The texts of a catalogue: few bytes, which one or two tasks would read, and much work a text. The number of partitions is
+    given, so that they are not put together again by their bytes."""
+    return texts.select(key, text).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _parts(groups: int) -> dict[str, Column]:
     return {n: F.col(n) for n in [*(f"g{g}" for g in range(1, groups + 1)), "marked"]}
 
 
 def comparison_rows(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, word, value, unit, is_lower, strict, subject)."""
-    found = _matched(texts, key, text, COMPARED, 3).select(key, F.posexplode(comparisons(_parts(3))).alias("pos", "m"))
+    found = _matched(_dealt(texts, key, text), key, text, COMPARED, 3).select(key, F.posexplode(comparisons(_parts(3))).alias("pos", "m"))
     return found.select(key, "pos", "m.*")
 
 
 def interval_rows(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pos, unit, lo, lo_strict, hi, hi_strict, subject, family)."""
-    found = _matched(texts, key, text, COMPARED, 3).select(key, comparisons(_parts(3)).alias("found"))
+    found = _matched(_dealt(texts, key, text), key, text, COMPARED, 3).select(key, comparisons(_parts(3)).alias("found"))
     rows = found.select(F.col(key).alias("doc_id"), F.posexplode(intervals(F.col("found"))).alias("pos", "i"))
     return rows.select("doc_id", "pos", "i.*").withColumn("family", family(F.col("unit")))
 
 
-def quantity_rows(texts: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
-    """(query_id, pos, unit, value, subject, family)."""
+def quantity_rows(texts: DataFrame, key: str = "query_id", text: str = "text", subjects: bool = True) -> DataFrame:
+    """(query_id, pos, unit, value, subject if wanted, family)."""
     found = _matched(texts, key, text, QUANTITY, 2)
-    rows = found.select(F.col(key).alias("query_id"), F.posexplode(quantities(_parts(2))).alias("pos", "q"))
+    rows = found.select(F.col(key).alias("query_id"), F.posexplode(quantities(_parts(2), subjects)).alias("pos", "q"))
     return rows.select("query_id", "pos", "q.*").withColumn("family", family(F.col("unit")))
 
 

@@ -1,5 +1,8 @@
 import itertools
 
+from pyspark.sql import functions as F
+
+from lexigrove.functions.quantities import unit
 from lexigrove.operators import constraints as c
 
 
@@ -46,3 +49,21 @@ def test_signal(spark):
 def test_verdict_is_one_of_three(spark):
     for bound, value in itertools.product(("более", "не более", "до", "ниже"), (1, 5, 9)):
         assert signal(spark, f"{bound} 5 кг", f"{value} кг") in (-1, 0, 1)
+
+
+def test_units_by_order_of_preference(spark):
+    raw = ["мас.%", " .мас. % сухих", "мм2", "м", "годы", "%об", ".,%;", "", None]
+    rows = spark.createDataFrame(list(enumerate(raw)), "i int, raw string").select(unit(F.col("raw")).alias("u")).collect()
+    assert [r.u for r in rows] == ["pct_mass", "pct_mass", "mm", None, "year", "pct", "pct", None, None]
+
+
+def test_catalogue_texts_are_parsed_by_many_tasks(spark, tmp_path):
+    """One small file is not one task; quantities without subjects are the same quantities."""
+    path = str(tmp_path / "docs")
+    spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("более "), "id", F.lit(" кг")).alias("text")).coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = c.interval_rows(docs)
+    assert found.count() == 400 and found.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    rows = docs.select(F.col("doc_id").alias("query_id"), "text")
+    bare = c.quantity_rows(rows, subjects=False)
+    assert "subject" not in bare.columns and sorted(bare.collect()) == sorted(c.quantity_rows(rows).drop("subject").collect())
