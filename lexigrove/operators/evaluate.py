@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import store
+
 CUTS = (1, 3, 5, 10)
 Z = 1.96
 COLUMNS = ("declaration_id", "rank", "regulation_id", "score")
@@ -67,6 +69,7 @@ def violations(ranking: DataFrame, queries: DataFrame, docs: DataFrame, k: int =
     if missing := [c for c in COLUMNS if c not in ranking.columns]:
         return spark.createDataFrame([("columns", None, c) for c in missing], schema)
     r = ranking.select(F.col("declaration_id").cast("string"), F.col("rank").cast("long").alias("rank"), F.col("regulation_id").cast("string"), F.col("score").cast("double").alias("score"))
+    r = store.spread(r, ranking.count(), "declaration_id")
     known, wanted = docs.select(F.col("regulation_id").cast("string")).distinct(), queries.select(F.col("declaration_id").cast("string")).distinct()
     said = lambda df, rule, detail: df.select(F.lit(rule).alias("rule"), "declaration_id", detail.cast("string").alias("detail"))
     groups = r.groupBy("declaration_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("rank")).alias("ranks"), F.count_distinct("regulation_id").alias("different"))

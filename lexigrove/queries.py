@@ -455,7 +455,8 @@ _GATE = "WITH r AS (SELECT o_custkey::VARCHAR AS d, row_number() OVER (PARTITION
 def validate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     key, price = F.col("o_orderkey"), F.col("o_totalprice")
-    ranking = table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders")
+    ranking = store.spread(orders, orders.count(), "o_custkey").select(
         F.col("o_custkey").cast("string").alias("declaration_id"), F.row_number().over(order).alias("rank"), F.when(key % 500 == 0, "x").otherwise((key % 97).cast("string")).alias("regulation_id"),
         F.when(key % 700 == 0, F.lit(None)).when(key % 900 == 0, price * 2).otherwise(price).alias("score"),
     )

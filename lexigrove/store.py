@@ -15,6 +15,9 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task sorts or groups, about, where ``spread`` deals them.
+PART_ROWS = 200_000
+
 _OWN: dict[str, str] = {}
 _OPEN = threading.local()
 
@@ -60,6 +63,15 @@ def materialise(df: DataFrame, label: str, records: int | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by its keys in so many partitions that ``rows`` rows are about ``PART_ROWS`` in each; as it is if the session's number will do.
+
+    The session's number is fixed, so that what a task sorts would grow with the input.
+    """
+    parts = -(-rows // PART_ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at the end, so what is returned must be written by ``kept``."""

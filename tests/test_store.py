@@ -43,3 +43,11 @@ def test_a_failed_query_leaves_nothing(spark, tmp_path, monkeypatch):
     except ValueError:
         pass
     assert os.listdir(tmp_path) == []
+
+
+def test_more_rows_are_more_partitions(spark, monkeypatch):
+    """What a task sorts does not grow with the input."""
+    monkeypatch.setattr(store, "PART_ROWS", 100)
+    rows = spark.range(1000)
+    assert store.spread(rows, 1000, "id").rdd.getNumPartitions() == 10
+    assert store.spread(rows, 300, "id") is rows
