@@ -70,9 +70,12 @@ def signal(pairs: DataFrame, found_intervals: DataFrame, found_quantities: DataF
     i = found_intervals.select("doc_id", F.col("pos").alias("i_pos"), F.col("unit").alias("i_unit"), "family", F.struct("lo", "lo_strict", "hi", "hi_strict").alias("bounds"), F.col("subject").alias("i_subject"))
     q = found_quantities.select("query_id", F.col("pos").alias("q_pos"), F.col("unit").alias("q_unit"), "family", "value", F.col("subject").alias("q_subject"))
     rows = pairs.count()
-    pairs, i, q = store.spread(pairs, rows, "doc_id"), store.spread(i, rows, "doc_id"), store.spread(q, rows, "query_id")
-    met = store.spread(pairs.select("query_id", "doc_id").distinct().join(i, "doc_id"), rows, "query_id").join(q, ["query_id", "family"])
-    met = met.where((F.col("i_unit") == F.col("q_unit")) | (F.col("family") == "pct"))
+    # By all keys of what follows: Spark deals anew, over the session's number of partitions, what lies by a part of a join's keys.
+    of = lambda df, *keys: store.spread(df, rows, *keys)
+    met = of(pairs.select("query_id", "doc_id"), "query_id", "doc_id").distinct()
+    met = of(met, "doc_id").join(of(i, "doc_id"), "doc_id")
+    met = of(met, "query_id", "family").join(of(q, "query_id", "family"), ["query_id", "family"])
+    met = of(met.where((F.col("i_unit") == F.col("q_unit")) | (F.col("family") == "pct")), "query_id", "doc_id")
     each = Window.partitionBy("query_id", "doc_id", "i_pos")
     exact = F.col("i_unit") == F.col("q_unit")
     met = met.withColumn("any_exact", F.max(exact).over(each)).where(exact | ~F.col("any_exact"))
@@ -83,4 +86,4 @@ def signal(pairs: DataFrame, found_intervals: DataFrame, found_quantities: DataF
     chosen = met.where((F.col("place") == 1) & ((F.col("n") == 1) | ((F.col("overlap") > 0) & (F.col("next") < F.col("overlap")))))
     verdict = F.when(contains(F.col("bounds"), F.col("value")), 1.0).otherwise(-1.0)
     said = chosen.groupBy("query_id", "doc_id").agg(F.min(verdict).alias("signal"))
-    return store.spread(pairs, rows, "query_id").join(said, ["query_id", "doc_id"], "left").withColumn("signal", F.coalesce("signal", F.lit(0.0)))
+    return of(pairs, "query_id", "doc_id").join(said, ["query_id", "doc_id"], "left").withColumn("signal", F.coalesce("signal", F.lit(0.0)))

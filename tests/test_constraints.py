@@ -67,3 +67,12 @@ def test_catalogue_texts_are_parsed_by_many_tasks(spark, tmp_path):
     rows = docs.select(F.col("doc_id").alias("query_id"), "text")
     bare = c.quantity_rows(rows, subjects=False)
     assert "subject" not in bare.columns and sorted(bare.collect()) == sorted(c.quantity_rows(rows).drop("subject").collect())
+
+
+def test_signal_is_the_same_in_more_partitions(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"масса более {i} кг") for i in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"масса {i} кг") for i in range(40)], "query_id long, text string")
+    pairs = spark.range(40).select(F.col("id").alias("query_id"), ((F.col("id") * 7) % 40).alias("doc_id"))
+    monkeypatch.setattr(c.store, "PART_ROWS", 5)
+    rows = c.signal(pairs, c.interval_rows(docs), c.quantity_rows(queries)).collect()
+    assert {(r.query_id, r.signal) for r in rows} == {(i, 1.0 if i > i * 7 % 40 else -1.0) for i in range(40)}
