@@ -51,3 +51,11 @@ def test_more_rows_are_more_partitions(spark, monkeypatch):
     rows = spark.range(1000)
     assert store.spread(rows, 1000, "id").rdd.getNumPartitions() == 10
     assert store.spread(rows, 300, "id") is rows
+
+
+def test_lines_are_numbered_over_several_files(spark, monkeypatch):
+    from lexigrove.queries_catalogue import files, files_round_trip
+
+    monkeypatch.setattr(files, "FILE_ROWS", 100)
+    rows = files_round_trip(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 200 and sorted(r.line for r in rows) == list(range(len(rows)))
