@@ -10,10 +10,12 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,10 +103,15 @@ def grams(low: int = 3, high: int = 5) -> Kind:
     return Kind(tx.split_words, cut)
 
 
+def _parts(texts: DataFrame, text: str) -> int:
+    """Partitions in which texts are about ``SORTED`` bytes."""
+    return (texts.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SORTED
+
+
 def _dealt(texts: DataFrame, key: str, text: str, kind: Kind) -> DataFrame:
     """(id, words), rows of an id in one task and beside each other."""
     rows = texts.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    parts = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SORTED
+    parts = _parts(rows, "text")
     # The session's number of partitions, more where these would grow with the texts.
     dealt = rows.repartition(parts, "id") if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition("id")
     return dealt.sortWithinPartitions("id").select("id", kind.words(F.col("text")).alias("words"))
@@ -221,37 +228,79 @@ def statistics(texts: DataFrame, key: str, text: str, kind: Kind) -> DataFrame:
     return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
 
 
-def vectors(texts: DataFrame, key: str, text: str, kind: Kind, known: pa.Table, rest: float | None, label: str = "vectors") -> DataFrame:
+class Known:
+    """Terms with weights and numbers, in the order of their hashes; ``find`` takes no time that grows with how many there are, as a table of them made for each block would."""
+
+    def __init__(self, rows: pa.Table):
+        """``rows``: (term, weight, t, h) by h, which is Spark's ``xxhash64``."""
+        self.h, self.names, self.weight = rows.column("h").to_numpy(), rows.column("term").combine_chunks(), rows.column("weight").to_numpy()
+        self.number = pc.fill_null(rows.column("t"), -1).to_numpy()
+
+    def find(self, terms: pa.Array) -> np.ndarray:
+        """The places of the terms, -1 where unknown; terms that share a hash are told apart by name."""
+        h = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in terms.to_pylist()), np.uint64, len(terms)).view(np.int64)
+        out, left = np.full(len(terms), -1), np.arange(len(terms))
+        at = np.searchsorted(self.h, h)
+        while len(left):
+            there = at < len(self.h)
+            there[there] = self.h[at[there]] == h[left[there]]
+            left, at = left[there], at[there]
+            same = pc.equal(self.names.take(pa.array(at)), terms.take(pa.array(left))).to_numpy(zero_copy_only=False)
+            out[left[same]] = at[same]
+            left, at = left[~same], at[~same] + 1
+        return out
+
+
+def vectors(texts: DataFrame, key: str, text: str, kind: Kind, known: DataFrame, rest: float | None, label: str = "vectors", passes: int = 1) -> DataFrame:
     """(doc_id, scale, t, tf), written: the asked terms of each document that has any, by number, and how often it has them.
 
     ``known``: (term, weight, t) of the terms that can be asked for or have a weight of their own, t null if not asked; ``rest``: the weight of all other
     terms. ``scale`` is the norm of the whole document's (1 + ln tf) * weight, or, with ``rest`` None, the number of its terms.
+
+    With several ``passes`` each takes its part of the known terms over all texts, so that no more are sent at once, and a document's parts are added up.
     """
+    if passes > 1:
+        part = lambda g: known.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == g)
+        found = [_passed(texts, key, text, kind, part(g), rest, f"{label}-part", g) for g in range(passes)]
+        rows = reduce(DataFrame.unionByName, found)
+        parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), _parts(texts, text))
+        added = rows.repartition(parts, "doc_id").groupBy("doc_id").agg(F.sum("scale").alias("scale"), F.flatten(F.collect_list("t")).alias("t"), F.flatten(F.collect_list("tf")).alias("tf"))
+        scale = F.col("scale") if rest is None else F.sqrt("scale")
+        return store.materialise(added.where(F.size("t") > 0).select("doc_id", scale.alias("scale"), "t", "tf"), label, records=RECORDS)
+    return _passed(texts, key, text, kind, known, rest, label, None)
+
+
+def _passed(texts: DataFrame, key: str, text: str, kind: Kind, known: DataFrame, rest: float | None, label: str, nth: int | None) -> DataFrame:
+    """The vectors by one look at the texts. If this is the ``nth`` of several: a row of every document that has terms, its scale without the root and only with what
+    this pass knows; the first one takes all terms for others, the known ones' difference from that is added."""
     id_type = dict(texts.dtypes)[key]
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(known)
+    table = known.select("term", F.col("weight").cast("double").alias("weight"), "t", F.xxhash64("term").alias("h")).toArrow()
+    sent = texts.sparkSession.sparkContext.broadcast(table.sort_by("h"))
     cut = kind.cut
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        names = table.column("term").combine_chunks()
-        weight = np.append(table.column("weight").to_numpy(), rest or 0.0)
-        number = np.append(pc.fill_null(table.column("t"), -1).to_numpy(), -1)
+        table = Known(sent.value)
+        weight, number = np.append(table.weight, rest or 0.0), np.append(table.number, -1)  # the place -1 is that of all others
+        # What a term adds to a norm.
+        square = weight**2 - (0.0 if not nth else (rest or 0.0) ** 2)
+        if nth:
+            square[-1] = 0.0
         for ids, doc, words in _blocks(batches):
             own, parts = _counts(doc, words, cut)
-            at = pc.fill_null(pc.index_in(own, value_set=names), len(names)).to_numpy(zero_copy_only=False)
-            w, asked = weight[at], number[at]
+            at = table.find(own)
+            w, asked = square[at], number[at]
             for d, t, times in parts:
                 low, n = int(d[0]), int(d[-1] - d[0]) + 1
                 d = d - low
-                scale = np.bincount(d, times, n) if rest is None else np.sqrt(np.bincount(d, ((1 + np.log(times)) * w[t]) ** 2, n))
+                scale = np.bincount(d, times if not nth else np.zeros(len(d)), n) if rest is None else np.bincount(d, (1 + np.log(times)) ** 2 * w[t], n)
                 keep = asked[t] >= 0
                 each = np.bincount(d[keep], minlength=n)
-                has = np.flatnonzero(each)
+                has = np.flatnonzero(each if nth is None else np.bincount(d, minlength=n))
                 if not len(has):
                     continue
                 ends = pa.array(np.concatenate([[0], np.cumsum(each[has])]).astype(np.int32))
-                columns = [ids.take(pa.array(has + low)), pa.array(scale[has].astype(np.float64)), pa.ListArray.from_arrays(ends, pa.array(asked[t[keep]])), pa.ListArray.from_arrays(ends, pa.array(times[keep]))]
+                scale = scale[has].astype(np.float64)
+                columns = [ids.take(pa.array(has + low)), pa.array(scale if rest is None or nth is not None else np.sqrt(scale)), pa.ListArray.from_arrays(ends, pa.array(asked[t[keep]])), pa.ListArray.from_arrays(ends, pa.array(times[keep]))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "scale", "t", "tf"])
 
     rows = _dealt(texts.where(F.col(key).isNotNull()), key, text, kind)

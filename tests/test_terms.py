@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,30 @@ def test_no_row_for_a_term_of_a_document(spark, tmp_path, monkeypatch):
     asked = spark.createDataFrame([(1, "two three")], "query_id long, text string")
     assert products.best(retrieval.text_leg(asked, texts, "text", retrieval.corpus_size(texts), "char"), 3).count() >= 3
     assert max(t.count() for t in written.values()) <= 1000
+
+
+@pytest.mark.parametrize("name", ["char", "word", "bm25"])
+def test_vocabularies_sent_in_passes(spark, monkeypatch, name):
+    """More terms than are sent at once take several looks at the texts, never a row for a term of a document."""
+    texts = odd_texts(spark).where("doc_id is not null")
+    asked = spark.createDataFrame([(1, "common w3 tariff w7"), (2, "aaaaaaaa елка")], "query_id long, text string")
+    leg = lambda: retrieval.text_leg(asked, texts, "text", retrieval.corpus_size(texts), "char" if name == "char" else "word", name == "bm25")
+    shown = lambda rows: {(r.query_id, r.doc_id): round(r.score, 9) for r in rows.collect()}
+    whole = shown(retrieval.pair_scores(leg()))
+    monkeypatch.setattr(retrieval, "SENT_WEIGHTS", {"char": 300, "word": 40, "bm25": 2}[name])
+    passes, one = [], terms._passed
+    monkeypatch.setattr(terms, "_passed", lambda *a: passes.append(a) or one(*a))
+    parted = leg()
+    assert parted.vectors is not None and len(passes) > 1 and max(a[4].count() for a in passes) < sum(a[4].count() for a in passes)
+    assert shown(retrieval.pair_scores(parted)) == whole
+
+
+def test_terms_are_found_by_hash_and_name(spark):
+    names = [f"t{k}" for k in range(50)] + ["елка", "\U0001f600", ""]
+    rows = spark.createDataFrame([(n, float(k), k) for k, n in enumerate(names)], "term string, weight double, t long")
+    known = terms.Known(rows.select("*", F.xxhash64("term").alias("h")).toArrow().sort_by("h"))
+    clash = terms.Known(rows.select("*", F.xxhash64(F.lit("t3")).alias("h")).toArrow())
+    for table, asked in ((known, ["елка", "t7", "absent", "\U0001f600", "", "t49"]), (clash, ["t3"])):
+        want = [float(names.index(n)) if n in names else -1.0 for n in asked]
+        assert [float(table.weight[k]) if k >= 0 else -1.0 for k in table.find(pa.array(asked))] == want
+    assert known.find(pa.array([], pa.string())).tolist() == [] and terms.Known(rows.limit(0).select("*", F.xxhash64("term").alias("h")).toArrow()).find(pa.array(["a"])).tolist() == [-1]
