@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import logging
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,13 +21,13 @@ DEPTH, DEEPER = 64, 8
 _log = logging.getLogger(__name__)
 
 
-def rrf(legs: list[tuple[DataFrame, float]], k: int = K, keys: tuple[str, ...] = ("query_id", "doc_id")) -> DataFrame:
+def rrf(legs: list[tuple[DataFrame, float]], k: int = K, keys: tuple[str, ...] = ("query_id", "doc_id"), deal: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """Sum of weight / (k + rank) over the legs, each a frame (query_id, doc_id, rank) with ranks from 1.
 
-    A pair that is missing in a leg gets nothing from it.
+    A pair that is missing in a leg gets nothing from it. ``deal``: brings rows of the same keys together, where the session's partitions would grow too large.
     """
     rows = [leg.select(*keys, (F.lit(float(weight)) / (k + F.col("rank"))).alias("part")) for leg, weight in legs]
-    return reduce(DataFrame.unionByName, rows).groupBy(*keys).agg(F.sum("part").alias("score"))
+    return deal(reduce(DataFrame.unionByName, rows)).groupBy(*keys).agg(F.sum("part").alias("score"))
 
 
 def best_fused(legs: dict[str, products.Leg], weights: dict[str, float], queries: DataFrame, docs: DataFrame, n: int, digits: int = 15, k: int = K, depth: int = DEPTH) -> DataFrame:

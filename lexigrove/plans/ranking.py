@@ -63,9 +63,17 @@ def stage1(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, dense:
     made = legs(queries, docs, [n for n, w in config.weights.items() if w], lemmas=lemmas)
     if dense is None:
         return fusion.best_fused(made, config.weights, queries, docs.select("doc_id"), config.n_candidates)
-    scored = {name: retrieval.pair_scores(leg) for name, leg in made.items()}
-    fused = fusion.rrf([(retrieval.ranked(retrieval.complete(s, queries, docs)), config.weights[name]) for name, s in scored.items()])
-    fused = fusion.rrf([(retrieval.ranked(fused), 1.0), (retrieval.ranked(dense), config.dense_weight)])
+    # No task and no window holds a query's documents, and what a task holds does not grow with the pairs.
+    size = queries.count() * docs.count()
+    parts = store.wide_parts(queries.sparkSession, size)
+    deal = lambda pairs: pairs.repartition(parts, "query_id", "doc_id")
+    place = lambda pairs, digits=9: retrieval.ranked_wide(pairs, size, digits=digits)
+    every = docs.select("doc_id").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").crossJoin(queries.select("query_id"))
+    scored = {name: retrieval.complete(retrieval.pair_scores(leg), every, deal) for name, leg in made.items()}
+    placed = [(place(s), config.weights[name]) for name, s in scored.items()]
+    # The order by 1 / (k + rank) of a single leg is that leg's.
+    first = placed[0][0] if len(placed) == 1 and placed[0][1] > 0 else place(fusion.rrf(placed, deal=deal), 15)
+    fused = fusion.rrf([(first, 1.0), (place(dense), config.dense_weight)], deal=deal)
     return retrieval.ranked(fused, digits=15)
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a task sorts or groups, about, where ``spread`` deals them.
 PART_ROWS = 200_000
+#: The same for rows of a few numbers.
+PAIR_ROWS = 1_000_000
 
 _OWN: dict[str, str] = {}
 _OPEN = threading.local()
@@ -72,6 +74,11 @@ def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+def wide_parts(spark: SparkSession, rows: int) -> int:
+    """Partitions of about ``PAIR_ROWS`` short rows each, the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PAIR_ROWS))
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at the end, so what is returned must be written by ``kept``."""

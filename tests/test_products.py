@@ -190,3 +190,34 @@ def test_long_documents_are_scored_as_matrices(spark, monkeypatch):
     matrices, entries = found.values()
     assert matrices[0] == 1 and entries[0] > 1
     assert np.allclose(matrices[1], entries[1], rtol=1e-12, atol=0) and matrices[2] == entries[2]
+
+
+@pytest.mark.parametrize("weights", [{"word": 1.0}, {"char": 3.0, "word": 1.0}])
+def test_dense_fusion_holds_no_query_in_a_task(spark, monkeypatch, weights):
+    """With a dense leg every pair has a rank, and only the last choice of a few is a window of a query."""
+    from lexigrove.plans import ranking as plan
+
+    from lexigrove.plans import ranking as plan
+
+    monkeypatch.setattr(store, "PAIR_ROWS", 40)
+    rng = random.Random(3)
+    texts = {d: " ".join(rng.choice(["red", "bolt", "ring", "steel", f"n{d % 7}"]) for _ in range(3)) for d in range(120)}
+    asked = {1: "red n3 steel", 2: "bolt ring", 3: "nothing of it"}
+    near = {(q, d): float((q * d * 7919) % 11) for q in asked for d in texts}
+    docs, queries = spark.createDataFrame(list(texts.items()), "doc_id long, coarse_text string"), spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    dense = spark.createDataFrame([(q, d, s) for (q, d), s in near.items()], "query_id long, doc_id long, score double")
+    found = plan.stage1(queries, docs, plan.Config(weights=weights), dense).where("rank <= 7")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    got = {(r.query_id, r["rank"]): r.doc_id for r in found.collect()}
+
+    def placed(scores, digits=9):
+        out = {}
+        for q in asked:
+            out |= {(q, d): k for k, d in enumerate(sorted(texts, key=lambda d: (-round(scores.get((q, d), 0.0), digits), d)), 1)}
+        return out
+
+    legs = {name: placed({(r.query_id, r.doc_id): r.score for r in retrieval.pair_scores(leg).collect()}) for name, leg in plan.legs(queries, docs, list(weights)).items()}
+    first = placed({p: sum(w / (60 + legs[name][p]) for name, w in weights.items()) for p in near}, 15)
+    second = placed(near)
+    want = placed({p: 1 / (60 + first[p]) + 0.5 / (60 + second[p]) for p in near}, 15)
+    assert got == {(q, k): d for (q, d), k in want.items() if k <= 7}
