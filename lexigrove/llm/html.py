@@ -1,28 +1,39 @@
-"""Main text of web pages: markup zones, and long repeats between the token streams of each host's pages.
+"""Main text of web pages: markup zones, and a suffix array over the token streams of each host's pages.
 
-A page is cut into blocks, and each block falls into one of three zones by the elements around it:
+A page is cut into blocks, and each block falls into a zone by the elements around it:
 
 * ``article``: inside an article element or a container that is named as the article's body;
+* ``doubted``: inside an article, in an element whose id or class holds a word for junk beside others ("share", "notice-period");
 * ``junk``: inside navigation, page headers and footers, asides, forms, notices, adverts, comments;
 * ``open``: everything else; on a page with a main element, what is inside it.
 
-A page that has article text returns exactly that text: a passage that other pages repeat (a mirrored
-article, a licence line) belongs to it and stays. Repeats decide where markup does not, on pages
-without article text. The token streams of a host's pages, all blocks outside articles, stand for one
-concatenated text. A stretch of at least ``depth`` tokens that distinct pages share is a long repeat:
-hashed windows of ``depth`` tokens stand for the sorted suffixes, as the windows inside a longest
-repeat cover it whole. A block too short for that is boilerplate only as a whole, with at least
-``LEAST_BLOCK`` tokens and on at least half of the host's pages, three or more. Tokens of open blocks
-that either covers are boilerplate; the unique runs stay.
-
-A suffix array of a host with a third of all pages fits no task, so equal beginnings are brought
-together by their hash, with the run reduced to (smallest, largest page signature) before
-the shuffle. A page's signature is a hash of its main text: mirrors of a page count as one page.
+The visible text of every page, article or not, is a stream of tokens, parted where an article begins or
+ends. All suffixes of a host's streams are sorted by their first ``depth`` tokens, and neighbours that
+share all of these are a run: a long repeat, known by the pages it is on and those that have it inside and
+outside articles. A longer repeat is the union of the runs that begin inside it. Long repeats decide by zone:
+
+* open text, on pages without article text: a stretch goes that two pages have outside articles;
+* doubted text: a stretch goes that half of the host's pages have, three at least;
+* article text: a stretch goes that half of the host's pages have in articles, three at least, and half as
+  many outside them. A passage that stands in articles alone (a mirrored article, a quotation, a licence
+  line) belongs to them and stays, and so does one article's beginning that other pages show beside theirs.
+
+In open and doubted text a block too short for that goes only as a whole, with at least ``LEAST_BLOCK``
+tokens and on at least half of the host's pages, three or more. Junk is never text: menus differ on every
+page. Of pages with article text, open blocks are not the article.
+
+The suffix array of a large host fits no task, so it is sorted in buckets. A window of ``depth`` tokens has
+an anchor, the smallest hash of the short windows in it, and equal windows have equal anchors: no run leaves the
+bucket of its anchor. Buckets are dealt by ranges of (host, anchor, page), whose bounds can fall inside a bucket, and
+what the parts of a run count is added. Suffixes go there as the stretches of text whose windows have one anchor,
+and only if the anchor is on several pages: with any other a suffix shares no long beginning.
+A page's signature is a hash of its main text: mirrors of a page count as one page.
 """
 
 from __future__ import annotations
 
 import html as charrefs
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .. import store
 
-#: Tokens that suffixes must share to count as a long repeat.
+#: Tokens that neighbours in the suffix array must share to count as a long repeat.
 DEPTH = 30
 #: Tokens of the shortest block that is boilerplate as a whole, and the distinct pages that it must be on.
 LEAST_BLOCK, LEAST_PAGES = 6, 3
@@ -74,7 +85,8 @@ TITLES = frozenset("h1 h2 h3 h4 h5 h6 caption figcaption legend summary th dt".s
 FURNITURE = frozenset("area bar block box btn button buttons container form frame icons inner label links list outer panel posts section slot tags thread unit wrap wrapper".split())
 _STATE_WORDS = ("no-", "has-", "with-", "without-", "is-", "js-has-")
 
-ARTICLE, OPEN, JUNKED, HIDDEN, MAIN = 0, 1, 2, 3, 4
+ARTICLE, OPEN, JUNKED, HIDDEN, MAIN, DOUBTED = 0, 1, 2, 3, 4, 5
+INSIDE = (ARTICLE, DOUBTED)
 
 
 def _named(attrs: str) -> tuple[frozenset[str], frozenset[str], bool, bool]:
@@ -146,6 +158,11 @@ class _Tags:
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
+    """``zoned`` by markup alone, for which doubted text is the article's."""
+    return [(ARTICLE if zone == DOUBTED else zone, text) for zone, text in zoned(page)]
+
+
+def zoned(page: str | None) -> list[tuple[int, str]]:
     """(zone, text) of the page's blocks in order; texts are trimmed with single spaces and not empty.
 
     Elements left open end with the element around them; an unclosed comment or raw element runs to
@@ -234,19 +251,23 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             junk, inside, body, hidden = known[attrs]
         else:
             junk, inside, body, hidden = known[attrs] = _named(attrs)
+        doubted = False
         if tag in ("html", "body", "main"):
             junk = frozenset()
         elif tag == "article":
             junk &= NOT_ARTICLE
-        elif zone == ARTICLE:
+        elif zone in INSIDE:
+            doubted = tag not in INLINE and tag not in TITLES and bool(junk - HEADING)
             junk = frozenset() if tag in INLINE or tag in TITLES else inside - HEADING
         new = zone
         if hidden or zone == HIDDEN:
             new = HIDDEN
         elif zone == JUNKED:
             new = JUNKED
-        elif tag in JUNK or (tag == "header" and zone != ARTICLE) or junk:
+        elif tag in JUNK or (tag == "header" and zone not in INSIDE) or junk:
             new = JUNKED
+        elif doubted:
+            new = DOUBTED
         elif tag == "article" or body:
             new = ARTICLE
         elif (tag == "main" or "main" in attrs and re.search(r"role\s*=\s*[\"']?main", attrs)) and zone == OPEN:
@@ -262,109 +283,246 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-_PARSED = "page_id long, url string, host string, text string, settled boolean, zones array<int>, texts array<string>"
-_SHARED = "host string, signature long, grams array<long>, whole array<long>"
-
+_PARSED = "page_id long, url string, host string, signature long, wanted int, zones array<int>, texts array<string>"
+_ANCHORS = "key long, signature long"
+_STRETCHES = "row long, site long, signature long, at int, n int, inside boolean, decides boolean, anchor long, codes binary"
+_RUNS = "site long, suffix binary, pages long, inside long, outside long"
 
-def _grams(tokens: list[str], depth: int) -> np.ndarray:
-    """Hashes of the first ``depth`` tokens of every suffix that has so many."""
-    if len(tokens) < depth:
-        return np.empty(0, np.int64)
-    own = {t: xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in set(tokens)}
-    h = np.fromiter((own[t] for t in tokens), np.uint64, len(tokens))
-    out = np.zeros(len(tokens) - depth + 1, np.uint64)
-    for k in range(depth):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - depth + 1 + k]
-    return (out ^ (out >> np.uint64(29))).view(np.int64)
+#: Tokens whose hashes a task keeps, and stretches that it hands on together.
+_MEMO, _TOGETHER = 500_000, 20_000
+#: Most bits of the map of shared anchors (16 MB); each has 16 below that.
+_BITS = 1 << 27
 
 
 def _hashed(text: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
-def _whole(text: str) -> int | None:
-    """A block's hash if it is long enough to be boilerplate as a whole."""
-    return _hashed(text) if text.count(" ") + 1 >= LEAST_BLOCK else None
+def _codes(tokens: list[str], memo: dict[str, int]) -> np.ndarray:
+    """64-bit codes of tokens; any order of the alphabet will do for a suffix array, and this is theirs."""
+    if len(memo) > _MEMO:
+        memo.clear()
+    for t in set(tokens).difference(memo):
+        memo[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+    return np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def _streams(found: list[tuple[int, str]]) -> list[list[str]]:
-    """Tokens of the stretches between articles; a repeat can run over the blocks of one stretch."""
-    out: list[list[str]] = [[]]
-    for zone, text in found:
-        if zone == ARTICLE:
-            out.append([])
-        else:
-            out[-1] += text.split()
-    return [s for s in out if s]
+def _anchors(codes: np.ndarray, depth: int) -> np.ndarray:
+    """The anchor of the first ``depth`` tokens of every suffix that has so many."""
+    if len(codes) < depth:
+        return np.empty(0, np.uint64)
+    short = (depth + 3) // 4
+    grams = np.zeros(len(codes) - short + 1, np.uint64)
+    for k in range(short):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - short + 1 + k]
+    grams ^= grams >> np.uint64(29)
+    return np.lib.stride_tricks.sliding_window_view(grams, depth - short + 1).min(axis=1)
 
 
-def _main(found: list[tuple[int, str]]) -> tuple[int, list[str]]:
-    """The zone that holds the text of a page without article text, and its blocks."""
-    wanted = MAIN if any(z == MAIN for z, _ in found) else OPEN
-    return wanted, [t for z, t in found if z == wanted]
+def _streams(zones: list[int], tokens: list[list[str]]) -> Iterator[tuple[bool, int, list[str]]]:
+    """(inside an article, place, tokens) of the page's streams: a repeat can run over the blocks of one."""
+    at = 0
+    for inside, group in itertools.groupby(zip(zones, tokens, strict=True), lambda b: b[0] in INSIDE):
+        stream = [t for _, block in group for t in block]
+        yield inside, at, stream
+        at += len(stream)
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From (page_id, url, host, html) to parsed pages; blocks are kept of those that markup does not decide."""
+    """From (page_id, url, host, html) to pages in blocks, with the zone that holds the main text."""
     for batch in batches:
         rows = []
         for page_id, url, host, page in zip(batch["page_id"], batch["url"], batch["host"], batch["html"], strict=True):
-            found = blocks(page)
-            article = [t for z, t in found if z == ARTICLE]
-            wanted, main = _main(found)
-            rest = [(OPEN if z == wanted else JUNKED, t) for z, t in found] if main and not article else []
-            rows.append((page_id, url, host, " ".join(article), bool(article), [z for z, _ in rest], [t for _, t in rest]))
-        yield pd.DataFrame(rows, columns=["page_id", "url", "host", "text", "settled", "zones", "texts"]).astype({"page_id": "Int64"})
+            found = zoned(page)
+            zones = {z for z, _ in found}
+            wanted = ARTICLE if zones & set(INSIDE) else MAIN if MAIN in zones else OPEN
+            main = [t for z, t in found if z == wanted or (wanted == ARTICLE and z in INSIDE)]
+            signature = _hashed("\n".join(main or [" ".join(t for _, t in found)]))
+            rows.append((page_id, url, host, signature, wanted, [z for z, _ in found], [t for _, t in found]))
+        yield pd.DataFrame(rows, columns=["page_id", "url", "host", "signature", "wanted", "zones", "texts"]).astype({"page_id": "Int64"})
 
 
-def sharer(depth: int):
-    """A pandas batch function from (host, html) to what a page shares with others: its signature, windows and whole blocks."""
+def anchors(depth: int):
+    """A pandas batch function from parsed pages to the anchors of their suffixes, by site; each once for a stream."""
 
-    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, int] = {}
         for batch in batches:
-            rows = []
-            for host, page in zip(batch["host"], batch["html"], strict=True):
-                found = blocks(page)
-                streams = _streams(found)
-                grams = np.unique(np.concatenate([_grams(s, depth) for s in streams])) if streams else np.empty(0, np.int64)
-                whole = sorted({h for z, t in found if z != ARTICLE and (h := _whole(t)) is not None})
-                main = [t for z, t in found if z == ARTICLE] or _main(found)[1]
-                rows.append((host, _hashed("\n".join(main or [" ".join(s) for s in streams])), grams, whole))
-            yield pd.DataFrame(rows, columns=["host", "signature", "grams", "whole"])
+            keys, counts, signatures = [], [], []
+            for site, signature, zones, texts in zip(batch["site"], batch["signature"], batch["zones"], batch["texts"], strict=True):
+                for _, _, stream in _streams(list(zones), [t.split() for t in texts]):
+                    if len(stream) >= depth:
+                        keys.append(np.unique(_anchors(_codes(stream, memo), depth)).view(np.int64) ^ site)
+                        counts.append(len(keys[-1]))
+                        signatures.append(signature)
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys), "signature": np.repeat(signatures, counts)})
+
+    return find
+
 
-    return share
+def stretches(depth: int, bits: np.ndarray):
+    """A pandas batch function from parsed pages to the stretches that hold the suffixes with an anchor in ``bits``.
 
+    A stretch is the codes of its tokens, four bytes each, so that the order of suffixes as bytes is that of codes; ``n`` suffixes of
+    ``depth`` tokens begin in it, from place ``at`` of the page on.
+    """
 
-def _own(depth: int):
-    """A pandas batch function from doubtful pages to (row, host, block, gram): the windows and whole blocks that decide about them."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, int] = {}
+        columns = ["row", "site", "signature", "at", "n", "inside", "decides", "anchor", "codes"]
+        for batch in batches:
+            out: list[tuple] = []
+            for row, site, signature, wanted, zones, texts in zip(*(batch[c] for c in ("row", "site", "signature", "wanted", "zones", "texts")), strict=True):
+                for inside, start, stream in _streams(list(zones), [t.split() for t in texts]):
+                    if len(stream) < depth:
+                        continue
+                    codes = _codes(stream, memo)
+                    own = _anchors(codes, depth).view(np.int64) ^ site
+                    begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    ends = np.r_[begins[1:], len(own)]
+                    spot = own[begins].view(np.uint64) % np.uint64(64 * len(bits))
+                    shared = (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) > 0
+                    if not shared.any():
+                        continue
+                    held = (codes >> np.uint64(32)).astype(">u4").tobytes()
+                    for k, end in zip(begins[shared].tolist(), ends[shared].tolist(), strict=True):
+                        out.append((row, site, signature, start + k, end - k, inside, inside or wanted != ARTICLE, own[k], held[4 * k : 4 * (end - 1 + depth)]))
+                if len(out) >= _TOGETHER:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+
+    return cut
+
+
+def runs(depth: int):
+    """A pandas batch function from a sorted part of the suffix array to runs of neighbours that share ``depth`` tokens.
+
+    In: (site, anchor, suffix, signature, outside) in this order, ``outside`` rows first. Out: (site, suffix, pages, inside, outside), the
+    numbers of pages. A run whose bucket reaches the edge of a batch can have other pieces, and counts are to be added: rows of a signature
+    are neighbours. Of other buckets, runs on so few pages that they decide nothing are left out.
+    """
 
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: pd.DataFrame | None = None
         for batch in batches:
-            for row, host, texts in zip(batch["row"], batch["host"], batch["texts"], strict=True):
-                grams = np.unique(_grams([t for text in texts for t in text.split()], depth))
-                whole = sorted({h for t in texts if (h := _whole(t)) is not None})
-                yield pd.DataFrame({"row": row, "host": host, "block": [False] * len(grams) + [True] * len(whole), "gram": [*grams.tolist(), *whole]})
-
-    return own
-
-
-def _unique_runs(zones: list[int], texts: list[str], repeated: frozenset[int], common: frozenset[int], depth: int) -> str:
-    """The open blocks' text without the tokens that a long repeat or a common block covers."""
-    tokens = [t.split() for t in texts]
-    stream = [t for block in tokens for t in block]
-    covered = np.zeros(len(stream), bool)
-    for k, g in enumerate(_grams(stream, depth).tolist()):
-        if g in repeated:
-            covered[k : k + depth] = True
-    kept, at = [], 0
-    for zone, text, block in zip(zones, texts, tokens, strict=True):
-        own = covered[at : at + len(block)]
-        at += len(block)
-        if zone != OPEN or _whole(text) in common:
-            continue
-        if left := [t for t, c in zip(block, own, strict=True) if not c]:
-            kept.append(" ".join(left))
-    return " ".join(kept)
+            if not len(batch):
+                continue
+            before = 0 if last is None else 1
+            part = batch if last is None else pd.concat([last, batch], ignore_index=True)
+            last = batch.tail(1)
+            tokens = np.frombuffer(b"".join(part["suffix"]), ">u4").reshape(len(part), depth)
+            site, anchor, signature = (part[c].to_numpy() for c in ("site", "anchor", "signature"))
+            equal = tokens[1:] == tokens[:-1]
+            lcp = np.where(equal.all(axis=1), depth, equal.argmin(axis=1)) * (site[1:] == site[:-1])
+            page = np.r_[True, (lcp < depth) | (signature[1:] != signature[:-1])]
+            out = part["outside"].to_numpy(bool)
+            article = (~out & (page | np.r_[True, out[:-1]]))[before:]
+            page, out = page[before:], out[before:]
+            begins = np.flatnonzero(np.r_[True, lcp[before:] < depth])
+            pages = np.add.reduceat(page.astype(np.int64), begins)
+            inside, outside = np.add.reduceat(article.astype(np.int64), begins), np.add.reduceat((page & out).astype(np.int64), begins)
+            site, anchor = site[before:][begins], anchor[before:][begins]
+            edge = ((site == site[0]) & (anchor == anchor[0])) | ((site == site[-1]) & (anchor == anchor[-1]))
+            kept = edge | (pages >= LEAST_PAGES) | (outside > 1)
+            yield pd.DataFrame({"site": site[kept], "suffix": batch["suffix"].to_numpy()[begins[kept]], "pages": pages[kept], "inside": inside[kept], "outside": outside[kept]})
+
+    return scan
+
+
+def _clean(depth: int):
+    """A pandas batch function to the pages' text without the tokens that a deciding run or a common block covers."""
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for wanted, zones, texts, at, level, common in zip(*(batch[c] for c in ("wanted", "zones", "texts", "at", "level", "common")), strict=True):
+                # The level that takes a zone's tokens away.
+                least = {ARTICLE: 2, DOUBTED: 1} if wanted == ARTICLE else {wanted: 1}
+                if at is None and common is None:
+                    out.append(" ".join(t for z, t in zip(zones, texts, strict=True) if z in least))
+                    continue
+                tokens = [t.split() for t in texts]
+                covered = np.zeros(sum(map(len, tokens)), np.int8)
+                for k, v in sorted(zip(at, level, strict=True), key=lambda hit: hit[1]) if at is not None else ():
+                    covered[k : k + depth] = v
+                whole = frozenset() if common is None else frozenset(common)
+                kept, place = [], 0
+                for k, (zone, block) in enumerate(zip(zones, tokens, strict=True)):
+                    own = covered[place : place + len(block)]
+                    place += len(block)
+                    if zone in least and k not in whole and (left := [t for t, c in zip(block, own, strict=True) if c < least[zone]]):
+                        kept.append(" ".join(left))
+                out.append(" ".join(kept))
+            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": out})
+
+    return clean
+
+
+def _suffixes(found: DataFrame, depth: int, *columns: str) -> DataFrame:
+    """``columns`` of the suffixes in stretches, with ``at`` and the first ``depth`` tokens as ``suffix``."""
+    each = found.select(*columns, "codes", F.col("at").alias("start"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    return each.select(*columns, (F.col("start") + F.col("k")).alias("at"), F.substring("codes", 4 * F.col("k") + 1, F.lit(4 * depth)).alias("suffix"))
+
+
+def suffix_array(found: DataFrame, depth: int) -> DataFrame:
+    """(site, anchor, suffix, signature, outside), sorted so within ranges of about ``store.PART_ROWS`` suffixes.
+
+    The signature is a key of the ranges, so that a bucket of many pages is sorted by several tasks and a page's part of it by one.
+    """
+    n = found.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // store.PART_ROWS))
+    dealt = found.select("site", "anchor", "signature", (~F.col("inside")).alias("outside"), "at", "n", "codes").repartitionByRange(parts, "site", "anchor", "signature")
+    rows = _suffixes(dealt, depth, "site", "anchor", "signature", "outside").select("site", "anchor", "suffix", "signature", "outside")
+    return rows.sortWithinPartitions("site", "anchor", "suffix", "signature", F.desc("outside"))
+
+
+def _shared(parsed: DataFrame, depth: int) -> np.ndarray:
+    """A map with the bits of all anchors that several pages of a site have; its size is bounded, and where it is too full
+    more suffixes are sorted than need be."""
+    own = parsed.select("site", "signature", "zones", "texts").mapInPandas(anchors(depth), _ANCHORS)
+    both = own.groupBy("key").agg(F.min("signature").alias("low"), F.max("signature").alias("high")).where("low <> high")
+    both = store.materialise(both.select("key"), "html-anchors")
+    size = min(_BITS, 1 << max(10, (16 * both.count()).bit_length()))
+    spot = F.col("key").bitwiseAND(size - 1)
+    words = both.select(F.shiftright(spot, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _long_repeats(parsed: DataFrame, sites: DataFrame, depth: int) -> DataFrame:
+    """(row, at, level): where windows of long repeats that decide begin on pages; level 2 takes article text, 1 doubted or open text."""
+    found = parsed.select("row", "site", "signature", "wanted", "zones", "texts").mapInPandas(stretches(depth, _shared(parsed, depth)), _STRETCHES)
+    found = store.materialise(found, "html-stretches")
+    pieces = suffix_array(found, depth).mapInPandas(runs(depth), _RUNS)
+    whole = pieces.groupBy("site", "suffix").agg(F.sum("pages").alias("on"), F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).join(sites, "site")
+    most = lambda n: (F.col(n) >= LEAST_PAGES) & (2 * F.col(n) >= F.col("pages"))
+    inside = F.when(most("inside") & (2 * F.col("outside") >= F.col("inside")), 2).when(most("on"), 1).otherwise(0)
+    levels = whole.select("site", "suffix", inside.alias("inner"), F.when(F.col("outside") > 1, 1).otherwise(0).alias("outer")).where("inner + outer > 0")
+    levels = store.materialise(levels, "html-runs")
+    hits = _suffixes(found.where("decides"), depth, "row", "site", "inside").join(levels, ["site", "suffix"])
+    return hits.select("row", "at", F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer")).alias("level")).where("level > 0")
+
+
+def _undecided(zone, wanted):
+    """Whether a block's zone leaves it to repeats if a short block goes."""
+    return (zone == DOUBTED) | ((wanted != ARTICLE) & (zone == wanted))
+
+
+def _common_blocks(parsed: DataFrame, sites: DataFrame) -> DataFrame:
+    """(row, block): open and doubted blocks that are boilerplate as a whole."""
+    each = parsed.select("row", "site", "signature", "wanted", "zones", F.posexplode("texts").alias("block", "text"))
+    each = each.select("row", "site", "signature", "wanted", "block", "text", F.element_at("zones", F.col("block") + 1).alias("zone"))
+    each = each.where((F.col("zone") != ARTICLE) & (F.regexp_count("text", F.lit(" ")) >= LEAST_BLOCK - 1))
+    each = each.select("row", "site", "signature", "block", _undecided(F.col("zone"), F.col("wanted")).alias("asks"), F.xxhash64("text").alias("hash"))
+    # Only sites with a block that asks are looked at.
+    each = each.join(sites.where("asks").select("site", "pages"), "site")
+    on = each.select("site", "hash", "signature", "pages").distinct().groupBy("site", "hash").agg(F.count(F.lit(1)).alias("on"), F.max("pages").alias("pages"))
+    common = on.where((F.col("on") >= LEAST_PAGES) & (2 * F.col("on") >= F.col("pages"))).select("site", "hash")
+    return each.where("asks").join(common, ["site", "hash"]).select("row", "block")
 
 
 def main_text(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -376,32 +534,14 @@ def main_text(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][\w+.-]*://", ""), "^[^/?#]*", 0))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    parsed = store.materialise(source.mapInPandas(_parse, _PARSED), "html-parsed")
-    settled = parsed.where("settled or size(texts) = 0").select("page_id", "url", "text")
-    doubtful = parsed.where("not settled and size(texts) > 0").withColumn("row", F.monotonically_increasing_id())
-    if doubtful.isEmpty():
-        decided = settled
-    else:
-        doubtful = store.materialise(doubtful, "html-doubtful")
-        # Only hosts with a doubtful page are looked at for repeats.
-        asked = source.join(doubtful.select("host").distinct(), "host", "left_semi").select("host", "html")
-        shared = store.materialise(asked.mapInPandas(sharer(depth), _SHARED), "html-shared")
-        suffixes = shared.select("host", "signature", F.explode("grams").alias("gram"))
-        runs = suffixes.groupBy("host", "gram").agg(F.min("signature").alias("low"), F.max("signature").alias("high")).where("low <> high").select("host", "gram", F.lit(False).alias("block"))
-        sizes = shared.select("host", "signature").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-        own = shared.select("host", "signature", F.explode("whole").alias("gram")).distinct().groupBy("host", "gram").agg(F.count(F.lit(1)).alias("on"))
-        common = own.where(F.col("on") >= LEAST_PAGES).join(sizes, "host").where(2 * F.col("on") >= F.col("pages")).select("host", "gram", F.lit(True).alias("block"))
-        runs = store.materialise(runs.unionByName(common), "html-runs")
-        seen = doubtful.select("row", "host", "texts").mapInPandas(_own(depth), "row long, host string, block boolean, gram long")
-        hits = seen.join(runs, ["host", "gram", "block"]).groupBy("row").agg(F.collect_list(F.when(~F.col("block"), F.col("gram"))).alias("repeated"), F.collect_list(F.when(F.col("block"), F.col("gram"))).alias("common"))
-        none = F.array().cast("array<long>")
-        joined = doubtful.join(hits, "row", "left").select("page_id", "url", "zones", "texts", F.coalesce("repeated", none).alias("repeated"), F.coalesce("common", none).alias("common"))
-
-        def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                found = zip(b["zones"], b["texts"], b["repeated"], b["common"], strict=True)
-                text = [_unique_runs(list(z), list(t), frozenset(int(g) for g in r), frozenset(int(g) for g in c), depth) for z, t, r, c in found]
-                yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": text})
-
-        decided = settled.unionByName(joined.mapInPandas(clean, "page_id long, url string, text string"))
-    return decided.withColumn("n_chars", F.char_length("text").cast("long"))
+    parsed = store.materialise(source.mapInPandas(_parse, _PARSED).withColumn("row", F.monotonically_increasing_id()).withColumn("site", F.xxhash64("host")).drop("host"), "html-parsed")
+    asks = F.exists("zones", lambda zone: _undecided(zone, F.col("wanted")))
+    each = parsed.groupBy("site", "signature").agg(F.max(asks).alias("asks"))
+    sites = store.materialise(each.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.max("asks").alias("asks")), "html-sites")
+    none = F.lit(None).cast("int")
+    covered = _long_repeats(parsed, sites, depth).select("row", F.struct("at", "level").alias("hit"), none.alias("block"))
+    blocks = _common_blocks(parsed, sites).select("row", F.lit(None).cast(covered.schema["hit"].dataType).alias("hit"), "block")
+    cuts = covered.unionByName(blocks).groupBy("row").agg(F.collect_list("hit").alias("hits"), F.collect_list("block").alias("common"))
+    cuts = store.materialise(cuts.select("row", F.col("hits.at").alias("at"), F.col("hits.level").alias("level"), "common"), "html-cuts")
+    decided = parsed.join(cuts, "row", "left").select("page_id", "url", "wanted", "zones", "texts", "at", "level", "common")
+    return decided.mapInPandas(_clean(depth), "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
