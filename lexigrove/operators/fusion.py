@@ -17,6 +17,8 @@ from . import products, retrieval
 K = 60
 #: Entries of each leg that the first round of ``best_fused`` looks at, a query, and by how much more later ones do.
 DEPTH, DEEPER = 64, 8
+#: The first round's entries where the legs are many texts: these seldom agree within 64, and a second round is one more look at all vectors.
+FAR = 192
 
 _log = logging.getLogger(__name__)
 

@@ -9,7 +9,7 @@ document over its k-th best score so far are left out at first (common words, mo
 chunk cannot; only documents that the other terms bring close enough are scored in full. Nothing is lost: the result is exact.
 
 Where the held vectors fit a table of terms and queries (``TABLE``) and the documents have many entries for it, a chunk's scores are a product of
-matrices instead: its documents as rows of such terms, many more of them at once.
+matrices instead: its documents as rows of such terms, many more of them at once. Terms that few of its documents or few queries have (``THICK``) stay entries.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import store
-from .terms import RECORDS
+from .terms import RECORDS, unpacked
 
 # What runs in tasks travels with them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -41,6 +41,8 @@ ENTRIES = 1 << 18
 CELLS = 1 << 21
 #: Most cells of a table of held terms and queries, and how many of its products take the time of one of entries, about.
 TABLE, CHEAP = 1 << 23, 300
+#: A term is a column of such a matrix if it has more products than this for each document of the chunk.
+THICK = 0.7
 #: Scores are compared after rounding to so many digits, so that sums in another order agree.
 DIGITS = 9
 SLACK = 1e-8
@@ -77,10 +79,15 @@ class Held:
         self.factor = np.ones(len(self.terms))
         self.factor[t] = rows.column("factor").to_numpy()
         if "t" in rows.column_names:
-            number = np.empty(len(self.terms), np.int64)
-            number[t] = rows.column("t").to_numpy()
-            self.place = np.argsort(number)  # of the terms in the order of their numbers
-            self.numbered = number[self.place]
+            self.number = np.empty(len(self.terms), np.int64)
+            self.number[t] = rows.column("t").to_numpy()
+
+    @functools.cached_property
+    def place(self) -> np.ndarray:
+        """The place of the term of each number among the held ones, -1 where it is not held; the last is that of all larger numbers."""
+        out = np.full(int(self.number.max(initial=-1)) + 2, -1, np.int32)
+        out[self.number] = np.arange(len(self.number))
+        return out
 
     @functools.cached_property
     def table(self) -> np.ndarray:
@@ -95,7 +102,7 @@ class Held:
         return out
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("table", "there")}  # made anew where they are wanted
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "there", "place")}  # made anew where they are wanted
 
     def numbers(self, like: DataFrame) -> DataFrame:
         """(term, t, factor) for a join with the documents; at most as many rows as are held."""
@@ -119,13 +126,20 @@ class Chunk:
             row[only] = np.arange(len(only))
             own = np.flatnonzero(row[doc] >= 0)
             doc, t, w, n = row[doc[own]], t[own], w[own], len(only)
+        made = 0.0
         if self.dense and place is None:
-            cell, size = doc * len(held.terms) + t, n * len(held.terms)
+            thick = np.bincount(t, minlength=len(held.terms)) * np.diff(held.starts) > THICK * n
+            columns = np.flatnonzero(thick)
+            own = thick[t]
+            cell = doc[own] * len(columns) + (np.cumsum(thick) - 1)[t[own]]
+            rows = np.zeros(n * len(columns))
+            rows[cell] = w[own]  # a document has a term once
+            made = rows.reshape(n, len(columns)) @ held.table[columns]
             if touched is not None:
-                seen = np.zeros(size, np.float32)
+                seen = np.zeros(n * len(columns), np.float32)
                 seen[cell] = 1
-                touched |= seen.reshape(n, -1) @ held.there > 0
-            return np.bincount(cell, w, size).astype(np.float64, copy=False).reshape(n, -1) @ held.table
+                touched |= seen.reshape(n, len(columns)) @ held.there[columns] > 0
+            doc, t, w = doc[~own], t[~own], w[~own]
         starts = held.starts if starts is None else starts
         times = starts[t + 1] - starts[t]
         total = np.cumsum(times)
@@ -135,8 +149,8 @@ class Chunk:
         cell = np.repeat(doc * len(held.ids), times) + held.q[at]
         if touched is not None:
             touched.reshape(-1)[cell] = True
-        made = np.bincount(cell, np.repeat(w, times) * held.w[at], n * len(held.ids))
-        return made.astype(np.float64, copy=False).reshape(n, len(held.ids))  # of nothing it is a count
+        more = np.bincount(cell, np.repeat(w, times) * held.w[at], n * len(held.ids))
+        return more.astype(np.float64, copy=False).reshape(n, len(held.ids)) + made  # of nothing it is a count
 
 
 def _parted(own: np.ndarray, doc: np.ndarray, t: np.ndarray, w: np.ndarray, held: Held) -> Iterator[Chunk]:
@@ -145,7 +159,7 @@ def _parted(own: np.ndarray, doc: np.ndarray, t: np.ndarray, w: np.ndarray, held
     made = np.bincount(doc, held.starts[t + 1] - held.starts[t], len(own))
     table = len(held.terms) * len(held.ids)
     dense = table <= TABLE and table * len(own) < CHEAP * made.sum()
-    cost = np.full(len(own), (len(held.terms) + len(held.ids)) / 4) if dense else made + len(held.ids)
+    cost = np.full(len(own), (len(held.terms) + len(held.ids)) / 8) if dense else made + len(held.ids)
     part = (np.cumsum(cost) // CELLS).astype(np.int64)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(own)]])
     ends = np.searchsorted(doc, edges)
@@ -155,24 +169,26 @@ def _parted(own: np.ndarray, doc: np.ndarray, t: np.ndarray, w: np.ndarray, held
 
 def vector_chunks(batches: Iterator[pa.RecordBatch], held: Held, scaled: Callable[[np.ndarray, np.ndarray], np.ndarray], weighed: Callable[[np.ndarray], np.ndarray]) -> Iterator[Chunk]:
     """Chunks of documents from rows (doc_id, scale, t, tf), a document each; within a chunk they are in the order of their ids."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, scale = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-        lists = batch.column(2)
-        doc = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy())
-        given, tf = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
-        at = np.minimum(np.searchsorted(held.numbered, given), len(held.numbered) - 1)
-        met = np.flatnonzero(held.numbered[at] == given)
-        doc, t = doc[met], held.place[at[met]]
-        w = scaled(weighed(tf[met]) * held.factor[t], scale[doc])
-        order = np.argsort(ids, kind="stable")
-        if (order[1:] < order[:-1]).any():
-            rank = np.empty(len(ids), np.int64)
-            rank[order] = np.arange(len(ids))
-            by = np.argsort(rank[doc], kind="stable")
-            ids, doc, t, w = ids[order], rank[doc][by], t[by], w[by]
-        yield from _parted(ids, doc, t, w, held)
+    for whole in batches:
+        for begin in range(0, whole.num_rows, RECORDS):
+            batch = whole.slice(begin, RECORDS)
+            ids, scale = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            given, each = unpacked(batch.column(2))
+            doc = np.repeat(np.arange(len(ids)), each)
+            place = held.place[np.minimum(given, len(held.place) - 1)]
+            w = weighed(unpacked(batch.column(3))[0])
+            if len(place) and place.min() < 0:
+                met = np.flatnonzero(place >= 0)
+                doc, place, w = doc[met], place[met], w[met]
+            t = place.astype(np.int64)
+            w = scaled(w * held.factor[t], scale[doc])
+            order = np.argsort(ids, kind="stable")
+            if (order[1:] < order[:-1]).any():
+                rank = np.empty(len(ids), np.int64)
+                rank[order] = np.arange(len(ids))
+                by = np.argsort(rank[doc], kind="stable")
+                ids, doc, t, w = ids[order], rank[doc][by], t[by], w[by]
+            yield from _parted(ids, doc, t, w, held)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], held: Held, scaled: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[Chunk]:
@@ -212,14 +228,20 @@ class Best:
         self.least = np.full(len(held.ids), -np.inf)  # a query's k-th best score
         self.q, self.score, self.doc = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
         self.skipped = self.seen = 0  # (chunk, query) pairs that no document was scored for, and all
+        self.wait = self.waited = 0  # chunks of matrices that go unbounded after bounds that were of no use
 
     def add(self, chunk: Chunk) -> None:
         held, n = self.held, len(self.held.ids)
-        largest = np.zeros(len(held.terms))
-        np.maximum.at(largest, chunk.t, chunk.w)
-        bound = np.maximum(held.w, 0.0) * largest[held.t]
-        if chunk.dense:
+        unbounded = chunk.dense and self.waited < self.wait
+        if not unbounded:
+            largest = np.zeros(len(held.terms))
+            np.maximum.at(largest, chunk.t, chunk.w)
+            bound = np.maximum(held.w, 0.0) * largest[held.t]
+        if unbounded:
+            rest, asked, self.waited = 0.0, np.ones(n, bool), self.waited + 1
+        elif chunk.dense:
             rest, asked = 0.0, np.bincount(held.q, bound, n) >= self.least - SLACK
+            self.wait, self.waited = min(2 * self.wait + 1, 63) if asked.all() else 0, 0
         else:
             # A query's entries by bound: those whose sum stays below its k-th best score wait.
             order = np.lexsort((bound, held.q))
@@ -259,13 +281,11 @@ class Best:
             self._keep(q, score, d, chunk.ids)
 
     def _keep(self, q: np.ndarray, score: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
-        known = len(self.doc)
-        all_ids = np.concatenate([self.doc, ids.astype(object)])
-        at = np.concatenate([np.arange(known), known + d])
-        place = np.unique(all_ids, return_inverse=True)[1][at]
+        doc = np.concatenate([self.doc, ids[d]]) if len(self.doc) else ids[d]
+        place = doc if doc.dtype != object else np.unique(doc, return_inverse=True)[1]
         q, score = np.concatenate([self.q, q]), np.concatenate([self.score, score])
         by = np.lexsort((place, -score.round(DIGITS), q))
-        q, score, doc = q[by], score[by], all_ids[at[by]]
+        q, score, doc = q[by], score[by], doc[by]
         first = np.searchsorted(q, np.arange(len(self.held.ids) + 1))
         rank = np.arange(len(q)) - first[q]
         keep = rank < self.k

@@ -44,10 +44,10 @@ GPU = Config("gpu", n_candidates=32, ce_weight=2.0, constraint_weight=0.05, cros
 def legs(queries: DataFrame, docs: DataFrame, names: list[str], text: str = "coarse_text", lemmas: DataFrame | None = None) -> dict[str, Leg]:
     """Legs by name; ``queries``: (query_id, text), ``docs``: (doc_id, coarse_text); ``lemmas``: (token, lemma) for the legs of words."""
     size = retrieval.corpus_size(docs)
-    found = {}
+    of_texts = {name: ("char" if name == "char" else "word", name == "bm25") for name in names if name == "char" or lemmas is None}
+    found = retrieval.text_legs(queries, docs, text, size, of_texts) if of_texts else {}
     for name in names:
-        if name == "char" or lemmas is None:
-            found[name] = retrieval.text_leg(queries, docs, text, size, "char" if name == "char" else "word", name == "bm25")
+        if name in found:
             continue
         d, q = (retrieval.counted(lemma_rows(side, key, column, lemmas), key) for side, key, column in ((docs, "doc_id", text), (queries, "query_id", "text")))
         found[name] = (retrieval.bm25_leg if name == "bm25" else retrieval.tfidf_leg)(q, d, size)
@@ -62,7 +62,7 @@ def stage1(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, dense:
     """
     made = legs(queries, docs, [n for n, w in config.weights.items() if w], lemmas=lemmas)
     if dense is None:
-        return fusion.best_fused(made, config.weights, queries, docs.select("doc_id"), config.n_candidates)
+        return fusion.best_fused(made, config.weights, queries, docs.select("doc_id"), config.n_candidates, depth=fusion.FAR)
     # No task and no window holds a query's documents, and what a task holds does not grow with the pairs.
     size = queries.count() * docs.count()
     parts = store.wide_parts(queries.sparkSession, size)

@@ -89,10 +89,14 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
 
 
-def _leg(spark: SparkSession, sf_dir: str, name: str) -> products.Leg:
+def _legs(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, products.Leg]:
     queries, docs = _sides(spark, sf_dir)
     asked = queries.select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.text_leg(asked, docs, "text", retrieval.corpus_size(docs), "char" if name == "char" else "word", name == "bm25")
+    return retrieval.text_legs(asked, docs, "text", retrieval.corpus_size(docs), {name: ("char" if name == "char" else "word", name == "bm25") for name in names})
+
+
+def _leg(spark: SparkSession, sf_dir: str, name: str) -> products.Leg:
+    return _legs(spark, sf_dir, [name])[name]
 
 
 def _top(spark: SparkSession, sf_dir: str, name: str, k: int) -> DataFrame:
@@ -151,8 +155,8 @@ _TWO_LEGS = f"{_tfidf_sql('word', _TOKENS)}, {_tfidf_sql('chars', _GRAMS)}, {_ra
 def _fused(spark: SparkSession, sf_dir: str, weights: dict[str, float]) -> DataFrame:
     """The ten best by the legs' ranks of all pairs, those without a common term included."""
     queries, docs = _sides(spark, sf_dir)
-    legs = {name: _leg(spark, sf_dir, name) for name in weights}
-    found = fusion.best_fused(legs, weights, queries.select(F.col("item_id").alias("query_id")), docs.select("doc_id"), 10, digits=9)
+    legs = _legs(spark, sf_dir, list(weights))
+    found = fusion.best_fused(legs, weights, queries.select(F.col("item_id").alias("query_id")), docs.select("doc_id"), 10, digits=9, depth=fusion.FAR)
     return found.select("query_id", "doc_id", "rank", rounded("score"))
 
 

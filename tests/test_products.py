@@ -221,3 +221,24 @@ def test_dense_fusion_holds_no_query_in_a_task(spark, monkeypatch, weights):
     second = placed(near)
     want = placed({p: 1 / (60 + first[p]) + 0.5 / (60 + second[p]) for p in near}, 15)
     assert got == {(q, k): d for (q, d), k in want.items() if k <= 7}
+
+
+@pytest.mark.parametrize("thick", [0.0, 0.7, 1e9])
+def test_columns_of_matrices_are_the_terms_of_many_products(spark, monkeypatch, thick):
+    """Rare terms stay entries beside a matrix; scores and common terms are the same with all, some or none as columns."""
+    monkeypatch.setattr(products, "THICK", thick)
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(80)]
+    queries = {q: {w: rng.choice([0.0, rng.random()]) for w in words if rng.random() < 4 / (1 + int(w[1:]))} | {"all": 1.0} for q in range(12)}
+    docs = {i: {w: rng.random() for w in words if rng.random() < 9 / (1 + int(w[1:]))} for i in range(90)}
+    held = next(products.groups(leg_of(spark, queries, docs)))
+    number = {t: k for k, t in enumerate(held.terms.to_pylist())}
+    rows = [(i, number[w], x) for i, v in docs.items() for w, x in v.items() if w in number]
+    doc, t, w = (np.array(c) for c in zip(*rows, strict=True))
+    chunk, touched = products.Chunk(np.arange(90), doc, t, w, True), np.zeros((90, 12), bool)
+    made = chunk.products(held, touched=touched)
+    for k, q in enumerate(held.ids.to_pylist()):
+        assert np.allclose(made[:, k], [sum(x * docs[i][v] for v, x in queries[q].items() if v in docs[i]) for i in range(90)], rtol=1e-12, atol=1e-15)
+        assert touched[:, k].tolist() == [bool(queries[q].keys() & docs[i].keys()) for i in range(90)]
+    own = np.array([3, 50])
+    assert np.allclose(chunk.products(held, only=own), made[own], rtol=1e-12, atol=1e-15)

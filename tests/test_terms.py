@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from jobs import match_catalogue
 from lexigrove import queries, store
+from lexigrove.functions import text as tx
 from lexigrove.operators import products, retrieval, terms
 
 ODD = ["", None, " ", "a", "the a, 12,5 x1", "Ёлка елка И в ёж", "aaaaaaaa aaaaaaaa b", "x" * 400, "İstanbul ΣΑΣ   straße", "\U0001f600\U0001f600 ok \U00010400\U00010400\U00010400", "1 2 3 10 10"]
@@ -99,3 +102,51 @@ def test_terms_are_found_by_hash_and_name(spark):
         want = [float(names.index(n)) if n in names else -1.0 for n in asked]
         assert [float(table.weight[k]) if k >= 0 else -1.0 for k in table.find(pa.array(asked))] == want
     assert known.find(pa.array([], pa.string())).tolist() == [] and terms.Known(rows.limit(0).select("*", F.xxhash64("term").alias("h")).toArrow()).find(pa.array(["a"])).tolist() == [-1]
+
+
+def looks_at(monkeypatch):
+    looks, dealt = [], terms._dealt
+    monkeypatch.setattr(terms, "_dealt", lambda *a: looks.append(a) or dealt(*a))
+    return looks
+
+
+def test_all_legs_come_from_two_looks_at_the_texts(spark, tmp_path, monkeypatch):
+    """However many legs are fused, texts are shuffled and cut twice: for the counts of terms and for the vectors."""
+    texts = odd_texts(spark, 60).where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("lang", F.lit("en"))
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "common w3 tariff w7"), (2, "aaaaaaaa елка")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    looks = looks_at(monkeypatch)
+    assert queries.QUERIES["rrf_fused_top10"](spark, str(tmp_path)).count() == 20 and len(looks) == 2
+    match_catalogue.run(spark, str(tmp_path / "benchmark.parquet"), str(tmp_path / "documents.parquet"), str(tmp_path / "out"))
+    assert len(looks) == 4
+
+
+def test_legs_made_together_are_those_made_apart(spark, monkeypatch):
+    texts = odd_texts(spark).where("doc_id is not null")
+    asked = spark.createDataFrame([(1, "common w3 tariff w7"), (2, "aaaaaaaa елка"), (3, ""), (4, "nowhere")], "query_id long, text string")
+    names, size = {"char": ("char", False), "word": ("word", False), "bm25": ("word", True)}, retrieval.corpus_size(texts)
+    shown = lambda leg: {(r.query_id, r.doc_id): round(r.score, 9) for r in retrieval.pair_scores(leg).collect()}
+    made = retrieval.text_legs(asked, texts, "text", size, names)
+    apart = {name: shown(retrieval.text_leg(asked, texts, "text", size, *kind)) for name, kind in names.items()}
+    assert {name: shown(leg) for name, leg in made.items()} == apart
+    monkeypatch.setattr(retrieval, "SENT_WEIGHTS", 40)
+    monkeypatch.setattr(retrieval, "PASSES", 100)
+    looks = looks_at(monkeypatch)
+    assert {name: shown(leg) for name, leg in retrieval.text_legs(asked, texts, "text", size, names).items()} == apart and len(looks) > 4
+
+
+def test_tokens_of_words_are_those_of_the_text(spark):
+    odd = ["a\u00a0bb\u202fcc,5,x 1.5.2", "ΟΔΟΣ\u00a0ёж12 Ё-Ё ёё", "x\u001cyy\u0085zz\u2028ww\u200bvv", "\n\tи из,12 12,и .55 5.", None, "\x00nul l"]
+    texts = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    rows = texts.select("doc_id", F.explode(tx.tokenise(F.col("text"))).alias("term")).groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.count("*").alias("n"))
+    assert sorted(terms.statistics(texts, "doc_id", "text", terms.tokens()).collect()) == sorted(rows.collect())
+
+
+def test_packed_numbers_and_numbers_without_gaps(spark):
+    numbers, each = np.arange(7, dtype=np.int64) * 1000, np.array([3, 0, 4, 0])
+    column = terms.packed(numbers, each)
+    for a, b, want in ((0, 4, range(7)), (1, 2, range(3, 7)), (3, 1, []), (0, 0, [])):
+        t, n = terms.unpacked(column.slice(a, b))
+        assert (t // 1000).tolist() == list(want) and n.tolist() == each[a : a + b].tolist()
+    rows = terms.numbered(spark.range(1000).repartition(7), "numbered").collect()
+    assert sorted(r.t for r in rows) == list(range(1000)) and {r.id for r in rows} == set(range(1000))
