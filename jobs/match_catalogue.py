@@ -34,7 +34,7 @@ def run(spark: SparkSession, queries: str, catalogue: str, out: str, config: str
         ids = asked.select("query_id").distinct()
         counts = {"queries": ids.count(), "documents": known.count()}
         log.info("read %d queries of %s and %d documents of %s", counts["queries"], queries, counts["documents"], catalogue)
-        ranked = ranking.rank(asked.groupBy("query_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("text"))).alias("text")), texts, plan)
+        ranked = ranking.rank(asked.groupBy("query_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("text"))).alias("text")), texts, plan, apart=True)
         counts["predictions"] = write_counted(ranked.join(known, "doc_id"), f"{out}/predictions", [c["partition"]])
         written = predictions(spark, out)
         named = written.select(F.col("query_id").alias("declaration_id"), "rank", F.col("doc_id").alias("regulation_id"), "score")

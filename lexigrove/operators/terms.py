@@ -1,7 +1,7 @@
 """Terms of many texts, counted where the texts are.
 
-A pair of a document and a term is no row of any table. Texts are shuffled once, by id, and cut at white space by
-Spark's expressions; tasks take these words some thousand documents at a time, number the different ones, cut each different word into its terms once, and count in
+A pair of a document and a term is no row of any table. Texts are shuffled once, by id, unless their ids are known to be different; tasks cut them at white space
+some thousand documents at a time, number the different words, cut each of these into its terms once, and count in
 arrays. Terms of several kinds come from the same words in the same look at the texts. What leaves
 a task is a row for each different term (``statistics``) or for each document, with the numbers of the terms that are asked for (``vectors``).
 """
@@ -125,13 +125,22 @@ def _parts(texts: DataFrame, text: str) -> int:
     return (texts.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SORTED
 
 
-def _dealt(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, words), rows of an id in one task and beside each other."""
-    rows = texts.select(F.col(key).alias("id"), F.col(text).alias("text"))
+def _dealt(texts: DataFrame, key: str, text: str, apart: bool = False) -> DataFrame:
+    """(id, text in lower case), rows of an id in one task and beside each other. ``apart``: no two rows have the same id."""
+    rows = texts.select(F.col(key).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    if apart:
+        return rows
     parts = _parts(rows, "text")
     # The session's number of partitions, more where these would grow with the texts.
     dealt = rows.repartition(parts, "id") if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition("id")
-    return dealt.sortWithinPartitions("id").select("id", tx.split_words(F.col("text")).alias("words"))
+    return dealt.sortWithinPartitions("id")
+
+
+def split(texts: pa.Array) -> pa.Array:
+    """The words of ``text.split_words``, from texts in lower case."""
+    if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # white space to Arrow, not to Java
+        return pc.split_pattern_regex(texts, "[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    return pc.utf8_split_whitespace(texts)
 
 
 def _changes(ids: pa.Array) -> np.ndarray:
@@ -158,8 +167,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nd
     for batch in batches:
         if not batch.num_rows:
             continue
-        waiting.append(pa.Table.from_batches([batch]))
-        n += len(batch.column(1).flatten())
+        words = split(batch.column(1))
+        waiting.append(pa.table({"id": batch.column(0), "words": words}))
+        n += len(words.flatten())
         if n >= WORDS:
             table = pa.concat_tables(waiting)
             ends = np.flatnonzero(_changes(table.column(0).combine_chunks()))
@@ -241,8 +251,8 @@ def statistics(texts: DataFrame, key: str, text: str, kind: Kind) -> DataFrame:
     return statistics_of(texts, key, text, {"": kind}).select("term", "df", "n")
 
 
-def statistics_of(texts: DataFrame, key: str, text: str, kinds: dict[str, Kind]) -> DataFrame:
-    """(kind, term, df, n): ``statistics`` of several kinds by one look at the texts."""
+def statistics_of(texts: DataFrame, key: str, text: str, kinds: dict[str, Kind], apart: bool = False) -> DataFrame:
+    """(kind, term, df, n): ``statistics`` of several kinds by one look at the texts. ``apart``: no two rows have the same id."""
     cuts = {name: kind.cut for name, kind in kinds.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +284,7 @@ def statistics_of(texts: DataFrame, key: str, text: str, kinds: dict[str, Kind])
             if held[name]:
                 yield from out(name, added(name))
 
-    rows = _dealt(texts, key, text).mapInArrow(count, "kind string, term string, df long, n long")
+    rows = _dealt(texts, key, text, apart).mapInArrow(count, "kind string, term string, df long, n long")
     return rows.groupBy("kind", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
 
 
@@ -312,11 +322,11 @@ def numbered(rows: DataFrame, label: str) -> DataFrame:
     return written.join(F.broadcast(starts), "part").select(*rows.columns, (F.col("start") + own).alias("t"))
 
 
-def logs(n: np.ndarray) -> np.ndarray:
-    """1 + ln n of counts."""
+def logs(n: np.ndarray, power: int = 1) -> np.ndarray:
+    """1 + ln n of counts, to a power."""
     if not len(n) or (most := int(n.max())) >= LOGS:
-        return 1 + np.log(n)
-    return (1 + np.log(np.maximum(np.arange(most + 1), 1)))[n]
+        return (1 + np.log(n)) ** power
+    return ((1 + np.log(np.maximum(np.arange(most + 1), 1))) ** power)[n]
 
 
 def packed(numbers: np.ndarray, each: np.ndarray) -> pa.Array:
@@ -376,8 +386,8 @@ class Side:
     rest: float | None
 
 
-def vectors_of(texts: DataFrame, key: str, text: str, sides: dict[str, Side], label: str = "vectors", nth: int | None = None) -> DataFrame:
-    """(doc_id, and norm_, size_, t_ and tf_ with the name of each side), written: ``vectors`` of several kinds by one look at the texts.
+def vectors_of(texts: DataFrame, key: str, text: str, sides: dict[str, Side], label: str = "vectors", nth: int | None = None, apart: bool = False) -> DataFrame:
+    """(doc_id, and norm_, size_, t_ and tf_ with the name of each side), written: ``vectors`` of several kinds by one look at the texts. ``apart``: no two rows have the same id.
 
     The norm is null where a side has no ``rest``. A document has a row if it has an asked term of any side.
 
@@ -409,21 +419,21 @@ def vectors_of(texts: DataFrame, key: str, text: str, sides: dict[str, Side], la
                 known, square, number = tables[name]
                 names, starts, own = cut(different)
                 at = known.find(names)
-                adds, asked = square[at], number[at]
-                norm, size, each = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+                adds, asked = square[at], number[at].astype(np.int32)
+                wanted = asked >= 0
+                norm, each = np.zeros(n), np.zeros(n, np.int64)
+                size = np.bincount(d, times * np.diff(starts)[w], n) if not nth else np.zeros(n)
                 t_parts, tf_parts = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
                 for docs, t, tf in _counts(d, w, times, starts, own, len(names)):
                     low, high = int(docs[0]), int(docs[-1]) + 1
                     docs = docs - low
                     if rest is not None:
-                        norm[low:high] = np.bincount(docs, logs(tf) ** 2 * adds[t], high - low)
-                    if not nth:
-                        size[low:high] = np.bincount(docs, tf, high - low)
+                        norm[low:high] = np.bincount(docs, logs(tf, 2) * adds[t], high - low)
                     if nth is not None:
                         has[low + docs] = True
-                    keep = np.flatnonzero(asked[t] >= 0)
+                    keep = np.flatnonzero(wanted[t])
                     each[low:high] = np.bincount(docs[keep], minlength=high - low)
-                    t_parts.append(asked[t[keep]].astype(np.int32))
+                    t_parts.append(asked[t[keep]])
                     tf_parts.append(tf[keep].astype(np.int32))
                 has |= each > 0
                 out[name] = norm, size, each, np.concatenate(t_parts), np.concatenate(tf_parts)
@@ -437,7 +447,7 @@ def vectors_of(texts: DataFrame, key: str, text: str, sides: dict[str, Side], la
             yield from pa.Table.from_arrays(arrays, ["doc_id", *columns]).to_batches(max_chunksize=RECORDS)
 
     types = ", ".join(f"`{c}` {'double' if c[:4] in ('norm', 'size') else 'binary'}" for c in columns)
-    rows = _dealt(texts.where(F.col(key).isNotNull()), key, text)
+    rows = _dealt(texts.where(F.col(key).isNotNull()), key, text, apart)
     try:
         return store.materialise(rows.mapInArrow(look, f"doc_id {id_type}, {types}"), label, records=RECORDS)
     finally:

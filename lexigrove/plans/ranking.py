@@ -41,11 +41,14 @@ CPU = Config("cpu", n_candidates=12, ce_weight=1.0, constraint_weight=0.02, cros
 GPU = Config("gpu", n_candidates=32, ce_weight=2.0, constraint_weight=0.05, cross_encoder="Qwen/Qwen3-Reranker-4B", batch_ce=8, max_len_ce=512, device=Device(gpu=True, half=True))
 
 
-def legs(queries: DataFrame, docs: DataFrame, names: list[str], text: str = "coarse_text", lemmas: DataFrame | None = None) -> dict[str, Leg]:
-    """Legs by name; ``queries``: (query_id, text), ``docs``: (doc_id, coarse_text); ``lemmas``: (token, lemma) for the legs of words."""
+def legs(queries: DataFrame, docs: DataFrame, names: list[str], text: str = "coarse_text", lemmas: DataFrame | None = None, apart: bool = False) -> dict[str, Leg]:
+    """Legs by name; ``queries``: (query_id, text), ``docs``: (doc_id, coarse_text); ``lemmas``: (token, lemma) for the legs of words.
+
+    ``apart``: ``docs`` is a written table of many parts in which no two rows have the same id, so that its texts need no shuffle.
+    """
     size = retrieval.corpus_size(docs)
     of_texts = {name: ("char" if name == "char" else "word", name == "bm25") for name in names if name == "char" or lemmas is None}
-    found = retrieval.text_legs(queries, docs, text, size, of_texts) if of_texts else {}
+    found = retrieval.text_legs(queries, docs, text, size, of_texts, apart) if of_texts else {}
     for name in names:
         if name in found:
             continue
@@ -54,13 +57,13 @@ def legs(queries: DataFrame, docs: DataFrame, names: list[str], text: str = "coa
     return found
 
 
-def stage1(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, dense: DataFrame | None = None, lemmas: DataFrame | None = None) -> DataFrame:
+def stage1(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, dense: DataFrame | None = None, lemmas: DataFrame | None = None, apart: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``n_candidates`` best of each query by weighted reciprocal rank fusion of the legs.
 
     Every pair has a rank in every leg, the pairs without a common term included. With ``dense``, which has every pair of a
-    bounded catalogue, all pairs are rows.
+    bounded catalogue, all pairs are rows. ``apart``: as for ``legs``.
     """
-    made = legs(queries, docs, [n for n, w in config.weights.items() if w], lemmas=lemmas)
+    made = legs(queries, docs, [n for n, w in config.weights.items() if w], lemmas=lemmas, apart=apart)
     if dense is None:
         return fusion.best_fused(made, config.weights, queries, docs.select("doc_id"), config.n_candidates, depth=fusion.FAR)
     # No task and no window holds a query's documents, and what a task holds does not grow with the pairs.
@@ -77,16 +80,16 @@ def stage1(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, dense:
     return retrieval.ranked(fused, digits=15)
 
 
-def rank(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, scorer: Scorer | None = None, dense: DataFrame | None = None, lemmas: DataFrame | None = None) -> DataFrame:
+def rank(queries: DataFrame, docs: DataFrame, config: Config = LEXICAL, scorer: Scorer | None = None, dense: DataFrame | None = None, lemmas: DataFrame | None = None, apart: bool = False) -> DataFrame:
     """(query_id, rank, doc_id, score): the final ranking.
 
     ``queries``: (query_id, text); ``docs``: (doc_id, coarse_text, fine_text, disc_text). The scorer
     sees only the candidates, which are written, as its scores are, so that it runs once for each pair.
-    ``lemmas``: (token, lemma), for the legs of words and the subjects of quantities.
+    ``lemmas``: (token, lemma), for the legs of words and the subjects of quantities. ``apart``: as for ``legs``.
     """
     spark = queries.sparkSession
     with store.scratch(spark):
-        found = stage1(queries, docs, config, dense, lemmas).where(F.col("rank") <= config.n_candidates)
+        found = stage1(queries, docs, config, dense, lemmas, apart).where(F.col("rank") <= config.n_candidates)
         candidates = store.materialise(found.select("query_id", "doc_id", (F.col("rank") - 1).alias("cand_pos")), "candidates")
         scored = None
         if scorer is not None:

@@ -150,3 +150,14 @@ def test_packed_numbers_and_numbers_without_gaps(spark):
         assert (t // 1000).tolist() == list(want) and n.tolist() == each[a : a + b].tolist()
     rows = terms.numbered(spark.range(1000).repartition(7), "numbered").collect()
     assert sorted(r.t for r in rows) == list(range(1000)) and {r.id for r in rows} == set(range(1000))
+
+
+def test_words_are_those_that_spark_splits(spark):
+    """At every white space that Java knows and at no other character, whatever Arrow takes for white space."""
+    texts = [f"a{chr(c)}b c" for c in range(1, 0x3100)] + [" a  b ", "", "a", "\x1c", " "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {r.id: [w for w in r.words if w] for r in rows.select("id", tx.split_words(F.col("text")).alias("words")).collect()}
+    lower = [r[0] for r in rows.orderBy("id").select(F.lower("text")).collect()]
+    for some in ([k for k, t in enumerate(texts) if not set(t) & set("\x1c\x1d\x1e\x1f")], range(len(texts))):
+        found = terms.split(pa.array([lower[k] for k in some]))
+        assert {k: [w for w in v if w] for k, v in zip(some, found.to_pylist(), strict=True)} == {k: want[k] for k in some}
